@@ -48,3 +48,16 @@ def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16KB")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
+
+
+def materialise(df):
+    """Write a frame that several branches read to the shared folder and read it back.
+
+    Unlike a local checkpoint this survives the loss of any executor, and the
+    branches still prune columns.
+    """
+    import uuid
+
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tickloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

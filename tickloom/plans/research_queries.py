@@ -133,7 +133,7 @@ def make_sequences(spark, sf):
     total = lambda i: F.aggregate("x", F.lit(0.0), lambda acc, r: acc + r[i])
     return df.select(
         "ticker", "dt", "split", F.size("x").cast("bigint").alias("length"),
-        F.round(total(0), 6).alias("sum_close"), F.round(total(1), 4).alias("sum_rsi"), F.round(F.element_at("x", 1)[0], 6).alias("first_close"),
+        F.round(total(0), 9).alias("sum_close"), F.round(total(1), 4).alias("sum_rsi"), F.round(F.element_at("x", 1)[0], 6).alias("first_close"),
         F.round(F.element_at("x", -1)[2], 4).alias("last_macd"), F.round("target", 8).alias("target"),
     )
 
@@ -150,7 +150,7 @@ def inverse_scale(spark, sf):
 
 def price_from_logret(spark, sf):
     price = forecast.price_from_log_return(F.col("close"), F.col("target"))
-    return _model_rows(spark, sf).select("ticker", "dt", F.round(price, 7).alias("next_price"))
+    return _model_rows(spark, sf).select("ticker", "dt", F.round(price, 9).alias("next_price"))
 
 
 def ensemble_band(spark, sf):

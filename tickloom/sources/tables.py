@@ -11,8 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests per user: label, latency in seconds, outcome, cache hit."""
-    return table(spark, sf_dir, "events").select(
+    return as_request_log(table(spark, sf_dir, "events"))
+
+
+def as_request_log(events: DataFrame) -> DataFrame:
+    """Requests per user: label, latency in seconds, outcome, cache hit; for a table or a stream."""
+    return events.select(
         F.col("event_id"),
         F.col("user_id").cast("string").alias("key"),
         F.col("ts"),

@@ -1,0 +1,113 @@
+"""Per-key state machines over event streams."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from tickloom.constants import (
+    BREAKER_RESET_SECONDS, BREAKER_THRESHOLD, BREAKER_WINDOW, BUCKET_CAPACITY, BUCKET_RATE, CALL_WINDOW_SECONDS,
+    CALLS_PER_WINDOW,
+)
+
+ADMISSION_SCHEMA = "key string, event_id long, t double, bucket_ok boolean, admitted boolean, tokens double, in_window int"
+BREAKER_SCHEMA = "key string, event_id long, t double, state_before string, blocked boolean, state_after string, failures int, outcomes int"
+
+
+def call_times(log: DataFrame, key: str, speed: float = 1.0) -> DataFrame:
+    """Calls as ``key, event_id, t`` (seconds on a clock ``speed`` times as fast), outcome and event time."""
+    ts = F.col("ts").cast("timestamp")
+    seconds = F.unix_micros(ts) / (1_000_000.0 * speed)
+    return log.select(F.col(key).alias("key"), "event_id", seconds.alias("t"), "ok", ts.alias("ts"))
+
+
+def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """The rows of one key in one micro-batch, by time; trigger limits bound their number."""
+    return pd.concat(list(batches)).sort_values(["t", "event_id"])
+
+
+class Admission(StatefulProcessor):
+    """Token bucket, then at most ``CALLS_PER_WINDOW`` admitted calls per trailing window.
+
+    The tests run in that order: a token is spent even if the second test rejects.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("admission", "tokens double, last double, calls array<double>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        saved = self.state.get() if self.state.exists() else None
+        tokens, last, calls = (saved[0], saved[1], list(saved[2])) if saved else (BUCKET_CAPACITY, None, [])
+        frame = _in_order(rows)
+        out = []
+        for event_id, t in zip(frame["event_id"], frame["t"]):
+            if last is not None:
+                tokens = min(BUCKET_CAPACITY, tokens + (t - last) * BUCKET_RATE)
+            last = t
+            bucket_ok = tokens >= 1.0
+            admitted = False
+            if bucket_ok:
+                tokens -= 1.0
+                calls = [c for c in calls if c >= t - CALL_WINDOW_SECONDS]
+                admitted = len(calls) < CALLS_PER_WINDOW
+                if admitted:
+                    calls.append(t)
+            out.append((key[0], event_id, t, bucket_ok, admitted, tokens, len(calls)))
+        self.state.update((tokens, last, calls))
+        yield pd.DataFrame(out, columns=["key", "event_id", "t", "bucket_ok", "admitted", "tokens", "in_window"])
+
+    def close(self) -> None:
+        pass
+
+
+class Breaker(StatefulProcessor):
+    """CLOSED opens at the failure share of a full window; OPEN blocks until the reset
+    time, then one probe decides between CLOSED (window cleared) and OPEN."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("breaker", "state string, since double, window array<boolean>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        saved = self.state.get() if self.state.exists() else None
+        state, since, window = (saved[0], saved[1], list(saved[2])) if saved else ("CLOSED", 0.0, [])
+        frame = _in_order(rows)
+        out = []
+        for event_id, t, ok in zip(frame["event_id"], frame["t"], frame["ok"]):
+            if state == "OPEN" and t - since >= BREAKER_RESET_SECONDS:
+                state = "HALF_OPEN"
+            before, blocked = state, state == "OPEN"
+            if not blocked:
+                window = (window + [bool(ok)])[-BREAKER_WINDOW:]
+                failures = window.count(False)
+                if state == "CLOSED" and len(window) == BREAKER_WINDOW and failures / BREAKER_WINDOW >= BREAKER_THRESHOLD:
+                    state, since = "OPEN", t
+                elif state == "HALF_OPEN" and ok:
+                    state, window = "CLOSED", []
+                elif state == "HALF_OPEN":
+                    state, since = "OPEN", t
+            out.append((key[0], event_id, t, before, blocked, state, window.count(False), len(window)))
+        self.state.update((state, since, window))
+        yield pd.DataFrame(
+            out, columns=["key", "event_id", "t", "state_before", "blocked", "state_after", "failures", "outcomes"]
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def _run(calls: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
+    return calls.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None"
+    )
+
+
+def admission(calls: DataFrame) -> DataFrame:
+    return _run(calls, Admission(), ADMISSION_SCHEMA)
+
+
+def breaker(calls: DataFrame) -> DataFrame:
+    return _run(calls, Breaker(), BREAKER_SCHEMA)

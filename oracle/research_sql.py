@@ -145,7 +145,7 @@ Q["make_sequences"] = sql(
     """SELECT ticker, dt, split, length, ROUND(sc, 9) AS sum_close, ROUND(sr, 4) AS sum_rsi, ROUND(fc, 6) AS first_close, ROUND(lm, 4) AS last_macd, ROUND(target, 8) AS target
 FROM sq WHERE length = 90 AND seq >= CASE WHEN split = 'test' THEN ntr + 90 ELSE 90 END""")
 Q["inverse_scale"] = sql(ROWS + MM, """SELECT ticker, dt, ROUND((target - target_lo) / target_rg * target_rg + target_lo, 8) AS target_restored,
-  ROUND((close - close_lo) / close_rg * close_rg + close_lo, 7) AS close_restored, ROUND((close - close_lo) / close_rg, 8) AS close_single FROM mr JOIN mmb USING (ticker)""")
+  ROUND((close - close_lo) / close_rg * close_rg + close_lo, 9) AS close_restored, ROUND((close - close_lo) / close_rg, 8) AS close_single FROM mr JOIN mmb USING (ticker)""")
 Q["price_from_logret"] = sql(ROWS, "SELECT ticker, dt, ROUND(close * EXP(target), 9) AS next_price FROM mr")
 Q["ensemble_band"] = sql(PRED + [("eb", "SELECT ticker, dt, AVG(p) AS m, STDDEV_POP(p) AS s FROM (SELECT ticker, dt, UNNEST([naive, sma5, sma20]) AS p FROM wide) GROUP BY ticker, dt")],
                          "SELECT ticker, dt, ROUND(m, 4) AS ensemble, ROUND(m - 1.96 * s, 4) AS lower, ROUND(m + 1.96 * s, 4) AS upper FROM eb")

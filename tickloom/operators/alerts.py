@@ -17,7 +17,7 @@ def alert_inputs(frame: DataFrame) -> DataFrame:
     return frame.select(
         "ticker", "dt", "close", "rsi14", "regime",
         F.lag("regime").over(by_ticker()).alias("prev_regime"),
-        ((peak - F.col("close")) / peak * 100).alias("drawdown"),
+        (F.try_divide(peak - F.col("close"), peak) * 100).alias("drawdown"),
     )
 
 

@@ -36,13 +36,13 @@ def with_equity(df: DataFrame, columns: dict[str, str], capital: float = INITIAL
     out = {}
     for name in columns:
         peak = F.max(name).over(running())
-        out[f"{name}_dd"] = (F.col(name) - peak) / peak
+        out[f"{name}_dd"] = F.try_divide(F.col(name) - peak, peak)
     return df.withColumns(out)
 
 
 def regime_backtest_metrics(df: DataFrame) -> DataFrame:
     """Regime allocation against buy and hold, per ticker; needs ``close`` and ``regime``."""
-    ret = F.coalesce(F.col("close") / F.lag("close").over(by_ticker()) - 1, F.lit(0.0))
+    ret = F.coalesce(F.try_divide(F.col("close"), F.lag("close").over(by_ticker())) - 1, F.lit(0.0))
     df = with_strategy_returns(df.select("ticker", "dt", "close", "regime").withColumn("ret", ret), "ret")
     df = with_equity(df, {"bh_equity": "ret", "strat_equity": "strat_ret"})
     active = F.col("prev_weight") > 0
@@ -77,7 +77,7 @@ def signal_backtest(preds: DataFrame) -> DataFrame:
 
 
 def signal_metrics(traded: DataFrame) -> DataFrame:
-    grow = lambda c: (F.max_by(c, "dt") / F.min_by(c, "dt") - 1) * 100
+    grow = lambda c: (F.try_divide(F.max_by(c, "dt"), F.min_by(c, "dt")) - 1) * 100
     return traded.groupBy("ticker").agg(
         sharpe(F.col("strat_ret"), "pop9").alias("sharpe"),
         grow("equity").alias("total_return_pct"),
@@ -127,7 +127,7 @@ def _sortino(returns: str) -> Column:
 
 
 def _cagr(equity: str) -> Column:
-    growth = F.max_by(equity, "dt") / F.min_by(equity, "dt")
+    growth = F.try_divide(F.max_by(equity, "dt"), F.min_by(equity, "dt"))
     return (F.pow(growth, F.lit(float(TRADING_DAYS)) / F.count(equity)) - 1) * 100
 
 

@@ -36,7 +36,7 @@ def _percentile(value: Column, p: float) -> Column:
 
 def flag_outliers(df: DataFrame) -> DataFrame:
     """Add ``outlier``: the one-day return lies outside three interquartile ranges."""
-    ret = F.col("close") / F.lag("close").over(by_ticker()) - 1
+    ret = F.try_divide(F.col("close"), F.lag("close").over(by_ticker())) - 1
     df = df.withColumn("_ret", ret)
     df = df.withColumns({"_q1": _percentile(F.col("_ret"), 0.25), "_q3": _percentile(F.col("_ret"), 0.75)})
     reach = 3.0 * (F.col("_q3") - F.col("_q1"))

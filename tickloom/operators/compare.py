@@ -20,9 +20,9 @@ def normalise_request(tickers: list[str], limit: int | None = MAX_TICKERS) -> li
 
 
 def common_dates(df: DataFrame) -> DataFrame:
-    """Dates on which every ticker has a row."""
+    """Dates on which every ticker has its (one) row."""
     tickers = df.agg(F.count_distinct("ticker").alias("_all"))
-    per_day = df.groupBy("dt").agg(F.count_distinct("ticker").alias("_n"))
+    per_day = df.groupBy("dt").agg(F.count(F.lit(1)).alias("_n"))
     # One aggregate row on the right.
     return per_day.join(F.broadcast(tickers), F.col("_n") == F.col("_all")).select("dt")
 
@@ -59,11 +59,11 @@ def fetch_errors(requested: DataFrame, available: DataFrame, min_rows: int = MIN
 
 def normalised_prices(aligned: DataFrame, base: float = 100.0) -> DataFrame:
     first = F.first("close").over(running())
-    return aligned.select("ticker", "dt", F.round(F.col("close") / first * base, 2).alias("value"))
+    return aligned.select("ticker", "dt", F.round(F.try_divide(F.col("close"), first) * base, 2).alias("value"))
 
 
 def daily_returns_pct(aligned: DataFrame) -> DataFrame:
-    ret = F.col("close") / F.lag("close").over(by_ticker()) - 1
+    ret = F.try_divide(F.col("close"), F.lag("close").over(by_ticker())) - 1
     return aligned.select("ticker", "dt", F.round(F.coalesce(ret, F.lit(0.0)) * 100.0, 4).alias("return_pct"))
 
 
@@ -101,9 +101,9 @@ def return_correlation(aligned: DataFrame, tickers: list[str]) -> DataFrame:
 def ticker_summary(aligned: DataFrame) -> DataFrame:
     df = aligned.withColumn("_eq", F.product(1.0 + F.col("log_return")).over(running()))
     peak = F.max("_eq").over(running())
-    df = df.withColumn("_dd", (F.col("_eq") - peak) / peak)
+    df = df.withColumn("_dd", F.try_divide(F.col("_eq") - peak, peak))
     return df.groupBy("ticker").agg(
-        F.round((F.max_by("close", "dt") / F.min_by("close", "dt") - 1.0) * 100.0, 2).alias("total_return_pct"),
+        F.round((F.try_divide(F.max_by("close", "dt"), F.min_by("close", "dt")) - 1.0) * 100.0, 2).alias("total_return_pct"),
         F.round(F.avg("log_return") * 252 * 100.0, 2).alias("annualised_return_pct"),
         F.round(F.stddev_samp("log_return") * F.sqrt(F.lit(252.0)) * 100.0, 2).alias("annualised_volatility_pct"),
         F.round(sharpe(F.col("log_return"), "sample9"), 4).alias("sharpe_ratio"),

@@ -36,7 +36,7 @@ def sector_heatmap(bars: DataFrame) -> DataFrame:
 
 def latest_metrics(features: DataFrame) -> DataFrame:
     """Price, one-month return, annualised 20-day volatility, RSI, direction and confidence per ticker."""
-    month = (F.col("close") / F.lag("close", 21).over(by_ticker()) - 1) * 100
+    month = (F.try_divide(F.col("close"), F.lag("close", 21).over(by_ticker())) - 1) * 100
     df = features.withColumn("return_1m", month).groupBy("ticker").agg(
         F.max_by(F.struct("close", "return_1m", "vol20", "rsi14", "regime"), "dt").alias("r")
     ).select("ticker", "r.*")

@@ -198,7 +198,7 @@ def forward_stats(df: DataFrame) -> DataFrame:
     """Forward returns per regime and horizon; the last 20 rows are not eligible."""
     df = with_position(df.select("ticker", "dt", "close", "regime"), count="n")
     forward = {
-        f"_f{h}": (F.lead("close", h).over(by_ticker()) / F.col("close") - 1.0) * 100.0 for h in HORIZONS
+        f"_f{h}": (F.try_divide(F.lead("close", h).over(by_ticker()), F.col("close")) - 1.0) * 100.0 for h in HORIZONS
     }
     df = df.withColumns(forward).where(F.col("seq") < F.col("n") - 20)
     pairs = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_f{h}").alias("fwd")) for h in HORIZONS])
@@ -246,11 +246,11 @@ def similar_scenarios(df: DataFrame, top_k: int = 5, horizon: int = 10, exclude:
     df = df.where(F.col("seq") < F.col("n") - exclude)
     best = Window.partitionBy("ticker").orderBy(F.round("similarity", 9).desc(), F.col("dt"))
     df = df.withColumn("match", F.row_number().over(best)).where(F.col("match") <= top_k)
-    rebased = F.transform("path", lambda p: F.round(p / F.col("path")[0] * 100.0, 2))
+    rebased = F.transform("path", lambda p: F.round(F.try_divide(p, F.col("path")[0]) * 100.0, 2))
     return with_profile(df).select(
         "ticker", "match", "dt", "regime_name", "regime_color",
         F.round(F.col("similarity") * 100.0, 1).alias("similarity_pct"),
-        F.round((F.element_at("path", -1) / F.col("path")[0] - 1.0) * 100.0, 2).alias("fwd_10d_ret"),
+        F.round((F.try_divide(F.element_at("path", -1), F.col("path")[0]) - 1.0) * 100.0, 2).alias("fwd_10d_ret"),
         rebased.alias("price_path"),
     )
 

@@ -116,7 +116,7 @@ def cv_ic(df: DataFrame, folds: int = 5) -> DataFrame:
     df = df.withColumn("fwd", F.coalesce(F.lead("log_return").over(by_ticker()), F.lit(0.0)))
     size = F.floor(F.col("n") / (folds + 1))
     start = F.col("n") - folds * size
-    df = df.where((size > 0) & (F.col("seq") >= start)).withColumn("fold", F.floor((F.col("seq") - start) / size))
+    df = df.where((size > 0) & (F.col("seq") >= start)).withColumn("fold", F.floor(F.try_divide(F.col("seq") - start, size)))
     key = ["ticker", "fold"]
     df = df.withColumns({"_rw": midrank("weight", key), "_rf": midrank("fwd", key)})
     rho = F.when(F.count("fwd") > 10, F.corr("_rw", "_rf")).otherwise(F.lit(0.0))

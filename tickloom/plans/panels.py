@@ -27,7 +27,8 @@ def service_features(spark: SparkSession, sf: str, universe: str = "brand") -> D
 
 
 def service_regimes(spark: SparkSession, sf: str, universe: str = "brand") -> DataFrame:
-    return classify_regimes(service_features(spark, sf, universe))
+    cols = ["ticker", "dt", "close", "log_return", "rsi14", "ema20", "macd", "macd_hist", *REGIME_FEATURES]
+    return classify_regimes(service_features(spark, sf, universe).select(*cols))
 
 
 def compare_panel(spark: SparkSession, sf: str) -> DataFrame:

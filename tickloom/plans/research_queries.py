@@ -143,7 +143,7 @@ def inverse_scale(spark, sf):
     return df.select(
         "ticker", "dt",
         F.round(forecast.inverse_minmax(F.col("target_scaled"), "target"), 8).alias("target_restored"),
-        F.round(forecast.inverse_minmax(F.col("close_scaled"), "close"), 7).alias("close_restored"),
+        F.round(forecast.inverse_minmax(F.col("close_scaled"), "close"), 9).alias("close_restored"),
         F.round(forecast.scale_single(F.col("close"), "close"), 8).alias("close_single"),
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.constants import INITIAL_CAPITAL, RISK_FREE_DAILY, TRADING_DAYS, TRANSACTION_COST
 from tickloom.functions.series import by_ticker, running, sharpe
+from tickloom.functions.stats import slope
 
 
 def regime_weight(regime: Column, bull: float = 1.0, neutral: float = 0.5) -> Column:
@@ -132,7 +133,7 @@ def _cagr(equity: str) -> Column:
 
 
 def alpha_beta() -> dict[str, Column]:
-    beta = F.regr_slope("strat_ret", "bench_ret")
+    beta = slope(F.col("strat_ret"), F.col("bench_ret"))
     excess = F.avg("strat_ret") - RISK_FREE_DAILY - beta * (F.avg("bench_ret") - RISK_FREE_DAILY)
     return {"beta": beta, "alpha": excess * TRADING_DAYS * 100}
 

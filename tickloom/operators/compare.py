@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.constants import MAX_TICKERS, MIN_ROWS
 from tickloom.functions.series import by_ticker, running, sharpe
+from tickloom.functions.stats import correlation
 
 
 def normalise_request(tickers: list[str], limit: int | None = MAX_TICKERS) -> list[str]:
@@ -94,7 +95,7 @@ def pairwise(df: DataFrame, value: str, tickers: list[str], agg, name: str) -> D
 
 
 def return_correlation(aligned: DataFrame, tickers: list[str]) -> DataFrame:
-    matrix = pairwise(aligned, "log_return", tickers, F.corr, "correlation")
+    matrix = pairwise(aligned, "log_return", tickers, correlation, "correlation")
     return matrix.withColumn("correlation", F.round("correlation", 4))
 
 

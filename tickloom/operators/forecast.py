@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.constants import FEATURE_COLS, SEQUENCE_LENGTH, TRAIN_SPLIT, VAL_SPLIT
-from tickloom.functions.series import by_ticker, full_window, running, whole_ticker, with_position
+from tickloom.functions.series import by_ticker, full_window, whole_ticker, with_position
+from tickloom.functions.stats import intercept, slope
 from tickloom.operators.backtest import forecast_metrics
 
 
@@ -99,7 +100,7 @@ def fit_ar1(df: DataFrame) -> DataFrame:
     """Next return on this return by least squares, on train rows, per ticker."""
     y = F.when(F.col("split") == "train", F.col("target"))
     return df.groupBy("ticker").agg(
-        F.regr_slope(y, F.col("log_return")).alias("slope"), F.regr_intercept(y, F.col("log_return")).alias("intercept"),
+        slope(y, F.col("log_return")).alias("slope"), intercept(y, F.col("log_return")).alias("intercept"),
         F.count(y).alias("train_rows"),
     )
 
@@ -108,7 +109,7 @@ def roll_forecast(features: DataFrame, steps: int = 5) -> DataFrame:
     """Recursive price forecast from the latest bar, one calendar day per step."""
     df = with_split(with_target(features))
     y = F.when(F.col("split") == "train", F.col("target"))
-    fit = df.groupBy("ticker").agg(F.regr_slope(y, F.col("log_return")).alias("b"), F.regr_intercept(y, F.col("log_return")).alias("a"))
+    fit = df.groupBy("ticker").agg(slope(y, F.col("log_return")).alias("b"), intercept(y, F.col("log_return")).alias("a"))
     last = features.groupBy("ticker").agg(F.max_by(F.struct("dt", "close", "log_return"), "dt").alias("r")).select("ticker", "r.*")
     out = fit.join(last, "ticker")
     start = F.struct(F.col("log_return").alias("r"), F.col("close").alias("p"), F.array().cast("array<double>").alias("path"))
@@ -134,8 +135,8 @@ def walk_forward_eval(df: DataFrame, folds: int = 5, length: int = SEQUENCE_LENG
     fits = {}
     for f in range(1, folds + 1):
         y = F.when(F.col("seq") < F.col("_size") * f, F.col("target"))
-        fits[f"_b{f}"] = F.regr_slope(y, F.col("log_return")).over(whole_ticker())
-        fits[f"_a{f}"] = F.regr_intercept(y, F.col("log_return")).over(whole_ticker())
+        fits[f"_b{f}"] = slope(y, F.col("log_return"), whole_ticker())
+        fits[f"_a{f}"] = intercept(y, F.col("log_return"), whole_ticker())
     df = df.withColumns(fits).where((F.col("fold") >= 1) & (F.col("fold") <= folds) & (F.col("_size") >= length + 10))
     pick = lambda c: F.element_at(F.array(*[F.col(f"_{c}{f}") for f in range(1, folds + 1)]), F.col("fold").cast("int"))
     df = df.withColumn("lr_pred", pick("a") + pick("b") * F.col("log_return"))
@@ -183,13 +184,13 @@ def return_forecaster(df: DataFrame) -> DataFrame:
     )
 
 
-def batch_score(windows: DataFrame, weights: list[float], intercept: float) -> DataFrame:
+def batch_score(windows: DataFrame, weights: list[float], constant: float) -> DataFrame:
     """Score windows ``x`` with a fitted linear model, one matrix product per Arrow batch."""
     w = np.asarray(weights)
 
     def score(batches):
         for batch in batches:
             matrix = np.stack(batch["x"].to_numpy()) if len(batch) else np.empty((0, len(w)))
-            yield pd.DataFrame({"ticker": batch["ticker"], "dt": batch["dt"], "score": matrix @ w + intercept})
+            yield pd.DataFrame({"ticker": batch["ticker"], "dt": batch["dt"], "score": matrix @ w + constant})
 
     return windows.select("ticker", "dt", "x").mapInPandas(score, "ticker string, dt date, score double")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tickloom.constants import INITIAL_CAPITAL, MC_HORIZON, MC_PATHS, WALK_FORWARD_GRID
 from tickloom.functions.hashing import normal
 from tickloom.functions.series import by_ticker, midrank, sharpe, with_position
+from tickloom.functions.stats import correlation
 from tickloom.operators.backtest import regime_weight
 
 IC_WINDOW = 60
@@ -119,8 +120,8 @@ def cv_ic(df: DataFrame, folds: int = 5) -> DataFrame:
     df = df.where((size > 0) & (F.col("seq") >= start)).withColumn("fold", F.floor(F.try_divide(F.col("seq") - start, size)))
     key = ["ticker", "fold"]
     df = df.withColumns({"_rw": midrank("weight", key), "_rf": midrank("fwd", key)})
-    rho = F.when(F.count("fwd") > 10, F.corr("_rw", "_rf")).otherwise(F.lit(0.0))
-    per_fold = df.groupBy(*key).agg(F.coalesce(F.nanvl(rho, F.lit(0.0)), F.lit(0.0)).alias("ic"))
+    rho = F.when(F.count("fwd") > 10, correlation("_rw", "_rf")).otherwise(F.lit(0.0))
+    per_fold = df.groupBy(*key).agg(F.coalesce(rho, F.lit(0.0)).alias("ic"))
     return per_fold.groupBy("ticker").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("fold", "ic"))), lambda s: F.round(s["ic"], 4)).alias("fold_ics"),
         F.avg("ic").alias("ic_mean"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
@@ -70,17 +70,22 @@ def grouped_kmeans(df: DataFrame, iterations: int = 8) -> DataFrame:
         ]
     )
 
-    def fit(series: pd.DataFrame) -> pd.DataFrame:
-        z = series[Z_COLS].to_numpy()
-        order = np.lexsort((series["dt"].to_numpy().astype("datetime64[D]"), -_score(z)))
-        labels, centers = _lloyd(z, order, iterations)
+    def fit(series: pa.Table) -> pa.Table:
+        z = np.column_stack([series[c].to_numpy() for c in Z_COLS])
+        days = series["dt"].cast(pa.int32()).to_numpy()
+        labels, centers = _lloyd(z, np.lexsort((days, -_score(z))), iterations)
         best_first = np.argsort(-np.round(_score(centers), 9), kind="stable")
-        rank = np.empty(len(centers), dtype=int)
-        rank[best_first] = np.arange(len(centers))
-        flat = centers.ravel().tolist()
-        return series.assign(cluster=labels, regime=rank[labels], centers=[flat] * len(series))
-
-    return df.groupBy("ticker").applyInPandas(fit, schema)
+        rank = np.empty(len(centers), dtype=np.int32)
+        rank[best_first] = np.arange(len(centers), dtype=np.int32)
+        flat = np.tile(centers.ravel(), len(z))
+        offsets = np.arange(len(z) + 1, dtype=np.int32) * centers.size
+        return (
+            series.append_column("cluster", pa.array(labels.astype(np.int32)))
+            .append_column("regime", pa.array(rank[labels]))
+            .append_column("centers", pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+        )
+
+    return df.groupBy("ticker").applyInArrow(fit, schema)
 
 
 def _center(k: int, d: int) -> Column:

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,23 +42,23 @@ def rolling_ic(df: DataFrame, window: int = IC_WINDOW) -> DataFrame:
     into windows inside its task instead.
     """
 
-    def one_series(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values("dt")
-        n = len(series)
-        if n - 1 <= window:
-            return series.iloc[:0].assign(ic=0.0)[["ticker", "dt", "ic"]]
+    def one_series(series: pa.Table) -> pa.Table:
+        series = series.sort_by("dt")
+        count = max(0, series.num_rows - 1 - window)
+        rows = series.slice(window, count).select(["ticker", "dt"])
+        if not count:
+            return rows.append_column("ic", pa.array([], pa.float64()))
         weights = np.lib.stride_tricks.sliding_window_view(series["weight"].to_numpy(), window)
         nexts = np.lib.stride_tricks.sliding_window_view(series["log_return"].to_numpy()[1:], window)
-        count = n - 1 - window
+        step = 256
         parts = [
-            _rank_correlation(weights[i : min(i + 256, count)], nexts[i : min(i + 256, count)])
-            for i in range(0, count, 256)
+            _rank_correlation(weights[i : min(i + step, count)], nexts[i : min(i + step, count)])
+            for i in range(0, count, step)
         ]
-        rows = series.iloc[window : n - 1]
-        return rows.assign(ic=np.concatenate(parts))[["ticker", "dt", "ic"]]
+        return rows.append_column("ic", pa.array(np.concatenate(parts)))
 
     columns = df.select("ticker", "dt", "weight", "log_return")
-    return columns.groupBy("ticker").applyInPandas(one_series, "ticker string, dt date, ic double")
+    return columns.groupBy("ticker").applyInArrow(one_series, "ticker string, dt date, ic double")
 
 
 def ic_summary(ics: DataFrame) -> DataFrame:
@@ -190,7 +191,8 @@ def return_paths(df: DataFrame, paths: int = MC_PATHS, horizon: int = MC_HORIZON
 
     stats = df.groupBy("ticker").agg(F.avg("strat_ret").alias("mu"), F.stddev_samp("strat_ret").alias("sd"))
     each = stats.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).withColumn("path", F.col("path").cast("bigint"))
-    each = each.join(F.broadcast(legs), "path")
+    # A short list of tickers sits in few partitions: spread the paths before they are walked.
+    each = each.repartition("ticker", "path").join(F.broadcast(legs), "path")
 
     def leg_growth(leg: Column) -> Column:
         return F.aggregate(leg, F.lit(1.0), lambda acc, d: acc * (1.0 + (F.col("mu") + F.col("sd") * d["z"])))

@@ -93,6 +93,10 @@ SELECT CAST(user_id AS VARCHAR) AS ticker, CAST(DATE_TRUNC('day', ts) AS TIMESTA
 Q["stream_histogram"] = sql(
     LOG + [("sl", "SELECT *, TIME_BUCKET(INTERVAL '12 hours', ts, TIMESTAMP '1970-01-01') - h * INTERVAL '12 hours' AS start FROM log, (VALUES (0), (1)) v(h)")]
     + buckets("sl", ["label", "start"]), "SELECT * FROM hb")
+# A drained stream has emitted the windows that ended before its last watermark.
+CLOSED = "start + INTERVAL '1 day' <= (SELECT MAX(ts) FROM events) - INTERVAL '1 hour'"
+Q["stream_bars_run"] = f"SELECT * FROM ({Q['stream_bars']}) WHERE {CLOSED}"
+Q["stream_histogram_run"] = Q["stream_histogram"] + f" WHERE {CLOSED}"
 CALLS = "SELECT {k} AS key, event_id, EPOCH_US(ts) / (1000000.0::DOUBLE * 1000.0::DOUBLE) AS t, value / 50.0::DOUBLE <= 0.7 AS ok, ROW_NUMBER() OVER (PARTITION BY {k} ORDER BY ts, event_id) AS rn FROM events"
 Q["stream_token_bucket"] = sql([
     ("cl", CALLS.format(k="event_type")),

@@ -6,7 +6,9 @@ from oracle.ctes import (
     FEATURES, VALUES, W, bars, cleaned, engineered, fill, guarded, indicators, kmeans, outliers, position,
     regime_bfill, regime_drop, risk, service_regimes, sql, winsor, zscores,
 )
-from tickloom.constants import ALERT_LEVELS, REGIME_PROFILES, REGIME_SHORT_NAMES, SECTOR_REGIME_TAGS
+from tickloom.constants import (
+    ALERT_LEVELS, BRIEF_HEADLINE, BRIEF_SUMMARY, BRIEF_TAKEAWAYS, REGIME_PROFILES, REGIME_SHORT_NAMES, SECTOR_REGIME_TAGS,
+)
 
 OHLCV = "ticker, dt, open, high, low, close, volume"
 Q: dict[str, str] = {}
@@ -16,6 +18,10 @@ def rounds(cols, d):
     return ", ".join(f"ROUND({c}, {d}) AS {c}" for c in cols)
 
 
+def quoted(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
 def case_map(expr, table, pos=None):
     esc = lambda s: s.replace("'", "''")
     whens = " ".join(f"WHEN {k!r} THEN '{esc(v if pos is None else v[pos])}'" for k, v in table.items())
@@ -95,13 +101,13 @@ UNION ALL SELECT ticker, 'Regime Vector Distance', ROUND(confidence * 0.25, 4),
 UNION ALL SELECT ticker, 'MACD Histogram', ROUND((rsi - 50) * return_1m / 10000, 4), CASE WHEN rsi > 50 AND return_1m > 0 THEN 'Positive' ELSE 'Negative' END FROM metrics""")
 Q["narrative_columns"] = sql(
     METRICS + [("mb", "SELECT *, CASE signal_dir WHEN 'UP' THEN 'Bullish' WHEN 'DOWN' THEN 'Bearish' ELSE 'Neutral' END AS sentiment_bias FROM metrics")],
-    """SELECT ticker, sentiment_bias, ROUND(confidence, 4) AS confidence_score,
-  printf('AI Intelligence Brief: %s demonstrates a %s bias under %s regime conditions with %.1f%% confidence.', ticker, sentiment_bias, regime_name, confidence * 100) AS headline,
-  printf('Asset %s is currently trading at $%.2f, exhibiting a 30-day return of %+.2f%% with 20-day annualized volatility at %.1f%%. The quantitative engine classifies the dominant market state as ''%s'', where momentum indicators (RSI: %.1f) support a %s directional forecast over a 20-day horizon.', ticker, last_price, return_1m, vol, regime_name, rsi, signal_dir) AS executive_summary,
-  [printf('Market Regime: %s — Historical win-rate in this regime is %d%%.', regime_name, GREATEST(45, LEAST(85, CAST(FLOOR(confidence * 100 + 5) AS INTEGER)))),
-   printf('Technical Driver: RSI at %.1f indicates %s.', rsi, CASE WHEN rsi > 70 THEN 'overbought momentum' WHEN rsi < 30 THEN 'oversold recovery' ELSE 'neutral equilibrium' END),
-   printf('Risk Assessment: Annualized volatility of %.1f%% suggests %s.', vol, CASE WHEN vol > 25 THEN 'elevated tail risk' ELSE 'controlled variance' END),
-   printf('Tactical Recommendation: Rebalance allocation toward %s positioning with a trailing stop at %.2f.', signal_dir, last_price * 0.95)] AS key_takeaways
+    f"""SELECT ticker, sentiment_bias, ROUND(confidence, 4) AS confidence_score,
+  printf({quoted(BRIEF_HEADLINE)}, ticker, sentiment_bias, regime_name, confidence * 100) AS headline,
+  printf({quoted(BRIEF_SUMMARY)}, ticker, last_price, return_1m, vol, regime_name, rsi, signal_dir) AS executive_summary,
+  [printf({quoted(BRIEF_TAKEAWAYS[0])}, regime_name, GREATEST(45, LEAST(85, CAST(FLOOR(confidence * 100 + 5) AS INTEGER)))),
+   printf({quoted(BRIEF_TAKEAWAYS[1])}, rsi, CASE WHEN rsi > 70 THEN 'overbought momentum' WHEN rsi < 30 THEN 'oversold recovery' ELSE 'neutral equilibrium' END),
+   printf({quoted(BRIEF_TAKEAWAYS[2])}, vol, CASE WHEN vol > 25 THEN 'elevated tail risk' ELSE 'controlled variance' END),
+   printf({quoted(BRIEF_TAKEAWAYS[3])}, signal_dir, last_price * 0.95)] AS key_takeaways
 FROM mb""")
 Q["regime_profile_join"] = sql(REG, f"SELECT ticker, dt, CAST(regime AS INTEGER) AS regime, {PROFILE} FROM lab")
 Q["downsample_every_k"] = sql(BP, """

@@ -101,6 +101,13 @@ Q["rolling_ic"] = sql(FRAME + IC, "SELECT ticker, dt, ROUND(ic, 8) AS ic FROM ic
 ICS = [("icsum", """SELECT ticker, COUNT(*) AS n, AVG(ic) AS ic_mean, STDDEV_POP(ic) AS ic_std, AVG(ic) / (STDDEV_POP(ic) + 1e-12) AS ic_ir,
   CASE WHEN COUNT(*) > 2 THEN AVG(ic) / (STDDEV_SAMP(ic) / SQRT(COUNT(*))) ELSE 0 END AS t_stat FROM ics GROUP BY ticker""")]
 Q["ic_ttest"] = sql(FRAME + IC + ICS, "SELECT ticker, n, ROUND(ic_mean, 6) AS ic_mean, ROUND(ic_std, 6) AS ic_std, ROUND(ic_ir, 4) AS ic_ir, ROUND(t_stat, 4) AS t_stat FROM icsum")
+# Student-t tail by Simpson's rule on 2,000 steps.
+PV = [("tz", "SELECT ticker, t_stat, n - 1 AS v, ABS(t_stat) / 2000 AS h FROM icsum"),
+      ("td", """SELECT ticker, t_stat, SUM((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+  * EXP(LGAMMA((v + 1) / 2.0) - LGAMMA(v / 2.0)) / SQRT(v * PI()) * POW(1 + POW(i * h, 2) / v, -(v + 1) / 2.0)) * ANY_VALUE(h) / 3 AS area
+FROM tz, range(0, 2001) g(i) GROUP BY ticker, t_stat"""),
+      ("tp", "SELECT ticker, ROUND(t_stat, 4) AS t_stat, 1 - 2 * area AS p FROM td")]
+Q["ic_significance"] = sql(FRAME + IC + ICS + PV, "SELECT ticker, t_stat, ROUND(p, 6) AS p_value, p < 0.05 AS significant FROM tp")
 CV = [("cvp", "SELECT ticker, CAST(FLOOR((seq - (n - 5 * (n // 6))) / (n // 6)) AS BIGINT) AS fold, weight, COALESCE(fwd, 0) AS fwd FROM fr WHERE seq >= n - 5 * (n // 6)")
       ] + spearman("cvp", "cvic", ["ticker", "fold"]) + [
     ("cvs", "SELECT ticker, LIST(ROUND(ic, 4) ORDER BY fold) AS fold_ics, AVG(ic) AS cv_mean, STDDEV_POP(ic) AS cv_std FROM cvic GROUP BY ticker")]

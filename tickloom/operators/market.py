@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.constants import SECTOR_REGIME_TAGS
+from tickloom.constants import (
+    BRIEF_HEADLINE, BRIEF_MOMENTUM, BRIEF_SUMMARY, BRIEF_TAIL, BRIEF_TAKEAWAYS, DRIVERS, SECTOR_REGIME_TAGS,
+)
 from tickloom.functions.series import by_ticker
 
 
@@ -60,11 +62,11 @@ def attribution_weights(metrics: DataFrame) -> DataFrame:
         )
 
     drivers = F.array(
-        driver("RSI (14-Day)", (rsi - 50.0) / 100.0, rsi > 50),
-        driver("20-Day Volatility", -0.02 * (vol - 15.0), vol <= 20),
-        driver("EMA 20/50 Slope", ret / 50.0, ret > 0),
-        driver("Regime Vector Distance", conf * 0.25, F.lit(True)),
-        driver("MACD Histogram", (rsi - 50.0) * ret / 10000.0, (rsi > 50) & (ret > 0)),
+        driver(DRIVERS[0], (rsi - 50.0) / 100.0, rsi > 50),
+        driver(DRIVERS[1], -0.02 * (vol - 15.0), vol <= 20),
+        driver(DRIVERS[2], ret / 50.0, ret > 0),
+        driver(DRIVERS[3], conf * 0.25, F.lit(True)),
+        driver(DRIVERS[4], (rsi - 50.0) * ret / 10000.0, (rsi > 50) & (ret > 0)),
     )
     return metrics.select("ticker", F.inline(drivers))
 
@@ -74,27 +76,16 @@ def narrative_columns(metrics: DataFrame) -> DataFrame:
     bias = F.when(F.col("signal_dir") == "UP", "Bullish").when(F.col("signal_dir") == "DOWN", "Bearish").otherwise("Neutral")
     df = metrics.withColumn("sentiment_bias", bias)
     win_rate = F.greatest(F.lit(45), F.least(F.lit(85), F.floor(F.col("confidence") * 100 + 5).cast("int")))
-    momentum = F.when(F.col("rsi") > 70, "overbought momentum").when(F.col("rsi") < 30, "oversold recovery").otherwise("neutral equilibrium")
-    tail = F.when(F.col("volatility_20d") > 25, "elevated tail risk").otherwise("controlled variance")
+    momentum = F.when(F.col("rsi") > 70, BRIEF_MOMENTUM[0]).when(F.col("rsi") < 30, BRIEF_MOMENTUM[1]).otherwise(BRIEF_MOMENTUM[2])
+    tail = F.when(F.col("volatility_20d") > 25, BRIEF_TAIL[0]).otherwise(BRIEF_TAIL[1])
+    arguments = [
+        ("regime_name", win_rate), ("rsi", momentum), ("volatility_20d", tail), ("signal_dir", F.col("last_price") * 0.95),
+    ]
     return df.select(
         "ticker", "sentiment_bias", F.round("confidence", 4).alias("confidence_score"),
+        F.format_string(BRIEF_HEADLINE, "ticker", "sentiment_bias", "regime_name", F.col("confidence") * 100).alias("headline"),
         F.format_string(
-            "AI Intelligence Brief: %s demonstrates a %s bias under %s regime conditions with %.1f%% confidence.",
-            "ticker", "sentiment_bias", "regime_name", F.col("confidence") * 100,
-        ).alias("headline"),
-        F.format_string(
-            "Asset %s is currently trading at $%.2f, exhibiting a 30-day return of %+.2f%% with 20-day annualized "
-            "volatility at %.1f%%. The quantitative engine classifies the dominant market state as '%s', where momentum "
-            "indicators (RSI: %.1f) support a %s directional forecast over a 20-day horizon.",
-            "ticker", "last_price", "return_1m", "volatility_20d", "regime_name", "rsi", "signal_dir",
+            BRIEF_SUMMARY, "ticker", "last_price", "return_1m", "volatility_20d", "regime_name", "rsi", "signal_dir"
         ).alias("executive_summary"),
-        F.array(
-            F.format_string("Market Regime: %s — Historical win-rate in this regime is %d%%.", "regime_name", win_rate),
-            F.format_string("Technical Driver: RSI at %.1f indicates %s.", "rsi", momentum),
-            F.format_string("Risk Assessment: Annualized volatility of %.1f%% suggests %s.", "volatility_20d", tail),
-            F.format_string(
-                "Tactical Recommendation: Rebalance allocation toward %s positioning with a trailing stop at %.2f.",
-                "signal_dir", F.col("last_price") * 0.95,
-            ),
-        ).alias("key_takeaways"),
+        F.array(*[F.format_string(text, *args) for text, args in zip(BRIEF_TAKEAWAYS, arguments)]).alias("key_takeaways"),
     )

@@ -128,12 +128,13 @@ def _zoneless(df):
 
 
 def stream_bars_run(spark, sf):
-    return run.drain(windows.tick_bars(windows.ticks(run.read_stream(spark, sf, "events"))))
+    return _zoneless(run.drain(windows.tick_bars(windows.ticks(run.read_stream(spark, sf, "events")))))
 
 
 def stream_histogram_run(spark, sf):
     events = run.read_stream(spark, sf, "events")
-    return run.drain(windows.latency_histogram(tables.as_request_log(events)))
+    hist = run.drain(windows.latency_histogram(tables.as_request_log(events)))
+    return _zoneless(telemetry.histogram_buckets(hist, ["label", "start"]))
 
 
 def stream_token_bucket(spark, sf):

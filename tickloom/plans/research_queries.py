@@ -84,7 +84,8 @@ def ic_ttest(spark, sf):
 
 
 def ic_significance(spark, sf):
-    return research.with_p_value(research.ic_summary(_ics(spark, sf))).select("ticker", "t_stat", "p_value", "significant")
+    out = research.with_p_value(research.ic_summary(_ics(spark, sf))).select("ticker", "t_stat", "p_value", "significant")
+    return rounded(out, {"t_stat": 4, "p_value": 6})
 
 
 def cv_ic(spark, sf):

@@ -36,8 +36,12 @@ Q["regime_backtest_metrics"] = sql(
   ROUND(CASE WHEN STDDEV_SAMP(r) > 0 THEN AVG(r - 0.05 / 252) / STDDEV_SAMP(r - 0.05 / 252) * {SQ} ELSE 0 END, 2) AS benchmark_sharpe,
   ROUND(CASE WHEN STDDEV_SAMP(strat_ret) > 0 THEN AVG(strat_ret - 0.05 / 252) / STDDEV_SAMP(strat_ret - 0.05 / 252) * {SQ} ELSE 0 END, 2) AS strategy_sharpe,
   ROUND(COALESCE(AVG(CASE WHEN strat_ret > 0 THEN 1.0 ELSE 0.0 END) FILTER (pw > 0) * 100, 0), 1) AS strategy_win_rate,
-  ROUND(SUM(cost) * 100, 4) AS total_transaction_cost_pct, COUNT(*) FILTER (wc > 0) AS n_trades FROM dd GROUP BY ticker""",
+  ROUND(SUM(cost) * 100, 4) AS total_transaction_cost_pct, COUNT(*) FILTER (wc > 0) AS n_trades, 0.05::DOUBLE AS risk_free_rate_annual FROM dd GROUP BY ticker""",
 )
+Q["regime_backtest_curves"] = sql(
+    REG + strategy("lab", "st", SIMPLE) + [
+        ("eq", f"SELECT ticker, dt, 10000 * PRODUCT(1 + r) OVER ({RUN}) AS bh, 10000 * PRODUCT(1 + strat_ret) OVER ({RUN}) AS se, ROW_NUMBER() OVER ({W}) - 1 AS pos, COUNT(*) OVER (PARTITION BY ticker) AS cnt FROM st")],
+    "SELECT ticker, dt, ROUND(bh, 2) AS benchmark_equity, ROUND(se, 2) AS strategy_equity FROM eq WHERE pos % GREATEST(1, cnt // 200) = 0")
 B = bars()
 PRED = B + [
     ("pv", f"SELECT ticker, dt, close AS actual, LAG(close) OVER ({W}) AS naive FROM bars"),

@@ -122,3 +122,31 @@ def test_portfolio_weights_and_ordering(bars_of, walk):
     assert best["min_volatility"]["volatility"] == pytest.approx(min(r["vol"] for r in rows), abs=1e-4)
     vols = [r["volatility"] for r in portfolio.efficient_frontier(cand, 20).collect()]
     assert vols == sorted(set(vols)) and len(vols) <= 20
+
+
+def test_comparison_reports_what_is_missing(bars_of, walk):
+    from tickloom.operators.indicators import engineer_features
+
+    feats = engineer_features(bars_of({"AA": walk(80), "BB": walk(80, 3), "CC": walk(20, 4)}))
+    out = compare.comparison(feats, ["aa ", "bb", "cc", "zz"])
+    assert {r["ticker"] for r in out["errors"].collect()} == {"CC", "ZZ"}
+    assert out["correlation"].count() == 4 and out["summary"].count() == 2
+    assert out["date_range"].first()["trading_days"] == 66
+    with pytest.raises(ValueError):
+        compare.comparison(feats, ["zz"])
+    with pytest.raises(ValueError):
+        compare.comparison(feats, ["cc"])
+
+
+def test_missing_columns_take_defaults(spark, bars_of):
+    from tickloom.sources.bars import normalise_bars
+
+    raw = bars_of({"A": [1, None, 3]}).select("ticker", "dt", F.col("close").alias("Adj Close"))
+    rows = normalise_bars(raw).orderBy("dt").collect()
+    assert [(r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in rows] == [(1, 1, 1, 1, 0), (3, 3, 3, 3, 0)]
+
+
+def test_single_value_scales(spark):
+    df = spark.createDataFrame([(4.0, 2.0, 8.0, 3.0, 2.0)], "v double, c_min double, c_range double, c_mean double, c_scale double")
+    row = df.select(forecast.scale_single(F.col("v"), "c").alias("a"), forecast.scale_single(F.col("v"), "c", "standard").alias("b")).first()
+    assert row["a"] == 0.25 and row["b"] == pytest.approx(0.5)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.constants import INITIAL_CAPITAL, RISK_FREE_DAILY, TRADING_DAYS, TRANSACTION_COST
-from tickloom.functions.series import by_ticker, running, sharpe
+from tickloom.constants import INITIAL_CAPITAL, RISK_FREE_ANNUAL, RISK_FREE_DAILY, TRADING_DAYS, TRANSACTION_COST
+from tickloom.functions.series import by_ticker, downsample, running, sharpe
 from tickloom.functions.stats import slope
 
 
@@ -41,11 +41,22 @@ def with_equity(df: DataFrame, columns: dict[str, str], capital: float = INITIAL
     return df.withColumns(out)
 
 
-def regime_backtest_metrics(df: DataFrame) -> DataFrame:
-    """Regime allocation against buy and hold, per ticker; needs ``close`` and ``regime``."""
+def regime_backtest_frame(df: DataFrame) -> DataFrame:
+    """Daily returns and equity of regime allocation and of buy and hold; needs ``close`` and ``regime``."""
     ret = F.coalesce(F.try_divide(F.col("close"), F.lag("close").over(by_ticker())) - 1, F.lit(0.0))
     df = with_strategy_returns(df.select("ticker", "dt", "close", "regime").withColumn("ret", ret), "ret")
-    df = with_equity(df, {"bh_equity": "ret", "strat_equity": "strat_ret"})
+    return with_equity(df, {"bh_equity": "ret", "strat_equity": "strat_ret"})
+
+
+def regime_backtest_curves(df: DataFrame, points: int = 200) -> DataFrame:
+    return downsample(regime_backtest_frame(df), points).select(
+        "ticker", "dt", F.round("bh_equity", 2).alias("benchmark_equity"), F.round("strat_equity", 2).alias("strategy_equity")
+    )
+
+
+def regime_backtest_metrics(df: DataFrame) -> DataFrame:
+    """Regime allocation against buy and hold, one row per ticker."""
+    df = regime_backtest_frame(df)
     active = F.col("prev_weight") > 0
     won = F.avg(F.when(active, F.when(F.col("strat_ret") > 0, 1.0).otherwise(0.0))) * 100.0
     return df.groupBy("ticker").agg(
@@ -58,6 +69,7 @@ def regime_backtest_metrics(df: DataFrame) -> DataFrame:
         F.round(F.coalesce(won, F.lit(0.0)), 1).alias("strategy_win_rate"),
         F.round(F.sum("cost") * 100, 4).alias("total_transaction_cost_pct"),
         F.count_if(F.col("weight_change") > 0).alias("n_trades"),
+        F.lit(RISK_FREE_ANNUAL).alias("risk_free_rate_annual"),
     )
 
 

@@ -119,3 +119,31 @@ def compare_date_range(aligned: DataFrame) -> DataFrame:
     return aligned.agg(
         F.min("dt").alias("start"), F.max("dt").alias("end"), F.count_distinct("dt").alias("trading_days")
     )
+
+
+def comparison(features: DataFrame, tickers: list[str], limit: int | None = MAX_TICKERS) -> dict[str, DataFrame]:
+    """Every part of a comparison of the requested tickers, as lazy frames.
+
+    Tickers without usable rows are reported under ``errors`` and left out; the
+    comparison fails only when none is usable or they share too few dates.
+    """
+    spark = features.sparkSession
+    wanted = normalise_request(tickers, limit)
+    own = features.where(F.upper("ticker").isin(wanted))
+    sizes = {r["ticker"]: r["count"] for r in own.groupBy("ticker").count().collect()}
+    usable = [t for t, n in sizes.items() if n >= MIN_ROWS]
+    if not usable:
+        raise ValueError("All tickers failed to fetch.")
+    aligned = align_panel(own.where(F.col("ticker").isin(usable)))
+    days = aligned.select("dt").distinct().count()
+    if days < MIN_ROWS:
+        raise ValueError(f"Need {MIN_ROWS} shared dates, got {days}.")
+    requested = spark.createDataFrame([(t,) for t in wanted], "ticker string")
+    return {
+        "errors": fetch_errors(requested, own),
+        "normalised_prices": normalised_prices(aligned),
+        "returns": daily_returns_pct(aligned),
+        "correlation": return_correlation(aligned, sorted(usable)),
+        "summary": ticker_summary(aligned),
+        "date_range": compare_date_range(aligned),
+    }

@@ -171,9 +171,11 @@ def return_forecaster(df: DataFrame) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 
+    from tickloom.session import materialise
+
     columns = [f"lag{i}" for i in range(LAGS)]
-    points = VectorAssembler(inputCols=columns, outputCol="x").transform(lag_features(df))
-    points = points.select("ticker", "dt", "close", "split", "target", "x").persist()
+    table = materialise(lag_features(df).select("ticker", "dt", "close", "split", "target", *columns))
+    points = VectorAssembler(inputCols=columns, outputCol="x").transform(table)
     train, test = points.where("split = 'train'"), points.where("split = 'test'")
     linear = LinearRegression(featuresCol="x", labelCol="target", predictionCol="linear").fit(train)
     tree = DecisionTreeRegressor(featuresCol="x", labelCol="target", predictionCol="tree", maxDepth=4, seed=42).fit(train)

@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 from tickloom.constants import (
     ALERT_LEVELS, REGIME_FEATURES, REGIME_PROFILES, REGIME_SHORT_NAMES,
 )
-from tickloom.functions.series import by_ticker, forward_fill, full_window, whole_ticker, with_position
+from tickloom.functions.series import by_ticker, downsample, forward_fill, full_window, whole_ticker, with_position
 
 K = 6
 DIMS = len(REGIME_FEATURES)
@@ -114,7 +114,9 @@ def pooled_kmeans(features: DataFrame, seeds: list[int], k: int = K) -> DataFram
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    points = VectorAssembler(inputCols=Z_COLS, outputCol="_features").transform(features).persist()
+    from tickloom.session import materialise
+
+    points = VectorAssembler(inputCols=Z_COLS, outputCol="_features").transform(materialise(features))
     models = [KMeans(k=k, seed=s, featuresCol="_features", predictionCol="cluster").fit(points) for s in seeds]
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(points).drop("_features")
@@ -221,12 +223,15 @@ def forward_stats(df: DataFrame) -> DataFrame:
     # Every ticker reports all six regimes: absent ones count 0.
     grid = F.array(*[F.struct(F.lit(r).alias("regime"), F.lit(h).alias("horizon")) for r in range(K) for h in HORIZONS])
     cells = df.select("ticker").distinct().select("ticker", F.inline(grid))
-    return cells.join(stats, ["ticker", "regime", "horizon"], "left").withColumns(
+    out = cells.join(stats, ["ticker", "regime", "horizon"], "left").withColumns(
         {
             "count": F.coalesce("count", F.lit(0)).cast("bigint"),
             "samples": F.coalesce("samples", F.array().cast("array<double>")),
         }
     )
+    # Eligible rows reach every horizon, so a regime's days are the count of any of them.
+    days = F.max("count").over(Window.partitionBy("ticker", "regime"))
+    return with_profile(out.withColumn("total_days", days)).drop("regime_color", "regime_description")
 
 
 def similar_scenarios(df: DataFrame, top_k: int = 5, horizon: int = 10, exclude: int = 15) -> DataFrame:
@@ -260,16 +265,6 @@ def similar_scenarios(df: DataFrame, top_k: int = 5, horizon: int = 10, exclude:
     )
 
 
-def downsample(df: DataFrame, points: int, keep_last: bool = False) -> DataFrame:
-    """Every k-th row of a series, k = max(1, n // points), plus the last row on request."""
-    df = with_position(df, "_pos", "_n")
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / points))
-    keep = F.col("_pos") % step == 0
-    if keep_last:
-        keep = keep | (F.col("_pos") == F.col("_n") - 1)
-    return df.where(keep).drop("_pos", "_n")
-
-
 def regime_timeline(df: DataFrame) -> DataFrame:
     return with_profile(downsample(df, 500, keep_last=True)).select(
         "ticker", "dt", F.col("regime").alias("regime_id"), "regime_name", "regime_color", "risk_score", "close"

@@ -14,6 +14,35 @@ SCORES = [
 ]
 
 
+def gather(df: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """Rows of a ticker as one ordered array; only used on charts and tables of bounded length."""
+    cells = F.array_sort(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in (*order, "ticker")])))
+    return df.groupBy("ticker").agg(cells.alias(name))
+
+
+def regime_report(labelled: DataFrame) -> DataFrame:
+    """The regime service's result, one nested record per ticker."""
+    base = materialise(labelled)
+    scored = regimes.with_risk_score(base.drop("centers"))
+    out = regimes.regime_scoreboard(scored)
+    indicators_now = F.struct("rsi14", "ema20", "macd", "macd_hist", "close", "log_return").alias("indicators")
+    current = F.struct(F.col("regime").alias("id"), F.col("regime_name").alias("name"), F.col("regime_color").alias("color"), F.col("regime_description").alias("description"))
+    alert = F.struct(F.col("alert").alias("level"), F.col("alert_label").alias("label"), F.col("alert_color").alias("color"), F.col("alert_description").alias("description"))
+    out = out.select("ticker", current.alias("current_regime"), "risk_score", alert.alias("alert"), indicators_now)
+    backtested = backtest.regime_backtest_metrics(base)
+    metrics = F.struct(*[c for c in backtested.columns if c != "ticker"])
+    parts = [
+        gather(regimes.forward_stats(base), "regime_stats", ["regime", "horizon"]),
+        gather(regimes.regime_timeline(scored), "timeline", ["dt"]),
+        gather(regimes.similar_scenarios(base), "similar_matches", ["match"]),
+        backtested.select("ticker", metrics.alias("quant_backtest")),
+        gather(backtest.regime_backtest_curves(base), "backtest_curves", ["dt"]),
+    ]
+    for part in parts:
+        out = out.join(part, "ticker", "left")
+    return out
+
+
 def flat_report(labelled: DataFrame) -> DataFrame:
     """One row of scalar metrics per ticker."""
     frame = materialise(backtest.strategy_frame(regimes.with_confidence(labelled)).drop("centers", *regimes.Z_COLS))
@@ -30,10 +59,6 @@ def nested_report(labelled: DataFrame) -> DataFrame:
     base = materialise(regimes.with_confidence(labelled))
     frame = materialise(backtest.strategy_frame(base).drop("centers", *regimes.Z_COLS))
 
-    def gather(df: DataFrame, name: str, order: list[str]) -> DataFrame:
-        cells = F.array_sort(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in (*order, "ticker")])))
-        return df.groupBy("ticker").agg(cells.alias(name))
-
     perf = backtest.performance(frame, {"confidence_current": F.max_by("confidence", "dt")})
     perf = perf.select("ticker", "n_trading_days", "confidence_current", F.struct(*[F.round(c, 4).alias(c) for c in SCORES]).alias("performance"))
     ics = materialise(research.rolling_ic(frame))
@@ -41,8 +66,10 @@ def nested_report(labelled: DataFrame) -> DataFrame:
     rolling = frame.withColumns(
         {"volatility": indicators.rolling_volatility(), "sharpe": indicators.rolling_sharpe("strat_ret")}
     ).select("ticker", "dt", "volatility", "sharpe", F.round("equity", 2).alias("equity_strat"), F.round("bh_equity", 2).alias("equity_bh"), F.round(F.col("equity_dd") * 100, 3).alias("drawdown"))
+    series = gather(ics.select("ticker", "dt", F.round("ic", 4).alias("ic")), "_all", ["dt"])
     parts = [
         stats,
+        series.select("ticker", F.slice("_all", F.greatest(F.lit(1), F.size("_all") - 199), 200).alias("ic_series")),
         gather(regimes.downsample(rolling, 250), "rolling", ["dt"]),
         gather(research.return_paths(frame), "monte_carlo", ["day"]),
         gather(regimes.transition_matrix(frame), "transition_matrix", ["from_regime", "to_regime"]),

@@ -39,6 +39,14 @@ def regime_backtest_metrics(spark, sf):
     return backtest.regime_backtest_metrics(service_regimes(spark, sf))
 
 
+def regime_backtest_curves(spark, sf):
+    return backtest.regime_backtest_curves(service_regimes(spark, sf))
+
+
+def regime_report(spark, sf):
+    return report.regime_report(service_regimes(spark, sf))
+
+
 def _ensemble_trades(spark, sf):
     wide = forecast.baseline_predictions(src.load_bars(spark, sf))
     return backtest.signal_backtest(wide.withColumn("pred", (F.col("naive") + F.col("sma5") + F.col("sma20")) / 3))
@@ -226,7 +234,8 @@ def efficient_frontier(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        regime_weights, strategy_returns, strategy_returns_log, regime_backtest_metrics, signal_backtest, signal_backtest_metrics,
+        regime_weights, strategy_returns, strategy_returns_log, regime_backtest_metrics, regime_backtest_curves,
+        regime_report, signal_backtest, signal_backtest_metrics,
         forecast_metrics, perf_ratios, alpha_beta, rolling_ic, ic_ttest, ic_significance, cv_ic,
         walk_forward_thresholds, walk_forward_summary, mc_return_paths, quant_report, quant_report_nested,
         chrono_split, minmax_train_only, make_sequences, inverse_scale, price_from_logret, ensemble_band,

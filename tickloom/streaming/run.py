@@ -11,7 +11,7 @@ from tickloom.session import checkpoint_dir
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 64) -> DataFrame:
+def read_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 8) -> DataFrame:
     """A table as a file stream, a bounded number of files per micro-batch."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return (

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracle.ctes import (
-    FEATURES, VALUES, W, bars, cleaned, engineered, fill, guarded, indicators, kmeans, outliers, position,
+    FEATURES, VALUES, W, bars, cleaned, engineered, fill, guarded, indicators, outliers, position,
     regime_bfill, regime_drop, risk, service_regimes, sql, winsor, zscores,
 )
 from tickloom.constants import (

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.constants import BREAKER_WINDOW
-from tickloom.functions.blocks import rolling_rows, trailing_time, with_ordinal
+from tickloom.functions.blocks import trailing_time, with_ordinal
 from tickloom.operators import alerts, sentiment, telemetry
 from tickloom.sources.sinks import as_json, sanitise, write_result
 

@@ -1,7 +1,6 @@
 """Streams over several micro-batches against the batch result or a plain loop."""
 
 import datetime
-import uuid
 
 import pytest
 from pyspark.sql import functions as F

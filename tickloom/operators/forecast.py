@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.constants import FEATURE_COLS, SEQUENCE_LENGTH, TRAIN_SPLIT, VAL_SPLIT
+from tickloom.constants import SEQUENCE_LENGTH, TRAIN_SPLIT, VAL_SPLIT
 from tickloom.functions.series import by_ticker, full_window, whole_ticker, with_position
 from tickloom.functions.stats import intercept, slope
 from tickloom.operators.backtest import forecast_metrics

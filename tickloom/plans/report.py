@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.series import full_window
 from tickloom.operators import backtest, indicators, regimes, research
 from tickloom.session import materialise
 

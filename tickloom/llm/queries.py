@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import packing
+from tickloom.llm import packing, sharding, url_filter
 from tickloom.llm.common import table
 
 
@@ -20,8 +20,70 @@ def with_digest(pieces: DataFrame) -> DataFrame:
     )
 
 
+URL_RULES = [
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+]
+
+
+def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for the url of every page."""
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _url_sql() -> str:
+    """The same verdicts: one expression per rule and per term."""
+    fits = [
+        f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.text}={r.verdict}'"
+        for r in sorted(URL_RULES, key=lambda r: -len(r.text))
+    ]
+    term = lambda t: f"regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')"
+    strict = ", ".join(f"CASE WHEN {term(t)} THEN '{t}' END" for t in sorted(url_filter.STRICT_TERMS))
+    soft = ", ".join(f"CASE WHEN {term(t)} THEN '{t}' END" for t in sorted(url_filter.SOFT_TERMS))
+    weight = " + ".join(f"CASE WHEN {term(t)} THEN {w} ELSE 0 END" for t, w in sorted(url_filter.SOFT_TERMS.items()))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH u AS (
+  SELECT page_id, translate(coalesce(url, ''), '{upper}', '{lower}') AS low,
+    CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+p AS (
+  SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u),
+h AS (
+  SELECT page_id, host, path, CASE {" ".join(fits)} END AS fit,
+    concat_ws(' ', {strict}) AS strict_terms, concat_ws(' ', {soft}) AS soft_terms,
+    CAST({weight} AS INTEGER) AS soft_weight
+  FROM p)
+SELECT page_id, host, path, split_part(fit, '=', 1) AS rule,
+  coalesce(split_part(fit, '=', 2), CASE WHEN strict_terms <> '' OR soft_weight >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+  strict_terms, soft_terms, soft_weight
+FROM h"""
+
+
+def hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of eight shards along a curve over language, source and length."""
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").withColumns(
+        {
+            "size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1,
+            "text_crc32": F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")),
+        }
+    )
+    return sharding.hilbert_shards(docs, ["lang", "source", "n_chars"]).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "curve",
+    )
+
+
 QUERIES = {
     "op1_pack_sequences": pack_sequences,
+    "op2_url_verdicts": url_verdicts,
+    "op3_hilbert_shards": hilbert_shards,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_url_verdicts": _url_sql()}

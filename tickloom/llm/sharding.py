@@ -1,7 +1,7 @@
 """Shards along a Hilbert curve over several metadata columns, with DataFrame operations only.
 
-Each dimension is quantised to ``bits`` bits, the cell's curve index comes from a table of all cells (at most 2**15,
-joined by broadcast), rows are ordered by (index, hash bucket of the id, id) and the order is cut into runs of equal
+Each dimension is quantised to ``bits`` bits, the cell's curve index comes from a constant of all cells (at most
+2**15), rows are ordered by (index, hash bucket of the id, id) and the order is cut into runs of equal
 row counts.  Neighbouring cells share a shard, so a filter on any of the dimensions skips whole shards.
 
 Positions need no global sort: a count per (cell, bucket) is summed up along the order, and a row adds its number
@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import os.path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,39 +62,43 @@ def _string_steps(value: Column, low: str, high: str) -> tuple[Column, int, int]
     return F.conv(digits, 16, 10).cast("double"), number(low.encode()), number(high.encode())
 
 
-def curve_table(spark: SparkSession, dimensions: int, bits: int) -> DataFrame:
-    """(code, curve) of every cell: code packs the coordinates, the first in the high bits.
-
-    The transform is the published one of Skilling (2004): undo the rotations bit by bit, then Gray-decode.
-    """
-    if dimensions * bits > MOST_CELL_BITS:
-        raise ValueError(f"{dimensions} dimensions of {bits} bits give more than 2**{MOST_CELL_BITS} cells")
-    x = [f"x{k}" for k in range(dimensions)]
-    code = F.col("code")
-    cells = spark.range(1 << (dimensions * bits)).withColumnRenamed("id", "code")
-    cells = cells.withColumns(
-        {x[k]: F.shiftright(code, bits * (dimensions - 1 - k)).bitwiseAND((1 << bits) - 1) for k in range(dimensions)}
-    )
+def curve_index(point: list[int], bits: int) -> int:
+    """Index of a cell on the Hilbert curve: undo the rotations bit by bit, then Gray-decode (Skilling, 2004)."""
+    x = list(point)
     for b in range(bits - 1, 0, -1):
-        q, low = 1 << b, (1 << b) - 1
-        for k in range(dimensions):
-            swap = F.col(x[0]).bitwiseXOR(F.col(x[k])).bitwiseAND(low)
-            high = F.col(x[k]).bitwiseAND(q) != 0
-            turned = {x[0]: F.when(high, F.col(x[0]).bitwiseXOR(F.lit(low))).otherwise(F.col(x[0]).bitwiseXOR(swap))}
-            if k:
-                turned[x[k]] = F.when(high, F.col(x[k])).otherwise(F.col(x[k]).bitwiseXOR(swap))
-            cells = cells.withColumns(turned)
-    for k in range(1, dimensions):
-        cells = cells.withColumn(x[k], F.col(x[k]).bitwiseXOR(F.col(x[k - 1])))
-    flip = F.lit(0).cast("long")
+        low = (1 << b) - 1
+        for k in range(len(x)):
+            if x[k] >> b & 1:
+                x[0] ^= low
+            else:
+                swap = (x[0] ^ x[k]) & low
+                x[0] ^= swap
+                x[k] ^= swap
+    for k in range(1, len(x)):
+        x[k] ^= x[k - 1]
+    flip = 0
     for b in range(bits - 1, 0, -1):
-        flip = flip.bitwiseXOR(F.when(F.col(x[-1]).bitwiseAND(1 << b) != 0, (1 << b) - 1).otherwise(0))
-    cells = cells.withColumn("flip", flip).withColumns({c: F.col(c).bitwiseXOR(F.col("flip")) for c in x})
-    curve = F.lit(0).cast("long")
+        if x[-1] >> b & 1:
+            flip ^= (1 << b) - 1
+    out = 0
     for b in range(bits - 1, -1, -1):
-        for c in x:
-            curve = F.shiftleft(curve, 1).bitwiseOR(F.shiftright(F.col(c), b).bitwiseAND(1))
-    return cells.select("code", curve.alias("curve"))
+        for v in x:
+            out = out << 1 | (v ^ flip) >> b & 1
+    return out
+
+
+def curve_of(coordinates: list[Column], bits: int) -> Column:
+    """Curve index of the cell of these coordinates, looked up by position in a constant of two bytes a cell."""
+    d = len(coordinates)
+    if d * bits > MOST_CELL_BITS:
+        raise ValueError(f"{d} dimensions of {bits} bits give more than 2**{MOST_CELL_BITS} cells")
+    mask = (1 << bits) - 1
+    cells = ([code >> bits * (d - 1 - k) & mask for k in range(d)] for code in range(1 << d * bits))
+    constant = bytearray(b"".join(curve_index(cell, bits).to_bytes(2, "big") for cell in cells))
+    code = F.lit(0)
+    for c in coordinates:
+        code = code * (1 << bits) + c
+    return F.conv(F.hex(F.substring(F.lit(constant), code * 2 + 1, F.lit(2))), 16, 10).cast("int")
 
 
 def hilbert_shards(
@@ -113,15 +117,9 @@ def hilbert_shards(
     """
     df = df.drop("curve", "position", "shard", "slot")
     coordinates, rows = quantised(df, dimensions, bits)
-    code, bucket = free_name(df, "code"), free_name(df, "bucket")
-    packed = F.lit(0).cast("long")
-    for c in coordinates:
-        packed = packed * (1 << bits) + c
-    cells = curve_table(df.sparkSession, len(dimensions), bits).withColumnRenamed("code", code)
-    placed = (
-        df.withColumns({code: packed, bucket: F.pmod(F.xxhash64(df[id_column]), F.lit(spread)).cast("int")})
-        .join(F.broadcast(cells), code)
-        .drop(code)
+    bucket = free_name(df, "bucket")
+    placed = df.withColumns(
+        {"curve": curve_of(coordinates, bits), bucket: F.pmod(F.xxhash64(df[id_column]), F.lit(spread)).cast("int")}
     )
     counts = placed.groupBy("curve", bucket).agg(F.count(F.lit(1)).alias("n"))
     per_cell = counts.groupBy("curve").agg(F.sum("n").alias("n_cell"))  # one row per cell at most

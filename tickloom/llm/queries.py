@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import packing, sharding, url_filter
+from tickloom.llm import decontaminate, packing, sharding, url_filter
 from tickloom.llm.common import table
 
 
@@ -80,10 +80,48 @@ def hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document stands in the benchmark."""
+    docs = decontaminate.with_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    c = "contamination"
+    items = F.array_sort(F.transform(f"{c}.items", lambda i: i.cast("string")))
+    return docs.select(
+        "doc_id",
+        F.col(f"{c}.n_words").alias("n_words"),
+        F.col(f"{c}.n_hit").alias("n_hit"),
+        F.size(f"{c}.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        decontaminate.is_contaminated(F.col(f"{c}.n_words"), F.col(f"{c}.n_hit")).alias("contaminated"),
+    )
+
+
+_WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+_MATCHES_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+dw AS (
+  SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+hits AS (SELECT DISTINCT r, i, n, item_id FROM dw JOIN bw USING (n, g)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
+
+
 QUERIES = {
     "op1_pack_sequences": pack_sequences,
     "op2_url_verdicts": url_verdicts,
     "op3_hilbert_shards": hilbert_shards,
+    "op4_benchmark_matches": benchmark_matches,
 }
 
-SQL: dict[str, str] = {"op2_url_verdicts": _url_sql()}
+SQL: dict[str, str] = {"op2_url_verdicts": _url_sql(), "op4_benchmark_matches": _MATCHES_SQL}

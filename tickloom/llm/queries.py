@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, packing, sharding, url_filter
+from tickloom.llm import decontaminate, packing, sharding, toxicity, url_filter
 from tickloom.llm.common import table
 
 
@@ -117,11 +117,22 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
 
 
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learned from rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), toxicity.toxicity_score(F.col("text"), model).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 QUERIES = {
     "op1_pack_sequences": pack_sequences,
     "op2_url_verdicts": url_verdicts,
     "op3_hilbert_shards": hilbert_shards,
     "op4_benchmark_matches": benchmark_matches,
+    "op10_toxicity_scores": toxicity_scores,
 }
 
 SQL: dict[str, str] = {"op2_url_verdicts": _url_sql(), "op4_benchmark_matches": _MATCHES_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, packing, sharding, toxicity, url_filter
+from tickloom.llm import decontaminate, packing, quality, sharding, toxicity, url_filter
 from tickloom.llm.common import table
 
 
@@ -127,11 +127,19 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def quality_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely every document is good, by its text and by its site."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    judged = quality.with_quality(docs, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "judgement.*")
+
+
 QUERIES = {
     "op1_pack_sequences": pack_sequences,
     "op2_url_verdicts": url_verdicts,
     "op3_hilbert_shards": hilbert_shards,
     "op4_benchmark_matches": benchmark_matches,
+    "op6_quality_judgements": quality_judgements,
     "op10_toxicity_scores": toxicity_scores,
 }
 

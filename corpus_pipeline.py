@@ -1,22 +1,52 @@
-"""A training corpus from raw documents, in stages that each read what the one before has written."""
+"""A training corpus from raw documents, in stages that each read what the one before has written.
+
+Each stage fits or counts on the rows it is given, so it can also be used alone.  Rows keep the columns of
+``documents`` up to the last stage, which returns the packed pieces.  Null texts count as empty, repeated rows are
+judged alike until the near-copy stage keeps one of them, and an empty table passes through all stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import packing, queries
+from tickloom.llm import decontaminate, ngram_join, packing, quality, queries, toxicity
 from tickloom.llm.common import delete_path, shared_path, table
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that are more likely bad than good."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without toxic documents."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.keep_one_of_each(docs)
+
+
+def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents of which a twentieth or more stands in the benchmark."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1,024 tokens."""
     return queries.with_digest(packing.pack(docs))
 
 
 STAGES = [
+    ("quality classifier", good),
+    ("toxicity", civil),
+    ("n-gram Jaccard join", distinct),
+    ("benchmark decontamination", unseen),
     ("packing", packed),
 ]
 
-#: The stages fit models and tokenise; SQL does not express them.
+#: Stages fit models and tokenise, which SQL does not express; the tests hold them against brute force.
 ORACLE_SQL = None
 
 

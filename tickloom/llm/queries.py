@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, packing, quality, sharding, toxicity, url_filter
+from tickloom.llm import decontaminate, ngram_join, packing, quality, sharding, toxicity, url_filter
 from tickloom.llm.common import table
 
 
@@ -134,12 +134,18 @@ def quality_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "judgement.*")
 
 
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-copy class of every document, and how many documents it is linked to."""
+    return ngram_join.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 QUERIES = {
     "op1_pack_sequences": pack_sequences,
     "op2_url_verdicts": url_verdicts,
     "op3_hilbert_shards": hilbert_shards,
     "op4_benchmark_matches": benchmark_matches,
     "op6_quality_judgements": quality_judgements,
+    "op9_ngram_jaccard": ngram_jaccard,
     "op10_toxicity_scores": toxicity_scores,
 }
 

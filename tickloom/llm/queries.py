@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, ngram_join, packing, quality, sharding, toxicity, url_filter
+from tickloom.llm import decontaminate, fingerprint, ngram_join, packing, quality, sharding, toxicity, url_filter
 from tickloom.llm.common import table
 
 
@@ -139,12 +139,18 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they and the next document's are."""
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pack_sequences": pack_sequences,
     "op2_url_verdicts": url_verdicts,
     "op3_hilbert_shards": hilbert_shards,
     "op4_benchmark_matches": benchmark_matches,
     "op6_quality_judgements": quality_judgements,
+    "op7_fingerprints": fingerprints,
     "op9_ngram_jaccard": ngram_jaccard,
     "op10_toxicity_scores": toxicity_scores,
 }

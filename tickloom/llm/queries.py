@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, fingerprint, ngram_join, packing, quality, sharding, toxicity, url_filter
+from tickloom.llm import decontaminate, fingerprint, lm_score, ngram_join, packing, quality, sharding, toxicity, url_filter
 from tickloom.llm.common import table
 
 
@@ -144,6 +144,11 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff scores of every document under the trigram counts of all others."""
+    return lm_score.backoff_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pack_sequences": pack_sequences,
     "op2_url_verdicts": url_verdicts,
@@ -151,6 +156,7 @@ QUERIES = {
     "op4_benchmark_matches": benchmark_matches,
     "op6_quality_judgements": quality_judgements,
     "op7_fingerprints": fingerprints,
+    "op8_backoff_scores": backoff_scores,
     "op9_ngram_jaccard": ngram_jaccard,
     "op10_toxicity_scores": toxicity_scores,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, fingerprint, lm_score, ngram_join, packing, quality, sharding, toxicity, url_filter
+from tickloom.llm import decontaminate, fingerprint, html_extract, lm_score, ngram_join, packing, quality, sharding, toxicity, url_filter
 from tickloom.llm.common import table
 
 
@@ -149,11 +149,18 @@ def backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.backoff_scores(table(spark, sf_dir, "documents"))
 
 
+def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    texts = html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {
     "op1_pack_sequences": pack_sequences,
     "op2_url_verdicts": url_verdicts,
     "op3_hilbert_shards": hilbert_shards,
     "op4_benchmark_matches": benchmark_matches,
+    "op5_main_texts": main_texts,
     "op6_quality_judgements": quality_judgements,
     "op7_fingerprints": fingerprints,
     "op8_backoff_scores": backoff_scores,

@@ -260,13 +260,13 @@ def fit_toxicity(
     known_rows = gold.count()
     share = min(1.0, max_labelled_rows / max(known_rows, 1))
     chosen = gold.where(F.pmod(F.xxhash64("i"), F.lit(1_000_003)) < int(share * 1_000_003))
-    labelled = rows.join(chosen, "i").where("t is not null")
+    labelled = rows.join(F.broadcast(chosen), "i").where("t is not null")  # max_labelled_rows ids at most, about
     mined = mine_terms(labelled, "t", "y")
     terms = sorted({*mined, *FIXED_TERMS})
 
     look = _votes_and_hits(mined, terms)
-    votes = rows.join(gold, "i", "left").select("i", F.col("y"), look(F.col("t")).alias("l"))
-    counted = votes.groupBy("l.votes").agg(
+    votes = rows.select("i", look(F.col("t")).getField("votes").alias("votes")).join(gold, "i", "left")  # texts stay
+    counted = votes.groupBy("votes").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")
     )
     table = counted.collect()  # 3**len(VOTERS) patterns at most

@@ -249,9 +249,9 @@ def near_classes(
         "tiles",
     )
     wanted = tiles.select("key").distinct().join(nodes.select("key", "first_id"), "key").withColumnRenamed("key", "k")
-    texts = base.join(wanted, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("first_id"))).select("key", "text")
+    texts = base.join(wanted.hint("merge"), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("first_id"))).select("key", "text")
     sets = texts.select("key", _grams(words)("text").alias("grams"))
-    rows_of_tiles = tiles.join(sets, "key").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    rows_of_tiles = tiles.join(sets.hint("merge"), "key").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     found = written(rows_of_tiles.mapInArrow(_links_of_tiles(threshold), _LINKS), "links")
 
     labels = components(found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
@@ -286,5 +286,5 @@ def keep_one_of_each(docs: DataFrame, text_column: str = "text", id_column: str
     key, winner, winner_id = free_name(docs, "key"), free_name(docs, "winner"), free_name(docs, "winner_id")
     best = best.select(F.col("key").alias(winner), F.col(id_column).alias(winner_id)).distinct()
     keyed = docs.withColumn(key, word_key(docs[text_column]))
-    kept = keyed.join(best, (F.col(key) == F.col(winner)) & F.col(id_column).eqNullSafe(F.col(winner_id)))
+    kept = keyed.join(best.hint("merge"), (F.col(key) == F.col(winner)) & F.col(id_column).eqNullSafe(F.col(winner_id)))
     return kept.dropDuplicates([key, id_column]).select(docs.columns)

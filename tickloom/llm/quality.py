@@ -10,7 +10,9 @@ the fit and two rows of sums; host and path tables stay in Spark.
 from __future__ import annotations
 
 import math
+import operator
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import free_name
+from tickloom.llm.common import free_name, written
 from tickloom.llm.toxicity import held_out
 
 #: Bound on the labelled rows fetched for the fit.
@@ -28,17 +30,14 @@ MAX_LABELLED_ROWS = 40_000
 #: Shrinkage strengths are kept inside these, in documents.
 LEAST_STRENGTH, MOST_STRENGTH = 20.0, 1e6
 
-_ODD_END = re.compile(r"[^\w\s.,;:!?\"'()»”’…-](?=\s|$)")
-_BAR = re.compile(r"(?:^|\s)\|(?=\s|$)")
-_SHOUT = re.compile(r"!!(?=\s|$)")
-_UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
-_LETTER = re.compile(r"[^\W\d_]")
-_DIGIT = re.compile(r"\d")
-_MARK = re.compile(r"[^\w\s]")
+_LETTERS, _UPPERS, _DIGITS = (x.encode() for x in (string.ascii_letters, string.ascii_uppercase, string.digits))
+_MARKS = string.punctuation.encode()
+#: Marks that seldom end a word of prose.
+_ODD_END = re.compile(rb"[#$%&*+/<=>@\\\[\]^_`{|}~](?=\s|$)")
 
 SIGNALS = (
     "length", "short", "token_length", "odd_ends", "bars", "shouts", "upper", "digits", "marks", "variety", "echo",
-    "top_share", "repeated_lines", "no_letters",
+    "top_share", "repeated_lines", "not_alphabetic",
 )
 
 
@@ -49,24 +48,25 @@ def signals(text: str | None) -> list[float]:
     n = len(tokens)
     if not n:
         return [0.0, 1.0] + [0.0] * (len(SIGNALS) - 2)
-    letters = len(_LETTER.findall(text)) or 1
+    raw = text.encode("utf-8", "replace")
+    size, held = len(raw), lambda kind: len(raw) - len(raw.translate(None, kind))
     counts = Counter(tokens)
     lines = [x for x in text.split("\n") if x]
     return [
         math.log1p(n),
         1 / (1 + n),
         math.log(sum(map(len, tokens)) / n),
-        len(_ODD_END.findall(text)) / n,
-        len(_BAR.findall(text)) / n,
-        len(_SHOUT.findall(text)) / n,
-        len(_UPPER.findall(text)) / letters,
-        len(_DIGIT.findall(text)) / len(text),
-        len(_MARK.findall(text)) / len(text),
+        len(_ODD_END.findall(raw)) / n,
+        counts["|"] / n,
+        raw.count(b"!!") / n,
+        held(_UPPERS) / (held(_LETTERS) or 1),
+        held(_DIGITS) / size,
+        held(_MARKS) / size,
         math.log(len(counts)) / math.log(n) if n > 1 else 1.0,
-        sum(a == b for a, b in zip(tokens, tokens[1:], strict=False)) / n,
+        sum(map(operator.eq, tokens, tokens[1:])) / n,
         max(counts.values()) / n,
         1 - len(set(lines)) / len(lines),
-        sum(not _LETTER.search(t) for t in counts) / len(counts),
+        1 - sum(map(str.isalpha, tokens)) / n,
     ]
 
 
@@ -129,7 +129,8 @@ def fit_quality(
     )
     share = min(1.0, max_labelled_rows / max(gold.count(), 1))
     chosen = gold.where(F.pmod(F.xxhash64("i"), F.lit(1_000_003)) < int(share * 1_000_003))
-    rows = docs.select(docs[id_column].alias("i"), docs[text_column].cast("string").alias("t")).join(chosen, "i")
+    rows = docs.select(docs[id_column].alias("i"), docs[text_column].cast("string").alias("t"))
+    rows = rows.join(F.broadcast(chosen), "i")  # max_labelled_rows ids at most, about
     drawn = rows.select("y", _signals_of(F.col("t")).alias("x")).collect()
     x = np.array([r["x"] for r in drawn], float).reshape(-1, len(SIGNALS))
     return fit_logistic(x, np.array([r["y"] for r in drawn], float))
@@ -173,6 +174,7 @@ def path_posteriors(scored: DataFrame, probability: str, host: str, path: str) -
     paths = scored.groupBy(F.col(host).alias("g_host"), F.col(path).alias("g_path")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(p).alias("good")
     )
+    paths = written(paths, "paths")  # the texts are read once for it
     hosts = paths.groupBy("g_host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
     n, good, groups, squares = hosts.agg(
         F.sum("host_n"), F.sum("host_good"), F.count(F.lit(1)), F.sum(F.col("host_good") ** 2 / F.col("host_n"))

@@ -130,27 +130,32 @@ def zscores(source: str = "rf", name: str = "z"):
     return [(name, f"SELECT *, {cols} FROM {source}")]
 
 
-def kmeans(source: str = "z", name: str = "lab", iterations: int = 8):
-    """Lloyd iterations per ticker, one pair of CTEs each; then the semantic order."""
-    zs = [f"z{i}" for i in range(5)]
+def kmeans(source: str = "z", name: str = "lab"):
+    """Lloyd iterations per ticker by recursion until its centres rest; then the semantic order."""
+    ms, zs = [f"m{i}" for i in range(5)], [f"z{i}" for i in range(5)]
     dist = " + ".join(f"POW(p.z{i} - c.m{i}, 2)" for i in range(5))
-    out = [
+    avgs = ", ".join(f"COALESCE(AVG(a.z{i}), ANY_VALUE(c.m{i})) AS m{i}" for i in range(5))
+    olds = ", ".join(f"ANY_VALUE(c.m{i}) AS o{i}" for i in range(5))
+    step = "GREATEST(" + ", ".join(f"ABS(m{i} - o{i})" for i in range(5)) + ")"
+    nearest = f"ARG_MIN(c.k, (FLOOR(({dist}) * 1e9 + 0.5), c.k))"
+    return [
         (name + "_i", f"SELECT ticker, dt, NTILE(6) OVER (PARTITION BY ticker ORDER BY 2 * z4 + 1.5 * z0 - 3 * z3 DESC, dt) - 1 AS k FROM {source}"),
         (name + "_c0", f"SELECT ticker, k, {', '.join(f'AVG(z{i}) AS m{i}' for i in range(5))} FROM {source} JOIN {name}_i USING (ticker, dt) GROUP BY ticker, k"),
+        (name + "_c RECURSIVE", f"""
+SELECT ticker, k, 0 AS it, TRUE AS moved, {', '.join(ms)} FROM {name}_c0
+UNION ALL
+SELECT ticker, k, it, MAX({step}) OVER (PARTITION BY ticker) > 1e-10, {', '.join(ms)} FROM (
+  SELECT c.ticker, c.k, c.it + 1 AS it, {avgs}, {olds}
+  FROM {name}_c c LEFT JOIN (
+    SELECT p.ticker, p.dt, {', '.join(f'ANY_VALUE(p.{z}) AS {z}' for z in zs)}, {nearest} AS k
+    FROM {source} p JOIN {name}_c c ON p.ticker = c.ticker WHERE c.moved GROUP BY p.ticker, p.dt) a
+  ON a.ticker = c.ticker AND a.k = c.k
+  WHERE c.moved AND c.it < 1000 GROUP BY c.ticker, c.k, c.it)"""),
+        (name + "_f", f"SELECT * FROM {name}_c WHERE NOT moved"),
+        (name + "_a", f"SELECT p.ticker, p.dt, {nearest} AS k FROM {source} p JOIN {name}_f c ON p.ticker = c.ticker GROUP BY p.ticker, p.dt"),
+        (name + "_m", f"SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY ROUND(2 * m4 + 1.5 * m0 - 3 * m3, 9) DESC, k) - 1 AS regime FROM {name}_f"),
+        (name, f"SELECT s.*, a.k AS cluster, m.regime FROM {source} s JOIN {name}_a a USING (ticker, dt) JOIN {name}_m m ON m.ticker = s.ticker AND m.k = a.k"),
     ]
-    for it in range(1, iterations + 2):
-        out.append((f"{name}_a{it}", f"""SELECT p.ticker, p.dt, ARG_MIN(c.k, (FLOOR(({dist}) * 1e9 + 0.5), c.k)) AS k
-FROM {source} p JOIN {name}_c{it - 1} c ON p.ticker = c.ticker GROUP BY p.ticker, p.dt"""))
-        if it <= iterations:
-            avgs = ", ".join(f"COALESCE(AVG(p.z{i}), ANY_VALUE(c.m{i})) AS m{i}" for i in range(5))
-            out.append((f"{name}_c{it}", f"""SELECT c.ticker, c.k, {avgs} FROM {name}_c{it - 1} c
-LEFT JOIN (SELECT a.k, q.* FROM {name}_a{it} a JOIN {source} q USING (ticker, dt)) p ON p.ticker = c.ticker AND p.k = c.k
-GROUP BY c.ticker, c.k"""))
-    out += [
-        (name + "_m", f"SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY ROUND(2 * m4 + 1.5 * m0 - 3 * m3, 9) DESC, k) - 1 AS regime FROM {name}_c{iterations}"),
-        (name, f"SELECT s.*, a.k AS cluster, m.regime FROM {source} s JOIN {name}_a{iterations + 1} a USING (ticker, dt) JOIN {name}_m m ON m.ticker = s.ticker AND m.k = a.k"),
-    ]
-    return out
 
 
 def risk(source: str = "lab", name: str = "risk"):

@@ -97,24 +97,7 @@ Q["stream_histogram"] = sql(
 CLOSED = "start + INTERVAL '1 day' <= (SELECT MAX(ts) FROM events) - INTERVAL '1 hour'"
 Q["stream_bars_run"] = f"SELECT * FROM ({Q['stream_bars']}) WHERE {CLOSED}"
 Q["stream_histogram_run"] = Q["stream_histogram"] + f" WHERE {CLOSED}"
-CALLS = "SELECT {k} AS key, event_id, EPOCH_US(ts) / (1000000.0::DOUBLE * 1000.0::DOUBLE) AS t, value / 50.0::DOUBLE <= 0.7 AS ok, ROW_NUMBER() OVER (PARTITION BY {k} ORDER BY ts, event_id) AS rn FROM events"
-Q["stream_token_bucket"] = sql([
-    ("cl", CALLS.format(k="event_type")),
-    ("ad RECURSIVE", """SELECT key, event_id, t, rn, TRUE AS bucket_ok, TRUE AS admitted, 19.0::DOUBLE AS tokens, [t] AS calls FROM cl WHERE rn = 1
-UNION ALL SELECT key, event_id, t, rn, tk >= 1, tk >= 1 AND LEN(kept) < 30, CASE WHEN tk >= 1 THEN tk - 1 ELSE tk END,
-  CASE WHEN tk < 1 THEN calls WHEN LEN(kept) < 30 THEN LIST_APPEND(kept, t) ELSE kept END
-FROM (SELECT c.key, c.event_id, c.t, c.rn, a.calls, LEAST(20.0, a.tokens + (c.t - a.t) * 5.0) AS tk, LIST_FILTER(a.calls, lambda x: x >= c.t - 60.0) AS kept
-      FROM ad a JOIN cl c ON c.key = a.key AND c.rn = a.rn + 1)""")],
-    "SELECT key, event_id, bucket_ok, admitted, ROUND(tokens, 4) AS tokens, CAST(LEN(calls) AS INTEGER) AS in_window FROM ad")
-Q["stream_breaker_state"] = sql([
-    ("cl", CALLS.format(k="CAST(user_id AS VARCHAR)")),
-    ("br RECURSIVE", """SELECT key, event_id, rn, 'CLOSED' AS state_before, FALSE AS blocked, 'CLOSED' AS state_after, 0.0::DOUBLE AS since, [ok] AS win FROM cl WHERE rn = 1
-UNION ALL SELECT key, event_id, rn, st, st = 'OPEN', after,
-  CASE WHEN st <> 'OPEN' AND after = 'OPEN' THEN t ELSE since END,
-  CASE WHEN st = 'OPEN' THEN win WHEN st = 'HALF_OPEN' AND ok THEN []::BOOLEAN[] ELSE grown END
-FROM (SELECT *, CASE WHEN st = 'OPEN' THEN 'OPEN' WHEN st = 'HALF_OPEN' THEN CASE WHEN ok THEN 'CLOSED' ELSE 'OPEN' END
-        WHEN LEN(grown) = 20 AND LEN(LIST_FILTER(grown, lambda x: NOT x)) / 20.0 >= 0.5 THEN 'OPEN' ELSE 'CLOSED' END AS after
-      FROM (SELECT c.key, c.event_id, c.t, c.rn, c.ok, b.since, b.win, LIST_APPEND(b.win, c.ok)[-20:] AS grown,
-              CASE WHEN b.state_after = 'OPEN' AND c.t - b.since >= 60 THEN 'HALF_OPEN' ELSE b.state_after END AS st
-            FROM br b JOIN cl c ON c.key = b.key AND c.rn = b.rn + 1))""")],
-    "SELECT key, event_id, state_before, blocked, state_after, CAST(LEN(LIST_FILTER(win, lambda x: NOT x)) AS INTEGER) AS failures, CAST(LEN(win) AS INTEGER) AS outcomes FROM br")
+Q["alert_stream_run"] = f"""
+SELECT ticker || '-' || condition_type AS rule_id, ticker AS user_id, ticker, CAST(start AS DATE) AS dt, condition_type, threshold, close AS value
+FROM ({Q['stream_bars_run']}), (VALUES ('PRICE_ABOVE', 110.0::DOUBLE), ('PRICE_BELOW', 101.0::DOUBLE)) r(condition_type, threshold)
+WHERE (condition_type = 'PRICE_ABOVE' AND close > threshold) OR (condition_type = 'PRICE_BELOW' AND close < threshold)"""

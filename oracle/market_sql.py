@@ -181,7 +181,7 @@ Q["regime_forward_stats"] = sql(
            ("fb", "SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker, regime, horizon ORDER BY dt DESC) AS back FROM fl"),
            ("fs", """SELECT ticker, regime, horizon, COUNT(*) AS "count", ROUND(MEDIAN(fwd), 4) AS median, ROUND(AVG(fwd), 4) AS mean,
   ROUND(AVG(CASE WHEN fwd > 0 THEN 1.0 ELSE 0.0 END) * 100, 4) AS pct_positive,
-  LIST(ROUND(fwd, 2) ORDER BY dt) FILTER (back <= 10) AS samples FROM fb GROUP BY ALL"""),
+  LIST(ROUND(fwd, 2) + 0.0 ORDER BY dt) FILTER (back <= 10) AS samples FROM fb GROUP BY ALL"""),
            ("cells", "SELECT ticker, CAST(r AS INTEGER) AS regime, CAST(h AS INTEGER) AS horizon FROM (SELECT DISTINCT ticker FROM fw), UNNEST([0, 1, 2, 3, 4, 5]) a(r), UNNEST([5, 10, 20]) b(h)")],
     f"""SELECT ticker, regime, {case_map('regime', REGIME_PROFILES, 0)} AS regime_name, horizon, MAX(COALESCE("count", 0)) OVER (PARTITION BY ticker, regime) AS total_days, COALESCE("count", 0) AS "count", median, mean, pct_positive, COALESCE(samples, []::DOUBLE[]) AS samples
 FROM cells LEFT JOIN fs USING (ticker, regime, horizon)""")

@@ -126,14 +126,6 @@ WF = [("wfr", """SELECT f.ticker, f.dt, f.regime, f.r, f.seq // (n // 6) AS fold
       ("wfm", "SELECT ticker, AVG(best_sharpe) AS wf_sharpe_mean, STDDEV_POP(best_sharpe) AS wf_sharpe_std FROM wff GROUP BY ticker")]
 Q["walk_forward_thresholds"] = sql(FRAME + WF, "SELECT * FROM wff")
 Q["walk_forward_summary"] = sql(FRAME + WF, "SELECT ticker, ROUND(wf_sharpe_mean, 4) AS wf_sharpe_mean, ROUND(wf_sharpe_std, 4) AS wf_sharpe_std FROM wfm")
-U = "(('0x' || SUBSTR(MD5({k}), {s}, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
-Q["mc_return_paths"] = sql(
-    FRAME + [("ms", "SELECT ticker, AVG(strat_ret) AS mu, STDDEV_SAMP(strat_ret) AS sd FROM fr GROUP BY ticker"),
-             ("dr", "SELECT path, day, SQRT(-2 * LN(" + U.format(k="path || ':' || day", s=1) + ")) * COS(2 * PI() * " + U.format(k="path || ':' || day", s=9)
-              + ") AS z FROM range(0, 1000) p(path), range(0, 252) d(day)"),
-             ("gr", "SELECT ticker, path, day, 10000 * PRODUCT(1 + (mu + sd * z)) OVER (PARTITION BY ticker, path ORDER BY day ROWS UNBOUNDED PRECEDING) AS v FROM ms, dr")],
-    "SELECT ticker, CAST(day AS INTEGER) AS day, " + ", ".join(f"ROUND(QUANTILE_CONT(v, {q}), 2) AS {n}" for q, n in [(0.05, "p5"), (0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.95, "p95")])
-    + ", CASE WHEN day = 251 THEN ROUND(AVG(CASE WHEN v > 10000 THEN 1.0 ELSE 0.0 END) * 100, 1) END AS prob_profit FROM gr WHERE day % 3 = 0 OR day = 251 GROUP BY ticker, day")
 Q["quant_report"] = sql(
     FRAME + PERF + IC + ICS + CV + WF + CONF + [("cc", "SELECT ticker, ROUND(ARG_MAX(confidence, dt), 3) AS confidence_current FROM conf GROUP BY ticker")],
     f"""SELECT ticker, n_trading_days, {rounds([*SCORES, 'alpha', 'beta', 'ic_mean', 'ic_std', 'ic_ir', 't_stat', 'wf_sharpe_mean', 'wf_sharpe_std'], 4)},

@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +152,13 @@ def test_single_value_scales(spark):
     df = spark.createDataFrame([(4.0, 2.0, 8.0, 3.0, 2.0)], "v double, c_min double, c_range double, c_mean double, c_scale double")
     row = df.select(forecast.scale_single(F.col("v"), "c").alias("a"), forecast.scale_single(F.col("v"), "c", "standard").alias("b")).first()
     assert row["a"] == 0.25 and row["b"] == pytest.approx(0.5)
+
+
+def test_series_without_spread_keep_their_row(spark):
+    day = lambda i: datetime.date(2020, 1, 1) + datetime.timedelta(days=i)
+    rows = [("flat", day(i), 0.25) for i in range(10)] + [("two", day(i), 0.1 * i) for i in range(2)]
+    rows += [("moving", day(i), 0.1 * (i % 4) - 0.1) for i in range(10)]
+    ics = spark.createDataFrame(rows, "ticker string, dt date, ic double")
+    got = {r["ticker"]: r for r in research.with_p_value(research.ic_summary(ics)).collect()}
+    assert (got["flat"]["t_stat"], got["flat"]["p_value"]) == (0.0, 1.0) and got["two"]["p_value"] == 1.0
+    assert not got["flat"]["significant"] and got["moving"]["t_stat"] > 0

@@ -30,6 +30,16 @@ def test_order_follows_the_score_of_the_centres(labelled):
         assert ahead == r["regime"]
 
 
+def test_centres_are_the_means_of_their_members(labelled):
+    means = labelled.groupBy("ticker", "cluster").agg(
+        F.array(*[F.avg(z) for z in regimes.Z_COLS]).alias("mean"), F.first("centers").alias("centers")
+    )
+    rows = means.collect()
+    assert len(rows) == 18
+    for r in rows:
+        assert r["centers"][5 * r["cluster"] : 5 * r["cluster"] + 5] == pytest.approx(r["mean"], abs=1e-9)
+
+
 def test_clustering_is_a_fixed_point_or_close(labelled):
     again = labelled.withColumn("near", F.least(*[regimes.squared_distance(k) for k in range(6)]))
     own = F.array(*[regimes.squared_distance(k) for k in range(6)])[F.col("cluster")]

@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.functions.series import fill_both_ways, full_window, midrank, with_ema, with_position
+from tickloom.functions.series import fill_both_ways, full_window, ema_groups, midrank, with_ema, with_position
 from tickloom.operators import cleaning
 from tickloom.operators.indicators import (
     drawdown_pct, engineer_features, equity_curve, regime_features, with_macd, with_rsi,
@@ -14,9 +14,9 @@ def column(df, name):
     return [r[name] for r in df.orderBy("ticker", "dt").collect()]
 
 
-@pytest.mark.parametrize("span", [9, 12, 20, 26])
+@pytest.mark.parametrize("span", [1, 2, 3, 9, 26, 200, 500])
 def test_ema_crosses_blocks(bars_of, walk, span):
-    closes = walk(3000)
+    closes = walk(6000)
     df = with_ema(with_position(bars_of({"A": closes, "B": closes[:5]})), {"e": ("close", span)})
     want, alpha = [closes[0]], 2.0 / (span + 1)
     for c in closes[1:]:
@@ -26,6 +26,19 @@ def test_ema_crosses_blocks(bars_of, walk, span):
     assert column(df.where("ticker = 'B'"), "e") == pytest.approx(want[:5], rel=1e-12)
 
 
+def test_averages_of_far_spans_together(bars_of, walk):
+    closes = walk(6000)
+    specs = {f"e{s}": ("close", s) for s in (1, 2, 12, 26, 500)}
+    assert len(ema_groups({n: s for n, s in specs.items() if s[1] > 1})) > 1
+    df = with_ema(with_position(bars_of({"A": closes})), specs)
+    assert df.columns[-5:] == list(specs)
+    for name, (_, span) in specs.items():
+        e, alpha = closes[0], 2.0 / (span + 1)
+        for c in closes[1:]:
+            e += alpha * (c - e)
+        assert column(df, name)[-1] == pytest.approx(e, rel=1e-12)
+
+
 def test_rsi_starts_after_fourteen_changes_and_is_a_simple_mean(bars_of):
     closes = [100 + (i % 3) for i in range(20)]
     got = column(with_rsi(bars_of({"A": closes})), "rsi14")

@@ -5,9 +5,8 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.constants import BREAKER_RESET_SECONDS
 from tickloom.operators.alerts import alert_matches
-from tickloom.streaming import run, stateful, windows
+from tickloom.streaming import run, windows
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -50,56 +49,6 @@ def test_late_ticks_are_dropped(spark, tmp_path):
     assert first["volume"] == 1 and first["close"] == 100.0
 
 
-def calls_of(df, key, speed=1.0):
-    rows = stateful.call_times(df, key, speed).orderBy("t", "event_id").collect()
-    out = {}
-    for r in rows:
-        out.setdefault(r["key"], []).append(r)
-    return out
-
-
-def prepared(df):
-    return df.select("event_id", F.col("user_id").cast("string").alias("key"), "ts", (F.col("event_type") != "error").alias("ok"))
-
-
-def test_admission_across_batches(spark, event_dir):
-    speed = 2000.0
-    got = {r["event_id"]: r for r in run.drain(stateful.admission(stateful.call_times(prepared(stream(spark, event_dir)), "key", speed))).collect()}
-    assert len(got) == 600
-    for rows in calls_of(prepared(event_dir[1]), "key", speed).values():
-        tokens, last, admitted = 20.0, None, []
-        for r in rows:
-            tokens = min(20.0, tokens + (r["t"] - last) * 5.0) if last is not None else tokens
-            last, ok = r["t"], False
-            bucket = tokens >= 1
-            if bucket:
-                tokens -= 1
-                ok = len([a for a in admitted if a >= r["t"] - 60]) < 30
-            if ok:
-                admitted.append(r["t"])
-            assert (got[r["event_id"]]["bucket_ok"], got[r["event_id"]]["admitted"]) == (bucket, ok)
-
-
-def test_breaker_across_batches(spark, event_dir):
-    got = {r["event_id"]: r for r in run.drain(stateful.breaker(stateful.call_times(prepared(stream(spark, event_dir)), "key", 30.0))).collect()}
-    seen = set()
-    for rows in calls_of(prepared(event_dir[1]), "key", 30.0).values():
-        state, since, window = "CLOSED", 0.0, []
-        for r in rows:
-            if state == "OPEN" and r["t"] - since >= BREAKER_RESET_SECONDS:
-                state = "HALF_OPEN"
-            before = state
-            if state != "OPEN":
-                window = (window + [r["ok"]])[-20:]
-                if state == "CLOSED" and len(window) == 20 and window.count(False) >= 10:
-                    state, since = "OPEN", r["t"]
-                elif state == "HALF_OPEN":
-                    state, since, window = ("CLOSED", since, []) if r["ok"] else ("OPEN", r["t"], window)
-            seen.add((before, state))
-            assert (got[r["event_id"]]["state_before"], got[r["event_id"]]["state_after"]) == (before, state)
-    assert ("CLOSED", "OPEN") in seen and ("OPEN", "OPEN") in seen
-
-
 def test_alerts_on_a_stream_equal_the_batch(spark, tmp_path):
     d = datetime.date
     rows = [("A", d(2024, 1, i), 90.0 + i, 50.0, 1, 1, 0.0) for i in range(1, 25)]

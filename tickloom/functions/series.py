@@ -19,10 +19,9 @@ from pyspark.sql import functions as F
 TICKER = "ticker"
 DATE = "dt"
 
-# Rows per block of the exponential scan: large enough for the carry from two
-# blocks back to vanish below double precision, small enough for the in-block
-# powers to stay in range.
-EMA_BLOCK = 1024
+# Exponents inside a block of the exponential scan stay below the first (doubles
+# end near 709); what two blocks back contribute is below e to minus the second.
+EMA_REACH, EMA_VANISH = 600.0, 40.0
 
 
 def by_ticker():
@@ -77,35 +76,60 @@ def downsample(df: DataFrame, points: int, keep_last: bool = False) -> DataFrame
     return df.where(keep).drop("_pos", "_n")
 
 
+def ema_groups(specs: dict[str, tuple[str, int]]) -> list[tuple[int, list[str]]]:
+    """(block length, names): averages whose decay lets them share a block length."""
+    out: list[tuple[int, list[str]]] = []
+    for name in sorted(specs, key=lambda n: specs[n][1]):
+        decay = _decay(specs[name][1])
+        if not out or out[-1][0] * decay < EMA_VANISH:
+            out.append((max(1, int(EMA_REACH / decay)), []))
+        out[-1][1].append(name)
+    return out
+
+
+def _decay(span: int) -> float:
+    """Minus the logarithm of q = 1 - 2 / (span + 1)."""
+    if span < 1:
+        raise ValueError("span must be 1 at least")
+    return -math.log1p(-2.0 / (span + 1)) if span > 1 else math.inf
+
+
 def with_ema(df: DataFrame, specs: dict[str, tuple[str, int]]) -> DataFrame:
     """Add exponential moving averages ``{name: (column, span)}``; needs ``seq``.
 
     The recursion e_i = e_{i-1} + a (x_i - e_{i-1}), seeded with x_0, is a linear
     scan.  Inside a block it is a running sum of x_j q^-j scaled by q^k; the only
-    carry is the last value of the preceding block, times q^(k+1).
+    carry is the last value of the preceding block, times q^(k+1).  The length of
+    a block follows from q, so any span is exact to rounding: powers stay in
+    range, and blocks before the preceding one have no weight left.
     """
-    names = list(specs)
+    same = {name: F.col(source) for name, (source, span) in specs.items() if span == 1}
+    rest = {name: spec for name, spec in specs.items() if spec[1] != 1}
+    order = [*df.columns, *[n for n in specs if n not in df.columns]]
+    for length, names in ema_groups(rest):
+        df = _ema_pass(df, {n: rest[n] for n in names}, length)
+    return df.withColumns(same).select(*order) if same else df.select(*order)
+
+
+def _ema_pass(df: DataFrame, specs: dict[str, tuple[str, int]], length: int) -> DataFrame:
     keep = df.columns
-    df = df.withColumn("_blk", F.floor(F.col("seq") / EMA_BLOCK)).withColumn(
-        "_k", (F.col("seq") % EMA_BLOCK).cast("double")
-    )
+    df = df.withColumn("_blk", F.floor(F.col("seq") / length)).withColumn("_k", (F.col("seq") % length).cast("double"))
     in_block = (
         Window.partitionBy(TICKER, "_blk").orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
     )
     previous_block = Window.partitionBy(TICKER).orderBy("_blk").rangeBetween(-1, -1)
     local, carried = {}, {}
-    for name in names:
-        source, span = specs[name]
+    for name, (source, span) in specs.items():
         alpha = 2.0 / (span + 1)
         q = 1.0 - alpha
         weight = F.when(F.col("seq") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
         scaled = weight * F.col(source) * F.pow(F.lit(q), -F.col("_k"))
         local[f"_loc_{name}"] = F.pow(F.lit(q), F.col("_k")) * F.sum(scaled).over(in_block)
-        end = F.max(F.when(F.col("_k") == EMA_BLOCK - 1, F.col(f"_loc_{name}"))).over(previous_block)
+        end = F.max(F.when(F.col("_k") == length - 1, F.col(f"_loc_{name}"))).over(previous_block)
         carried[name] = F.col(f"_loc_{name}") + F.coalesce(
             end * F.pow(F.lit(q), F.col("_k") + 1), F.lit(0.0)
         )
-    return df.withColumns(local).withColumns(carried).select(*keep, *names)
+    return df.withColumns(local).withColumns(carried).select(*keep, *specs)
 
 
 def sharpe(returns: Column, kind: str, over=None) -> Column:

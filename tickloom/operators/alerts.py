@@ -21,6 +21,15 @@ def alert_inputs(frame: DataFrame) -> DataFrame:
     )
 
 
+def stream_inputs(bars: DataFrame) -> DataFrame:
+    """Streamed bars with the columns the conditions read; those that need earlier bars stay null and match nothing."""
+    none = F.lit(None)
+    return bars.select(
+        "ticker", F.col("start").cast("date").alias("dt"), "close", none.cast("double").alias("rsi14"),
+        none.cast("int").alias("regime"), none.cast("int").alias("prev_regime"), none.cast("double").alias("drawdown"),
+    )
+
+
 def alert_matches(bars: DataFrame, rules: DataFrame) -> DataFrame:
     """Bars that fulfil an active rule of their ticker.
 

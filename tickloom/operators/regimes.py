@@ -27,11 +27,12 @@ def standard_scale(df: DataFrame, columns: list[str] = REGIME_FEATURES) -> DataF
     return df.withColumns(out)
 
 
-def _lloyd(z: np.ndarray, order: np.ndarray, iterations: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cluster ids and centres of one series.
+def _lloyd(z: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cluster ids and centres of one series, run until no label changes.
 
     Starts from six equal slices of ``order``.  Distances compare at nine digits
-    and ties take the lower id; a cluster that empties keeps its centre.
+    and ties take the lower id; a cluster that empties keeps its centre.  Labels
+    that come back (a cycle among ties) end the run as well.
     """
 
     def nearest(centers):
@@ -40,20 +41,23 @@ def _lloyd(z: np.ndarray, order: np.ndarray, iterations: int) -> tuple[np.ndarra
 
     slices = np.array_split(order, min(K, len(z)))
     centers = np.array([z[rows].mean(axis=0) for rows in slices])
-    for _ in range(iterations):
-        labels = nearest(centers)
+    seen = set()
+    labels = nearest(centers)
+    while labels.tobytes() not in seen:
+        seen.add(labels.tobytes())
         for k in range(len(centers)):
             members = z[labels == k]
             if len(members):
                 centers[k] = members.mean(axis=0)
-    return nearest(centers), centers
+        labels = nearest(centers)
+    return labels, centers
 
 
 def _score(z: np.ndarray) -> np.ndarray:
     return 2.0 * z[:, 4] + 1.5 * z[:, 0] - 3.0 * z[:, 3]
 
 
-def grouped_kmeans(df: DataFrame, iterations: int = 8) -> DataFrame:
+def grouped_kmeans(df: DataFrame) -> DataFrame:
     """Fit and label every ticker; adds ``cluster``, ``regime`` and the flat ``centers``.
 
     Regimes rename the clusters by the score of their centre: 0 most bullish, 5
@@ -73,7 +77,7 @@ def grouped_kmeans(df: DataFrame, iterations: int = 8) -> DataFrame:
     def fit(series: pa.Table) -> pa.Table:
         z = np.column_stack([series[c].to_numpy() for c in Z_COLS])
         days = series["dt"].cast(pa.int32()).to_numpy()
-        labels, centers = _lloyd(z, np.lexsort((days, -_score(z))), iterations)
+        labels, centers = _lloyd(z, np.lexsort((days, -_score(z))))
         best_first = np.argsort(-np.round(_score(centers), 9), kind="stable")
         rank = np.empty(len(centers), dtype=np.int32)
         rank[best_first] = np.arange(len(centers), dtype=np.int32)
@@ -100,9 +104,9 @@ def squared_distance(k: int, z: list[Column] | None = None) -> Column:
     return total
 
 
-def classify_regimes(features: DataFrame, iterations: int = 8) -> DataFrame:
+def classify_regimes(features: DataFrame) -> DataFrame:
     """Scale, cluster and order; keeps z-scores and centres for the diagnostics below."""
-    return grouped_kmeans(standard_scale(features), iterations)
+    return grouped_kmeans(standard_scale(features))
 
 
 def drop_centers(df: DataFrame) -> DataFrame:
@@ -201,8 +205,11 @@ def align_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
 HORIZONS = (5, 10, 20)
 
 
-def forward_stats(df: DataFrame) -> DataFrame:
-    """Forward returns per regime and horizon; the last 20 rows are not eligible."""
+def forward_stats(df: DataFrame, samples: int | None = 10) -> DataFrame:
+    """Forward returns per regime and horizon; the last 20 rows are not eligible.
+
+    ``samples`` recent returns are listed beside the statistics of all; None lists all.
+    """
     df = with_position(df.select("ticker", "dt", "close", "regime"), count="n")
     forward = {
         f"_f{h}": (F.try_divide(F.lead("close", h).over(by_ticker()), F.col("close")) - 1.0) * 100.0 for h in HORIZONS
@@ -212,7 +219,9 @@ def forward_stats(df: DataFrame) -> DataFrame:
     long = df.select("ticker", "dt", "regime", F.inline(pairs)).where(F.col("fwd").isNotNull())
     recent = Window.partitionBy("ticker", "regime", "horizon").orderBy(F.col("dt").desc())
     long = long.withColumn("_back", F.row_number().over(recent))
-    last = F.when(F.col("_back") <= 10, F.struct("dt", F.round("fwd", 2).alias("v")))
+    # Adding zero turns a rounded -0.0 into 0.0, which SQL engines print differently.
+    sample = F.struct("dt", (F.round("fwd", 2) + 0.0).alias("v"))
+    last = sample if samples is None else F.when(F.col("_back") <= samples, sample)
     stats = long.groupBy("ticker", "regime", "horizon").agg(
         F.count("fwd").alias("count"),
         F.percentile("fwd", F.lit(0.5)).alias("median"),

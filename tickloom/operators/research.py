@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.constants import INITIAL_CAPITAL, MC_HORIZON, MC_PATHS, WALK_FORWARD_GRID
-from tickloom.functions.hashing import normal
+from tickloom.constants import WALK_FORWARD_GRID
 from tickloom.functions.series import by_ticker, midrank, sharpe, with_position
 from tickloom.functions.stats import correlation
 from tickloom.operators.backtest import regime_weight
@@ -67,8 +66,9 @@ def ic_summary(ics: DataFrame) -> DataFrame:
         F.count("ic").alias("n"), F.avg("ic").alias("ic_mean"), F.stddev_pop("ic").alias("ic_std"),
         F.stddev_samp("ic").alias("_sd"),
     )
-    t = F.when(F.col("n") > 2, F.col("ic_mean") / (F.col("_sd") / F.sqrt("n"))).otherwise(F.lit(0.0))
-    return out.withColumns({"ic_ir": F.col("ic_mean") / (F.col("ic_std") + 1e-12), "t_stat": t}).drop("_sd")
+    # Coefficients without spread have no t statistic: 0, as for too few of them.
+    t = F.when(F.col("n") > 2, F.try_divide(F.col("ic_mean"), F.col("_sd") / F.sqrt("n")))
+    return out.withColumns({"ic_ir": F.col("ic_mean") / (F.col("ic_std") + 1e-12), "t_stat": F.coalesce(t, F.lit(0.0))}).drop("_sd")
 
 
 def _two_sided_p(t: float, dof: int) -> float:
@@ -170,45 +170,3 @@ def walk_forward_summary(folds: DataFrame) -> DataFrame:
     )
 
 
-def return_paths(df: DataFrame, paths: int = MC_PATHS, horizon: int = MC_HORIZON) -> DataFrame:
-    """Fan chart: percentiles of compounded normal returns with the strategy's mean and deviation.
-
-    All tickers share one table of draws, ``paths`` x ``horizon`` numbers whatever
-    the panel, so that table is broadcast.  Values are kept at the charted days
-    and at the horizon only.
-    """
-    spark = df.sparkSession
-    step = max(1, horizon // 80)
-    charted = list(range(0, horizon, step))
-    stops = charted + ([horizon - 1] if charted[-1] != horizon - 1 else [])
-    stop_of_day = F.ceil(F.col("day") / step)
-    draws = spark.range(paths * horizon).select(
-        F.floor(F.col("id") / horizon).alias("path"), (F.col("id") % horizon).alias("day")
-    )
-    draws = draws.withColumn("z", normal(F.concat_ws(":", "path", "day")))
-    legs = draws.groupBy("path", stop_of_day.alias("stop")).agg(F.array_sort(F.collect_list(F.struct("day", "z"))).alias("leg"))
-    legs = legs.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("stop", "leg"))).alias("legs"))
-
-    stats = df.groupBy("ticker").agg(F.avg("strat_ret").alias("mu"), F.stddev_samp("strat_ret").alias("sd"))
-    each = stats.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).withColumn("path", F.col("path").cast("bigint"))
-    # A short list of tickers sits in few partitions: spread the paths before they are walked.
-    each = each.repartition("ticker", "path").join(F.broadcast(legs), "path")
-
-    def leg_growth(leg: Column) -> Column:
-        return F.aggregate(leg, F.lit(1.0), lambda acc, d: acc * (1.0 + (F.col("mu") + F.col("sd") * d["z"])))
-
-    def append(acc: Column, item: Column) -> Column:
-        return F.concat(acc, F.array(F.element_at(acc, -1) * leg_growth(item["leg"])))
-
-    values = F.slice(F.aggregate("legs", F.array(F.lit(INITIAL_CAPITAL)), append), 2, len(stops))
-    long = each.select("ticker", F.posexplode(values).alias("stop", "value"))
-    q = F.percentile("value", F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    out = long.groupBy("ticker", "stop").agg(
-        q.alias("q"), (F.avg(F.when(F.col("value") > INITIAL_CAPITAL, 1.0).otherwise(0.0)) * 100).alias("profit")
-    )
-    day = F.element_at(F.array(*[F.lit(d) for d in stops]), F.col("stop") + 1)
-    names = ["p5", "p25", "p50", "p75", "p95"]
-    return out.select(
-        "ticker", day.alias("day"), *[F.round(F.col("q")[i], 2).alias(n) for i, n in enumerate(names)],
-        F.when(day == horizon - 1, F.round("profit", 1)).alias("prob_profit"),
-    )

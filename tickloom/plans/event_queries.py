@@ -8,7 +8,7 @@ from tickloom.functions.vectors import similar_vectors as nearest_vectors
 from tickloom.operators import alerts, sentiment, telemetry
 from tickloom.plans.panels import rounded, service_regimes
 from tickloom.sources import tables
-from tickloom.streaming import run, stateful, windows
+from tickloom.streaming import run, windows
 
 AS_OF = "2001-08-01"
 
@@ -137,17 +137,23 @@ def stream_histogram_run(spark, sf):
     return _zoneless(telemetry.histogram_buckets(hist, ["label", "start"]))
 
 
-def stream_token_bucket(spark, sf):
-    # The log is sparse: its clock runs a thousand times as fast, and a label is a client.
-    calls = stateful.call_times(tables.as_request_log(run.read_stream(spark, sf, "events")), "label", 1000.0)
-    out = run.drain(stateful.admission(calls))
-    return rounded(out.select("key", "event_id", "bucket_ok", "admitted", "tokens", "in_window"), {"tokens": 4})
+def alert_stream_run(spark, sf):
+    """Alert rules against a stream of bars: the event stream's closed bars join the rules as they come."""
+    bars = windows.tick_bars(windows.ticks(run.read_stream(spark, sf, "events")))
+    out = run.drain(alerts.alert_matches(alerts.stream_inputs(bars), _stream_rules(spark, sf)))
+    return out.select("rule_id", "user_id", "ticker", "dt", "condition_type", "threshold", "value")
 
 
-def stream_breaker_state(spark, sf):
-    log = tables.as_request_log(run.read_stream(spark, sf, "events")).withColumn("ok", F.col("latency_s") <= 0.7)
-    out = run.drain(stateful.breaker(stateful.call_times(log, "key", 1000.0)))
-    return out.select("key", "event_id", "state_before", "blocked", "state_after", "failures", "outcomes")
+def _stream_rules(spark, sf):
+    """A rule above and one below the middle of prices for every key of the event log."""
+    keys = tables.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("ticker")).distinct()
+    both = F.array(
+        *[F.struct(F.lit(k).alias("condition_type"), F.lit(v).alias("threshold")) for k, v in (("PRICE_ABOVE", 110.0), ("PRICE_BELOW", 101.0))]
+    )
+    return keys.select("ticker", F.inline(both)).select(
+        F.concat_ws("-", "ticker", "condition_type").alias("rule_id"), F.col("ticker").alias("user_id"), "ticker",
+        "condition_type", "threshold", F.lit("ACTIVE").alias("status"),
+    )
 
 
 QUERIES = {
@@ -156,6 +162,6 @@ QUERIES = {
         lexicon_score, sentiment_label, recency_sentiment, bull_bear_split, similar_vectors, next_version,
         best_latest_model, stale_models, registry_stats, label_counters, histogram_buckets, bucket_percentile,
         latency_percentiles, sliding_failure_rate, rolling_call_count, alert_matches, stream_bars, stream_histogram,
-        stream_bars_run, stream_histogram_run, stream_token_bucket, stream_breaker_state,
+        stream_bars_run, stream_histogram_run, alert_stream_run,
     )
 }

@@ -19,6 +19,10 @@ def gather(df: DataFrame, name: str, order: list[str]) -> DataFrame:
     return df.groupBy("ticker").agg(cells.alias(name))
 
 
+def _last(array: str, n: int | None):
+    return F.col(array) if n is None else F.slice(array, F.greatest(F.lit(1), F.size(array) - (n - 1)), n)
+
+
 def regime_report(labelled: DataFrame) -> DataFrame:
     """The regime service's result, one nested record per ticker."""
     base = materialise(labelled)
@@ -53,8 +57,12 @@ def flat_report(labelled: DataFrame) -> DataFrame:
     return perf.join(ic.drop("n"), "ticker", "left").join(cv, "ticker", "left").join(wf, "ticker", "left")
 
 
-def nested_report(labelled: DataFrame) -> DataFrame:
-    """The report as one nested record per ticker, charts included."""
+def nested_report(labelled: DataFrame, coefficients: int | None = None, points: int | None = 250) -> DataFrame:
+    """The report as one nested record per ticker, charts included.
+
+    ``coefficients``: the last so many rolling coefficients, None for all; ``points``: rows of the rolling chart at
+    most, None for all.  Full series are the queries ``rolling_ic``, ``rolling_vol``, ``rolling_sharpe60``.
+    """
     base = materialise(regimes.with_confidence(labelled))
     frame = materialise(backtest.strategy_frame(base).drop("centers", *regimes.Z_COLS))
 
@@ -68,9 +76,8 @@ def nested_report(labelled: DataFrame) -> DataFrame:
     series = gather(ics.select("ticker", "dt", F.round("ic", 4).alias("ic")), "_all", ["dt"])
     parts = [
         stats,
-        series.select("ticker", F.slice("_all", F.greatest(F.lit(1), F.size("_all") - 199), 200).alias("ic_series")),
-        gather(regimes.downsample(rolling, 250), "rolling", ["dt"]),
-        gather(research.return_paths(frame), "monte_carlo", ["day"]),
+        series.select("ticker", _last("_all", coefficients).alias("ic_series")),
+        gather(rolling if points is None else regimes.downsample(rolling, points), "rolling", ["dt"]),
         gather(regimes.transition_matrix(frame), "transition_matrix", ["from_regime", "to_regime"]),
         gather(regimes.feature_importance(base), "feature_importance", ["rank"]),
         gather(regimes.confidence_by_regime(base).drop("current"), "regime_confidence", ["regime_name"]),

@@ -27,7 +27,7 @@ def _returns_out(df):
 
 
 def strategy_returns(spark, sf):
-    ret = F.coalesce(F.col("close") / F.lag("close").over(by_ticker()) - 1, F.lit(0.0))
+    ret = F.coalesce(F.try_divide(F.col("close"), F.lag("close").over(by_ticker())) - 1, F.lit(0.0))
     return _returns_out(backtest.with_strategy_returns(service_regimes(spark, sf).withColumn("ret", ret), "ret"))
 
 
@@ -109,10 +109,6 @@ def walk_forward_summary(spark, sf):
     return rounded(out, {"wf_sharpe_mean": 4, "wf_sharpe_std": 4})
 
 
-def mc_return_paths(spark, sf):
-    return research.return_paths(_frame(spark, sf))
-
-
 def quant_report(spark, sf, universe="brand"):
     out = report.flat_report(report_regimes(spark, sf, universe)).drop("p_value", "significant")
     digits = {c: 4 for c in [*report.SCORES, "ic_mean", "ic_std", "ic_ir", "t_stat", "cv_ic_mean", "cv_ic_std", "wf_sharpe_mean", "wf_sharpe_std"]}
@@ -237,7 +233,7 @@ QUERIES = {
         regime_weights, strategy_returns, strategy_returns_log, regime_backtest_metrics, regime_backtest_curves,
         regime_report, signal_backtest, signal_backtest_metrics,
         forecast_metrics, perf_ratios, alpha_beta, rolling_ic, ic_ttest, ic_significance, cv_ic,
-        walk_forward_thresholds, walk_forward_summary, mc_return_paths, quant_report, quant_report_nested,
+        walk_forward_thresholds, walk_forward_summary, quant_report, quant_report_nested,
         chrono_split, minmax_train_only, make_sequences, inverse_scale, price_from_logret, ensemble_band,
         ar1_forecaster, return_forecaster, roll_forecast, walk_forward_eval, walk_forward_eval_summary, batch_score,
         mean_cov_annual, equal_weight, candidate_portfolios, max_sharpe_min_vol, efficient_frontier,

@@ -39,7 +39,7 @@ def trades(
         parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), key)
         lines = lines.join(parts, "l_partkey")
     price = (
-        F.col("l_extendedprice") / F.col("l_quantity")
+        F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
         if spiky
         else F.lit(100.0) + F.col("l_extendedprice") / 10000.0
     )

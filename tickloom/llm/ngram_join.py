@@ -62,17 +62,15 @@ def _grams(words: int):
 # --- tiles ------------------------------------------------------------------------------------------------------
 
 
-def owned_pairs(bands: np.ndarray, block: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a tile that meet first in this band; between blocks if the tile has two, else within."""
-    two = block.min() != block.max()
-    left = np.flatnonzero(block == block.min())
-    right = np.flatnonzero(block == block.max())
+def owned_pairs(bands: np.ndarray, block: np.ndarray, low: int, high: int, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a tile that meet first in this band: between its two blocks, or within its only one."""
+    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
     earlier = np.zeros((len(left), len(right)), bool)
     for k in range(band):
         earlier |= bands[left, k][:, None] == bands[right, k][None, :]
     a, b = np.nonzero(~earlier)
     a, b = left[a], right[b]
-    return (a, b) if two else (a[a < b], b[a < b])
+    return (a, b) if low != high else (a[a < b], b[a < b])
 
 
 def common_grams(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -99,7 +97,7 @@ def common_grams(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.nda
 def tile_links(members: list[dict], band: int, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Documents linked to each member, and edges that connect what is linked."""
     bands = np.array([m["bands"] for m in members], np.int64)
-    a, b = owned_pairs(bands, np.array([m["block"] for m in members]), band)
+    a, b = owned_pairs(bands, np.array([m["block"] for m in members]), members[0]["low"], members[0]["high"], band)
     sets = [np.frombuffer(m["grams"], np.uint64) for m in members]
     both = common_grams(sets, a, b)
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))

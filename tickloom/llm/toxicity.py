@@ -199,7 +199,7 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, known: np.ndarray
 
 
 def _residual_correlation(model: LabelModel, patterns: np.ndarray, mass: np.ndarray) -> np.ndarray:
-    """How pairs of voters go together beyond what their class explains."""
+    """How pairs of voters go together beyond what their class explains; about 0 where the class explains all."""
     voters = patterns.shape[1]
     said = (patterns != ABSTAIN).astype(float)
     covariance = np.zeros((voters, voters))
@@ -207,7 +207,7 @@ def _residual_correlation(model: LabelModel, patterns: np.ndarray, mass: np.ndar
         away = said - (1 - model.tables[:, c, ABSTAIN])[None, :]
         covariance += (away * mass[c][:, None]).T @ away
     scale = np.sqrt(np.maximum(np.diag(covariance), 1e-12))
-    out = covariance / scale[:, None] / scale[None, :]
+    out = covariance / (scale[:, None] * scale[None, :] + 1.0)
     np.fill_diagonal(out, 1)
     return out
 

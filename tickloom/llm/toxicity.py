@@ -198,6 +198,11 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, known: np.ndarray
     return model
 
 
+def with_known(p: np.ndarray, known: np.ndarray, worth: float = 10.0) -> np.ndarray:
+    """Posteriors of patterns together with their rows of known class; the model counts for ``worth`` rows."""
+    return (known[:, 1] + worth * p) / (known.sum(axis=1) + worth)
+
+
 def _residual_correlation(model: LabelModel, patterns: np.ndarray, mass: np.ndarray) -> np.ndarray:
     """How pairs of voters go together beyond what their class explains; about 0 where the class explains all."""
     voters = patterns.shape[1]
@@ -274,16 +279,16 @@ def fit_toxicity(
     if not table:
         return ToxicityModel(dict(zip(terms, prior.tolist(), strict=True)), -4.0)
     patterns = np.array([r["votes"] for r in table])
-    model = fit_label_model(
-        patterns, np.array([r["n"] for r in table], float), np.array([[r["n0"], r["n1"]] for r in table], float)
-    )
+    known = np.array([[r["n0"], r["n1"]] for r in table], float)
+    model = fit_label_model(patterns, np.array([r["n"] for r in table], float), known)
     total = sum(r["n"] for r in table)
     part = min(1.0, max_training_rows / total)
     sample = rows.where(F.pmod(F.xxhash64("i", F.lit(7)), F.lit(1_000_003)) < int(part * 1_000_003))
     drawn = sample.select(look(F.col("t")).alias("l")).select("l.votes", "l.hits").collect()
     w, b = prior, -4.0
     if drawn:
-        target = model.posterior(np.array([r["votes"] for r in drawn]))
+        of = dict(zip(map(tuple, patterns.tolist()), with_known(model.posterior(patterns), known), strict=True))
+        target = np.array([of[tuple(r["votes"])] for r in drawn])
         w, b = fit_linear([r["hits"] for r in drawn], target, prior, -4.0)
     pairs = itertools.combinations(range(len(VOTERS)), 2)
     return ToxicityModel(

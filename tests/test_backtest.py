@@ -93,13 +93,13 @@ def test_sequences_reach_back_and_have_full_length(bars_of):
 
 def test_correlation_is_symmetric_with_unit_diagonal(bars_of, walk):
     df = bars_of({"A": walk(60), "B": walk(60, 7)}).withColumn("log_return", F.log("close"))
-    m = {(r["ticker_a"], r["ticker_b"]): r["correlation"] for r in compare.return_correlation(df, ["A", "B"]).collect()}
+    m = {(r["ticker_a"], r["ticker_b"]): r["correlation"] for r in compare.return_correlation(df).collect()}
     assert m["A", "A"] == m["B", "B"] == 1.0 and m["A", "B"] == m["B", "A"] and abs(m["A", "B"]) <= 1
 
 
-def test_request_is_trimmed_upper_and_limited():
+def test_request_is_trimmed_upper_and_whole():
     assert compare.normalise_request([" aapl ", "", "spy"]) == ["AAPL", "SPY"]
-    assert len(compare.normalise_request([f"t{i}" for i in range(30)])) == 10
+    assert len(compare.normalise_request([f"t{i}" for i in range(30)])) == 30
     with pytest.raises(ValueError):
         compare.normalise_request(["  "])
 
@@ -116,10 +116,10 @@ def test_prices_start_at_hundred_and_first_return_is_zero(bars_of, walk):
 def test_portfolio_weights_and_ordering(bars_of, walk):
     df = bars_of({t: walk(200, i + 2) for i, t in enumerate("ABC")})
     df = df.withColumn("log_return", F.col("close") / 100 - 1)
-    cand = portfolio.candidate_portfolios(df, list("ABC"), 200)
+    cand = portfolio.candidate_portfolios(df, 200)
     rows = cand.collect()
     assert len(rows) == 200 and all(sum(r["weights"]) == pytest.approx(1) for r in rows)
-    best = {r["portfolio"]: r for r in portfolio.best_portfolios(cand, list("ABC")).collect()}
+    best = {r["portfolio"]: r for r in portfolio.best_portfolios(cand, df).collect()}
     assert best["max_sharpe"]["sharpe_ratio"] == pytest.approx(max(r["sharpe"] for r in rows), abs=1e-4)
     assert best["min_volatility"]["volatility"] == pytest.approx(min(r["vol"] for r in rows), abs=1e-4)
     vols = [r["volatility"] for r in portfolio.efficient_frontier(cand, 20).collect()]
@@ -162,3 +162,19 @@ def test_series_without_spread_keep_their_row(spark):
     got = {r["ticker"]: r for r in research.with_p_value(research.ic_summary(ics)).collect()}
     assert (got["flat"]["t_stat"], got["flat"]["p_value"]) == (0.0, 1.0) and got["two"]["p_value"] == 1.0
     assert not got["flat"]["significant"] and got["moving"]["t_stat"] > 0
+
+
+def test_matrix_of_many_tickers_equals_numpy(bars_of, walk, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(compare, "TILE", 4)
+    series = {f"T{i:02}": walk(40, i + 2) for i in range(15)} | {"FLAT": [5.0] * 40}
+    df = bars_of(series).withColumn("log_return", F.col("close") / 100 - 1)
+    names = sorted(series)
+    x = np.array([series[t] for t in names]) / 100 - 1
+    cov = {(r["ticker_a"], r["ticker_b"]): r["cov"] for r in compare.pairwise(df, "log_return", "covariance", "cov").collect()}
+    assert len(cov) == 256
+    want = np.cov(x)
+    assert all(cov[a, b] == pytest.approx(want[i, j], abs=1e-12) for i, a in enumerate(names) for j, b in enumerate(names))
+    corr = {(r["ticker_a"], r["ticker_b"]): r["correlation"] for r in compare.return_correlation(df).collect()}
+    assert corr["FLAT", "T00"] is None and corr["T00", "T00"] == 1.0

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
-
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.constants import MAX_TICKERS, MIN_ROWS
+from tickloom.constants import MIN_ROWS
 from tickloom.functions.series import by_ticker, running, sharpe
-from tickloom.functions.stats import correlation
 
 
-def normalise_request(tickers: list[str], limit: int | None = MAX_TICKERS) -> list[str]:
-    """Trimmed upper-case tickers, blanks dropped, at most ``limit`` of them."""
-    wanted = [t.strip().upper() for t in tickers[:limit] if t.strip()]
+def normalise_request(tickers: list[str]) -> list[str]:
+    """Trimmed upper-case tickers without blanks, each once, in the order of the request."""
+    wanted = list(dict.fromkeys(t.strip().upper() for t in tickers if t.strip()))
     if not wanted:
         raise ValueError("No valid tickers provided.")
     return wanted
@@ -68,34 +67,61 @@ def daily_returns_pct(aligned: DataFrame) -> DataFrame:
     return aligned.select("ticker", "dt", F.round(F.coalesce(ret, F.lit(0.0)) * 100.0, 4).alias("return_pct"))
 
 
-def _wide(df: DataFrame, value: str, tickers: list[str]) -> DataFrame:
-    """One row per date with a column per requested ticker; complete dates only."""
-    cells = [F.max(F.when(F.col("ticker") == t, F.col(value))).alias(f"_t{i}") for i, t in enumerate(tickers)]
-    return df.groupBy("dt").agg(*cells).dropna()
-
+def complete_dates(df: DataFrame, value: str) -> DataFrame:
+    """Rows with a value on dates where every ticker has one."""
+    rows = df.select("ticker", "dt", value).where(F.col(value).isNotNull())
+    everyone = df.agg(F.count_distinct("ticker").alias("_all"))
+    per_day = rows.groupBy("dt").agg(F.count_distinct("ticker").alias("_n"))
+    days = per_day.join(F.broadcast(everyone), F.col("_n") == F.col("_all")).select("dt")  # one row on the right
+    return rows.join(days, "dt", "left_semi")
 
-def pairwise(df: DataFrame, value: str, tickers: list[str], agg, name: str) -> DataFrame:
-    """Symmetric matrix ``agg(value of a, value of b)`` in long form.
 
-    Dates are folded straight into one running moment per pair, so no date ever
-    emits its pairs; the list of tickers is the caller's request.
-    """
-    wide = _wide(df, value, tickers)
-    pairs = list(combinations_with_replacement(range(len(tickers)), 2))
-    moments = wide.agg(*[agg(F.col(f"_t{a}"), F.col(f"_t{b}")).alias(f"_{a}_{b}") for a, b in pairs])
+#: Tickers whose series meet in one tile of a matrix.
+TILE = 64
 
-    def cell(a: int, b: int) -> Column:
-        return F.struct(
-            F.lit(tickers[a]).alias("ticker_a"), F.lit(tickers[b]).alias("ticker_b"),
-            F.col(f"_{min(a, b)}_{max(a, b)}").alias(name),
-        )
 
-    n = range(len(tickers))
-    return moments.select(F.inline(F.array(*[cell(a, b) for a in n for b in n])))
+def pairwise(df: DataFrame, value: str, kind: str, name: str) -> DataFrame:
+    """Symmetric matrix of all tickers in long form: ``correlation`` or sample ``covariance`` over complete dates.
 
+    A ticker is one vector, bounded by the calendar.  Vectors are dealt into blocks of about TILE, every pair of
+    blocks is a tile, and a tile is one product of two small matrices; no date emits its pairs and the plan does not
+    grow with the number of tickers.  Correlation is null where a side is constant.
+    """
+    cells = F.array_sort(F.collect_list(F.struct("dt", F.col(value).alias("v"))))
+    vectors = complete_dates(df, value).groupBy("ticker").agg(F.transform(cells, lambda c: c["v"]).alias("x"))
+    blocks = df.agg(F.ceil(F.count_distinct("ticker") / TILE).cast("int").alias("_blocks"))
+    dealt = vectors.join(F.broadcast(blocks)).withColumn("_own", F.pmod(F.xxhash64("ticker"), F.col("_blocks")).cast("int"))
+    tiles = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
+        "ticker", "x", "_own", F.least("_own", "_with").alias("_low"), F.greatest("_own", "_with").alias("_high")
+    )
 
-def return_correlation(aligned: DataFrame, tickers: list[str]) -> DataFrame:
-    matrix = pairwise(aligned, "log_return", tickers, correlation, "correlation")
+    def tile(rows: pa.Table) -> pa.Table:
+        names, own = np.array(rows["ticker"].to_pylist(), dtype=object), rows["_own"].to_numpy()
+        x = np.array(rows["x"].to_pylist(), dtype=float)
+        x = x - x.mean(axis=1, keepdims=True)
+        low, high = rows["_low"][0].as_py(), rows["_high"][0].as_py()
+        a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        m = x[a] @ x[b].T
+        if kind == "correlation":
+            scale = np.sqrt((x[a] ** 2).sum(axis=1))[:, None] * np.sqrt((x[b] ** 2).sum(axis=1))[None, :]
+            m = np.where(scale > 0, m / np.where(scale > 0, scale, 1.0), np.nan)
+        else:
+            m = m / (x.shape[1] - 1) if x.shape[1] > 1 else np.full(m.shape, np.nan)
+        left, right, values = np.repeat(names[a], len(b)), np.tile(names[b], len(a)), m.ravel()
+        if low != high:
+            left, right, values = np.concatenate([left, right]), np.concatenate([right, left]), np.concatenate([values, values])
+        return pa.table(
+            {
+                "ticker_a": pa.array(left, pa.string()), "ticker_b": pa.array(right, pa.string()),
+                name: pa.array(values, pa.float64(), mask=np.isnan(values)),
+            }
+        )
+
+    return tiles.groupBy("_low", "_high").applyInArrow(tile, f"ticker_a string, ticker_b string, {name} double")
+
+
+def return_correlation(aligned: DataFrame) -> DataFrame:
+    matrix = pairwise(aligned, "log_return", "correlation", "correlation")
     return matrix.withColumn("correlation", F.round("correlation", 4))
 
 
@@ -121,14 +147,14 @@ def compare_date_range(aligned: DataFrame) -> DataFrame:
     )
 
 
-def comparison(features: DataFrame, tickers: list[str], limit: int | None = MAX_TICKERS) -> dict[str, DataFrame]:
+def comparison(features: DataFrame, tickers: list[str]) -> dict[str, DataFrame]:
     """Every part of a comparison of the requested tickers, as lazy frames.
 
     Tickers without usable rows are reported under ``errors`` and left out; the
     comparison fails only when none is usable or they share too few dates.
     """
     spark = features.sparkSession
-    wanted = normalise_request(tickers, limit)
+    wanted = normalise_request(tickers)
     own = features.where(F.upper("ticker").isin(wanted))
     sizes = {r["ticker"]: r["count"] for r in own.groupBy("ticker").count().collect()}
     usable = [t for t, n in sizes.items() if n >= MIN_ROWS]
@@ -143,7 +169,7 @@ def comparison(features: DataFrame, tickers: list[str], limit: int | None = MAX_
         "errors": fetch_errors(requested, own),
         "normalised_prices": normalised_prices(aligned),
         "returns": daily_returns_pct(aligned),
-        "correlation": return_correlation(aligned, sorted(usable)),
+        "correlation": return_correlation(aligned),
         "summary": ticker_summary(aligned),
         "date_range": compare_date_range(aligned),
     }

@@ -1,41 +1,25 @@
-"""Mean-variance portfolios over a requested list of instruments."""
+"""Mean-variance portfolios over all instruments of a panel."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.constants import RISK_FREE_ANNUAL
 from tickloom.functions.hashing import uniform
-from tickloom.operators.compare import _wide, pairwise
+from tickloom.operators.compare import complete_dates, pairwise
 
 ANNUAL = 252.0
 
 
-def mean_cov_annual(returns: DataFrame, tickers: list[str]) -> DataFrame:
-    """Annualised sample covariance in long form with the annualised mean of each side."""
-    cov = pairwise(returns, "log_return", tickers, F.covar_samp, "cov")
-    means = _wide(returns, "log_return", tickers).agg(*[(F.avg(f"_t{i}") * ANNUAL).alias(f"_m{i}") for i in range(len(tickers))])
-    cells = F.array(*[F.struct(F.lit(t).alias("ticker_a"), F.col(f"_m{i}").alias("mean_a")) for i, t in enumerate(tickers)])
-    return cov.withColumn("cov", F.col("cov") * ANNUAL).join(means.select(F.inline(cells)), "ticker_a")
+def mean_cov_annual(returns: DataFrame) -> DataFrame:
+    """Annualised sample covariance in long form with the annualised mean of the first side."""
+    cov = pairwise(returns, "log_return", "covariance", "cov")
+    return cov.withColumn("cov", F.col("cov") * ANNUAL).join(_means(returns).withColumnRenamed("ticker", "ticker_a"), "ticker_a")
 
 
-def _moments(returns: DataFrame, tickers: list[str]) -> DataFrame:
-    """One row: annual means ``_m<i>`` and covariances ``_c<i>_<j>`` of the request."""
-    n = range(len(tickers))
-    return _wide(returns, "log_return", tickers).agg(
-        *[(F.avg(f"_t{i}") * ANNUAL).alias(f"_m{i}") for i in n],
-        *[(F.covar_samp(f"_t{i}", f"_t{j}") * ANNUAL).alias(f"_c{i}_{j}") for i in n for j in n if i <= j],
-    )
-
-
-def _performance(weights: list[Column], n: int) -> dict[str, Column]:
-    ret, var = F.lit(0.0), F.lit(0.0)
-    for i in range(n):
-        ret = ret + F.col(f"_m{i}") * weights[i]
-        for j in range(n):
-            var = var + weights[i] * weights[j] * F.col(f"_c{min(i, j)}_{max(i, j)}")
-    return {"ret": ret, "vol": F.sqrt(var)}
+def _means(returns: DataFrame) -> DataFrame:
+    return complete_dates(returns, "log_return").groupBy("ticker").agg((F.avg("log_return") * ANNUAL).alias("mean_a"))
 
 
 def _with_sharpe(df: DataFrame, rf: float) -> DataFrame:
@@ -43,28 +27,46 @@ def _with_sharpe(df: DataFrame, rf: float) -> DataFrame:
     return df.withColumn("sharpe", ratio)
 
 
-def equal_weight(returns: DataFrame, tickers: list[str], rf: float = RISK_FREE_ANNUAL) -> DataFrame:
-    n = len(tickers)
-    perf = _performance([F.lit(1.0 / n)] * n, n)
-    return _with_sharpe(_moments(returns, tickers).select(*[c.alias(k) for k, c in perf.items()]), rf)
+def equal_weight(returns: DataFrame, rf: float = RISK_FREE_ANNUAL) -> DataFrame:
+    """Return, volatility and Sharpe of all instruments at equal weights, from sums over the covariance table."""
+    table = mean_cov_annual(returns)
+    total = table.agg(F.sum("cov").alias("c"), F.avg("mean_a").alias("ret"), F.count_distinct("ticker_a").alias("n"))
+    return _with_sharpe(total.select("ret", (F.sqrt("c") / F.col("n")).alias("vol")), rf)
 
 
-def candidate_portfolios(returns: DataFrame, tickers: list[str], count: int = 1000, rf: float = RISK_FREE_ANNUAL) -> DataFrame:
+def candidate_portfolios(returns: DataFrame, count: int = 1000, rf: float = RISK_FREE_ANNUAL) -> DataFrame:
     """Uniform draws from the weight simplex with return, volatility and Sharpe.
 
-    Candidates unfold from the single row of moments, so they are scored without a join.
+    Weights are a long table (candidate, instrument).  A candidate's variance takes two joins with the covariance
+    table, each followed by a sum, so candidates and instruments spread over tasks.  ``weights`` is in order of names.
     """
-    n = len(tickers)
-    df = _moments(returns, tickers).withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    df = df.withColumns({f"_e{i}": -F.log(uniform(F.concat_ws(":", "candidate", F.lit(i)))) for i in range(n)})
-    df = df.withColumn("_total", sum((F.col(f"_e{i}") for i in range(n)), F.lit(0.0)))
-    df = df.withColumns({f"_w{i}": F.col(f"_e{i}") / F.col("_total") for i in range(n)})
-    perf = _performance([F.col(f"_w{i}") for i in range(n)], n)
-    weights = F.array(*[F.col(f"_w{i}") for i in range(n)]).alias("weights")
-    return _with_sharpe(df.select("candidate", weights, *[c.alias(k) for k, c in perf.items()]), rf)
+    places = returns.select("ticker").distinct()
+    # One row per instrument; the order of names is what the draws depend on.
+    places = places.withColumn("i", (F.row_number().over(Window.orderBy("ticker")) - 1).cast("int"))
+    drawn = places.withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    drawn = drawn.withColumn("e", -F.log(uniform(F.concat_ws(":", "candidate", "i"))))
+    totals = drawn.groupBy("candidate").agg(F.sum("e").alias("total"))
+    weights = drawn.join(totals, "candidate").select("candidate", "ticker", "i", (F.col("e") / F.col("total")).alias("w"))
+
+    table = mean_cov_annual(returns)
+    half = weights.join(table, weights["ticker"] == table["ticker_a"]).groupBy("candidate", "ticker_b").agg(
+        F.sum(F.col("w") * F.col("cov")).alias("half")
+    )
+    means = _means(returns)
+    whole = (
+        weights.join(half.withColumnRenamed("ticker_b", "ticker"), ["candidate", "ticker"])
+        .join(means, "ticker")
+        .groupBy("candidate")
+        .agg(
+            F.sum(F.col("w") * F.col("mean_a")).alias("ret"),
+            F.sqrt(F.sum(F.col("w") * F.col("half"))).alias("vol"),
+            F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("weights"),
+        )
+    )
+    return _with_sharpe(whole.select("candidate", "weights", "ret", "vol"), rf)
 
 
-def best_portfolios(candidates: DataFrame, tickers: list[str]) -> DataFrame:
+def best_portfolios(candidates: DataFrame, returns: DataFrame) -> DataFrame:
     """The highest Sharpe and the lowest volatility, the earlier candidate on ties."""
     row = F.struct("candidate", "weights", "ret", "vol", "sharpe")
     picked = candidates.agg(
@@ -75,11 +77,11 @@ def best_portfolios(candidates: DataFrame, tickers: list[str]) -> DataFrame:
         F.struct(F.lit("max_sharpe").alias("portfolio"), F.col("max_sharpe").alias("p")),
         F.struct(F.lit("min_volatility").alias("portfolio"), F.col("min_volatility").alias("p")),
     )
-    out = picked.select(F.inline(both)).select("portfolio", "p.*")
-    names = F.array(*[F.lit(t) for t in tickers])
+    names = returns.agg(F.array_sort(F.collect_set("ticker")).alias("names"))
+    out = picked.select(F.inline(both)).select("portfolio", "p.*").join(F.broadcast(names))
     return out.select(
         "portfolio", "candidate", F.round("ret", 4).alias("expected_return"), F.round("vol", 4).alias("volatility"),
-        F.round("sharpe", 4).alias("sharpe_ratio"), F.inline(F.arrays_zip(names.alias("ticker"), F.transform("weights", lambda w: F.round(w, 4)).alias("weight"))).alias("ticker", "weight"),
+        F.round("sharpe", 4).alias("sharpe_ratio"), F.inline(F.arrays_zip(F.col("names").alias("ticker"), F.transform("weights", lambda w: F.round(w, 4)).alias("weight"))).alias("ticker", "weight"),
     )
 
 

@@ -8,7 +8,7 @@ from tickloom.constants import BENCHMARK, REGIME_FEATURES
 from tickloom.functions.series import by_ticker, full_window, with_position
 from tickloom.operators import cleaning, compare, indicators, market, regimes
 from tickloom.plans.panels import (
-    compare_panel, compare_tickers, engineered, rounded, service_features, service_regimes,
+    compare_panel, engineered, rounded, service_features, service_regimes,
 )
 from tickloom.sources import bars as src
 from tickloom.sources.sinks import as_json, sanitise
@@ -212,7 +212,7 @@ def daily_returns_pct(spark, sf):
 
 
 def return_correlation(spark, sf):
-    return compare.return_correlation(compare_panel(spark, sf), compare_tickers(spark, sf))
+    return compare.return_correlation(compare_panel(spark, sf))
 
 
 def ticker_summary(spark, sf):
@@ -234,7 +234,7 @@ def regime_kmeans(spark, sf):
 
 def regime_kmeans_pooled(spark, sf):
     scaled = regimes.standard_scale(service_features(spark, sf)).select("ticker", "dt", *regimes.Z_COLS)
-    return regimes.pooled_kmeans(scaled, seeds=[42, 43, 44]).select("ticker", "dt", "cluster")
+    return regimes.pooled_kmeans(scaled, seeds=list(range(42, 62))).select("ticker", "dt", "cluster")
 
 
 def regime_semantic_order(spark, sf):

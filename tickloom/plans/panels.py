@@ -36,17 +36,6 @@ def compare_panel(spark: SparkSession, sf: str) -> DataFrame:
     return align_panel(engineered(spark, sf, "type"))
 
 
-def compare_tickers(spark: SparkSession, sf: str) -> list[str]:
-    """The requested instruments: the product types, at most a request's worth."""
-    from tickloom.constants import MAX_TICKERS
-    from tickloom.sources.tables import table
-
-    rows = table(spark, sf, "part").select("p_type").distinct().orderBy("p_type").limit(MAX_TICKERS + 1).collect()
-    if len(rows) > MAX_TICKERS:
-        raise ValueError(f"more than {MAX_TICKERS} instruments in one comparison")
-    return [r[0] for r in rows]
-
-
 def benchmark_features(spark: SparkSession, sf: str) -> DataFrame:
     index = load_bars(spark, sf, "type").where(F.col("ticker") == BENCHMARK)
     return regime_features(indicator_columns(index), "drop")

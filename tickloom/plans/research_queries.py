@@ -9,7 +9,7 @@ from tickloom.functions.series import by_ticker
 from tickloom.operators import backtest, compare, forecast, portfolio, regimes, research
 from tickloom.operators.indicators import log_return
 from tickloom.plans import report
-from tickloom.plans.panels import compare_tickers, engineered, report_regimes, rounded, service_regimes
+from tickloom.plans.panels import engineered, report_regimes, rounded, service_regimes
 from tickloom.sources import bars as src
 
 
@@ -201,17 +201,17 @@ def _asset_returns(spark, sf):
 
 
 def mean_cov_annual(spark, sf):
-    out = portfolio.mean_cov_annual(_asset_returns(spark, sf), compare_tickers(spark, sf))
+    out = portfolio.mean_cov_annual(_asset_returns(spark, sf))
     return rounded(out, {"mean_a": 6, "cov": 6})
 
 
 def equal_weight(spark, sf):
-    out = portfolio.equal_weight(_asset_returns(spark, sf), compare_tickers(spark, sf))
+    out = portfolio.equal_weight(_asset_returns(spark, sf))
     return out.select(F.round("ret", 4).alias("expected_return"), F.round("vol", 4).alias("volatility"), F.round("sharpe", 4).alias("sharpe_ratio"))
 
 
 def _candidates(spark, sf):
-    return portfolio.candidate_portfolios(_asset_returns(spark, sf), compare_tickers(spark, sf))
+    return portfolio.candidate_portfolios(_asset_returns(spark, sf))
 
 
 def candidate_portfolios(spark, sf):
@@ -220,7 +220,7 @@ def candidate_portfolios(spark, sf):
 
 
 def max_sharpe_min_vol(spark, sf):
-    return portfolio.best_portfolios(_candidates(spark, sf), compare_tickers(spark, sf))
+    return portfolio.best_portfolios(_candidates(spark, sf), _asset_returns(spark, sf))
 
 
 def efficient_frontier(spark, sf):

@@ -9,8 +9,8 @@ Q: dict[str, str] = {}
 FIN = ", ".join(f"('{t}', {v}::DOUBLE)" for t, v in FINANCE_LEXICON.items())
 LEX = [
     ("fin", f"SELECT * FROM (VALUES {FIN}) v(term, valence)"),
-    ("tok", "SELECT doc_id AS text_id, source AS grp, lang, UNNEST(REGEXP_EXTRACT_ALL(LOWER(text), '[a-z]+')) AS term FROM documents"),
-    ("frq", "SELECT term, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, term) - 1 AS r FROM tok WHERE lang = 'en' GROUP BY term QUALIFY r < 200"),
+    ("tok", "SELECT doc_id AS text_id, source AS grp, lang, UNNEST(REGEXP_EXTRACT_ALL(LOWER(text), '\\p{L}+')) AS term FROM documents"),
+    ("frq", "SELECT term, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, term) - 1 AS r FROM tok GROUP BY term QUALIFY r < 200"),
     ("lex", "SELECT * FROM fin UNION ALL SELECT term, ((r % 9) - 4) * 0.5::DOUBLE FROM frq WHERE term NOT IN (SELECT term FROM fin)"),
     ("sm", """SELECT d.doc_id AS text_id, d.source AS grp, COALESCE(SUM(valence), 0) AS s, COALESCE(SUM(valence + 1) FILTER (valence > 0), 0) AS p,
   COALESCE(SUM(1 - valence) FILTER (valence < 0), 0) AS n, COUNT(t.term) FILTER (valence IS NULL OR valence = 0) AS z
@@ -42,7 +42,7 @@ Q["best_latest_model"] = sql(RUNS, """SELECT ticker, 'v' || ARG_MIN(num, (rmse,
 FROM runs WHERE status = 'ready' GROUP BY ticker""")
 Q["stale_models"] = sql(RUNS, "SELECT ticker, run_id, trained_at FROM runs WHERE status = 'ready' AND trained_at < DATE '2001-08-01' - 7")
 Q["registry_stats"] = sql(RUNS, """SELECT COUNT(DISTINCT ticker) AS total_tickers, COUNT(*) AS total_versions, COUNT(*) FILTER (status = 'ready') AS ready,
-  COUNT(*) FILTER (status = 'training') AS training, COUNT(*) FILTER (status = 'failed') AS failed FROM runs""")
+  COUNT(*) FILTER (status = 'training') AS training, COUNT(*) FILTER (status = 'failed') AS failed, COUNT(*) FILTER (status NOT IN ('ready', 'training', 'failed')) AS other FROM runs""")
 
 LOG = [("log", """SELECT event_id, CAST(user_id AS VARCHAR) AS key, ts, event_type AS label, value / 50.0::DOUBLE AS latency_s,
   event_type <> 'error' AS ok, event_id % 3 = 0 AS from_cache FROM events""")]

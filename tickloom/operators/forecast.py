@@ -56,7 +56,7 @@ def make_sequences(df: DataFrame, columns: list[str], length: int = SEQUENCE_LEN
     window may use validation rows only, so it starts ``length`` rows into them.
     """
     frame = by_ticker().rowsBetween(-length, -1)
-    df = df.withColumn("x", F.collect_list(F.array(*columns)).over(frame))
+    df = df.withColumn("x", F.collect_list(F.array(*[F.col(c).cast("double") for c in columns])).over(frame))
     n_train = F.floor(F.col("n") * TRAIN_SPLIT)
     first = F.when(F.col("split") == "test", n_train + length).otherwise(F.lit(length))
     return df.where((F.col("seq") >= first) & (F.size("x") == length))

@@ -17,7 +17,8 @@ SHARES = ["compound", "positive", "negative", "neutral"]
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), 1)
+    """Runs of letters of any script, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1)
 
 
 def finance_lexicon(spark: SparkSession) -> DataFrame:
@@ -41,11 +42,12 @@ def label(compound: Column) -> Column:
 def score_texts(texts: DataFrame, lexicon: DataFrame, keys: list[str]) -> DataFrame:
     """Compound score and shares per text; a text without tokens is neutral.
 
-    The lexicon has a few hundred fixed entries.  The tokens of a text sit in one
-    task, so each text is reduced to one row before the shuffle.
+    No size is assumed for the lexicon; a small one is broadcast by its measured
+    size.  The tokens of a text sit in one task then, so each text is reduced to
+    one row before the shuffle.
     """
     words = texts.select(*keys, F.explode_outer(tokens(F.col("text"))).alias("term"))
-    hits = words.join(F.broadcast(lexicon), "term", "left")
+    hits = words.join(lexicon, "term", "left")
     v = F.col("valence")
     sums = hits.groupBy(*keys).agg(
         F.coalesce(F.sum(v), F.lit(0.0)).alias("_s"),

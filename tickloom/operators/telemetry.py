@@ -21,8 +21,8 @@ def with_version(runs: DataFrame) -> DataFrame:
 
 
 def next_version(runs: DataFrame) -> DataFrame:
-    number = F.try_to_number(F.substring("version", 2, 18), F.lit("999999999999999999"))
-    return runs.groupBy("ticker").agg(F.concat(F.lit("v"), (F.coalesce(F.max(number), F.lit(0)) + 1).cast("bigint").cast("string")).alias("next_version"))
+    number = F.substring("version", 2, 2**31 - 1).try_cast("decimal(38,0)")
+    return runs.groupBy("ticker").agg(F.concat(F.lit("v"), (F.coalesce(F.max(number), F.lit(0)) + 1).cast("decimal(38,0)").cast("string")).alias("next_version"))
 
 
 def best_latest_model(runs: DataFrame) -> DataFrame:
@@ -44,9 +44,12 @@ def stale_models(runs: DataFrame, as_of: str, days: int = 7) -> DataFrame:
 
 
 def registry_stats(runs: DataFrame) -> DataFrame:
+    """Counts of all runs, of the three usual states, and of any other state (null included)."""
+    usual = ("ready", "training", "failed")
+    other = ~F.coalesce(F.col("status").isin(*usual), F.lit(False))
     return runs.groupBy().agg(
         F.count_distinct("ticker").alias("total_tickers"), F.count(F.lit(1)).alias("total_versions"),
-        *[F.count_if(F.col("status") == s).alias(s) for s in ("ready", "training", "failed")],
+        *[F.count_if(F.col("status") == s).alias(s) for s in usual], F.count_if(other).alias("other"),
     )
 
 

@@ -15,7 +15,7 @@ AS_OF = "2001-08-01"
 
 def _lexicon(spark, sf):
     docs = tables.texts(spark, sf)
-    derived = sentiment.frequent_terms(docs.where(F.col("lang") == "en"))
+    derived = sentiment.frequent_terms(docs)
     finance = sentiment.finance_lexicon(spark)
     return finance.unionByName(derived.join(F.broadcast(finance.select("term")), "term", "left_anti"))
 

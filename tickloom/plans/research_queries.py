@@ -134,12 +134,13 @@ def minmax_train_only(spark, sf):
 
 
 def make_sequences(spark, sf):
-    df = forecast.make_sequences(_model_rows(spark, sf), ["close", "rsi14", "macd", "log_return"])
+    df = forecast.make_sequences(_model_rows(spark, sf), FEATURE_COLS)
+    close, rsi, macd = (FEATURE_COLS.index(c) for c in ("close", "rsi14", "macd"))
     total = lambda i: F.aggregate("x", F.lit(0.0), lambda acc, r: acc + r[i])
     return df.select(
         "ticker", "dt", "split", F.size("x").cast("bigint").alias("length"),
-        F.round(total(0), 9).alias("sum_close"), F.round(total(1), 4).alias("sum_rsi"), F.round(F.element_at("x", 1)[0], 6).alias("first_close"),
-        F.round(F.element_at("x", -1)[2], 4).alias("last_macd"), F.round("target", 8).alias("target"),
+        F.round(total(close), 9).alias("sum_close"), F.round(total(rsi), 4).alias("sum_rsi"), F.round(F.element_at("x", 1)[close], 6).alias("first_close"),
+        F.round(F.element_at("x", -1)[macd], 4).alias("last_macd"), F.round("target", 8).alias("target"),
     )
 
 

@@ -27,10 +27,16 @@ def local_session(cores: str = "8", name: str = "tickloom") -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a scratch folder only where none is set."""
+    """The shared folder the session names; a scratch folder only for a local session without one.
+
+    On several machines each would write to its own disk, and later reads would miss
+    rows without an error, so a session of a cluster has to name the folder.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", scratch)
     return scratch

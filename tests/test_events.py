@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.constants import BREAKER_WINDOW
-from tickloom.functions.blocks import trailing_time, with_ordinal
+from tickloom.functions.blocks import trailing_count, with_ordinal
 from tickloom.operators import alerts, sentiment, telemetry
 from tickloom.sources.sinks import as_json, sanitise, write_result
 
@@ -32,7 +32,7 @@ def by_key(log):
 @pytest.mark.parametrize("newest", [False, True])
 def test_ordinal_matches_a_sort(log, newest):
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    got = {r["event_id"]: r["seq"] for r in with_ordinal(log, "key", micros, 60_000_000, "event_id", newest_first=newest).collect()}
+    got = {r["event_id"]: r["seq"] for r in with_ordinal(log, "key", micros, "event_id", newest_first=newest).collect()}
     for rows in by_key(log).values():
         for i, r in enumerate(reversed(rows) if newest else rows):
             assert got[r["event_id"]] == i
@@ -57,7 +57,7 @@ def test_failure_rate_does_not_depend_on_the_block(log):
 def test_trailing_calls(log):
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     span = 60_000_000
-    out = trailing_time(log, "key", micros, span, 4 * span, lambda w: {"calls": F.count(F.lit(1)).over(w)}).collect()
+    out = trailing_count(log, "key", micros, span, "event_id", "calls").collect()
     assert len(out) == 3000
     times = {k: [r["ts"] for r in v] for k, v in by_key(log).items()}
     for r in out[::11]:
@@ -65,8 +65,20 @@ def test_trailing_calls(log):
         assert r["calls"] == sum(low <= t <= r["ts"] for t in times[r["key"]])
 
 
+def test_most_of_a_log_in_one_second(spark):
+    rows = [(i, "hot", START + datetime.timedelta(microseconds=(i * 7919) % 1_000_000 if i % 10 else i * 1_000_000)) for i in range(2000)]
+    busy = spark.createDataFrame(rows, "event_id long, key string, ts timestamp_ntz")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    order = sorted(rows, key=lambda r: (r[2], r[0]))
+    got = {r["event_id"]: r["seq"] for r in with_ordinal(busy, "key", micros, "event_id").collect()}
+    assert [got[r[0]] for r in order] == list(range(2000))
+    calls = {r["event_id"]: r["calls"] for r in trailing_count(busy, "key", micros, 500_000, "event_id", "calls").collect()}
+    for i, _, t in rows[::37]:
+        assert calls[i] == sum(t - datetime.timedelta(microseconds=500_000) <= u <= t for _, _, u in rows)
+
+
 def test_nearest_rank(log):
-    got = {r["key"]: r for r in telemetry.nearest_rank(log, "key", "latency_s", (0.5, 0.95, 0.99), 0.1).collect()}
+    got = {r["key"]: r for r in telemetry.nearest_rank(log, "key", "latency_s", (0.5, 0.95, 0.99)).collect()}
     for key, rows in by_key(log).items():
         v = sorted(r["latency_s"] for r in rows)
         for p in (0.5, 0.95, 0.99):

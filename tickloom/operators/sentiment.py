@@ -72,7 +72,7 @@ def recency_sentiment(scores: DataFrame, group: str, order: str, weights: str |
     mergeable aggregates.
     """
     if weights is None:
-        scores = with_ordinal(scores, group, F.col(order).cast("bigint"), 4096, order, "_i", newest_first=True)
+        scores = with_ordinal(scores, group, F.col(order).cast("bigint"), order, "_i", newest_first=True)
         scores = scores.withColumn("_w", F.exp(-DECAY * F.col("_i")))
     else:
         scores = scores.withColumn("_w", F.col(weights))

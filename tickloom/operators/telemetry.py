@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.constants import (
     BREAKER_THRESHOLD, BREAKER_WINDOW, CALL_WINDOW_SECONDS, CALLS_PER_WINDOW, LATENCY_BOUNDS,
 )
-from tickloom.functions.blocks import rolling_rows, trailing_time, with_ordinal
+from tickloom.functions.blocks import rolling_rows, running_sum, trailing_count, with_ordinal
 
 # ---------------------------------------------------------------------------
 # Model runs
@@ -16,7 +16,7 @@ from tickloom.functions.blocks import rolling_rows, trailing_time, with_ordinal
 
 def with_version(runs: DataFrame) -> DataFrame:
     """Version ``v1, v2, ...`` by training date and run, per ticker."""
-    runs = with_ordinal(runs, "ticker", F.unix_date("trained_at").cast("bigint"), 30, "run_id")
+    runs = with_ordinal(runs, "ticker", F.unix_date("trained_at").cast("bigint"), "run_id")
     return runs.withColumn("version", F.concat(F.lit("v"), (F.col("seq") + 1).cast("string")))
 
 
@@ -89,28 +89,20 @@ def bucket_percentile(hist: DataFrame, keys: list[str], ps: tuple[float, ...] =
     return hist.select(*keys, *out)
 
 
-def nearest_rank(df: DataFrame, key: str, value: str, ps: tuple[float, ...], width: float) -> DataFrame:
+def nearest_rank(df: DataFrame, key: str, value: str, ps: tuple[float, ...]) -> DataFrame:
     """Nearest-rank percentiles (the ceil(p n)-th value) per key, exactly.
 
-    First equal values merge into counts, then value buckets locate the ranks;
-    only the buckets that hold one are ordered, so a key of any size never has
-    its values in one place.
+    Equal values merge into counts, the counts are summed along the values in
+    ranges cut by row counts, and the least value that reaches a rank is it; a key
+    of any size, with any values, never meets in one place.
     """
-    counts = df.groupBy(key, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    counts = counts.withColumn("_b", F.floor(F.col("_v") / width))
-    buckets = counts.groupBy(key, "_b").agg(F.sum("_c").alias("_c"))
-    upto = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = buckets.withColumns({"_hi": F.sum("_c").over(upto), "_n": F.sum("_c").over(Window.partitionBy(key))})
-    target = lambda p: F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("_n")))
-    ranks = buckets.select(
-        key, "_b", (F.col("_hi") - F.col("_c")).alias("_lo"), "_hi",
-        F.explode(F.array(*[F.struct(F.lit(p).alias("p"), target(p).alias("rank")) for p in ps])).alias("t"),
-    ).where((F.col("t.rank") > F.col("_lo")) & (F.col("t.rank") <= F.col("_hi")))
-    inside = Window.partitionBy(key, "_b", "t").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    found = counts.join(ranks.select(key, "_b", "_lo", "t"), [key, "_b"])
-    found = found.withColumn("_pos", F.col("_lo") + F.sum("_c").over(inside)).where(F.col("_pos") >= F.col("t.rank"))
-    columns = [F.min(F.when(F.col("t.p") == p, F.col("_v"))).alias(f"p{int(p * 100)}") for p in ps]
-    return found.groupBy(key).agg(*columns)
+    counts = df.groupBy(key, F.col(value).alias("_v0")).agg(F.count(F.lit(1)).alias("_c"))
+    summed = running_sum(counts, key, [F.col("_v0")], F.col("_c"), "_upto")
+    totals = counts.groupBy(F.col(key).alias("_key")).agg(F.sum("_c").alias("_n"))
+    reached = summed.join(totals, summed[key].eqNullSafe(totals["_key"]))
+    rank = lambda p: F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("_n")))
+    columns = [F.min(F.when(F.col("_upto") >= rank(p), F.col("_v0"))).alias(f"p{int(p * 100)}") for p in ps]
+    return reached.groupBy(key).agg(*columns)
 
 
 def latency_percentiles(log: DataFrame) -> DataFrame:
@@ -124,7 +116,7 @@ def latency_percentiles(log: DataFrame) -> DataFrame:
         F.round(F.avg(F.when(F.col("from_cache"), 1.0).otherwise(0.0)), 4).alias("cache_hit_rate"),
         F.min("latency_s").alias("min"), F.max("latency_s").alias("max"), F.avg("latency_s").alias("mean"),
     )
-    ranks = nearest_rank(log, "label", "latency_s", (0.5, 0.95, 0.99), 0.01)
+    ranks = nearest_rank(log, "label", "latency_s", (0.5, 0.95, 0.99))
     return totals.join(ranks, "label").select(
         "label", "total_requests", "throughput_rps", "error_rate", "cache_hit_rate",
         *[ms(c) for c in ("min", "p50", "p95", "p99", "max", "mean")],
@@ -136,7 +128,7 @@ def sliding_failure_rate(
 ) -> DataFrame:
     """Failure share of the last ``window`` outcomes per key; trips when full and at the threshold."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    numbered = with_ordinal(log, "key", micros, 3_600_000_000, "event_id")
+    numbered = with_ordinal(log, "key", micros, "event_id")
     failed = F.when(F.col("ok"), 0.0).otherwise(1.0)
     out = rolling_rows(
         numbered, "key", "seq", window - 1, block,
@@ -148,8 +140,5 @@ def sliding_failure_rate(
 def rolling_call_count(log: DataFrame, limit: int = CALLS_PER_WINDOW, seconds: float = CALL_WINDOW_SECONDS) -> DataFrame:
     """Calls of the key in the trailing window, this one included, against the limit."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    out = trailing_time(
-        log, "key", micros, int(seconds * 1_000_000), max(3_600_000_000, int(seconds * 4_000_000)),
-        lambda w: {"calls": F.count(F.lit(1)).over(w)},
-    )
+    out = trailing_count(log, "key", micros, int(seconds * 1_000_000), "event_id", "calls")
     return out.withColumn("over_limit", F.col("calls") > limit)

@@ -12,13 +12,12 @@ VALUE_COLS = BAR_COLS[2:]
 
 
 def keep_first_copy(df: DataFrame) -> DataFrame:
-    """One row per (ticker, dt), the earliest ingested.
+    """One row per (ticker, dt), the earliest ingested; ``ingest_seq`` tells copies apart.
 
     A mergeable aggregate: a group of copies shrinks to one row per task before
     the shuffle, whatever its size.
     """
-    first = F.min_by(F.struct(*VALUE_COLS), "ingest_seq").alias("bar")
-    return df.groupBy("ticker", "dt").agg(first).select("ticker", "dt", "bar.*")
+    return df.groupBy("ticker", "dt").agg(*[F.min_by(c, "ingest_seq").alias(c) for c in VALUE_COLS])
 
 
 def null_non_finite(df: DataFrame) -> DataFrame:

@@ -43,10 +43,9 @@ def trades(
         if spiky
         else F.lit(100.0) + F.col("l_extendedprice") / 10000.0
     )
-    order = F.struct(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-    )
+    # First and last trade of a day by order, line, part, supplier and quantity; what remains tied has one price.
+    # One decimal instead of a struct keeps the aggregate hash based, so raw trades are never sorted.
+    order = packed_order(("l_orderkey", 12), ("l_linenumber", 2), ("l_partkey", 11), ("l_suppkey", 10), ("l_quantity", 3))
     return lines.select(
         F.col(key).cast("string").alias("ticker"),
         F.col("l_shipdate").cast("date").alias("dt"),
@@ -56,6 +55,17 @@ def trades(
     )
 
 
+def packed_order(*parts: tuple[str, int]) -> Column:
+    """Non-negative whole numbers as one decimal of 38 digits that sorts like their tuple; ``parts``: (column, digits).
+
+    A number with more digits than given is an error, not a wrong order.
+    """
+    if sum(n for _, n in parts) > 38:
+        raise ValueError("more than 38 digits")
+    text = F.concat(*[F.lpad(F.col(c).cast(f"decimal({n},0)").cast("string"), n, "0") for c, n in parts])
+    return text.cast("decimal(38,0)")
+
+
 def daily_bars(ticks: DataFrame) -> DataFrame:
     """One bar per (ticker, dt): first, highest, lowest, last price and total quantity."""
     return ticks.groupBy("ticker", "dt").agg(

@@ -6,8 +6,6 @@ TRADING_DAYS = 252
 RISK_FREE_DAILY = RISK_FREE_ANNUAL / TRADING_DAYS
 INITIAL_CAPITAL = 10_000.0
 TRANSACTION_COST = 0.001
-MC_PATHS = 1000
-MC_HORIZON = 252
 BENCHMARK = "ECONOMY"
 
 # Forecast data preparation.
@@ -17,7 +15,6 @@ VAL_SPLIT = 0.15
 
 # Comparison.
 MIN_ROWS = 30
-MAX_TICKERS = 10
 
 # Regime id -> (name, colour, description).
 REGIME_PROFILES = {
@@ -65,12 +62,9 @@ LATENCY_BOUNDS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0
 # Walk-forward (bull weight, neutral weight) candidates, in the order they are tried.
 WALK_FORWARD_GRID = [(1.0, 0.5), (0.8, 0.4), (0.6, 0.3)]
 
-# Failure window and admission limits.
+# Failure window and call limits.
 BREAKER_WINDOW = 20
 BREAKER_THRESHOLD = 0.5
-BREAKER_RESET_SECONDS = 60.0
-BUCKET_CAPACITY = 20.0
-BUCKET_RATE = 5.0
 CALLS_PER_WINDOW = 30
 CALL_WINDOW_SECONDS = 60.0
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -56,14 +57,36 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def materialise(df):
+_WRITTEN: list[str] = []
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; ``release`` removes what was written there."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tickloom-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a table that this library wrote to the shared folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this process, once the frames that read them are done with."""
+    for path in list(_WRITTEN):
+        delete_path(spark, path)
+
+
+def materialise(df, name: str = "table"):
     """Write a frame that several branches read to the shared folder and read it back.
 
     Unlike a local checkpoint this survives the loss of any executor, and the
     branches still prune columns.
     """
-    import uuid
-
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tickloom-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

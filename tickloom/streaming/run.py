@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.session import checkpoint_dir
+from tickloom.session import shared_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -26,7 +24,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run the stream over everything available and return what it wrote."""
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    base = f"{checkpoint_dir(spark).rstrip('/')}/tickloom-stream-{uuid.uuid4().hex}"
+    base = shared_path(spark, "stream")
     query = (
         stream.writeStream.outputMode(mode)
         .format("parquet")

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import decontaminate, ngram_join, packing, quality, queries, toxicity
-from tickloom.llm.common import delete_path, shared_path, table
+from tickloom.llm.common import table
+from tickloom.session import delete_path, shared_path
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 import string
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.session import checkpoint_dir
+from tickloom.session import materialise
 
 #: A word: digits, lower-case ASCII letters and everything outside ASCII, after lower-casing A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -49,27 +50,23 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: a lost executor costs a read, not a recomputation."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialise(df, name)
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a table that this library wrote to the shared folder."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def word_count(text: Column) -> Column:
+    """Number of words of a text, from the edges of its runs of word bytes."""
 
+    def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = []
+            for t in texts:
+                inside = _BYTE_CLASS[np.frombuffer((t or "").encode("utf-8", "replace").lower(), np.uint8)]
+                out.append(int(np.count_nonzero(inside[1:] & ~inside[:-1])) + int(bool(len(inside) and inside[0])))
+            yield pd.Series(out, dtype="int64")
 
-def text_chars(df: DataFrame, column: str = "text") -> int:
-    """Characters of a column, from one aggregate; sizes blocks and partitions."""
-    return int(df.agg(F.sum(F.length(F.col(column).cast("string")))).first()[0] or 0)
+    return F.pandas_udf(look, "long")(text)
 
 
 # --- hashed words of many texts at once -------------------------------------------------------------------------

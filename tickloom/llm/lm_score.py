@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import hashed_words, mix, words_text
+from tickloom.llm.common import hashed_words, mix, word_count
 
 ORDER, BACKOFF = 3, 0.4
 #: Characters of text in a chunk, and of the corpus per hash partition.
@@ -40,9 +40,11 @@ def ngrams(hashes: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarra
 
 
 def _short(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Partition of each hash (ranges in order of hashes), and the bits that travel."""
+    """Partition of each hash (ranges in the order of hashes), and its place in the range, cut to what travels."""
     part = ((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    return part.astype(np.int64), grams >> np.uint64(64 - 8 * HASH_BYTES - 8) & np.uint64((1 << 8 * HASH_BYTES) - 1)
+    starts = np.array([-(-(k << 32) // parts) << 32 for k in range(parts)], np.uint64)
+    drop = max(0, 64 - (parts.bit_length() - 1) - 8 * HASH_BYTES)
+    return part.astype(np.int64), (grams - starts[part.astype(np.int64)]) >> np.uint64(drop)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -55,24 +57,42 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _distinct(grams: list[np.ndarray], parts: int, inverse: bool):
-    """Distinct short hashes by partition: partition, value, counts or the place of each n-gram (-1: none)."""
-    flat = np.concatenate(grams)
-    real = flat != 0
-    part, value = _short(flat[real], parts)
-    # ordered by partition, then value: one number of both (a chunk meets few enough partitions for 16 bits to differ)
-    order = np.lexsort((value, part))
-    p, v = part[order], value[order]
-    fresh = np.ones(len(p), bool)
-    fresh[1:] = (p[1:] != p[:-1]) | (v[1:] != v[:-1])
-    first = np.flatnonzero(fresh)
-    if not inverse:
-        return p[first], v[first], np.diff(np.concatenate([first, [len(p)]]))
-    place = np.empty(len(p), np.int64)
-    place[order] = np.cumsum(fresh) - 1
-    out = np.full(len(flat), -1, np.int64)
-    out[real] = place
-    return p[first], v[first], out
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """A byte a count; counts of 255 and more stand behind, eight bytes each."""
+    large = counts >= 255
+    return np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype("<u8").tobytes()
+
+
+def _unpack_counts(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<u8", offset=n).astype(np.int64)
+    return out
+
+
+def _firsts(part: np.ndarray, value: np.ndarray) -> np.ndarray:
+    fresh = np.ones(len(part), bool)
+    fresh[1:] = (part[1:] != part[:-1]) | (value[1:] != value[:-1])
+    return fresh
+
+
+def _distinct(grams: list[np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Partition, short hash and count of each distinct n-gram, in order."""
+    flat = np.concatenate([g[g != 0] for g in grams])
+    flat.sort()
+    part, value = _short(flat, parts)
+    first = np.flatnonzero(_firsts(part, value))
+    return part[first], value[first], np.diff(np.concatenate([first, [len(flat)]]))
+
+
+def _places(gram: np.ndarray, parts: int, part: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Place of each n-gram among the distinct ones (-1: none)."""
+    at, out = np.flatnonzero(gram), np.full(len(gram), -1, np.int64)
+    own, short = _short(gram[at], parts)
+    begin = np.searchsorted(part, np.arange(parts + 1))
+    order = np.argsort(own, kind="stable")
+    for k, rows in enumerate(np.split(order, np.searchsorted(own[order], np.arange(1, parts)))):
+        out[at[rows]] = begin[k] + np.searchsorted(value[begin[k] : begin[k + 1]], short[rows])
+    return out
 
 
 _REQUEST = T.StructType(
@@ -91,7 +111,7 @@ _ANSWER = T.StructType(
 def _requests(order: int, parts: int):
     def look(chunk: pa.Table) -> pa.Table:
         grams = ngrams(*hashed_words(chunk.column("text").to_pylist()), order)
-        part, value, counts = _distinct(grams, parts, inverse=False)
+        part, value, counts = _distinct(grams, parts)
         edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
         ends = np.concatenate([edges[1:], [len(part)]])
         number = chunk.column("chunk")[0].as_py()
@@ -101,7 +121,7 @@ def _requests(order: int, parts: int):
                 "part": pa.array([int(part[a]) for a, _ in spans], pa.int32()),
                 "chunk": pa.array([number] * len(spans), pa.int32()),
                 "grams": pa.array([_pack(value[a:b]) for a, b in spans], pa.binary()),
-                "counts": pa.array([counts[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary()),
+                "counts": pa.array([_pack_counts(counts[a:b]) for a, b in spans], pa.binary()),
             }
         )
 
@@ -111,15 +131,15 @@ def _requests(order: int, parts: int):
 def _answers(asked: pa.Table) -> pa.Table:
     """Totals over all chunks, for each chunk in the order in which it asked."""
     values = [_unpack(x.as_py()) for x in asked.column("grams")]
-    counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in asked.column("counts")])
+    counts = np.concatenate([_unpack_counts(x.as_py(), len(v)) for x, v in zip(asked.column("counts"), values, strict=True)])
     _, place = np.unique(np.concatenate(values), return_inverse=True)
-    totals = np.bincount(place, weights=counts).astype("<u8")[place]
+    totals = np.bincount(place, weights=counts).astype(np.int64)[place]
     cuts = np.cumsum([0, *map(len, values)])
     return pa.table(
         {
             "chunk": asked.column("chunk").cast(pa.int32()),
             "part": asked.column("part").cast(pa.int32()),
-            "totals": pa.array([totals[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+            "totals": pa.array([_pack_counts(totals[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
         }
     )
 
@@ -148,18 +168,25 @@ def _scores(order: int, parts: int, total: int, backoff: float, exclude_self: bo
         n = np.diff(starts)
         sums = np.zeros(len(texts))
         if len(hashes):
-            _, value, place = _distinct(grams, parts, inverse=True)
-            pieces = sorted(zip(answers.column("part").to_pylist(), answers.column("totals").to_pylist(), strict=True))
-            totals = np.concatenate([np.frombuffer(t, "<u8") for _, t in pieces]).astype(float)
-            owner = np.tile(np.repeat(np.arange(len(texts)), n), order)
-            counts = np.where(place >= 0, totals[place], -1.0)
-            words = np.full(len(hashes), float(total))
+            part, value, _ = _distinct(grams, parts)
+            sizes = np.bincount(part, minlength=parts)
+            totals = np.zeros(len(value))
+            ends = np.cumsum(sizes)
+            for k, packed in zip(answers.column("part").to_pylist(), answers.column("totals"), strict=True):
+                totals[ends[k] - sizes[k] : ends[k]] = _unpack_counts(packed.as_py(), int(sizes[k]))
+            owner, words, counts = np.repeat(np.arange(len(texts)), n), np.full(len(hashes), float(total)), []
+            for k in range(order):
+                place = _places(grams[k], parts, part, value)
+                grams[k] = None
+                found = np.where(place >= 0, totals[place], -1.0)
+                if exclude_self:
+                    _, which, own = np.unique(owner * (len(value) + 1) + place, return_inverse=True, return_counts=True)
+                    found = np.where(place >= 0, found - own[which], -1.0)
+                counts.append(found)
             if exclude_self:
-                _, which, own = np.unique(owner * (len(value) + 1) + place, return_inverse=True, return_counts=True)
-                counts = np.where(place >= 0, counts - own[which], -1.0)
                 words -= np.repeat(n, n)
-            score = score_positions(np.split(counts, order), words, backoff)
-            sums = np.bincount(owner[: len(hashes)], weights=score, minlength=len(texts))
+            score = score_positions(counts, words, backoff)
+            sums = np.bincount(owner, weights=score, minlength=len(texts))
         return pa.table(
             {
                 names[0]: chunk.column("id").cast(id_type),
@@ -190,10 +217,7 @@ def backoff_scores(
     words, a log_score of 0 and a null mean; null ids are allowed; an empty table gives an empty result.
     """
     text = docs[text_column].cast("string")
-    words = words_text(text)
-    chars, total = docs.agg(
-        F.sum(F.length(text)), F.sum(F.when(words == "", 0).otherwise(F.length(words) - F.length(F.translate(words, " ", "")) + 1))
-    ).first()
+    chars, total = docs.agg(F.sum(F.length(text)), F.sum(word_count(text))).first()
     chunks = max(1, -(-(chars or 0) // chunk_chars))
     base = docs.select(
         F.pmod(F.xxhash64(docs[id_column], text), F.lit(chunks)).cast("int").alias("chunk"), docs[id_column].alias("id"), text.alias("text")

@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import delete_path, free_name, hashed_words, shared_path, shingles, words_text, written
+from tickloom.llm.common import free_name, hashed_words, shingles, words_text, written
 from tickloom.llm.minhash import band_keys, bands_for, raw_gram, signatures
+from tickloom.session import delete_path, shared_path
 
 THRESHOLD, WORDS, RECALL = 0.8, 5, 0.995
 #: Members of a block; a tile compares two blocks.

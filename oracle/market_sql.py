@@ -63,6 +63,7 @@ JOIN (SELECT ticker, COUNT(*) FILTER (open IS NULL OR high IS NULL OR low IS NUL
 FEAT = B + cleaned() + engineered("clean")
 Q["min_rows_gate"] = sql(FEAT, """SELECT ticker, COUNT(*) AS available, 1410::BIGINT AS required,
   CASE WHEN COUNT(*) >= 1410 THEN 'ok' ELSE 'insufficient' END AS status FROM feat GROUP BY ticker""")
+Q["min_rows_split"] = sql(FEAT, "SELECT ticker, COUNT(*) AS rows, GREATEST(1410 - COUNT(*), 0)::BIGINT AS missing FROM feat GROUP BY ticker")
 Q["pct_return"] = sql(B, f"SELECT ticker, dt, ROUND(close / LAG(close) OVER ({W}) - 1, 8) AS ret1, ROUND(close / LAG(close, 10) OVER ({W}) - 1, 8) AS ret10 FROM bars")
 Q["log_return"] = sql(B, f"SELECT ticker, dt, ROUND(LN(close) - LAG(LN(close)) OVER ({W}), 8) AS log_return FROM bars")
 Q["day_of_week"] = sql(B, "SELECT ticker, dt, CAST(ISODOW(dt) - 1 AS BIGINT) AS day_of_week FROM bars")
@@ -229,3 +230,5 @@ Q["regime_scoreboard"] = sql(
             ("al", f"SELECT *, {PROFILE}, {ALERT} AS alert FROM last")],
     f"""SELECT ticker, dt, CAST(regime AS INTEGER) AS regime, {rounds(['risk_score', 'rsi14', 'ema20', 'macd', 'macd_hist', 'log_return'], 4)}, ROUND(close, 6) AS close,
   regime_name, regime_color, regime_description, alert, {", ".join(f"{case_map('alert', ALERT_LEVELS, i)} AS {n}" for i, n in enumerate(["alert_label", "alert_color", "alert_description"]))} FROM al""")
+#: What was written is what is read.
+Q["write_result"] = Q["regime_scoreboard"]

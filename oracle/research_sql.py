@@ -192,7 +192,10 @@ CAND = PF + [
 Q["candidate_portfolios"] = sql(CAND, """SELECT CAST(candidate AS INTEGER) AS candidate, LIST(ROUND(w, 6) ORDER BY i) AS weights,
   ROUND(ANY_VALUE(ret), 6) AS ret, ROUND(ANY_VALUE(vol), 6) AS vol, ROUND(ANY_VALUE(sharpe), 6) AS sharpe FROM cd JOIN wt USING (candidate) GROUP BY candidate""")
 Q["max_sharpe_min_vol"] = sql(
-    CAND + [("pk", "(SELECT 'max_sharpe' AS portfolio, * FROM cd ORDER BY sharpe DESC, candidate LIMIT 1) UNION ALL (SELECT 'min_volatility', * FROM cd ORDER BY vol, candidate LIMIT 1)")],
+    CAND + [
+        ("rk", "SELECT *, ROW_NUMBER() OVER (ORDER BY sharpe DESC, candidate) AS rs, ROW_NUMBER() OVER (ORDER BY vol, candidate) AS rv FROM cd"),
+        ("pk", "SELECT *, UNNEST(LIST_FILTER([CASE WHEN rs = 1 THEN 'max_sharpe' END, CASE WHEN rv = 1 THEN 'min_volatility' END], lambda x: x IS NOT NULL)) AS portfolio FROM rk WHERE rs = 1 OR rv = 1"),
+    ],
     """SELECT portfolio, CAST(candidate AS INTEGER) AS candidate, ROUND(ret, 4) AS expected_return, ROUND(vol, 4) AS volatility, ROUND(sharpe, 4) AS sharpe_ratio,
   ticker, ROUND(w, 4) AS weight FROM pk JOIN wt USING (candidate)""")
 Q["efficient_frontier"] = sql(

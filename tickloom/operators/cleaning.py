@@ -81,6 +81,13 @@ def data_quality_report(raw: DataFrame) -> DataFrame:
     )
 
 
+def split_min_rows(df: DataFrame, required: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of tickers with ``required`` rows or more, and one row (ticker, available, required) for each other."""
+    gate = min_rows_gate(df, required)
+    ok = df.join(gate.where("status = 'ok'").select("ticker"), "ticker", "left_semi")
+    return ok, gate.where("status <> 'ok'").drop("status")
+
+
 def min_rows_gate(df: DataFrame, required: int) -> DataFrame:
     """Rows per ticker against a minimum: ``ok`` or ``insufficient``."""
     status = F.when(F.col("available") >= required, "ok").otherwise("insufficient")

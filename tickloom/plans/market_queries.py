@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.constants import BENCHMARK, REGIME_FEATURES
 from tickloom.functions.series import by_ticker, full_window, with_position
@@ -10,8 +11,9 @@ from tickloom.operators import cleaning, compare, indicators, market, regimes
 from tickloom.plans.panels import (
     compare_panel, engineered, rounded, service_features, service_regimes,
 )
+from tickloom.session import shared_path
 from tickloom.sources import bars as src
-from tickloom.sources.sinks import as_json, sanitise
+from tickloom.sources import sinks
 from tickloom.sources.tables import table
 
 VALUES = cleaning.VALUE_COLS
@@ -52,7 +54,20 @@ def min_rows_gate(spark, sf):
 
 
 def write_result(spark, sf):
-    return as_json(sanitise(regime_scoreboard(spark, sf)), "ticker")
+    """The scoreboard as one JSON document per ticker, written and read back."""
+    board = regime_scoreboard(spark, sf)
+    path = shared_path(spark, "result")
+    sinks.write_result(sinks.as_json(sinks.sanitise(board, None), "ticker"), path, "json")
+    record = T.StructType([f for f in board.schema.fields if f.name != "ticker"])
+    back = spark.read.schema("ticker string, record string").json(path)
+    return back.select("ticker", F.from_json("record", record).alias("r")).select("ticker", "r.*").select(board.columns)
+
+
+def min_rows_split(spark, sf):
+    """Rows per ticker that passes the gate and the shortfall of those that do not, side by side."""
+    ok, short = cleaning.split_min_rows(engineered(spark, sf), 2 * 700 + 10)
+    passed = ok.groupBy("ticker").agg(F.count(F.lit(1)).alias("rows")).withColumn("missing", F.lit(0).cast("bigint"))
+    return passed.unionByName(short.select("ticker", F.col("available").alias("rows"), (F.col("required") - F.col("available")).alias("missing")))
 
 
 def pct_return(spark, sf):
@@ -282,7 +297,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         load_bars, clean_sort_dedup, clean_inf_to_null, clean_fill_gaps, clean_iqr_outliers, clean_winsorize,
-        data_quality_report, min_rows_gate, write_result, pct_return, log_return, day_of_week, next_return_target,
+        data_quality_report, min_rows_gate, min_rows_split, write_result, pct_return, log_return, day_of_week, next_return_target,
         price_direction_quotes, sector_heatmap, condition_alert, attribution_weights, narrative_columns,
         regime_profile_join, downsample_every_k, latest_indicators, rsi14, ema20, macd, engineer_features, rolling_vol,
         regime_features, regime_features_drop, rolling_sharpe60, equity_curve, drawdown_series, common_dates,

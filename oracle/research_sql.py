@@ -168,9 +168,22 @@ Q["walk_forward_eval_summary"] = sql(
     WE + [("wg", f"SELECT ticker, fold, ROUND(rmse, 4) AS rmse, ROUND(directional_accuracy, 2) AS da FROM (SELECT ticker, fold, {METRICS.format(d=9)} FROM wt GROUP BY ticker, fold)")],
     """SELECT ticker, COUNT(*) AS n_folds, ROUND(AVG(da), 3) AS mean_directional_accuracy, ROUND(STDDEV_POP(da), 3) AS std_directional_accuracy,
   ROUND(AVG(rmse), 3) AS mean_rmse, ROUND(STDDEV_POP(rmse), 3) AS std_rmse FROM wg GROUP BY ticker""")
-Q["batch_score"] = sql(
-    ROWS + [("lg", "SELECT *, " + ", ".join(f"LAG(log_return, {i}) OVER ({W}) AS lag{i}" for i in range(5)) + " FROM mr")],
-    "SELECT ticker, dt, ROUND(-0.4 * lag0 - 0.2 * lag1 - 0.1 * lag2 - 0.05 * lag3 - 0.025 * lag4 + 0.0001, 8) AS score FROM lg WHERE lag4 IS NOT NULL AND split = 'test'")
+Q["batch_score"] = sql(AR, "SELECT ticker, dt, ROUND(a + b * log_return, 8) AS score FROM mr JOIN ar USING (ticker) WHERE split = 'test'")
+RECORD = AR + [
+    ("ts", "SELECT ticker, close AS naive, close * EXP(target) AS actual, close * EXP(a + b * log_return) AS fitted, target, a + b * log_return AS r FROM mr JOIN ar USING (ticker) WHERE split = 'test'"),
+    ("er", """SELECT ticker, SQRT(AVG(POW(actual - fitted, 2))) AS fitted_rmse, AVG(ABS(actual - fitted)) AS fitted_mae,
+  SQRT(AVG(POW(actual - naive, 2))) AS naive_rmse, AVG(ABS(actual - naive)) AS naive_mae,
+  AVG(CASE WHEN SIGN(target) = SIGN(r) THEN 1.0 ELSE 0.0 END) * 100 AS directional_accuracy, STDDEV_POP(target - r) AS residual_sd FROM ts GROUP BY ticker"""),
+    ("la", "SELECT ticker, close AS p0, log_return AS r0 FROM feat WHERE seq = n - 1"),
+    ("ho RECURSIVE", """SELECT ticker, 0 AS step, r0 AS r, p0 AS p FROM la
+UNION ALL SELECT h.ticker, h.step + 1, ar.a + ar.b * h.r, h.p * EXP(ar.a + ar.b * h.r) FROM ho h JOIN ar USING (ticker) WHERE h.step < 5"""),
+    ("hp", "SELECT ticker, MAX(p) FILTER (step = 1) AS next_price, MAX(p) FILTER (step = 5) AS horizon_price FROM ho GROUP BY ticker"),
+]
+Q["forecast_record"] = sql(RECORD, """SELECT ticker, ROUND(b, 8) AS slope, ROUND(a, 8) AS intercept, c AS train_rows, ROUND(fitted_rmse, 4) AS fitted_rmse,
+  ROUND(fitted_mae, 4) AS fitted_mae, ROUND(naive_rmse, 4) AS naive_rmse, ROUND(naive_mae, 4) AS naive_mae, ROUND(directional_accuracy, 4) AS directional_accuracy,
+  ROUND(residual_sd, 8) AS residual_sd, ROUND(next_price, 4) AS next_price, ROUND(horizon_price, 4) AS horizon_price,
+  ROUND(next_price * EXP(-1.96 * residual_sd), 4) AS lower, ROUND(next_price * EXP(1.96 * residual_sd), 4) AS upper
+FROM ar JOIN er USING (ticker) JOIN hp USING (ticker)""")
 
 U = "(('0x' || SUBSTR(MD5({k}), {s}, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
 PF = bars("type") + COMMON("bars") + [

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -186,13 +184,41 @@ def return_forecaster(df: DataFrame) -> DataFrame:
     )
 
 
-def batch_score(windows: DataFrame, weights: list[float], constant: float) -> DataFrame:
-    """Score windows ``x`` with a fitted linear model, one matrix product per Arrow batch."""
-    w = np.asarray(weights)
+def batch_score(rows: DataFrame, fit: DataFrame) -> DataFrame:
+    """Predicted next return of each row by its ticker's fitted coefficients (``fit_ar1``), one expression a row."""
+    scored = rows.join(fit.select("ticker", "slope", "intercept"), "ticker")
+    return scored.withColumn("score", F.col("intercept") + F.col("slope") * F.col("log_return"))
 
-    def score(batches):
-        for batch in batches:
-            matrix = np.stack(batch["x"].to_numpy()) if len(batch) else np.empty((0, len(w)))
-            yield pd.DataFrame({"ticker": batch["ticker"], "dt": batch["dt"], "score": matrix @ w + constant})
 
-    return windows.select("ticker", "dt", "x").mapInPandas(score, "ticker string, dt date, score double")
+def forecast_record(features: DataFrame, steps: int = 5) -> DataFrame:
+    """One record per ticker: the fit, its errors on test prices beside the naive ones, the band, the horizon.
+
+    Each part is a per-ticker aggregate of at most one row (the horizon: ``steps`` rows gathered into an array).
+    """
+    df = with_split(with_target(features))
+    fit = fit_ar1(df)
+    test = batch_score(df.where("split = 'test'"), fit).withColumns(
+        {
+            "actual": price_from_log_return(F.col("close"), F.col("target")),
+            "fitted": price_from_log_return(F.col("close"), F.col("score")),
+        }
+    )
+    both = F.array(
+        F.struct(F.lit("fitted").alias("model"), F.col("fitted").alias("pred"), F.col("score").alias("d_pred")),
+        F.struct(F.lit("naive").alias("model"), F.col("close").alias("pred"), F.lit(0.0).alias("d_pred")),
+    )
+    long = test.select("ticker", "actual", F.col("target").alias("d_actual"), F.inline(both))
+    metrics = forecast_metrics(long, ["ticker", "model"])
+    errors = metrics.groupBy("ticker").agg(
+        *[F.max(F.when(F.col("model") == m, F.col(c))).alias(f"{m}_{c}") for m in ("fitted", "naive") for c in ("rmse", "mae")],
+        F.max(F.when(F.col("model") == "fitted", F.col("directional_accuracy"))).alias("directional_accuracy"),
+    )
+    spread = test.groupBy("ticker").agg(F.stddev_pop(F.col("target") - F.col("score")).alias("residual_sd"))
+    path = roll_forecast(features, steps)
+    horizon = path.groupBy("ticker").agg(
+        F.max(F.when(F.col("step") == 1, F.col("price"))).alias("next_price"),
+        F.max(F.when(F.col("step") == steps, F.col("price"))).alias("horizon_price"),
+    )
+    out = fit.join(errors, "ticker").join(spread, "ticker").join(horizon, "ticker")
+    sd = F.col("residual_sd") * 1.96
+    return out.withColumns({"lower": F.col("next_price") * F.exp(-sd), "upper": F.col("next_price") * F.exp(sd)})

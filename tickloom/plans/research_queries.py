@@ -190,10 +190,14 @@ def walk_forward_eval_summary(spark, sf):
 
 
 def batch_score(spark, sf):
-    df = forecast.lag_features(_model_rows(spark, sf)).where("split = 'test'")
-    windows = df.select("ticker", "dt", F.array(*[f"lag{i}" for i in range(forecast.LAGS)]).alias("x"))
-    out = forecast.batch_score(windows, [-0.4, -0.2, -0.1, -0.05, -0.025], 0.0001)
-    return rounded(out, {"score": 8})
+    df = _model_rows(spark, sf)
+    out = forecast.batch_score(df.where("split = 'test'"), forecast.fit_ar1(df))
+    return rounded(out.select("ticker", "dt", "score"), {"score": 8})
+
+
+def forecast_record(spark, sf):
+    out = forecast.forecast_record(engineered(spark, sf))
+    return rounded(out, {c: 8 if c in ("slope", "intercept", "residual_sd") else 4 for c in out.columns if c not in ("ticker", "train_rows")})
 
 
 def _asset_returns(spark, sf):
@@ -236,7 +240,7 @@ QUERIES = {
         forecast_metrics, perf_ratios, alpha_beta, rolling_ic, ic_ttest, ic_significance, cv_ic,
         walk_forward_thresholds, walk_forward_summary, quant_report, quant_report_nested,
         chrono_split, minmax_train_only, make_sequences, inverse_scale, price_from_logret, ensemble_band,
-        ar1_forecaster, return_forecaster, roll_forecast, walk_forward_eval, walk_forward_eval_summary, batch_score,
+        ar1_forecaster, return_forecaster, roll_forecast, walk_forward_eval, walk_forward_eval_summary, batch_score, forecast_record,
         mean_cov_annual, equal_weight, candidate_portfolios, max_sharpe_min_vol, efficient_frontier,
     )
 }

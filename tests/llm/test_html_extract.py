@@ -21,6 +21,16 @@ def test_article_without_article_tag(spark):
         assert r["text"] == f"T & U\nOne two three.\nFour\nfive <b> end {r['page_id']}\nx\ny"
 
 
+def test_what_is_no_article(spark):
+    page = """<body class="has-sidebar"><main><article class="post with-sidebar"><div class="post-header"><h1>T</h1></div><header><p>by x</p><h2>S</h2></header>
+<p>A</p><p style="display: none">h</p><section id="comments"><article class="comment"><p>c</p></article></section><p class="notice">n</p>
+<div role="alert">r</div><div class="no-comments"><p>B</p></div><aside>s</aside></article><article class="related"><p>more more more more</p></article></main></body>"""
+    assert H.main_text(page, None) == "T\nS\nA\nB"
+    import json
+
+    assert H.main_text(page, json.dumps(H.wrapper_of(H.parse(page)))) == "T\nS\nA\nB"
+
+
 def test_wrapper_is_union_free():
     a, b = (H.wrapper_of(H.parse(x)) for x in ("<ul><li>a<li>b</ul><p>x</p>", "<ul><li>c</ul><h2>t</h2><p>y</p><p>z</p>"))
     both = H.merged(a, b)

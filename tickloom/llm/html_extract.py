@@ -29,7 +29,8 @@ _TOKEN = re.compile(
     rf"<!--.*?(?:-->|$)|<({_RAW})\b[^>]*(?:/>|>.*?(?:</\1\s*>|$))|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split()
@@ -48,6 +49,11 @@ _NOISE = frozenset(
     replies respond disqus discussion share sharing social related recommended recommendations pagination pager toolbar search
     skip complementary contentinfo""".split()
 )
+#: Of these, what also an article element can be; its other classes (with-sidebar, post) say nothing about it.
+_NOISE_ARTICLES = frozenset("comment comments commentlist reply replies respond related recommended ad ads advert promo sponsored".split())
+#: A class that begins so tells what goes with the element, not what it is.
+_ABOUT_OTHERS = frozenset("has with no without is not hide show".split())
+_OF_ARTICLE = frozenset("article post entry story".split())
 _CONTENT = frozenset("article main".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -67,13 +73,21 @@ def _opened(name: str, attributes: str) -> tuple[str, bool]:
     for key, *values in _ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "")
         key = key.lower()
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
+        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDDEN.search(value)):
             hidden = True
         elif key in ("class", "id", "role"):
             words += value.lower().split()
     kind = ".".join([name, *(w for w in words[:3] if not any(c.isdigit() for c in w))])
-    parts = {p for w in words for p in re.split(r"[^a-z]+", w)}
-    noise = hidden or name in _NOT_TEXT or (bool(parts & _NOISE) and name not in ("html", "body", "article", "main"))
+    found = set()
+    for w in words:
+        parts = [p for p in re.split(r"[^a-z]+", w) if p]
+        if parts and parts[0] not in _ABOUT_OTHERS:
+            found |= _NOISE.intersection(parts) - ({"header"} if _OF_ARTICLE.intersection(parts) else set())
+    if name in ("html", "body", "main"):
+        found.clear()
+    elif name == "article":
+        found &= _NOISE_ARTICLES
+    noise = hidden or name in _NOT_TEXT or bool(found)
     if "main" in words and "main" not in kind:
         kind += ".main"
     return kind, noise

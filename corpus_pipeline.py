@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import decontaminate, ngram_join, packing, quality, queries, toxicity
-from tickloom.llm.common import table
+from tickloom.llm.common import small_batches, table
 from tickloom.session import delete_path, shared_path
 
 
@@ -26,6 +26,7 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    small_batches(spark)
     return ngram_join.keep_one_of_each(docs)
 
 
@@ -36,6 +37,7 @@ def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 1,024 tokens."""
+    small_batches(spark)
     return queries.with_digest(packing.pack(docs))
 
 

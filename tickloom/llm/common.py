@@ -20,7 +20,16 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD_BYTES = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
+#: Rows that go to a Python worker at once.  Texts are long; Spark's default of 10,000 rows makes workers large.
+ROWS_PER_BATCH = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

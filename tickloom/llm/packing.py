@@ -30,7 +30,7 @@ _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ſ]+(?:[ \n][\x21-\x7eÀ-ÖØ-öø-
 _NOT_SPACE = np.ones(256, dtype=bool)
 _NOT_SPACE[[ord(" "), ord("\n")]] = False
 #: Words whose ids a worker remembers (about 40 bytes each).  Bounds memory only: others are encoded each time.
-WORD_MEMORY = 2_000_000
+WORD_MEMORY = 1_000_000
 BLOCK_BYTES = 1 << 21
 
 
@@ -214,7 +214,7 @@ def pack(
     capacity: int = 1024,
     end_id: int = 0,
     tokenizer: str = "byte_bpe_50k.json",
-    window_tokens: int = 8_000_000,
+    window_tokens: int = 4_000_000,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:

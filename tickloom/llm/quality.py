@@ -219,7 +219,8 @@ def with_quality(
     groups, mean = path_posteriors(
         scored.select(host_column, path_column, (1 / (1 + F.exp(-F.col(logit)))).alias(chance)), chance, host_column, path_column
     )
-    groups = groups.select([F.col(c).alias(free_name(docs, c)) for c in groups.columns])
+    # As a table its size is known when the join is planned: a small one is broadcast and the texts stay where they are.
+    groups = written(groups.select([F.col(c).alias(free_name(docs, c)) for c in groups.columns]), "posteriors")
     g_host, g_path, host_p, path_p = groups.columns
     prior = math.log(mean / (1 - mean))
     joined = scored.join(

@@ -212,7 +212,8 @@ def _column_function(block: list[tuple], window: int, kind: T.StructType):
                     shard, size = i + 1, 0
             yield pd.DataFrame(rows, columns=[f.name for f in kind.fields])
 
-    return F.pandas_udf(found, kind)
+    # "Non-deterministic" keeps the planner from evaluating it once more for a filter on its result.
+    return F.pandas_udf(found, kind).asNondeterministic()
 
 
 def is_contaminated(n_words, n_hit):

@@ -152,7 +152,8 @@ def document_logit(text: Column, model: QualityModel) -> Column:
             rows = np.array([signals(t) for t in texts], float).reshape(-1, len(SIGNALS))
             yield pd.Series(model.logits(rows))
 
-    return F.pandas_udf(look, "double")(text)
+    # "Non-deterministic" keeps the planner from evaluating it once more for a filter on its result.
+    return F.pandas_udf(look, "double").asNondeterministic()(text)
 
 
 def _logit(p: Column) -> Column:

@@ -310,7 +310,8 @@ def toxicity_score(text: Column, model: ToxicityModel) -> Column:
             z = np.array([bias + sum(weights[t] for t in sorted(terms_of(x) & known)) for x in texts], float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    return F.pandas_udf(score, "double")(text.cast("string"))
+    # "Non-deterministic" keeps the planner from evaluating it once more for a filter on its result.
+    return F.pandas_udf(score, "double").asNondeterministic()(text.cast("string"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **columns) -> DataFrame:

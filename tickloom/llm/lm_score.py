@@ -58,14 +58,20 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 def _pack_counts(counts: np.ndarray) -> bytes:
-    """A byte a count; counts of 255 and more stand behind, eight bytes each."""
-    large = counts >= 255
-    return np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype("<u8").tobytes()
+    """A bit a count, then a byte each for those over 0, then eight bytes each for those of 255 and more."""
+    some = counts[counts > 0]
+    large = some >= 255
+    bits = np.packbits(counts > 0, bitorder="little").tobytes()
+    return bits + np.where(large, 255, some).astype(np.uint8).tobytes() + some[large].astype("<u8").tobytes()
 
 
 def _unpack_counts(raw: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
-    out[out == 255] = np.frombuffer(raw, "<u8", offset=n).astype(np.int64)
+    end = (n + 7) // 8
+    present = np.unpackbits(np.frombuffer(raw, np.uint8, end), bitorder="little", count=n).astype(bool)
+    some = np.frombuffer(raw, np.uint8, int(present.sum()), offset=end).astype(np.int64)
+    some[some == 255] = np.frombuffer(raw, "<u8", offset=end + len(some)).astype(np.int64)
+    out = np.zeros(n, np.int64)
+    out[present] = some
     return out
 
 
@@ -104,7 +110,7 @@ _REQUEST = T.StructType(
     ]
 )
 _ANSWER = T.StructType(
-    [T.StructField("chunk", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("totals", T.BinaryType())]
+    [T.StructField("chunk", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("others", T.BinaryType())]
 )
 
 
@@ -121,7 +127,7 @@ def _requests(order: int, parts: int):
                 "part": pa.array([int(part[a]) for a, _ in spans], pa.int32()),
                 "chunk": pa.array([number] * len(spans), pa.int32()),
                 "grams": pa.array([_pack(value[a:b]) for a, b in spans], pa.binary()),
-                "counts": pa.array([_pack_counts(counts[a:b]) for a, b in spans], pa.binary()),
+                "counts": pa.array([_pack_counts(counts[a:b] - 1) for a, b in spans], pa.binary()),
             }
         )
 
@@ -129,17 +135,17 @@ def _requests(order: int, parts: int):
 
 
 def _answers(asked: pa.Table) -> pa.Table:
-    """Totals over all chunks, for each chunk in the order in which it asked."""
+    """Counts in the other chunks, for each chunk in the order in which it asked; mostly 0, which costs a bit."""
     values = [_unpack(x.as_py()) for x in asked.column("grams")]
-    counts = np.concatenate([_unpack_counts(x.as_py(), len(v)) for x, v in zip(asked.column("counts"), values, strict=True)])
+    counts = 1 + np.concatenate([_unpack_counts(x.as_py(), len(v)) for x, v in zip(asked.column("counts"), values, strict=True)])
     _, place = np.unique(np.concatenate(values), return_inverse=True)
-    totals = np.bincount(place, weights=counts).astype(np.int64)[place]
+    others = np.bincount(place, weights=counts).astype(np.int64)[place] - counts
     cuts = np.cumsum([0, *map(len, values)])
     return pa.table(
         {
             "chunk": asked.column("chunk").cast(pa.int32()),
             "part": asked.column("part").cast(pa.int32()),
-            "totals": pa.array([_pack_counts(totals[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+            "others": pa.array([_pack_counts(others[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
         }
     )
 
@@ -168,12 +174,12 @@ def _scores(order: int, parts: int, total: int, backoff: float, exclude_self: bo
         n = np.diff(starts)
         sums = np.zeros(len(texts))
         if len(hashes):
-            part, value, _ = _distinct(grams, parts)
+            part, value, totals = _distinct(grams, parts)
             sizes = np.bincount(part, minlength=parts)
-            totals = np.zeros(len(value))
+            totals = totals.astype(float)
             ends = np.cumsum(sizes)
-            for k, packed in zip(answers.column("part").to_pylist(), answers.column("totals"), strict=True):
-                totals[ends[k] - sizes[k] : ends[k]] = _unpack_counts(packed.as_py(), int(sizes[k]))
+            for k, packed in zip(answers.column("part").to_pylist(), answers.column("others"), strict=True):
+                totals[ends[k] - sizes[k] : ends[k]] += _unpack_counts(packed.as_py(), int(sizes[k]))
             owner, words, counts = np.repeat(np.arange(len(texts)), n), np.full(len(hashes), float(total)), []
             for k in range(order):
                 place = _places(grams[k], parts, part, value)

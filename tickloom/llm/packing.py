@@ -30,8 +30,9 @@ _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ſ]+(?:[ \n][\x21-\x7eÀ-ÖØ-öø-
 _NOT_SPACE = np.ones(256, dtype=bool)
 _NOT_SPACE[[ord(" "), ord("\n")]] = False
 #: Words whose ids a worker remembers (about 40 bytes each).  Bounds memory only: others are encoded each time.
-WORD_MEMORY = 1_000_000
-BLOCK_BYTES = 1 << 21
+WORD_MEMORY = 500_000
+#: Texts are laid end to end in blocks of about so many bytes; the work arrays take some forty times that.
+BLOCK_BYTES = 400_000
 
 
 class Encoder:

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import written
 from tickloom.llm.url_filter import host_of
 
 _RAW = "script|style|template|noscript|iframe|svg|math|object|canvas|textarea|select|title"
@@ -376,7 +377,8 @@ def extract_main_text(
     an empty table an empty one; other columns are not read.
     """
     url, html = pages[url_column].cast("string"), pages[html_column].cast("string")
-    wrappers = host_wrappers(pages, host_of(url), html)
+    # As a table its size is known when the join is planned: a small one is broadcast and a large host stays spread.
+    wrappers = written(host_wrappers(pages, host_of(url), html), "wrappers")
     base = pages.select(pages[id_column], url.alias(url_column), html.alias("page"), host_of(url).alias("page_host"))
     joined = base.join(wrappers, base["page_host"] == wrappers["host"], "left")
     return joined.select(id_column, url_column, _extract(F.col("page"), F.col("wrapper")).alias("text"))

@@ -27,6 +27,16 @@ def test_linear_model_learns_soft_targets():
     assert w[0] > 2 and abs(w[1]) < 0.5 and b < 0
 
 
+def test_classifier_is_trained_on_posteriors_alone(docs, labels, monkeypatch):
+    fitted, targets = [], []
+    fit_model, fit_linear = toxicity.fit_label_model, toxicity.fit_linear
+    monkeypatch.setattr(toxicity, "fit_label_model", lambda patterns, *rest: fitted.append((m := fit_model(patterns, *rest), patterns)) or m)
+    monkeypatch.setattr(toxicity, "fit_linear", lambda hits, target, *rest: targets.append(target) or fit_linear(hits, target, *rest))
+    toxicity.fit_toxicity(docs, labels)
+    (model, patterns), (target,) = fitted[0], targets
+    assert len(target) and np.isin(np.round(target, 9), np.round(model.posterior(patterns), 9)).all()
+
+
 def test_toxicity_on_held_out_rows(spark, docs, labels):
     scored = queries.toxicity_scores(spark, "/root/testdata/sf0.01")
     judged = scored.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")

@@ -37,6 +37,14 @@ def test_classifier_is_trained_on_posteriors_alone(docs, labels, monkeypatch):
     assert len(target) and np.isin(np.round(target, 9), np.round(model.posterior(patterns), 9)).all()
 
 
+def test_rare_pure_terms_are_mined(spark):
+    toxic = [(f"zorkle a{k} b{k} word" if k < 10 else f"scum c{k} d{k} word", 1) for k in range(1200)]
+    clean = [(f"kind e{k} f{k} word" + " mixed" * (k % 3 == 0), 0) for k in range(1200)]
+    mixed = [(f"mixed g{k} h{k}", 1) for k in range(10)]
+    labelled = spark.createDataFrame(toxic + clean + mixed, "t string, y int")
+    assert [t for t in toxicity.mine_terms(labelled, "t", "y") if not t.endswith("*")] == ["scum", "zorkle"]
+
+
 def test_toxicity_on_held_out_rows(spark, docs, labels):
     scored = queries.toxicity_scores(spark, "/root/testdata/sf0.01")
     judged = scored.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")

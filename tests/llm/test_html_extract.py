@@ -58,3 +58,20 @@ def test_odd_pages(spark):
     assert [got[k] for k in (0, 1, 2, 3, 5, 6, 7, 8)] == ["", "", "plain", "", "a\nb", "text", "", ""]
     assert got[9] == "a < b && c > d"
     assert H.extract_main_text(frame).count() == len(rows) and H.extract_main_text(frame.where("false")).count() == 0
+
+
+def test_articles_below_the_limit(spark):
+    deep = lambda levels, inner: "<div>" * levels + inner + "</div>" * levels
+    teaser, body = "<section><p>short teaser</p></section>", "<p>a long text of %d</p><p>and its end</p>"
+    inner = {
+        "tag": f"<article><h2>T</h2>{deep(30, body)}</article><nav>n</nav>",
+        "main": f"<main><p>by x</p><div><article>{body}</article></div></main>",
+        "plain": body,
+    }
+    for levels in (H.DEEPEST - 3, H.DEEPEST, 40, 3000):
+        for kind, page in inner.items():
+            rows = [(k, "http://d.example/", f"<body>{teaser}{deep(levels, page % k)}</body>") for k in range(3)]
+            frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+            head = "T\n" if kind == "tag" else ""
+            got = {r["page_id"]: r["text"] for r in H.extract_main_text(frame).collect()}
+            assert got == {k: f"{head}a long text of {k}\nand its end" for k in range(3)}, (levels, kind)

@@ -135,13 +135,15 @@ def parse(page: str | None) -> Node:
 # --- wrappers: [kind, optional, repeated, text characters, link characters, noise, children] --------------------
 
 KIND, OPTIONAL, REPEATED, CHARS, LINKS, NOISE, CHILDREN = range(7)
-#: Levels below which groups are not told apart, and children that a group keeps apart.  Bounds a wrapper's size;
-#: pages are read to any depth and length.
+#: Levels below which groups are not told apart, save articles and main groups, and children that a group keeps apart.
+#: Bounds a wrapper's size; texts are counted, and pages read, to any depth and length.
 DEEPEST, WIDEST = 24, 64
 
 
 def wrapper_of(node: Node, link: bool = False, depth: int = 0) -> list:
     """The wrapper of one page's group: neighbours of one kind folded into a repeated one."""
+    if depth == DEEPEST:
+        return _wrapper_at_limit(node, link)
     link = link or node.name == "a"
     out = [node.kind, False, False, 0, 0, node.noise, []]
     children = []
@@ -150,12 +152,40 @@ def wrapper_of(node: Node, link: bool = False, depth: int = 0) -> list:
             n = len(child.strip())
             out[CHARS] += n
             out[LINKS] += n if link else 0
-        elif depth < DEEPEST:
+        else:
             children.append(wrapper_of(child, link, depth + 1))
     out[CHILDREN] = _folded(children)
     return out
 
 
+def _named(kind: str) -> str | None:
+    parts = kind.split(".")
+    return parts[0] if parts[0] in _CONTENT else "main" if "main" in parts[1:] else None
+
+
+def _wrapper_at_limit(node: Node, link: bool) -> list:
+    """All text below counts as the group's own; the first article and main groups on a way down are its children."""
+    out = [node.kind, False, False, 0, 0, node.noise, []]
+    groups, stack = [out], [(node, link, out, frozenset([_named(node.kind)]))]
+    while stack:
+        n, link, group, within = stack.pop()
+        name = _named(n.kind)
+        if name and name not in within:
+            group[CHILDREN].append([n.kind, False, False, 0, 0, False, []])
+            group, within = group[CHILDREN][-1], within | {name}
+            groups.append(group)
+        link = link or n.name == "a"
+        for child in n.children:
+            if isinstance(child, str):
+                chars = len(child.strip())
+                group[CHARS] += chars
+                group[LINKS] += chars if link else 0
+        stack += [(c, link, group, within) for c in reversed(n.children) if isinstance(c, Node) and not c.noise]
+    for group in reversed(groups):
+        group[CHILDREN] = _folded(group[CHILDREN])
+    return out
+
+
 def _folded(children: list[list]) -> list[list]:
     out = []
     for c in children:
@@ -228,9 +258,8 @@ def main_group(wrapper: list) -> tuple[str, ...]:
     def visit(w: list, way: tuple[str, ...]) -> None:
         if w[NOISE]:
             return
-        parts = w[KIND].split(".")
-        if (parts[0] in _CONTENT or "main" in parts[1:]) and total(w):
-            named.append((parts[0] == "article", total(w), way))
+        if (name := _named(w[KIND])) and total(w):
+            named.append((name == "article", total(w), way))
         own = w[CHARS] - w[LINKS]
         for c in w[CHILDREN]:
             name = c[KIND].split(".")[0]
@@ -250,11 +279,25 @@ def main_group(wrapper: list) -> tuple[str, ...]:
 
 def _groups_at(node: Node, way: tuple[str, ...]) -> list[Node]:
     level = [node]
-    for kind in way:
+    for kind in way[:DEEPEST]:
         level = [c for n in level for c in n.children if isinstance(c, Node) and c.kind == kind]
+    for kind in way[DEEPEST:]:  # below the limit a wrapper names articles and main groups only
+        level = [c for n in level for c in _groups_below(n, kind)]
     return level
 
 
+def _groups_below(node: Node, kind: str) -> list[Node]:
+    """The outermost groups of the kind at any depth."""
+    stack, found = [node], []
+    while stack:
+        n = stack.pop()
+        if n is not node and n.kind == kind:
+            found.append(n)
+            continue
+        stack += [c for c in reversed(n.children) if isinstance(c, Node) and not c.noise]
+    return found
+
+
 def _own_main(root: Node) -> list[Node]:
     """Where the wrapper's way does not exist in a page: its article or main elements, else the page."""
     stack, found = [root], []

@@ -56,3 +56,15 @@ def test_near_pairs(docs, texts):
     sets = {i: grams(t) for i, t in texts.items()}
     want = {(q, i) for q in texts if q % 50 == 0 and sets[q] for i in texts if sets[i] and 5 * len(sets[q] & sets[i]) >= 4 * len(sets[q] | sets[i])}
     assert want <= found | {(q, i) for q, i in want if texts[q] == texts[i]} and {(q, i) for q, i in found if sets[q]} <= want
+
+
+def test_copies_make_no_pairs_of_nodes(spark):
+    base = " ".join(f"w{k}" for k in range(100))
+    rows = [(k, base.upper() if k % 2 else base) for k in range(600)] + [(600, base + " x"), (601, "none of it at all here"), (None, ""), (602, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    some = frame.where("doc_id % 50 = 0 or doc_id is null")
+    pairs, asking, asked = fingerprint.near_nodes(some, frame)
+    assert pairs.count() == 5 and asking.count() == some.count() and asked.count() == len(rows)
+    found = [tuple(r) for r in fingerprint.near_pairs(some, frame).select("query", "id").collect()]
+    want = {(q, i) for q in range(0, 601, 50) for i in range(601)} | {(None, None), (None, 602)}
+    assert len(found) == len(want) and set(found) == want

@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import hashed_words, shingles
+from tickloom.llm.common import hashed_words, shingles, written
 from tickloom.llm.minhash import band_keys, bands_for, raw_gram, signatures
+from tickloom.llm.ngram_join import word_key
 
 FUNCTIONS, WORDS, THRESHOLD, RECALL = 128, 5, 0.8, 0.995
 #: A bucket of consecutive ids holds about so many characters of text.
@@ -205,18 +206,40 @@ def _jaccard(a: Column, b: Column) -> Column:
     return F.pandas_udf(look, "double")(a, b)
 
 
+def near_nodes(
+    queries: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_column: str = "doc_id", text_column: str = "text"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(query_key, key, jaccard) of texts that are alike enough, and the members (query, query_key) and (id, key).
+
+    Equal word sequences are one text on either side, so copies make no pairs; a pair of a key with itself stands for
+    all its copies.  Candidates are joined on bands as keys alone and the sets fetched once a pair is known; the Jaccard
+    coefficient is taken on the whole sets.
+    """
+    bands, rows = bands_for(threshold, RECALL)
+    sketch = _sketch(bands, rows, words)
+
+    def side(df: DataFrame, id_name: str, key_name: str) -> tuple[DataFrame, DataFrame]:
+        text = df[text_column].cast("string")
+        base = df.select(df[id_column].alias(id_name), word_key(text).alias(key_name), text.alias("text"))
+        nodes = base.dropDuplicates([key_name]).select(key_name, sketch(F.col("text")).alias("s"))
+        return base.select(id_name, key_name).distinct(), written(nodes.select(key_name, "s.bands", "s.grams"), "near-nodes")
+
+    asking, left = side(queries, "query", "query_key")
+    asked, right = side(docs, "id", "key")
+    met = left.select("query_key", F.explode("bands").alias("band")).join(right.select("key", F.explode("bands").alias("band")), "band")
+    pairs = met.select("query_key", "key").distinct()
+    pairs = pairs.join(left.select("query_key", F.col("grams").alias("q_grams")), "query_key").join(right.select("key", "grams"), "key")
+    pairs = pairs.select("query_key", "key", _jaccard(F.col("q_grams"), F.col("grams")).alias("jaccard"))
+    return pairs.where(F.col("jaccard") >= threshold), asking, asked
+
+
 def near_pairs(
     queries: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """(query, id, jaccard) of every query row and every document whose shingle sets are alike enough.
 
-    ``queries`` is a stated set of rows; pairs are made between it and ``docs`` only.  Candidates share a band; the
-    Jaccard coefficient is taken on the whole sets.  Equal texts are pairs, too; rows without words match equal texts.
+    ``queries`` is a stated set of rows; pairs are made between it and ``docs`` only.  Equal texts are pairs, too; rows
+    without words match equal texts.  A row for each pair of copies is written out: ``near_nodes`` has each text once.
     """
-    bands, rows = bands_for(threshold, RECALL)
-    sketch = _sketch(bands, rows, words)
-    side = lambda df: df.select(df[id_column].alias("id"), sketch(df[text_column].cast("string")).alias("s"))
-    left = side(queries).select(F.col("id").alias("query"), F.col("s.grams").alias("q_grams"), F.explode("s.bands").alias("band"))
-    right = side(docs).select("id", F.col("s.grams").alias("grams"), F.explode("s.bands").alias("band"))
-    pairs = left.join(right, "band").dropDuplicates(["query", "id", "q_grams", "grams"])
-    return pairs.select("query", "id", _jaccard(F.col("q_grams"), F.col("grams")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    pairs, asking, asked = near_nodes(queries, docs, threshold, words, id_column, text_column)
+    return pairs.join(asking, "query_key").join(asked, "key").select("query", "id", "jaccard")

@@ -249,7 +249,7 @@ def encode_vectors(
     usual = lengths.orderBy(F.desc("count"), F.desc("width")).limit(1).collect()
     width = usual[0]["width"] if usual else 0
     coded, books = fit_and_encode(rows.where(F.size("x") == width) if width else rows.where(F.lit(False)), parts, entries, rounds)
-    odd = rows.where(F.size("x") != width).select("id", "label", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("long").alias("error"))
+    odd = rows.where(F.size("x") != (width or -1)).select("id", "label", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("long").alias("error"))
     out = with_label_sums(coded.unionByName(odd))
     return out.select(
         F.col("id").cast(ids).alias(id_column),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.ctes import W, service_regimes, sql
+from oracle.ctes import FEATURES, W, bars, indicators, kmeans, regime_drop, service_regimes, sql, zscores
 from tickloom.constants import FINANCE_LEXICON, LATENCY_BOUNDS
 
 Q: dict[str, str] = {}
@@ -79,14 +79,26 @@ RULES = [
     ("kinds", "SELECT * FROM (VALUES ('PRICE_ABOVE', 110.0::DOUBLE, 'ACTIVE'), ('PRICE_BELOW', 100.2, 'ACTIVE'), ('RSI_ABOVE', 60.0, 'ACTIVE'), ('RSI_BELOW', 40.0, 'TRIGGERED'), ('REGIME_CHANGE', 0.0, 'ACTIVE'), ('DRAWDOWN_EXCEEDS', 9.0, 'ACTIVE')) v(condition_type, threshold, status)"),
     ("rules", "SELECT p_brand AS ticker, 'user-' || p_brand AS user_id, p_brand || ':' || condition_type AS rule_id, condition_type, threshold FROM (SELECT DISTINCT p_brand FROM part), kinds WHERE status = 'ACTIVE'"),
 ]
-Q["alert_matches"] = sql(
-    service_regimes() + RULES + [
-        ("ai", f"SELECT ticker, dt, close, rsi14, regime, LAG(regime) OVER ({W}) AS prev, (MAX(close) OVER ({W} ROWS UNBOUNDED PRECEDING) - close) / MAX(close) OVER ({W} ROWS UNBOUNDED PRECEDING) * 100 AS drawdown FROM lab"),
-        ("hit", """SELECT *, CASE condition_type WHEN 'PRICE_ABOVE' THEN close WHEN 'PRICE_BELOW' THEN close WHEN 'RSI_ABOVE' THEN rsi14 WHEN 'RSI_BELOW' THEN rsi14
+def inputs(source):
+    return [("ai", f"SELECT ticker, dt, close, rsi14, regime, LAG(regime) OVER ({W}) AS prev, (MAX(close) OVER ({W} ROWS UNBOUNDED PRECEDING) - close) / MAX(close) OVER ({W} ROWS UNBOUNDED PRECEDING) * 100 AS drawdown FROM {source}")]
+
+
+HITS = [("hit", """SELECT *, CASE condition_type WHEN 'PRICE_ABOVE' THEN close WHEN 'PRICE_BELOW' THEN close WHEN 'RSI_ABOVE' THEN rsi14 WHEN 'RSI_BELOW' THEN rsi14
   WHEN 'REGIME_CHANGE' THEN CAST(regime AS DOUBLE) ELSE drawdown END AS value FROM ai JOIN rules USING (ticker)
 WHERE (condition_type = 'PRICE_ABOVE' AND close > threshold) OR (condition_type = 'PRICE_BELOW' AND close < threshold) OR (condition_type = 'RSI_ABOVE' AND rsi14 > threshold)
-  OR (condition_type = 'RSI_BELOW' AND rsi14 < threshold) OR (condition_type = 'REGIME_CHANGE' AND regime <> prev) OR (condition_type = 'DRAWDOWN_EXCEEDS' AND drawdown > threshold)""")],
-    "SELECT rule_id, user_id, ticker, dt, condition_type, threshold, ROUND(value, 6) AS value FROM hit")
+  OR (condition_type = 'RSI_BELOW' AND rsi14 < threshold) OR (condition_type = 'REGIME_CHANGE' AND regime <> prev) OR (condition_type = 'DRAWDOWN_EXCEEDS' AND drawdown > threshold)""")]
+MATCHES = "SELECT rule_id, user_id, ticker, dt, condition_type, threshold, ROUND(value, 6) AS value FROM hit"
+Q["alert_matches"] = sql(service_regimes() + RULES + inputs("lab") + HITS, MATCHES)
+# Regimes of all rows by models of the rows before a day.
+SCALE = ", ".join(f"AVG({c}) AS a{i}, CASE WHEN STDDEV_POP({c}) > 0 THEN STDDEV_POP({c}) ELSE 1 END AS s{i}" for i, c in enumerate(FEATURES))
+NEAR = " + ".join(f"POW(({c} - a{i}) / s{i} - m{i}, 2)" for i, c in enumerate(FEATURES))
+MODEL = bars("brand") + indicators() + regime_drop("ind", "rf") + [("past", "SELECT * FROM rf WHERE dt < DATE '1999-10-01'")] + zscores("past", "z") + kmeans() + [
+    ("sc", f"SELECT ticker, {SCALE} FROM past GROUP BY ticker"),
+    ("now", f"SELECT r.ticker, r.dt, ARG_MIN(m.regime, (FLOOR(({NEAR}) * 1e9 + 0.5), m.k)) AS regime FROM rf r JOIN sc USING (ticker) JOIN lab_m m ON m.ticker = r.ticker GROUP BY r.ticker, r.dt"),
+    ("judged", "SELECT i.ticker, i.dt, i.close, i.rsi14, CAST(n.regime AS INTEGER) AS regime FROM ind i LEFT JOIN now n ON n.ticker = i.ticker AND n.dt = i.dt"),
+]
+Q["alert_conditions"] = sql(MODEL + RULES + inputs("judged") + HITS, MATCHES)
+Q["alert_conditions_run"] = Q["alert_conditions"] + " WHERE dt + INTERVAL '1 day' <= (SELECT MAX(l_shipdate) FROM lineitem) - INTERVAL '1 hour'"
 Q["stream_bars"] = """
 SELECT CAST(user_id AS VARCHAR) AS ticker, CAST(DATE_TRUNC('day', ts) AS TIMESTAMP) AS start, ARG_MIN(px, (ts, event_id)) AS open, MAX(px) AS high, MIN(px) AS low,
   ARG_MAX(px, (ts, event_id)) AS close, COUNT(*) AS volume FROM (SELECT *, 100.0::DOUBLE + value / 10.0::DOUBLE AS px FROM events) GROUP BY ALL"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column
@@ -18,6 +19,11 @@ def uniform(key: Column, part: int = 0) -> Column:
     return (uniform_bits(key, part) + 0.5) / float(2**32)
 
 
+def uniform_value(key: str) -> float:
+    """The same draw as ``uniform``, for code inside a task."""
+    return (int(hashlib.md5(key.encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+
+
 def normal(key: Column) -> Column:
     """A standard normal draw (Box-Muller over two parts of one digest)."""
     radius = F.sqrt(-2.0 * F.log(uniform(key, 0)))

@@ -22,7 +22,10 @@ def alert_inputs(frame: DataFrame) -> DataFrame:
 
 
 def stream_inputs(bars: DataFrame) -> DataFrame:
-    """Streamed bars with the columns the conditions read; those that need earlier bars stay null and match nothing."""
+    """Streamed bars for rules on prices alone, without state: what needs earlier bars stays null and matches nothing.
+
+    ``streaming.alert_state`` keeps the state that all six conditions need.
+    """
     none = F.lit(None)
     return bars.select(
         "ticker", F.col("start").cast("date").alias("dt"), "close", none.cast("double").alias("rsi14"),

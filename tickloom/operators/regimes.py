@@ -57,13 +57,99 @@ def _score(z: np.ndarray) -> np.ndarray:
     return 2.0 * z[:, 4] + 1.5 * z[:, 0] - 3.0 * z[:, 3]
 
 
-def grouped_kmeans(df: DataFrame) -> DataFrame:
+def _spread_seeds(z: np.ndarray, start: int, count: int) -> np.ndarray:
+    """Rows of ``count`` first centres: each is drawn in proportion to the squared distance from those before it.
+
+    Draws are hashes of (start, centre), so a refit gives the same seeds.  Rows that all coincide give the first ones.
+    """
+    from tickloom.functions.hashing import uniform_value
+
+    rows = [min(int(uniform_value(f"{start}:0") * len(z)), len(z) - 1)]
+    far = ((z - z[rows[0]]) ** 2).sum(axis=1)
+    for j in range(1, count):
+        total = np.cumsum(far)
+        row = int(np.searchsorted(total, uniform_value(f"{start}:{j}") * total[-1])) if total[-1] > 0 else j
+        rows.append(min(row, len(z) - 1))
+        far = np.minimum(far, ((z - z[rows[-1]]) ** 2).sum(axis=1))
+    return np.array(rows)
+
+
+def _best_of_starts(z: np.ndarray, order: np.ndarray, starts: int) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """Labels, centres, number and inertia of the best start; ``z`` in order of time.
+
+    Start 0 is the one of ``_lloyd``, the others are seeded by distance.  All run side by side in one array until their
+    labels come back.  Inertias compare at six digits and the lower start wins ties.
+    """
+    k, n = min(K, len(z)), len(z)
+    first = np.array([z[rows].mean(axis=0) for rows in np.array_split(order, k)])
+    centers = np.stack([first, *[z[_spread_seeds(z, s, k)] for s in range(1, starts)]])
+    labels, seen = np.zeros((starts, n), np.int64), [set() for _ in range(starts)]
+
+    def assign(live):
+        for s in live:
+            dist = ((z[:, None, :] - centers[s][None, :, :]) ** 2).sum(axis=2)
+            labels[s] = np.floor(dist * 1e9 + 0.5).argmin(axis=1)
+
+    live = list(range(starts))
+    assign(live)
+    while live:
+        live = [s for s in live if labels[s].tobytes() not in seen[s]]
+        for s in live:
+            seen[s].add(labels[s].tobytes())
+        if live:
+            flat = (labels[live] + k * np.arange(len(live))[:, None]).ravel()
+            size = np.bincount(flat, minlength=k * len(live)).reshape(-1, k)
+            for d in range(z.shape[1]):
+                sums = np.bincount(flat, weights=np.tile(z[:, d], len(live)), minlength=k * len(live)).reshape(-1, k)
+                centers[live, :, d] = np.where(size > 0, sums / np.maximum(size, 1), centers[live, :, d])
+            assign(live)
+    inertia = np.array([((z - centers[s][labels[s]]) ** 2).sum() for s in range(starts)])
+    best = int(np.floor(inertia * 1e6 + 0.5).argmin())
+    return labels[best], centers[best], best, float(inertia[best])
+
+
+def _ranks(centers: np.ndarray) -> np.ndarray:
+    """Regime of each cluster: 0 for the most bullish centre."""
+    rank = np.empty(len(centers), dtype=np.int32)
+    rank[np.argsort(-np.round(_score(centers), 9), kind="stable")] = np.arange(len(centers), dtype=np.int32)
+    return rank
+
+
+def fit_models(features: DataFrame, starts: int = 20) -> DataFrame:
+    """One model per ticker, to be stored and applied to later bars: ticker, means, stds, centers, ranks, start, inertia.
+
+    Scale and centres come from the given rows alone.  A model is 46 numbers, whatever the length of the series.
+    """
+    rows = features.select("ticker", "dt", *[F.col(c).cast("double").alias(c) for c in REGIME_FEATURES])
+
+    def fit(series: pa.Table) -> pa.Table:
+        days = series["dt"].cast(pa.int32()).to_numpy()
+        x = np.column_stack([series[c].to_numpy() for c in REGIME_FEATURES])[np.argsort(days, kind="stable")]
+        means, stds = x.mean(axis=0), x.std(axis=0)
+        stds = np.where(stds > 0, stds, 1.0)
+        z = (x - means) / stds
+        _, centers, start, inertia = _best_of_starts(z, np.lexsort((np.arange(len(z)), -_score(z))), starts)
+        return pa.table(
+            {
+                "ticker": series["ticker"][:1].cast(pa.string()), "means": pa.array([means.tolist()]), "stds": pa.array([stds.tolist()]),
+                "centers": pa.array([centers.ravel().tolist()]), "ranks": pa.array([_ranks(centers).tolist()], pa.list_(pa.int32())),
+                "start": pa.array([start], pa.int32()), "inertia": pa.array([inertia]),
+            }
+        )
+
+    kinds = "ticker string, means array<double>, stds array<double>, centers array<double>, ranks array<int>, start int, inertia double"
+    return rows.groupBy("ticker").applyInArrow(fit, kinds)
+
+
+def grouped_kmeans(df: DataFrame, starts: int = 1) -> DataFrame:
     """Fit and label every ticker; adds ``cluster``, ``regime`` and the flat ``centers``.
 
     Regimes rename the clusters by the score of their centre: 0 most bullish, 5
     most stressed.  A series is bounded by the calendar, so Spark spreads whole
     series over tasks and each fit is a few array operations; the bars are
-    already partitioned by ticker and do not move for it.
+    already partitioned by ticker and do not move for it.  With several
+    ``starts`` the one of lowest inertia wins, and ``start`` and ``inertia`` are
+    added.
     """
     schema = StructType(
         [f for f in df.schema.fields]
@@ -72,22 +158,29 @@ def grouped_kmeans(df: DataFrame) -> DataFrame:
             StructField("regime", IntegerType()),
             StructField("centers", ArrayType(DoubleType())),
         ]
+        + ([StructField("start", IntegerType()), StructField("inertia", DoubleType())] if starts > 1 else [])
     )
 
     def fit(series: pa.Table) -> pa.Table:
         z = np.column_stack([series[c].to_numpy() for c in Z_COLS])
         days = series["dt"].cast(pa.int32()).to_numpy()
-        labels, centers = _lloyd(z, np.lexsort((days, -_score(z))))
-        best_first = np.argsort(-np.round(_score(centers), 9), kind="stable")
-        rank = np.empty(len(centers), dtype=np.int32)
-        rank[best_first] = np.arange(len(centers), dtype=np.int32)
+        if starts > 1:
+            in_time = np.argsort(days, kind="stable")
+            ordered, labels = z[in_time], np.empty(len(z), np.int64)
+            found, centers, start, inertia = _best_of_starts(ordered, np.lexsort((days[in_time], -_score(ordered))), starts)
+            labels[in_time] = found
+        else:
+            labels, centers = _lloyd(z, np.lexsort((days, -_score(z))))
         flat = np.tile(centers.ravel(), len(z))
         offsets = np.arange(len(z) + 1, dtype=np.int32) * centers.size
-        return (
+        out = (
             series.append_column("cluster", pa.array(labels.astype(np.int32)))
-            .append_column("regime", pa.array(rank[labels]))
+            .append_column("regime", pa.array(_ranks(centers)[labels]))
             .append_column("centers", pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
         )
+        if starts > 1:
+            out = out.append_column("start", pa.array(np.full(len(z), start, np.int32))).append_column("inertia", pa.array(np.full(len(z), inertia)))
+        return out
 
     return df.groupBy("ticker").applyInArrow(fit, schema)
 
@@ -104,9 +197,9 @@ def squared_distance(k: int, z: list[Column] | None = None) -> Column:
     return total
 
 
-def classify_regimes(features: DataFrame) -> DataFrame:
+def classify_regimes(features: DataFrame, starts: int = 1) -> DataFrame:
     """Scale, cluster and order; keeps z-scores and centres for the diagnostics below."""
-    return grouped_kmeans(standard_scale(features))
+    return grouped_kmeans(standard_scale(features), starts)
 
 
 def drop_centers(df: DataFrame) -> DataFrame:

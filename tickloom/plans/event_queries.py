@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.functions.vectors import similar_vectors as nearest_vectors
-from tickloom.operators import alerts, sentiment, telemetry
+from tickloom.operators import alerts, regimes, sentiment, telemetry
+from tickloom.operators.indicators import indicator_columns, regime_features
 from tickloom.plans.panels import rounded, service_regimes
+from tickloom.session import materialise
 from tickloom.sources import tables
-from tickloom.streaming import run, windows
+from tickloom.sources.bars import as_trades, load_bars
+from tickloom.streaming import alert_state, run, windows
 
 AS_OF = "2001-08-01"
 
@@ -144,6 +147,29 @@ def alert_stream_run(spark, sf):
     return out.select("rule_id", "user_id", "ticker", "dt", "condition_type", "threshold", "value")
 
 
+MODEL_DAY = "1999-10-01"
+
+
+def _regime_models(spark, sf):
+    """Regime models fitted on the bars before MODEL_DAY and stored in the shared folder."""
+    bars = load_bars(spark, sf, "brand", end=MODEL_DAY)
+    features = regime_features(indicator_columns(bars), "drop")
+    return materialise(regimes.fit_models(features, starts=1), "regime-models")
+
+
+def alert_conditions(spark, sf):
+    """All six kinds of rules on bars judged by stored regime models."""
+    frame = alert_state.batch_inputs(load_bars(spark, sf, "brand"), _regime_models(spark, sf))
+    return rounded(alerts.alert_matches(frame, _rules(spark, sf)), {"value": 6})
+
+
+def alert_conditions_run(spark, sf):
+    """The same on a stream of trades: closed bars go through the state of their ticker and meet the rules."""
+    trades = as_trades(run.read_stream(spark, sf, "lineitem"), spark, sf, "brand")
+    frame = alert_state.stream_inputs(windows.trade_bars(trades), _regime_models(spark, sf))
+    return rounded(run.drain(alerts.alert_matches(frame, _rules(spark, sf))), {"value": 6})
+
+
 def _stream_rules(spark, sf):
     """A rule above and one below the middle of prices for every key of the event log."""
     keys = tables.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("ticker")).distinct()
@@ -162,6 +188,6 @@ QUERIES = {
         lexicon_score, sentiment_label, recency_sentiment, bull_bear_split, similar_vectors, next_version,
         best_latest_model, stale_models, registry_stats, label_counters, histogram_buckets, bucket_percentile,
         latency_percentiles, sliding_failure_rate, rolling_call_count, alert_matches, stream_bars, stream_histogram,
-        stream_bars_run, stream_histogram_run, alert_stream_run,
+        stream_bars_run, stream_histogram_run, alert_stream_run, alert_conditions, alert_conditions_run,
     )
 }

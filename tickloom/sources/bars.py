@@ -29,7 +29,19 @@ def trades(
     spiky: bool = False,
 ) -> DataFrame:
     """Trades of a universe in [start, end), with the columns that order them."""
-    lines = table(spark, sf_dir, "lineitem")
+    return as_trades(table(spark, sf_dir, "lineitem"), spark, sf_dir, universe, start, end, spiky)
+
+
+def as_trades(
+    lines: DataFrame,
+    spark: SparkSession,
+    sf_dir: str,
+    universe: str = "brand",
+    start: str | None = None,
+    end: str | None = None,
+    spiky: bool = False,
+) -> DataFrame:
+    """Trades from order lines, a table or a stream."""
     if start:
         lines = lines.where(F.col("l_shipdate") >= F.lit(start).cast("timestamp_ntz"))
     if end:
@@ -49,6 +61,7 @@ def trades(
     return lines.select(
         F.col(key).cast("string").alias("ticker"),
         F.col("l_shipdate").cast("date").alias("dt"),
+        F.col("l_shipdate").cast("timestamp").alias("ts"),
         price.alias("px"),
         F.col("l_quantity").alias("qty"),
         order.alias("ord"),

@@ -33,6 +33,23 @@ def tick_bars(stream: DataFrame, width: str = "1 day", lateness: str = "1 hour")
     return bars.select("ticker", F.col("w.start").alias("start"), "open", "high", "low", "close", "volume")
 
 
+def trade_bars(trades: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """Daily bars of a stream of trades (``sources.bars.as_trades``), once their day is behind the watermark.
+
+    ``at`` is the event time of a bar, which operators with state after this one go by.
+    """
+    bars = (
+        trades.withWatermark("ts", lateness)
+        .groupBy("ticker", F.window("ts", "1 day").alias("w"))
+        .agg(
+            F.min_by("px", "ord").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"),
+            F.max_by("px", "ord").alias("close"), F.sum("qty").alias("volume"),
+        )
+    )
+    day = F.col("w.start").cast("date").alias("dt")
+    return bars.select("ticker", day, F.window_time("w").alias("at"), "open", "high", "low", "close", "volume")
+
+
 def latency_histogram(log: DataFrame, width: str = "1 day", slide: str = "12 hours", lateness: str = "1 hour") -> DataFrame:
     """Cumulative latency buckets per label and sliding window."""
     hist = (

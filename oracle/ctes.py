@@ -158,6 +158,55 @@ SELECT ticker, k, it, MAX({step}) OVER (PARTITION BY ticker) > 1e-10, {', '.join
     ]
 
 
+def kmeans_restarts(starts: int, source: str = "z", name: str = "lab"):
+    """Lloyd from several starts: slices of the score, and seeds drawn by distance from hashes of (start, centre)."""
+    ms = [f"m{i}" for i in range(5)]
+    draw = "(CAST('0x' || SUBSTR(MD5(s || ':' || {j}), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+    run = "OVER (PARTITION BY ticker, s ORDER BY dt ROWS UNBOUNDED PRECEDING)"
+    away = " + ".join(f"POW(p.z{i} - c.m{i}, 2)" for i in range(5))
+    at = ", ".join(f"z{i} AS m{i}" for i in range(5))
+    out = [
+        (name + "_p", f"SELECT ticker, dt, ROW_NUMBER() OVER ({W}) - 1 AS i, COUNT(*) OVER (PARTITION BY ticker) AS n, z0, z1, z2, z3, z4 FROM {source}"),
+        (name + "_s0", f"SELECT ticker, s, 0 AS k, {at} FROM {name}_p, (SELECT UNNEST(RANGE(1, {starts})) AS s) WHERE i = LEAST(CAST(FLOOR({draw.format(j=0)} * n) AS BIGINT), n - 1)"),
+        (name + "_d0", f"SELECT p.*, s, {away} AS d FROM {name}_p p JOIN {name}_s0 c USING (ticker)"),
+    ]
+    for j in range(1, 6):
+        out += [
+            (f"{name}_s{j}", f"""SELECT ticker, s, {j} AS k, {', '.join(f'ARG_MIN(z{i}, i) AS m{i}' for i in range(5))} FROM (
+  SELECT *, SUM(d) {run} AS c, SUM(d) OVER (PARTITION BY ticker, s) AS t FROM {name}_d{j - 1})
+WHERE CASE WHEN t > 0 THEN c >= {draw.format(j=j)} * t ELSE i = {j} END GROUP BY ticker, s"""),
+        ]
+        if j < 5:
+            out.append((f"{name}_d{j}", f"SELECT p.* EXCLUDE (d), LEAST(d, {away}) AS d FROM {name}_d{j - 1} p JOIN {name}_s{j} c USING (ticker, s)"))
+    whole = " + ".join(f"POW(p.z{i} - c.m{i}, 2)" for i in range(5))
+    key = f"CAST(FLOOR(({whole}) * 1e9 + 0.5) AS BIGINT) * 8 + c.k"
+    avgs = ", ".join(f"COALESCE(AVG(a.z{i}), ANY_VALUE(c.m{i})) AS m{i}" for i in range(5))
+    olds = ", ".join(f"ANY_VALUE(c.m{i}) AS o{i}" for i in range(5))
+    step = "GREATEST(" + ", ".join(f"ABS(m{i} - o{i})" for i in range(5)) + ")"
+    zs = ", ".join(f"ANY_VALUE(p.z{i}) AS z{i}" for i in range(5))
+    slices = f"SELECT ticker, dt, NTILE(6) OVER (PARTITION BY ticker ORDER BY 2 * z4 + 1.5 * z0 - 3 * z3 DESC, dt) - 1 AS k FROM {name}_p"
+    return out + [
+        (name + "_i", slices),
+        (name + "_c0", f"SELECT ticker, 0 AS s, k, {', '.join(f'AVG(z{i}) AS m{i}' for i in range(5))} FROM {name}_p JOIN {name}_i USING (ticker, dt) GROUP BY ticker, k UNION ALL "
+            + " UNION ALL ".join(f"SELECT * FROM {name}_s{j}" for j in range(6))),
+        (name + "_c RECURSIVE", f"""
+SELECT ticker, s, k, 0 AS it, TRUE AS moved, {', '.join(ms)} FROM {name}_c0
+UNION ALL
+SELECT ticker, s, k, it, MAX({step}) OVER (PARTITION BY ticker, s) > 1e-10, {', '.join(ms)} FROM (
+  SELECT c.ticker, c.s, c.k, c.it + 1 AS it, {avgs}, {olds}
+  FROM {name}_c c LEFT JOIN (
+    SELECT p.ticker, c.s, p.i, {zs}, MIN({key}) % 8 AS k
+    FROM {name}_p p JOIN {name}_c c ON p.ticker = c.ticker WHERE c.moved GROUP BY p.ticker, c.s, p.i) a
+  ON a.ticker = c.ticker AND a.s = c.s AND a.k = c.k
+  WHERE c.moved AND c.it < 1000 GROUP BY c.ticker, c.s, c.k, c.it)"""),
+        (name + "_f", f"SELECT * FROM {name}_c WHERE NOT moved"),
+        (name + "_n", f"SELECT p.ticker, c.s, p.dt, MIN({key}) % 8 AS k, MIN({whole}) AS d FROM {name}_p p JOIN {name}_f c ON p.ticker = c.ticker GROUP BY p.ticker, c.s, p.dt"),
+        (name + "_w", f"SELECT ticker, ARG_MIN(s, (FLOOR(inertia * 1e6 + 0.5), s)) AS s FROM (SELECT ticker, s, SUM(d) AS inertia FROM {name}_n GROUP BY ticker, s) GROUP BY ticker"),
+        (name + "_m", f"SELECT f.*, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY ROUND(2 * m4 + 1.5 * m0 - 3 * m3, 9) DESC, k) - 1 AS regime FROM {name}_f f JOIN {name}_w USING (ticker, s)"),
+        (name, f"SELECT n.ticker, n.dt, n.s AS start, n.k AS cluster, m.regime FROM {name}_n n JOIN {name}_m m USING (ticker, s, k)"),
+    ]
+
+
 def risk(source: str = "lab", name: str = "risk"):
     v20, v90 = guarded("STDDEV_SAMP", 20, "log_return"), guarded("STDDEV_SAMP", 90, "log_return")
     return [

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracle.ctes import (
-    FEATURES, VALUES, W, bars, cleaned, engineered, fill, guarded, indicators, outliers, position,
+    FEATURES, VALUES, W, bars, cleaned, engineered, fill, guarded, indicators, kmeans_restarts, outliers, position,
     regime_bfill, regime_drop, risk, service_regimes, sql, winsor, zscores,
 )
 from tickloom.constants import (
@@ -173,6 +173,9 @@ Q["compare_date_range"] = sql(PANEL, 'SELECT MIN(dt) AS start, MAX(dt) AS "end",
 ZS = [f"z{i}" for i in range(5)]
 Q["standard_scale"] = sql(RF + zscores(), f"SELECT ticker, dt, {rounds(ZS, 6)} FROM z")
 Q["regime_kmeans"] = sql(REG, "SELECT ticker, dt, CAST(cluster AS INTEGER) AS cluster FROM lab")
+Q["regime_kmeans_restarts"] = sql(
+    bars("type") + cleaned() + engineered("clean") + regime_bfill() + zscores() + kmeans_restarts(10),
+    "SELECT ticker, dt, CAST(start AS INTEGER) AS start, CAST(cluster AS INTEGER) AS cluster, CAST(regime AS INTEGER) AS regime FROM lab")
 Q["regime_semantic_order"] = sql(REG, "SELECT ticker, dt, CAST(cluster AS INTEGER) AS cluster, CAST(regime AS INTEGER) AS regime FROM lab")
 Q["risk_score"] = sql(RISK, "SELECT ticker, dt, CAST(regime AS INTEGER) AS regime, ROUND(risk_score, 6) AS risk_score FROM risk")
 Q["regime_forward_stats"] = sql(

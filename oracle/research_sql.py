@@ -206,11 +206,14 @@ Q["candidate_portfolios"] = sql(CAND, """SELECT CAST(candidate AS INTEGER) AS ca
   ROUND(ANY_VALUE(ret), 6) AS ret, ROUND(ANY_VALUE(vol), 6) AS vol, ROUND(ANY_VALUE(sharpe), 6) AS sharpe FROM cd JOIN wt USING (candidate) GROUP BY candidate""")
 Q["max_sharpe_min_vol"] = sql(
     CAND + [
-        ("rk", "SELECT *, ROW_NUMBER() OVER (ORDER BY sharpe DESC, candidate) AS rs, ROW_NUMBER() OVER (ORDER BY vol, candidate) AS rv FROM cd"),
-        ("pk", "SELECT *, UNNEST(LIST_FILTER([CASE WHEN rs = 1 THEN 'max_sharpe' END, CASE WHEN rv = 1 THEN 'min_volatility' END], lambda x: x IS NOT NULL)) AS portfolio FROM rk WHERE rs = 1 OR rv = 1"),
+        ("wl", "SELECT candidate, LIST({'ticker': ticker, 'w': w} ORDER BY i) AS ws FROM wt GROUP BY candidate"),
+        ("cl", "SELECT candidate, ret, vol, sharpe, ws FROM cd JOIN wl USING (candidate)"),
+        ("p1", "SELECT 'max_sharpe' AS portfolio, * FROM cl ORDER BY sharpe DESC, candidate LIMIT 1"),
+        ("p2", "SELECT 'min_volatility' AS portfolio, * FROM cl ORDER BY vol, candidate LIMIT 1"),
+        ("pk", "SELECT *, UNNEST(ws) AS c FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2)"),
     ],
     """SELECT portfolio, CAST(candidate AS INTEGER) AS candidate, ROUND(ret, 4) AS expected_return, ROUND(vol, 4) AS volatility, ROUND(sharpe, 4) AS sharpe_ratio,
-  ticker, ROUND(w, 4) AS weight FROM pk JOIN wt USING (candidate)""")
+  c.ticker AS ticker, ROUND(c.w, 4) AS weight FROM pk""")
 Q["efficient_frontier"] = sql(
     CAND + [("rd", 'SELECT candidate, ROUND(ret, 4) AS "return", ROUND(vol, 4) AS volatility, ROUND(sharpe, 4) AS sharpe FROM cd')],
     'SELECT volatility, ARG_MIN("return", candidate) AS "return", ARG_MIN(sharpe, candidate) AS sharpe FROM rd GROUP BY volatility ORDER BY volatility LIMIT 50')

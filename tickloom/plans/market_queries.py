@@ -247,6 +247,11 @@ def regime_kmeans(spark, sf):
     return service_regimes(spark, sf).select("ticker", "dt", "cluster")
 
 
+def regime_kmeans_restarts(spark, sf):
+    """The best of ten starts per series."""
+    return service_regimes(spark, sf, "type", starts=10).select("ticker", "dt", "start", "cluster", "regime")
+
+
 def regime_kmeans_pooled(spark, sf):
     scaled = regimes.standard_scale(service_features(spark, sf)).select("ticker", "dt", *regimes.Z_COLS)
     return regimes.pooled_kmeans(scaled, seeds=list(range(42, 62))).select("ticker", "dt", "cluster")
@@ -302,7 +307,7 @@ QUERIES = {
         regime_profile_join, downsample_every_k, latest_indicators, rsi14, ema20, macd, engineer_features, rolling_vol,
         regime_features, regime_features_drop, rolling_sharpe60, equity_curve, drawdown_series, common_dates,
         common_dates_two, align_panel, benchmark_align, label_align, fetch_errors, normalised_prices,
-        daily_returns_pct, return_correlation, ticker_summary, compare_date_range, standard_scale, regime_kmeans,
+        daily_returns_pct, return_correlation, ticker_summary, compare_date_range, standard_scale, regime_kmeans, regime_kmeans_restarts,
         regime_kmeans_pooled, regime_semantic_order, risk_score, regime_forward_stats, similar_scenarios,
         regime_timeline, transition_matrix, regime_confidence, feature_importance, regime_scoreboard,
     )

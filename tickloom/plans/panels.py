@@ -26,9 +26,9 @@ def service_features(spark: SparkSession, sf: str, universe: str = "brand") -> D
     return regime_features(engineered(spark, sf, universe), "bfill")
 
 
-def service_regimes(spark: SparkSession, sf: str, universe: str = "brand") -> DataFrame:
+def service_regimes(spark: SparkSession, sf: str, universe: str = "brand", starts: int = 1) -> DataFrame:
     cols = ["ticker", "dt", "close", "log_return", "rsi14", "ema20", "macd", "macd_hist", *REGIME_FEATURES]
-    return classify_regimes(service_features(spark, sf, universe).select(*cols))
+    return classify_regimes(service_features(spark, sf, universe).select(*cols), starts)
 
 
 def compare_panel(spark: SparkSession, sf: str) -> DataFrame:

@@ -185,6 +185,64 @@ Q["forecast_record"] = sql(RECORD, """SELECT ticker, ROUND(b, 8) AS slope, ROUND
   ROUND(next_price * EXP(-1.96 * residual_sd), 4) AS lower, ROUND(next_price * EXP(1.96 * residual_sd), 4) AS upper
 FROM ar JOIN er USING (ticker) JOIN hp USING (ticker)""")
 
+
+
+def eliminate(source, name, p):
+    """Gauss-Jordan steps on the p x (p + 1) systems ``m`` of a table; ``x`` has the solutions."""
+    return [
+        (name + "_e RECURSIVE", f"""SELECT * EXCLUDE (m), 1 AS k, m FROM {source}
+UNION ALL
+SELECT * EXCLUDE (k, m), k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k])
+  ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END) FROM {name}_e WHERE k <= {p}"""),
+        (name, f"SELECT * EXCLUDE (k, m), list_transform(m, lambda r: r[{p + 1}]) AS x FROM {name}_e WHERE k = {p + 1}"),
+    ]
+
+
+NF = len(FEATURE_COLS)
+WF_LONG = ROWS + [
+    ("fs", "SELECT ticker, n, n // 6 AS size, UNNEST(RANGE(1, 6)) AS f FROM (SELECT DISTINCT ticker, n FROM mr) WHERE n // 6 >= 100"),
+    ("lf", "SELECT ticker, seq, UNNEST([" + ", ".join(f"{{'j': {i}, 'x': CAST({c} AS DOUBLE)}}" for i, c in enumerate([*FEATURE_COLS, "target"])) + "], recursive := true) FROM mr"),
+    ("sc", f"SELECT ticker, f, j, MIN(x) AS lo, CASE WHEN MAX(x) > MIN(x) THEN MAX(x) - MIN(x) ELSE 1 END AS rg FROM lf JOIN fs USING (ticker) WHERE seq < size * f GROUP BY ALL"),
+    ("xs0", f"SELECT ticker, f, seq, j, CASE WHEN j = {NF} THEN x ELSE (x - lo) / rg END AS x FROM lf JOIN fs USING (ticker) JOIN sc USING (ticker, f, j) WHERE seq < size * f"),
+    ("xm", "SELECT ticker, f, j, AVG(x) AS xm, COUNT(*) AS rows FROM xs0 GROUP BY ALL"),
+    ("xs", "SELECT ticker, f, seq, j, x - xm AS x FROM xs0 JOIN xm USING (ticker, f, j)"),
+    ("gr", f"SELECT a.ticker, a.f, a.j AS i, b.j, SUM(a.x * b.x) + CASE WHEN a.j = b.j THEN 1.0 ELSE 0.0 END AS v FROM xs a JOIN xs b USING (ticker, f, seq) WHERE a.j < {NF} GROUP BY a.ticker, a.f, a.j, b.j"),
+    ("gm", "SELECT ticker, f, LIST(r ORDER BY i) AS m FROM (SELECT ticker, f, i, LIST(v ORDER BY j) AS r FROM gr GROUP BY ALL) GROUP BY ticker, f"),
+] + eliminate("gm", "gs", NF) + [
+    ("bt", "SELECT ticker, f, UNNEST(x) AS b, UNNEST(RANGE(LEN(x))) AS j FROM gs"),
+    ("tp", f"""SELECT l.ticker, fs.f, l.seq, SUM(b * ((l.x - lo) / rg - xm)) + ANY_VALUE(y.ym) AS d_pred, ANY_VALUE(y.rows) AS train_rows
+FROM lf l JOIN fs ON fs.ticker = l.ticker AND l.seq // fs.size = fs.f JOIN bt ON bt.ticker = l.ticker AND bt.f = fs.f AND bt.j = l.j
+JOIN sc ON sc.ticker = l.ticker AND sc.f = fs.f AND sc.j = l.j JOIN xm ON xm.ticker = l.ticker AND xm.f = fs.f AND xm.j = l.j
+JOIN (SELECT ticker, f, xm AS ym, rows FROM xm WHERE j = {NF}) y ON y.ticker = l.ticker AND y.f = fs.f GROUP BY ALL"""),
+    ("tq", "SELECT ticker, f AS fold, train_rows, close * EXP(target) AS actual, close * EXP(d_pred) AS pred, target AS d_actual, d_pred FROM tp JOIN mr USING (ticker, seq)"),
+]
+Q["walk_forward_features"] = sql(WF_LONG, f"""SELECT ticker, fold, 'ok' AS status, train_rows, {METRICS.format(d=4)} FROM tq GROUP BY ticker, fold, train_rows
+UNION ALL SELECT ticker, NULL, 'insufficient: ' || n || ' rows, need 600', NULL, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT ticker, n FROM mr) WHERE n // 6 < 100""")
+LAG = ROWS + [
+    ("lg0", "SELECT ticker, dt, close, split, target, log_return, " + ", ".join(f"{'log_return' if i == 0 else f'LAG(log_return, {i}) OVER ({W})'} AS lag{i}" for i in range(5)) + " FROM mr"),
+    ("lg", "SELECT * FROM lg0 WHERE lag4 IS NOT NULL"),
+]
+
+
+def least_squares(lags, name):
+    """Normal equations of the train rows with a constant, as one system."""
+    xs = ["1.0::DOUBLE", *[f"lag{i}" for i in range(lags)]]
+    rows = ", ".join("[" + ", ".join(f"SUM({a} * {b})" for b in [*xs, "target"]) + "]" for a in xs)
+    out = [(name + "_m", f"SELECT [{rows}] AS m FROM lg WHERE split = 'train'")] + eliminate(name + "_m", name, len(xs))
+    return out, " + ".join(f"{name}.x[{i + 1}] * {x}" for i, x in enumerate(xs))
+
+
+FITS = [least_squares(n, f"ls{n}") for n in (1, 3, 5)]
+SCORED = LAG + [c for ctes, _ in FITS for c in ctes] + [
+    ("sv", "SELECT lg.*, " + ", ".join(f"{e} AS s{k + 1}" for k, (_, e) in enumerate(FITS)) + " FROM lg, ls1, ls3, ls5"),
+    ("bv", "SELECT ARG_MIN(v, (miss, v)) AS v FROM (SELECT UNNEST([" + ", ".join(f"{{'v': {k}, 'miss': SQRT(AVG(POW(s{k} - target, 2)))}}" for k in (1, 2, 3)) + "], recursive := true) FROM sv WHERE split = 'val')"),
+]
+Q["batch_score_stored"] = sql(SCORED, "SELECT ticker, dt, 'v' || v AS version, ROUND(CASE v WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END, 8) AS score FROM sv, bv WHERE split = 'test'")
+Q["linear_member"] = sql(
+    SCORED + [("ol", "SELECT ticker, REGR_SLOPE(target, log_return) AS b, REGR_INTERCEPT(target, log_return) AS a FROM lg WHERE split = 'train' GROUP BY ticker")],
+    """SELECT ticker, dt, 'linear' AS model, ROUND(close * EXP(s3), 6) AS pred FROM sv WHERE split = 'test'
+UNION ALL SELECT ticker, dt, 'ar1', ROUND(close * EXP(a + b * log_return), 6) FROM sv JOIN ol USING (ticker) WHERE split = 'test'""")
+
 U = "(('0x' || SUBSTR(MD5({k}), {s}, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
 PF = bars("type") + COMMON("bars") + [
     ("al", f"SELECT ticker, dt, LN(close) - LAG(LN(close)) OVER ({W}) AS lr FROM bars WHERE dt IN (SELECT dt FROM common)"),

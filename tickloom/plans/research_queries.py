@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from tickloom.constants import FEATURE_COLS
 from tickloom.functions.series import by_ticker
-from tickloom.operators import backtest, compare, forecast, portfolio, regimes, research
+from tickloom.operators import backtest, compare, forecast, portfolio, regimes, research, ridge, stored_models
 from tickloom.operators.indicators import log_return
 from tickloom.plans import report
 from tickloom.plans.panels import engineered, report_regimes, rounded, service_regimes
@@ -195,6 +197,29 @@ def batch_score(spark, sf):
     return rounded(out.select("ticker", "dt", "score"), {"score": 8})
 
 
+def walk_forward_features(spark, sf):
+    out = ridge.walk_forward_features(forecast.with_target(engineered(spark, sf)))
+    return rounded(out, {c: 4 for c in ["rmse", "mae", "directional_accuracy", "r2"]})
+
+
+def batch_score_stored(spark, sf):
+    """Test rows scored by the best of three stored versions, loaded from the shared folder."""
+    table = stored_models.model_table(_model_rows(spark, sf))
+    runs, folders = stored_models.fit_versions(table, [1, 3, 5], datetime.date(2001, 7, 1))
+    out = stored_models.batch_score(table.where("split = 'test'"), runs, folders)
+    return rounded(out.select("ticker", "dt", "version", "score"), {"score": 8})
+
+
+def ensemble_forecast(spark, sf):
+    return stored_models.ensemble_forecast(stored_models.model_table(_model_rows(spark, sf)))
+
+
+def linear_member(spark, sf):
+    """The two members of the ensemble with a closed form."""
+    members = stored_models.ensemble_members(stored_models.model_table(_model_rows(spark, sf)), trees=1)
+    return rounded(members.where(F.col("model").isin("linear", "ar1")), {"pred": 6})
+
+
 def forecast_record(spark, sf):
     out = forecast.forecast_record(engineered(spark, sf))
     return rounded(out, {c: 8 if c in ("slope", "intercept", "residual_sd") else 4 for c in out.columns if c not in ("ticker", "train_rows")})
@@ -241,6 +266,7 @@ QUERIES = {
         walk_forward_thresholds, walk_forward_summary, quant_report, quant_report_nested,
         chrono_split, minmax_train_only, make_sequences, inverse_scale, price_from_logret, ensemble_band,
         ar1_forecaster, return_forecaster, roll_forecast, walk_forward_eval, walk_forward_eval_summary, batch_score, forecast_record,
+        walk_forward_features, batch_score_stored, ensemble_forecast, linear_member,
         mean_cov_annual, equal_weight, candidate_portfolios, max_sharpe_min_vol, efficient_frontier,
     )
 }

@@ -3,22 +3,64 @@
 from __future__ import annotations
 
 from oracle.ctes import FEATURES, W, bars, indicators, kmeans, regime_drop, service_regimes, sql, zscores
-from tickloom.constants import FINANCE_LEXICON, LATENCY_BOUNDS
+from tickloom.constants import BOOSTERS, DAMPENERS, FINANCE_LEXICON, LATENCY_BOUNDS, NEGATIONS, REGIME_PROFILES
 
 Q: dict[str, str] = {}
 FIN = ", ".join(f"('{t}', {v}::DOUBLE)" for t, v in FINANCE_LEXICON.items())
+LETTERS = "\\p{L}+(?:''\\p{L}+)*"
+
+
+def listed(words):
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def sentiment(source, keys, lexicon):
+    """Scores of the texts of ``source`` by windows over their tokens; ends in ``sc``."""
+    k = ", ".join(keys)
+    lags = ", ".join(f"LAG({c}, {d}) OVER t AS {c}{d}" for c in ("low", "v", "boost", "caps", "neg") for d in (1, 2, 3))
+    sign = "CASE WHEN {x} < 0 THEN -1 ELSE 1 END"
+    out = [
+        ("st", f"SELECT {k}, text, regexp_extract_all(text, '{LETTERS}') AS toks FROM {source}"),
+        ("tk0", f"SELECT {k}, UNNEST(toks) AS tok, UNNEST(RANGE(LEN(toks))) AS i FROM st"),
+        ("tk1", f"""SELECT {k}, i, LOWER(tok) AS low, tok = UPPER(tok) AND tok <> LOWER(tok) AS caps,
+  CASE WHEN LOWER(tok) IN {listed(BOOSTERS)} THEN 0.293::DOUBLE WHEN LOWER(tok) IN {listed(DAMPENERS)} THEN -0.293::DOUBLE ELSE 0::DOUBLE END AS boost,
+  LOWER(tok) IN {listed(NEGATIONS)} OR CONTAINS(LOWER(tok), 'n''t') AS neg FROM tk0"""),
+        ("tk2", f"SELECT t.*, l.valence AS v FROM tk1 t LEFT JOIN {lexicon} l ON l.term = t.low"),
+        ("tk3", f"""SELECT *, {lags}, BOOL_OR(caps) OVER d AND BOOL_OR(NOT caps) OVER d AS diff, MIN(CASE WHEN low = 'but' THEN i END) OVER d AS but
+FROM tk2 WINDOW t AS (PARTITION BY {k} ORDER BY i), d AS (PARTITION BY {k})"""),
+        ("e0", f"SELECT *, v + CASE WHEN caps AND diff THEN 0.733 * {sign.format(x='v')} ELSE 0 END AS x0 FROM tk3"),
+    ]
+    for d, scale in ((1, 1.0), (2, 0.95), (3, 0.9)):
+        so = {1: "FALSE", 2: "low1 IN ('so', 'this')", 3: "low1 IN ('so', 'this') OR low2 IN ('so', 'this')"}[d]
+        doubt = {1: "FALSE", 2: "low1 = 'doubt'", 3: "low1 = 'doubt' OR low2 = 'doubt'"}[d]
+        x, s = f"x{d - 1}", sign.format(x=f"x{d - 1}")
+        out.append((f"e{d}", f"""SELECT *, CASE WHEN low{d} IS NULL OR v{d} IS NOT NULL THEN {x} ELSE
+  ({x} + {scale} * (boost{d} * {s} + CASE WHEN boost{d} <> 0 AND caps{d} AND diff THEN 0.733 * {s} ELSE 0 END))
+  * CASE WHEN low{d} = 'never' AND ({so}) THEN 1.25 WHEN low{d} = 'without' AND ({doubt}) THEN 1.0 WHEN neg{d} THEN -0.74 ELSE 1.0 END END AS x{d} FROM e{d - 1}"""))
+    return out + [
+        ("e4", f"""SELECT {k}, CASE WHEN v IS NULL OR boost <> 0 THEN 0 ELSE x3
+  * CASE WHEN low1 = 'least' AND v1 IS NULL AND COALESCE(low2, '') NOT IN ('at', 'very') THEN -0.74 ELSE 1 END
+  * CASE WHEN but IS NULL OR i = but THEN 1 WHEN i < but THEN 0.5 ELSE 1.5 END END AS c FROM e3"""),
+        ("ts", f"SELECT {k}, SUM(c) AS s, SUM(CASE WHEN c > 0 THEN c + 1 ELSE 0 END) AS p, SUM(CASE WHEN c < 0 THEN 1 - c ELSE 0 END) AS n, COUNT(*) FILTER (c = 0) AS z FROM e4 GROUP BY {k}"),
+        ("tm", f"""SELECT {k}, COALESCE(s, 0) AS s, COALESCE(p, 0) AS p, COALESCE(n, 0) AS n, COALESCE(z, 0) AS z,
+  LEAST(LENGTH(text) - LENGTH(REPLACE(text, '!', '')), 4) * 0.292::DOUBLE
+  + CASE WHEN LENGTH(text) - LENGTH(REPLACE(text, '?', '')) > 3 THEN 0.96::DOUBLE WHEN LENGTH(text) - LENGTH(REPLACE(text, '?', '')) > 1
+    THEN (LENGTH(text) - LENGTH(REPLACE(text, '?', ''))) * 0.18::DOUBLE ELSE 0 END AS loud FROM st LEFT JOIN ts USING ({k})"""),
+        ("sm", f"""SELECT {k}, s + CASE WHEN s > 0 THEN loud WHEN s < 0 THEN -loud ELSE 0 END AS s, p + CASE WHEN p > n THEN loud ELSE 0 END AS p,
+  n + CASE WHEN p < n THEN loud ELSE 0 END AS n, z FROM tm"""),
+        ("sc0", f"""SELECT {k}, ROUND(s / SQRT(s * s + 15), 4) AS compound, CASE WHEN p + n + z > 0 THEN ROUND(p / (p + n + z), 3) ELSE 0 END AS positive,
+  CASE WHEN p + n + z > 0 THEN ROUND(n / (p + n + z), 3) ELSE 0 END AS negative, CASE WHEN p + n + z > 0 THEN ROUND(z / (p + n + z), 3) ELSE 1 END AS neutral FROM sm"""),
+        ("sc", "SELECT *, CASE WHEN compound >= 0.05 THEN 'Bullish' WHEN compound <= -0.05 THEN 'Bearish' ELSE 'Neutral' END AS label, ABS(compound) AS confidence FROM sc0"),
+    ]
+
+
 LEX = [
     ("fin", f"SELECT * FROM (VALUES {FIN}) v(term, valence)"),
-    ("tok", "SELECT doc_id AS text_id, source AS grp, lang, UNNEST(REGEXP_EXTRACT_ALL(LOWER(text), '\\p{L}+')) AS term FROM documents"),
+    ("docs", "SELECT doc_id AS text_id, source AS grp, COALESCE(text, '') AS text FROM documents"),
+    ("tok", f"SELECT UNNEST(REGEXP_EXTRACT_ALL(LOWER(text), '{LETTERS}')) AS term FROM docs"),
     ("frq", "SELECT term, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, term) - 1 AS r FROM tok GROUP BY term QUALIFY r < 200"),
     ("lex", "SELECT * FROM fin UNION ALL SELECT term, ((r % 9) - 4) * 0.5::DOUBLE FROM frq WHERE term NOT IN (SELECT term FROM fin)"),
-    ("sm", """SELECT d.doc_id AS text_id, d.source AS grp, COALESCE(SUM(valence), 0) AS s, COALESCE(SUM(valence + 1) FILTER (valence > 0), 0) AS p,
-  COALESCE(SUM(1 - valence) FILTER (valence < 0), 0) AS n, COUNT(t.term) FILTER (valence IS NULL OR valence = 0) AS z
-FROM documents d LEFT JOIN tok t ON t.text_id = d.doc_id LEFT JOIN lex USING (term) GROUP BY ALL"""),
-    ("sc0", """SELECT text_id, grp, ROUND(s / SQRT(s * s + 15), 4) AS compound, CASE WHEN p + n + z > 0 THEN ROUND(p / (p + n + z), 3) ELSE 0 END AS positive,
-  CASE WHEN p + n + z > 0 THEN ROUND(n / (p + n + z), 3) ELSE 0 END AS negative, CASE WHEN p + n + z > 0 THEN ROUND(z / (p + n + z), 3) ELSE 1 END AS neutral FROM sm"""),
-    ("sc", "SELECT *, CASE WHEN compound >= 0.05 THEN 'Bullish' WHEN compound <= -0.05 THEN 'Bearish' ELSE 'Neutral' END AS label, ABS(compound) AS confidence FROM sc0"),
-]
+] + sentiment("docs", ["text_id", "grp"], "lex")
 Q["lexicon_score"] = sql(LEX, "SELECT text_id, compound, positive, negative, neutral FROM sc")
 Q["sentiment_label"] = sql(LEX, "SELECT text_id, label, confidence FROM sc")
 SH = ["compound", "positive", "negative", "neutral"]
@@ -30,6 +72,15 @@ Q["recency_sentiment"] = sql(REC, "SELECT grp, " + ", ".join(f"ROUND({c}, 4) AS
     + ", CASE WHEN compound >= 0.05 THEN 'Bullish' WHEN compound <= -0.05 THEN 'Bearish' ELSE 'Neutral' END AS label, ROUND(ABS(compound), 4) AS confidence FROM rc")
 Q["bull_bear_split"] = sql(REC + [("bb", "SELECT grp, ROUND(compound, 4) AS compound, CAST(GREATEST(0, LEAST(100, FLOOR((ROUND(compound, 4) + 1.0) / 2.0 * 100))) AS INTEGER) AS b FROM rc")],
                            "SELECT grp, compound, b AS bullish_pct, 100 - b AS bearish_pct FROM bb")
+ABOUT = " ".join(f"WHEN {k} THEN '{v[2]}'" for k, v in REGIME_PROFILES.items())
+Q["regime_text_sentiment"] = sql(
+    service_regimes() + [
+        ("fin", f"SELECT * FROM (VALUES {FIN}) v(term, valence)"),
+        ("lines", f"""SELECT ticker, dt, CASE WHEN regime IN (0, 3) AND log_return > 0 THEN 'A VERY strong rally!!' WHEN regime IN (0, 3) THEN 'Not a rally today, but'
+  WHEN regime IN (4, 5) AND log_return > 0 THEN 'Is the selloff over?? Hardly a rebound:' WHEN regime IN (4, 5) THEN 'Extremely bearish, no growth without risks!'
+  ELSE 'Stable, so' END || ' ' || CASE regime {ABOUT} END AS text FROM lab"""),
+    ] + sentiment("lines", ["ticker", "dt"], "fin"),
+    "SELECT ticker, dt, compound, positive, negative, neutral, label, confidence FROM sc")
 Q["similar_vectors"] = """
 WITH t AS (SELECT embedding::DOUBLE[] AS e, vec_id AS id FROM embeddings ORDER BY vec_id DESC LIMIT 1)
 SELECT vec_id, label, ROUND(LIST_DOT_PRODUCT(embedding::DOUBLE[], e) / (SQRT(LIST_DOT_PRODUCT(embedding::DOUBLE[], embedding::DOUBLE[])) * SQRT(LIST_DOT_PRODUCT(e, e))), 6) AS similarity

@@ -56,6 +56,27 @@ FINANCE_LEXICON = {
     "challenges": -0.5,
 }
 
+# Fixed values of the published sentiment rules (VADER): words that negate (any word with "n't" does too), words that
+# raise or lower what follows, and the factors.
+NEGATIONS = [
+    "aint", "arent", "cannot", "cant", "couldnt", "darent", "despite", "didnt", "doesnt", "dont", "hadnt", "hasnt", "havent", "isnt",
+    "mightnt", "mustnt", "neednt", "neither", "never", "none", "nope", "nor", "not", "nothing", "nowhere", "oughtnt", "rarely", "seldom",
+    "shant", "shouldnt", "uhuh", "wasnt", "werent", "without", "wont", "wouldnt",
+]
+BOOSTERS = [
+    "absolutely", "amazingly", "awfully", "completely", "considerable", "considerably", "decidedly", "deeply", "enormous", "enormously",
+    "entirely", "especially", "exceptional", "exceptionally", "extreme", "extremely", "fabulously", "fully", "greatly", "highly", "hugely",
+    "incredible", "incredibly", "intensely", "major", "majorly", "more", "most", "particularly", "purely", "quite", "really", "remarkably",
+    "so", "substantially", "thoroughly", "total", "totally", "tremendous", "tremendously", "unbelievably", "unusually", "utter", "utterly",
+    "very",
+]
+DAMPENERS = [
+    "almost", "barely", "hardly", "kinda", "less", "little", "marginal", "marginally", "occasional", "occasionally", "partly", "scarce",
+    "scarcely", "slight", "slightly", "somewhat", "sorta",
+]
+BOOST, CAPITALS, NEGATED, BEFORE_BUT, AFTER_BUT = 0.293, 0.733, -0.74, 0.5, 1.5
+EXCLAMATION, MOST_EXCLAMATIONS, QUESTION, MANY_QUESTIONS = 0.292, 4, 0.18, 0.96
+
 # Latency histogram bounds in seconds.
 LATENCY_BOUNDS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 

@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 from tickloom.session import materialise
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table with fewer splits than cores, dealt to all cores; a table of many splits stays where it is.
+
+    For work that costs far more per row than moving the row.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+
+
 def running_sum(df: DataFrame, key: str, order: list[Column], value: Column, name: str) -> DataFrame:
     """Add the sum of ``value`` over the rows of the key up to this one, by ``order``.
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.constants import FINANCE_LEXICON
-from tickloom.functions.blocks import with_ordinal
+from tickloom.constants import (
+    AFTER_BUT, BEFORE_BUT, BOOST, BOOSTERS, CAPITALS, DAMPENERS, EXCLAMATION, FINANCE_LEXICON, MANY_QUESTIONS, MOST_EXCLAMATIONS,
+    NEGATED, NEGATIONS, QUESTION,
+)
+from tickloom.functions.blocks import spread, with_ordinal
+from tickloom.session import materialise
 
 # Normalisation constant and label thresholds.
 ALPHA = 15.0
@@ -17,8 +21,8 @@ SHARES = ["compound", "positive", "negative", "neutral"]
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters of any script, in lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1)
+    """Runs of letters of any script, apostrophes inside included."""
+    return F.regexp_extract_all(text, F.lit(r"(\p{L}+(?:'\p{L}+)*)"), 1)
 
 
 def finance_lexicon(spark: SparkSession) -> DataFrame:
@@ -27,7 +31,7 @@ def finance_lexicon(spark: SparkSession) -> DataFrame:
 
 def frequent_terms(texts: DataFrame, size: int = 200) -> DataFrame:
     """A lexicon from the corpus: its most frequent terms with valences from -2 to 2 by rank."""
-    counts = texts.select(F.explode(tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c"))
+    counts = spread(texts.select("text")).select(F.explode(tokens(F.lower("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c"))
     top = counts.orderBy(F.col("c").desc(), "term").limit(size)
     # At most ``size`` rows meet here.
     ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "term"))).alias("all"))
@@ -39,24 +43,119 @@ def label(compound: Column) -> Column:
     return F.when(compound >= THRESHOLD, "Bullish").when(compound <= -THRESHOLD, "Bearish").otherwise("Neutral")
 
 
+#: A lexicon of up to so many terms becomes literals in the plan; a larger one is joined.
+FEW_TERMS = 2_000
+
+
+def _literal_valence(terms: dict[str, float]):
+    """Valence of a term, null where the lexicon has none: one look-up for all terms, then one per distinct valence."""
+    by_value: dict[float, list[str]] = {}
+    for term, value in terms.items():
+        by_value.setdefault(value, []).append(term)
+
+    def look(term: Column) -> Column:
+        found = F.lit(None).cast("double")
+        for value, group in sorted(by_value.items(), key=lambda x: len(x[1])):
+            found = F.when(term.isin(group), F.lit(float(value))).otherwise(found)
+        return F.when(term.isin(list(terms)), found)
+
+    return look
+
+
+def with_valences(texts: DataFrame, lexicon: DataFrame, name: str = "_v") -> DataFrame:
+    """Add the valence of every token of ``_low`` (null: not in the lexicon, whose terms are unique).
+
+    A small lexicon, by its counted size, is a look-up inside the row, so nothing is shuffled.  A larger one is joined
+    by term; the tokens of a row then meet again by the row's number.
+    """
+    rows = lexicon.select("term", F.col("valence").cast("double")).limit(FEW_TERMS + 1).collect()
+    if len(rows) <= FEW_TERMS:
+        look = _literal_valence({r["term"]: r["valence"] for r in rows})
+        return texts.withColumn(name, F.transform("_low", look) if rows else F.transform("_low", lambda t: F.lit(None).cast("double")))
+    numbered = materialise(texts.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    words = numbered.select("_row", F.posexplode("_low").alias("_at", "term"))
+    found = words.join(lexicon.select("term", F.col("valence").cast("double")), "term", "left")
+    cells = F.array_sort(F.collect_list(F.struct("_at", "valence")))
+    back = found.groupBy("_row").agg(F.transform(cells, lambda c: c["valence"]).alias(name))
+    return numbered.join(back, "_row", "left").withColumn(name, F.coalesce(name, F.array().cast("array<double>"))).drop("_row")
+
+
+def _contribution(v: Column, i: Column) -> Column:
+    """What token ``i`` adds: its valence after capitals and the three tokens before it."""
+    before = lambda array, d: F.get(array, i.cast("int") - d)
+    sign = lambda x: F.when(x < 0, -1.0).otherwise(1.0)
+    loud = F.when(F.get("_caps", i.cast("int")) & F.col("_diff"), CAPITALS * sign(v)).otherwise(0.0)
+
+    def nearer(value: Column, d: Column) -> Column:
+        word, boost = before("_low", d), before("_boost", d)
+        counts = word.isNotNull() & before("_v", d).isNull()
+        step = boost * sign(value) + F.when((boost != 0) & before("_caps", d) & F.col("_diff"), CAPITALS * sign(value)).otherwise(0.0)
+        raised = value + step * F.element_at(F.array(F.lit(1.0), F.lit(0.95), F.lit(0.9)), d)
+        close = (before("_low", 1), before("_low", 2))
+        so = F.when(d == 2, close[0].isin("so", "this")).when(d == 3, close[0].isin("so", "this") | close[1].isin("so", "this")).otherwise(False)
+        doubt = F.when(d == 2, close[0] == "doubt").when(d == 3, (close[0] == "doubt") | (close[1] == "doubt")).otherwise(False)
+        factor = (
+            F.when((word == "never") & so, 1.25)
+            .when((word == "without") & doubt, 1.0)
+            .when(before("_negates", d), NEGATED)
+            .otherwise(1.0)
+        )
+        return F.when(counts, raised * factor).otherwise(value)
+
+    value = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), v + loud, nearer)
+    least = (before("_low", 1) == "least") & before("_v", 1).isNull() & ~F.coalesce(before("_low", 2).isin("at", "very"), F.lit(False))
+    value = F.when(F.coalesce(least, F.lit(False)), value * NEGATED).otherwise(value)
+    # A word that raises or lowers others, or is in no lexicon, is neutral itself.
+    return F.when(v.isNull() | (F.get("_boost", i.cast("int")) != 0), F.lit(0.0)).otherwise(value * _side(i))
+
+
+def _side(i: Column) -> Column:
+    """Weight of token ``i`` by the side of the first "but" it stands on."""
+    return F.when(F.col("_but") < 0, 1.0).when(i < F.col("_but"), BEFORE_BUT).when(i > F.col("_but"), AFTER_BUT).otherwise(1.0)
+
+
 def score_texts(texts: DataFrame, lexicon: DataFrame, keys: list[str]) -> DataFrame:
-    """Compound score and shares per text; a text without tokens is neutral.
+    """Compound score and shares of every row; a text without tokens, or null, is neutral.
 
-    No size is assumed for the lexicon; a small one is broadcast by its measured
-    size.  The tokens of a text sit in one task then, so each text is reduced to
-    one row before the shuffle.
+    A token counts with its valence, changed by what stands around it: capitals among other words, words that raise or
+    lower (up to three before it, the nearer the more), negations, a "but" that halves what comes before it, and
+    exclamation and question marks of the text.  A row is one fold over its own tokens, so large tables are not shuffled.
     """
-    words = texts.select(*keys, F.explode_outer(tokens(F.col("text"))).alias("term"))
-    hits = words.join(lexicon, "term", "left")
-    v = F.col("valence")
-    sums = hits.groupBy(*keys).agg(
-        F.coalesce(F.sum(v), F.lit(0.0)).alias("_s"),
-        F.coalesce(F.sum(F.when(v > 0, v + 1)), F.lit(0.0)).alias("_p"),
-        F.coalesce(F.sum(F.when(v < 0, 1 - v)), F.lit(0.0)).alias("_n"),
-        F.count(F.when(F.col("term").isNotNull() & F.coalesce(v == 0, F.lit(True)), 1)).alias("_z"),
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    marks = lambda mark: F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+    texts = spread(texts.select(*keys, "text"))
+    df = texts.select(*keys, tokens(text).alias("_tok"), marks("!").alias("_bangs"), marks("?").alias("_asks"))
+    df = df.withColumn("_low", F.transform("_tok", F.lower))
+    df = with_valences(df, lexicon)
+    raises = lambda t: F.when(t.isin(BOOSTERS), BOOST).when(t.isin(DAMPENERS), -BOOST).otherwise(0.0)
+    df = df.withColumns(
+        {
+            "_boost": F.transform("_low", raises),
+            "_negates": F.transform("_low", lambda t: t.isin(NEGATIONS) | F.contains(t, F.lit("n't"))),
+            "_caps": F.transform("_tok", lambda t: (t == F.upper(t)) & (t != F.lower(t))),
+            "_but": F.array_position("_low", "but") - 1,
+        }
+    )
+    df = df.withColumn("_diff", F.exists("_caps", lambda c: c) & F.exists("_caps", lambda c: ~c))
+    df = df.withColumn("_c", F.transform("_v", _contribution))
+    total = lambda pick: F.aggregate("_c", F.lit(0.0), lambda acc, c: acc + pick(c))
+    bangs = F.least(F.col("_bangs"), F.lit(MOST_EXCLAMATIONS)) * EXCLAMATION
+    asks = F.when(F.col("_asks") > 3, MANY_QUESTIONS).when(F.col("_asks") > 1, F.col("_asks") * QUESTION).otherwise(0.0)
+    sums = df.select(
+        *keys, (bangs + asks).alias("_loud"), total(lambda c: c).alias("_s"),
+        total(lambda c: F.when(c > 0, c + 1).otherwise(0.0)).alias("_p"), total(lambda c: F.when(c < 0, 1 - c).otherwise(0.0)).alias("_n"),
+        F.size(F.filter("_c", lambda c: c == 0)).alias("_z"),
+    )
+    loud, zero = F.col("_loud"), F.lit(0.0)
+    sums = sums.withColumns(
+        {
+            "_s": F.col("_s") + F.when(F.col("_s") > 0, loud).when(F.col("_s") < 0, -loud).otherwise(zero),
+            "_p": F.col("_p") + F.when(F.col("_p") > F.col("_n"), loud).otherwise(zero),
+            "_n": F.col("_n") + F.when(F.col("_p") < F.col("_n"), loud).otherwise(zero),
+        }
     )
     total = F.col("_p") + F.col("_n") + F.col("_z")
-    share = lambda c, empty: F.when(total > 0, F.round(F.col(c) / total, 3)).otherwise(F.lit(empty))
+    share = lambda c, empty: F.when(total > 0, F.round(F.col(c) / total, 3)).otherwise(F.lit(empty))
     out = sums.select(
         *keys,
         F.round(F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + ALPHA), 4).alias("compound"),

@@ -45,6 +45,21 @@ def bull_bear_split(spark, sf):
     return sentiment.bull_bear_split(out).select("grp", "compound", "bullish_pct", "bearish_pct")
 
 
+def regime_text_sentiment(spark, sf):
+    """Finance lexicon over a line of text about every bar: its regime's description, and how its return stands to it."""
+    bars = regimes.with_profile(service_regimes(spark, sf).select("ticker", "dt", "regime", "log_return"))
+    up = F.col("log_return") > 0
+    opening = (
+        F.when(F.col("regime").isin(0, 3) & up, "A VERY strong rally!!")
+        .when(F.col("regime").isin(0, 3), "Not a rally today, but")
+        .when(F.col("regime").isin(4, 5) & up, "Is the selloff over?? Hardly a rebound:")
+        .when(F.col("regime").isin(4, 5), "Extremely bearish, no growth without risks!")
+        .otherwise("Stable, so")
+    )
+    texts = bars.select("ticker", "dt", F.concat_ws(" ", opening, "regime_description").alias("text"))
+    return sentiment.score_texts(texts, sentiment.finance_lexicon(spark), ["ticker", "dt"])
+
+
 def similar_vectors(spark, sf):
     return nearest_vectors(tables.table(spark, sf, "embeddings"))
 
@@ -185,7 +200,7 @@ def _stream_rules(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        lexicon_score, sentiment_label, recency_sentiment, bull_bear_split, similar_vectors, next_version,
+        lexicon_score, sentiment_label, recency_sentiment, bull_bear_split, regime_text_sentiment, similar_vectors, next_version,
         best_latest_model, stale_models, registry_stats, label_counters, histogram_buckets, bucket_percentile,
         latency_percentiles, sliding_failure_rate, rolling_call_count, alert_matches, stream_bars, stream_histogram,
         stream_bars_run, stream_histogram_run, alert_stream_run, alert_conditions, alert_conditions_run,

@@ -254,7 +254,7 @@ Q["mean_cov_annual"] = sql(PF, "SELECT ta AS ticker_a, tb AS ticker_b, ROUND(c,
 Q["equal_weight"] = sql(PF + [("ew", "SELECT (SELECT AVG(m) FROM mn) AS r, SQRT((SELECT SUM(c) FROM cv) / POW((SELECT COUNT(*) FROM mn), 2)) AS v")],
                         "SELECT ROUND(r, 4) AS expected_return, ROUND(v, 4) AS volatility, ROUND((r - 0.05) / v, 4) AS sharpe_ratio FROM ew")
 CAND = PF + [
-    ("ex", "SELECT c AS candidate, i, ticker, -LN(" + U.format(k="c || ':' || i", s=1) + ") AS e FROM range(0, 1000) g(c), ix"),
+    ("ex", "SELECT c AS candidate, i, ticker, -LN(" + U.format(k="c || ':' || ticker", s=1) + ") AS e FROM range(0, 1000) g(c), ix"),
     ("wt", "SELECT candidate, i, ticker, e / SUM(e) OVER (PARTITION BY candidate) AS w FROM ex"),
     ("cr", "SELECT candidate, SUM(w * m) AS ret FROM wt JOIN mn USING (ticker) GROUP BY candidate"),
     ("cw", "SELECT a.candidate, SQRT(SUM(a.w * b.w * c)) AS vol FROM wt a JOIN wt b USING (candidate) JOIN cv ON cv.ta = a.ticker AND cv.tb = b.ticker GROUP BY a.candidate"),

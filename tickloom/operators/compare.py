@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.constants import MIN_ROWS
 from tickloom.functions.series import by_ticker, running, sharpe
+from tickloom.session import materialise
 
 
 def normalise_request(tickers: list[str]) -> list[str]:
@@ -87,6 +88,8 @@ def pairwise(df: DataFrame, value: str, kind: str, name: str) -> DataFrame:
     blocks is a tile, and a tile is one product of two small matrices; no date emits its pairs and the plan does not
     grow with the number of tickers.  Correlation is null where a side is constant.
     """
+    # Dates, tickers and values are read several times below; whatever makes them runs once.
+    df = materialise(df.select("ticker", "dt", value), "values")
     cells = F.array_sort(F.collect_list(F.struct("dt", F.col(value).alias("v"))))
     vectors = complete_dates(df, value).groupBy("ticker").agg(F.transform(cells, lambda c: c["v"]).alias("x"))
     blocks = df.agg(F.ceil(F.count_distinct("ticker") / TILE).cast("int").alias("_blocks"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.constants import RISK_FREE_ANNUAL
 from tickloom.functions.hashing import uniform
 from tickloom.operators.compare import complete_dates, pairwise
+from tickloom.session import materialise
 
 ANNUAL = 252.0
 
@@ -34,36 +37,68 @@ def equal_weight(returns: DataFrame, rf: float = RISK_FREE_ANNUAL) -> DataFrame:
     return _with_sharpe(total.select("ret", (F.sqrt("c") / F.col("n")).alias("vol")), rf)
 
 
-def candidate_portfolios(returns: DataFrame, count: int = 1000, rf: float = RISK_FREE_ANNUAL) -> DataFrame:
-    """Uniform draws from the weight simplex with return, volatility and Sharpe.
+#: Portfolios and dates of one tile of the product of weights and returns.
+TILE_PORTFOLIOS, TILE_DATES = 128, 512
+
+
+def portfolio_returns(vectors: DataFrame, returns: DataFrame) -> DataFrame:
+    """Daily return of every portfolio: portfolio, dt, ret.
 
-    Weights are a long table (candidate, instrument).  A candidate's variance takes two joins with the covariance
-    table, each followed by a sum, so candidates and instruments spread over tasks.  ``weights`` is in order of names.
+    ``vectors``: portfolio (a whole number) and ``weights``, one weight per instrument in order of names.  ``returns`` has
+    ticker, dt and log_return on dates that all instruments share.  A date is one vector as well, bounded by the number
+    of instruments; vectors are dealt into blocks and a tile is one product of two matrices, so no row per portfolio,
+    date and instrument is ever made.
     """
-    places = returns.select("ticker").distinct()
-    # One row per instrument; the order of names is what the draws depend on.
-    places = places.withColumn("i", (F.row_number().over(Window.orderBy("ticker")) - 1).cast("int"))
-    drawn = places.withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    drawn = drawn.withColumn("e", -F.log(uniform(F.concat_ws(":", "candidate", "i"))))
-    totals = drawn.groupBy("candidate").agg(F.sum("e").alias("total"))
-    weights = drawn.join(totals, "candidate").select("candidate", "ticker", "i", (F.col("e") / F.col("total")).alias("w"))
+    cells = F.array_sort(F.collect_list(F.struct("ticker", F.col("log_return").alias("r"))))
+    days = returns.groupBy("dt").agg(F.transform(cells, lambda c: c["r"]).alias("x"))
+    n_days, n_portfolios = returns.select("dt").distinct().count(), vectors.count()
+    down, across = max(1, -(-n_portfolios // TILE_PORTFOLIOS)), max(1, -(-n_days // TILE_DATES))
+    left = vectors.select(
+        F.pmod("portfolio", F.lit(down)).cast("int").alias("_down"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("_across"),
+        F.col("portfolio").cast("long").alias("portfolio"), F.lit(None).cast("date").alias("dt"), F.col("weights").alias("x"),
+    )
+    right = days.select(
+        F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("_down"), F.pmod(F.unix_date("dt"), F.lit(across)).cast("int").alias("_across"),
+        F.lit(None).cast("long").alias("portfolio"), "dt", "x",
+    )
 
-    table = mean_cov_annual(returns)
-    half = weights.join(table, weights["ticker"] == table["ticker_a"]).groupBy("candidate", "ticker_b").agg(
-        F.sum(F.col("w") * F.col("cov")).alias("half")
+    def tile(rows: pa.Table) -> pa.Table:
+        is_day = np.asarray(rows["portfolio"].is_null())
+        x = np.array(rows["x"].to_pylist(), dtype=float)
+        w, r = x[~is_day], x[is_day]
+        product = (w @ r.T).ravel() if len(w) and len(r) else np.zeros(0)
+        keep = pa.array(~is_day)
+        portfolios, dates = rows["portfolio"].filter(keep).to_numpy(), rows["dt"].filter(pa.array(is_day)).combine_chunks()
+        return pa.table(
+            {
+                "portfolio": pa.array(np.repeat(portfolios, len(r)), pa.int64()),
+                "dt": dates.take(pa.array(np.tile(np.arange(len(r)), len(w)))),
+                "ret": pa.array(product),
+            }
+        )
+
+    return left.unionByName(right).groupBy("_down", "_across").applyInArrow(tile, "portfolio long, dt date, ret double")
+
+
+def candidate_portfolios(returns: DataFrame, count: int = 1000, rf: float = RISK_FREE_ANNUAL) -> DataFrame:
+    """Uniform draws from the weight simplex with return, volatility and Sharpe; ``weights`` is in order of names.
+
+    A draw is a hash of (candidate, instrument).  A candidate's figures are mean and deviation of its own daily returns,
+    which is the same as the sums over the covariance matrix and needs no matrix.
+    """
+    complete = materialise(complete_dates(returns, "log_return"), "returns")
+    drawn = complete.select("ticker").distinct().withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    drawn = drawn.withColumn("e", -F.log(uniform(F.concat_ws(":", "candidate", "ticker"))))
+    cells = F.array_sort(F.collect_list(F.struct("ticker", "e")))
+    vectors = drawn.groupBy("candidate").agg(cells.alias("cells"), F.sum("e").alias("total"))
+    vectors = materialise(
+        vectors.select(F.col("candidate").alias("portfolio"), F.transform("cells", lambda c: c["e"] / F.col("total")).alias("weights")), "weights"
     )
-    means = _means(returns)
-    whole = (
-        weights.join(half.withColumnRenamed("ticker_b", "ticker"), ["candidate", "ticker"])
-        .join(means, "ticker")
-        .groupBy("candidate")
-        .agg(
-            F.sum(F.col("w") * F.col("mean_a")).alias("ret"),
-            F.sqrt(F.sum(F.col("w") * F.col("half"))).alias("vol"),
-            F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("weights"),
-        )
+    moments = portfolio_returns(vectors, complete).groupBy("portfolio").agg(
+        (F.avg("ret") * ANNUAL).alias("ret"), (F.stddev_samp("ret") * F.sqrt(F.lit(ANNUAL))).alias("vol")
     )
-    return _with_sharpe(whole.select("candidate", "weights", "ret", "vol"), rf)
+    whole = vectors.join(moments, "portfolio")
+    return _with_sharpe(whole.select(F.col("portfolio").alias("candidate"), "weights", "ret", "vol"), rf)
 
 
 def best_portfolios(candidates: DataFrame, returns: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from tickloom.operators.cleaning import preprocess
 from tickloom.operators.compare import align_panel, benchmark_align
 from tickloom.operators.indicators import engineer_features, indicator_columns, regime_features
 from tickloom.operators.regimes import classify_regimes
+from tickloom.session import materialise
 from tickloom.sources.bars import load_bars
 
 
@@ -33,7 +34,7 @@ def service_regimes(spark: SparkSession, sf: str, universe: str = "brand", start
 
 def compare_panel(spark: SparkSession, sf: str) -> DataFrame:
     """Cleaned features of the six product types on the dates all of them share."""
-    return align_panel(engineered(spark, sf, "type"))
+    return align_panel(materialise(engineered(spark, sf, "type"), "panel"))
 
 
 def benchmark_features(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,6 +12,7 @@ from tickloom.operators import backtest, compare, forecast, portfolio, regimes,
 from tickloom.operators.indicators import log_return
 from tickloom.plans import report
 from tickloom.plans.panels import engineered, report_regimes, rounded, service_regimes
+from tickloom.session import materialise
 from tickloom.sources import bars as src
 
 
@@ -227,7 +228,7 @@ def forecast_record(spark, sf):
 
 def _asset_returns(spark, sf):
     aligned = compare.align_panel(src.load_bars(spark, sf, "type").select("ticker", "dt", "close"))
-    return aligned.withColumn("log_return", log_return())
+    return materialise(aligned.withColumn("log_return", log_return()), "asset-returns")
 
 
 def mean_cov_annual(spark, sf):
@@ -250,7 +251,8 @@ def candidate_portfolios(spark, sf):
 
 
 def max_sharpe_min_vol(spark, sf):
-    return portfolio.best_portfolios(_candidates(spark, sf), _asset_returns(spark, sf))
+    returns = _asset_returns(spark, sf)
+    return portfolio.best_portfolios(portfolio.candidate_portfolios(returns), returns)
 
 
 def efficient_frontier(spark, sf):

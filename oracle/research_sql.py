@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from oracle.ctes import W, bars, cleaned, engineered, guarded, position, report_regimes, service_regimes, sql
+import math
+from statistics import NormalDist
+
+from oracle.ctes import W, bars, cleaned, engineered, guarded, position, report_regimes, risk, service_regimes, sql
 from oracle.market_sql import COMMON, CONF, rounds
 from tickloom.constants import FEATURE_COLS
 
@@ -275,3 +278,56 @@ Q["max_sharpe_min_vol"] = sql(
 Q["efficient_frontier"] = sql(
     CAND + [("rd", 'SELECT candidate, ROUND(ret, 4) AS "return", ROUND(vol, 4) AS volatility, ROUND(sharpe, 4) AS sharpe FROM cd')],
     'SELECT volatility, ARG_MIN("return", candidate) AS "return", ARG_MIN(sharpe, candidate) AS sharpe FROM rd GROUP BY volatility ORDER BY volatility LIMIT 50')
+
+DRIFT = PF + [
+    ("tn", "SELECT ticker, i, COUNT(*) OVER () AS c FROM ix"),
+    ("tg2", "SELECT 'equal' AS portfolio, LIST(1.0::DOUBLE / c ORDER BY i) AS t, LIST(ticker ORDER BY i) AS names FROM tn UNION ALL SELECT 'ranked', LIST((i + 1) * 2.0::DOUBLE / (c * (c + 1)) ORDER BY i), LIST(ticker ORDER BY i) FROM tn"),
+    ("dy", "SELECT dt, LIST(close ORDER BY ticker) AS p, ROW_NUMBER() OVER (ORDER BY dt) AS d FROM bars WHERE dt IN (SELECT dt FROM common) GROUP BY dt"),
+    ("dz", "SELECT a.*, b.p AS before, b.dt IS NULL OR DATE_TRUNC('month', a.dt) <> DATE_TRUNC('month', b.dt) AS rebalanced FROM dy a LEFT JOIN dy b ON b.d = a.d - 1"),
+    ("wk RECURSIVE", """SELECT portfolio, names, t, d, dt, rebalanced, t AS w, t AS held FROM tg2, dz WHERE d = 1
+UNION ALL
+SELECT portfolio, names, t, d, dt, rebalanced, w, CASE WHEN rebalanced THEN t ELSE w END FROM (
+  SELECT portfolio, names, t, d, dt, rebalanced, list_transform(v, lambda x: x / list_sum(v)) AS w FROM (
+    SELECT k.portfolio, k.names, k.t, z.d, z.dt, z.rebalanced, list_transform(k.held, lambda h, i: h * z.p[i] / z.before[i]) AS v FROM wk k JOIN dz z ON z.d = k.d + 1))"""),
+    ("dr", "SELECT portfolio, dt, rebalanced, UNNEST(names) AS ticker, UNNEST(w) AS weight, UNNEST(t) AS target FROM wk"),
+]
+Q["rebalance_drift"] = sql(DRIFT, "SELECT portfolio, ticker, dt, ROUND(weight, 8) AS weight, ROUND(weight - target, 8) AS drift, rebalanced FROM dr")
+Q["rebalance_turnover"] = sql(DRIFT, "SELECT portfolio, dt, ROUND(SUM(ABS(weight - target)) / 2, 8) AS turnover, ROUND(MAX(ABS(weight - target)), 8) AS largest_drift FROM dr WHERE rebalanced GROUP BY portfolio, dt")
+Q["portfolio_tail_risk"] = sql(
+    service_regimes("type") + risk() + [c for c in CAND if c[0] != "bars"] + [
+        ("lr", "SELECT candidate, dt, SUM(w * lr) AS r FROM wt JOIN al USING (ticker) WHERE candidate < 200 AND lr IS NOT NULL GROUP BY candidate, dt"),
+        ("vq", "SELECT candidate, QUANTILE_CONT(r, 0.05) AS q, COUNT(*) AS days FROM lr GROUP BY candidate"),
+        ("es", "SELECT candidate, AVG(r) AS e FROM lr JOIN vq USING (candidate) WHERE r <= q GROUP BY candidate"),
+        ("rs", "SELECT ticker, ARG_MAX(risk_score, dt) AS s FROM risk GROUP BY ticker"),
+        ("rw", "SELECT candidate, SUM(w * s) AS score FROM wt JOIN rs USING (ticker) GROUP BY candidate"),
+    ],
+    """SELECT CAST(candidate AS BIGINT) AS portfolio, days, ROUND(-q, 6) AS value_at_risk, ROUND(-e, 6) AS expected_shortfall, ROUND(score, 4) AS risk_score
+FROM vq JOIN es USING (candidate) JOIN rw USING (candidate)""")
+Q["shock_scenario"] = sql(
+    PF + [("sh", "SELECT * FROM (VALUES ('ECONOMY', -0.10::DOUBLE), ('PROMO', 0.03::DOUBLE)) v(ticker, shock)"),
+          ("sm0", "SELECT ta, LIST(c ORDER BY tb) || [ANY_VALUE(s.shock)] AS r FROM cv JOIN sh s ON s.ticker = ta WHERE tb IN (SELECT ticker FROM sh) GROUP BY ta"),
+          ("sm1", "SELECT LIST(r ORDER BY ta) AS m, LIST(ta ORDER BY ta) AS names FROM sm0")] + eliminate("sm1", "sy", 2) + [
+          ("yy", "SELECT UNNEST(names) AS tb, UNNEST(x) AS y FROM sy"),
+          ("mv", "SELECT ta AS ticker, SUM(c * y) AS m FROM cv JOIN yy USING (tb) GROUP BY ta")],
+    "SELECT ticker, shock, ROUND(COALESCE(shock, m), 8) AS expected_move FROM mv LEFT JOIN sh USING (ticker)")
+BETA = ", ".join(
+    f"ROUND(CASE WHEN COUNT(*) OVER w{n} = {n} THEN COVAR_POP(log_return, bench_ret) OVER w{n} / VAR_POP(bench_ret) OVER w{n} END, 6) AS beta{n}" for n in (60, 252))
+Q["rolling_beta"] = sql(REP[: [n for n, _ in REP].index("common") + 1], f"SELECT ticker, dt, {BETA} FROM common WINDOW " + ", ".join(f"w{n} AS ({W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (60, 252)))
+GRID = [(1.0, 0.5), (0.8, 0.4), (0.6, 0.3)]
+TRIES = len(GRID)
+MOST = (1 - 0.5772156649015329) * NormalDist().inv_cdf(1 - 1 / TRIES) + 0.5772156649015329 * NormalDist().inv_cdf(1 - 1 / (TRIES * math.e))
+Q["deflated_sharpe"] = sql(
+    REP + [
+        ("gd", "SELECT * FROM (VALUES " + ", ".join(f"({k}, {b}::DOUBLE, {n}::DOUBLE)" for k, (b, n) in enumerate(GRID)) + ") v(k, b, w)"),
+        ("wr", "SELECT ticker, dt, k, log_return, CASE WHEN regime IN (0, 3) THEN b WHEN regime IN (1, 2) THEN w ELSE 0 END AS wt FROM lab, gd"),
+        ("rr", "SELECT ticker, k, COALESCE(LAG(wt) OVER (PARTITION BY ticker, k ORDER BY dt), 0) * log_return - 0.05 / 252 AS r FROM wr"),
+        ("mm", "SELECT ticker, k, AVG(r) AS m, STDDEV_POP(r) AS sd, COUNT(*) AS days FROM rr GROUP BY ticker, k"),
+        ("mo", "SELECT ticker, k, AVG(POW((r - m) / sd, 3)) AS sk, AVG(POW((r - m) / sd, 4)) - 3 AS ku FROM rr JOIN mm USING (ticker, k) GROUP BY ticker, k"),
+        ("sp", f"SELECT ticker, STDDEV_SAMP(m / sd) * {MOST!r}::DOUBLE AS em, ARG_MAX(k, (ROUND(m / sd, 12), -k)) AS k FROM mm GROUP BY ticker"),
+        ("ds", """SELECT ticker, days, k, m / sd AS s, em, sk, ku, (m / sd - em) * SQRT(days - 1) / SQRT(1 - sk * m / sd + (ku + 2) / 4 * POW(m / sd, 2)) AS z
+FROM sp JOIN mm USING (ticker, k) JOIN mo USING (ticker, k)"""),
+        ("ph", """SELECT ticker, 0.5 + SIGN(z) * SUM((CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * EXP(-POW(i * ABS(z) / 4000, 2) / 2)) * ABS(z) / 12000 / SQRT(2 * PI()) AS p
+FROM ds, RANGE(0, 4001) g(i) GROUP BY ticker, z"""),
+    ],
+    f"""SELECT ticker, days, CAST({TRIES} AS BIGINT) AS trials, CAST(k AS INTEGER) AS best, ROUND(s, 6) AS sharpe_daily, ROUND(em, 6) AS expected_max, ROUND(sk, 6) AS skewness,
+  ROUND(ku, 6) AS excess_kurtosis, ROUND(p, 6) AS deflated_sharpe FROM ds JOIN ph USING (ticker)""")

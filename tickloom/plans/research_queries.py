@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from tickloom.constants import FEATURE_COLS
 from tickloom.functions.series import by_ticker
-from tickloom.operators import backtest, compare, forecast, portfolio, regimes, research, ridge, stored_models
+from tickloom.operators import backtest, compare, forecast, portfolio, regimes, research, ridge, risk, stored_models
 from tickloom.operators.indicators import log_return
 from tickloom.plans import report
-from tickloom.plans.panels import engineered, report_regimes, rounded, service_regimes
+from tickloom.plans.panels import engineered, report_features, report_regimes, rounded, service_regimes
 from tickloom.session import materialise
 from tickloom.sources import bars as src
 
@@ -259,6 +259,57 @@ def efficient_frontier(spark, sf):
     return portfolio.efficient_frontier(_candidates(spark, sf))
 
 
+def _targets(returns):
+    """Two portfolios over all instruments: equal weights, and weights that grow with the place of the name."""
+    names = returns.agg(F.array_sort(F.collect_set("ticker")).alias("names"))
+    rows = names.select(F.size("names").alias("n"), F.posexplode("names").alias("i", "ticker"))
+    both = F.array(
+        F.struct(F.lit("equal").alias("portfolio"), (F.lit(1.0) / F.col("n")).alias("target")),
+        F.struct(F.lit("ranked").alias("portfolio"), ((F.col("i") + 1) * 2.0 / (F.col("n") * (F.col("n") + 1))).alias("target")),
+    )
+    return rows.select("ticker", F.inline(both))
+
+
+def _drift(spark, sf):
+    prices = _asset_returns(spark, sf)
+    return risk.rebalance_drift(prices, _targets(prices))
+
+
+def rebalance_drift(spark, sf):
+    return rounded(_drift(spark, sf), {"weight": 8, "drift": 8})
+
+
+def rebalance_turnover(spark, sf):
+    return rounded(risk.rebalance_turnover(_drift(spark, sf)), {"turnover": 8, "largest_drift": 8})
+
+
+def portfolio_tail_risk(spark, sf):
+    """Candidate portfolios with their tail losses and the risk score of what they hold."""
+    returns = _asset_returns(spark, sf)
+    vectors = portfolio.candidate_portfolios(returns, 200).select(F.col("candidate").alias("portfolio"), "weights")
+    board = regimes.regime_scoreboard(regimes.with_risk_score(regimes.drop_centers(service_regimes(spark, sf, "type"))))
+    out = risk.tail_risk(materialise(vectors, "weights"), returns.where(F.col("log_return").isNotNull()), board.select("ticker", "risk_score"))
+    return rounded(out, {"value_at_risk": 6, "expected_shortfall": 6, "risk_score": 4})
+
+
+SHOCKS = [("ECONOMY", -0.10), ("PROMO", 0.03)]
+
+
+def shock_scenario(spark, sf):
+    covariances = portfolio.mean_cov_annual(_asset_returns(spark, sf)).select("ticker_a", "ticker_b", "cov")
+    return rounded(risk.shock_scenario(covariances, spark.createDataFrame(SHOCKS, "ticker string, shock double")), {"expected_move": 8})
+
+
+def rolling_beta(spark, sf):
+    out = risk.rolling_beta(report_features(spark, sf).select("ticker", "dt", "log_return", "bench_ret"), [60, 252])
+    return rounded(out.select("ticker", "dt", "beta60", "beta252"), {"beta60": 6, "beta252": 6})
+
+
+def deflated_sharpe(spark, sf):
+    out = risk.deflated_sharpe(report_regimes(spark, sf))
+    return rounded(out, {c: 6 for c in ["sharpe_daily", "expected_max", "skewness", "excess_kurtosis", "deflated_sharpe"]})
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -270,5 +321,6 @@ QUERIES = {
         ar1_forecaster, return_forecaster, roll_forecast, walk_forward_eval, walk_forward_eval_summary, batch_score, forecast_record,
         walk_forward_features, batch_score_stored, ensemble_forecast, linear_member,
         mean_cov_annual, equal_weight, candidate_portfolios, max_sharpe_min_vol, efficient_frontier,
+        rebalance_drift, rebalance_turnover, portfolio_tail_risk, shock_scenario, rolling_beta, deflated_sharpe,
     )
 }

@@ -42,6 +42,25 @@ def test_scores(spark, texts, order, exclude_self, chunk):
     assert all(abs(g[2] - w[2]) < 1e-8 * max(1, abs(w[2])) for g, w in zip(got, want, strict=True))
 
 
+@pytest.mark.parametrize(("order", "exclude_self"), [(3, True), (2, False)])
+def test_plain_form(spark, texts, order, exclude_self):
+    rows = [(i, t) for i, t in texts.items()][:40] + [(1000, None), (1001, "***"), (1002, "a b a b a b a"), (None, "a b")]
+    rows.append(rows[3])
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as row", "'y' as id")
+    key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["n_words"])
+    plain = sorted(lm_score.plain_scores(frame, order, exclude_self=exclude_self).collect(), key=key)
+    packed = sorted(lm_score.backoff_scores(frame, order, exclude_self=exclude_self, chunk_chars=50_000).collect(), key=key)
+    assert list(map(key, plain)) == list(map(key, packed))
+    assert all(abs(a["log_score"] - b["log_score"]) < 1e-8 * max(1, abs(b["log_score"])) for a, b in zip(plain, packed, strict=True))
+    assert lm_score.plain_scores(frame.where("false")).count() == 0
+
+
+def test_equal_rows_are_dealt_to_several_chunks(spark):
+    frame = spark.createDataFrame([(1, "same text again")] * 400 + [(2, "other words")], "doc_id long, text string").repartition(16)
+    rows = lm_score.backoff_scores(frame, chunk_chars=500).collect()
+    assert len(rows) == 401 and len({r["log_score"] for r in rows if r["doc_id"] == 1}) == 1
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = lm_score.backoff_scores(odd_docs, chunk_chars=10_000).collect()
     assert len(rows) == odd_docs.count()

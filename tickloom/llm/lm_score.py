@@ -4,17 +4,22 @@ Relational plan: documents are dealt to chunks; a chunk's distinct n-grams of al
 aggregate) are partitioned by hash; each hash partition sums the counts of all chunks and joins the totals back to the
 chunk that asked; the chunk joins totals to its exploded n-grams and sums per document.  Rows are packed: what one
 chunk sends to one partition is one row of sorted hashes.  A frequent n-gram is one entry per chunk, so none is hot.
+Rows are chunks x partitions while a chunk meets every partition, and at most the chunk's distinct n-grams beyond, so
+there are never more of them than the plain form has.
+
+``plain_scores`` is that plain form, one row per document and n-gram; it gives the same scores and needs several times
+the shuffle (figures in the README).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import hashed_words, mix, word_count
+from tickloom.llm.common import hashed_words, mix, word_count, words_text, written
 
 ORDER, BACKOFF = 3, 0.4
 #: Characters of text in a chunk, and of the corpus per hash partition.
@@ -39,12 +44,14 @@ def ngrams(hashes: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarra
     return out
 
 
-def _short(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Partition of each hash (ranges in the order of hashes), and its place in the range, cut to what travels."""
-    part = ((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    starts = np.array([-(-(k << 32) // parts) << 32 for k in range(parts)], np.uint64)
-    drop = max(0, 64 - (parts.bit_length() - 1) - 8 * HASH_BYTES)
-    return part.astype(np.int64), (grams - starts[part.astype(np.int64)]) >> np.uint64(drop)
+def _starts(parts: int) -> np.ndarray:
+    """First hash of each partition: ranges in the order of hashes, cut at multiples of 2**32."""
+    return np.array([-(-(k << 32) // parts) << 32 for k in range(parts)], np.uint64)
+
+
+def _dropped(parts: int) -> np.uint64:
+    """Low bits of a hash that do not travel: what exceeds HASH_BYTES after the partition is taken off."""
+    return np.uint64(max(0, 64 - (parts.bit_length() - 1) - 8 * HASH_BYTES))
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -75,30 +82,27 @@ def _unpack_counts(raw: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _firsts(part: np.ndarray, value: np.ndarray) -> np.ndarray:
-    fresh = np.ones(len(part), bool)
-    fresh[1:] = (part[1:] != part[:-1]) | (value[1:] != value[:-1])
-    return fresh
-
-
-def _distinct(grams: list[np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Partition, short hash and count of each distinct n-gram, in order."""
+def _counted(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a chunk in order, and their counts.  Works in place where it can: chunks are large."""
     flat = np.concatenate([g[g != 0] for g in grams])
     flat.sort()
-    part, value = _short(flat, parts)
-    first = np.flatnonzero(_firsts(part, value))
-    return part[first], value[first], np.diff(np.concatenate([first, [len(flat)]]))
-
-
-def _places(gram: np.ndarray, parts: int, part: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Place of each n-gram among the distinct ones (-1: none)."""
-    at, out = np.flatnonzero(gram), np.full(len(gram), -1, np.int64)
-    own, short = _short(gram[at], parts)
-    begin = np.searchsorted(part, np.arange(parts + 1))
-    order = np.argsort(own, kind="stable")
-    for k, rows in enumerate(np.split(order, np.searchsorted(own[order], np.arange(1, parts)))):
-        out[at[rows]] = begin[k] + np.searchsorted(value[begin[k] : begin[k + 1]], short[rows])
-    return out
+    fresh = np.ones(len(flat), bool)
+    np.not_equal(flat[1:], flat[:-1], out=fresh[1:])
+    first = np.flatnonzero(fresh)
+    del fresh
+    counts = np.empty(len(first), np.int32)
+    counts[:-1] = first[1:] - first[:-1]
+    if len(first):
+        counts[-1] = len(flat) - first[-1]
+    return flat[first], counts
+
+
+def _cut(grams: list[np.ndarray], parts: int) -> None:
+    """Drop the bits that do not travel, in place; 0 stays the mark of no n-gram."""
+    drop = _dropped(parts)
+    if drop:
+        for g in grams:
+            np.right_shift(g, drop, out=g)
 
 
 _REQUEST = T.StructType(
@@ -117,17 +121,19 @@ _ANSWER = T.StructType(
 def _requests(order: int, parts: int):
     def look(chunk: pa.Table) -> pa.Table:
         grams = ngrams(*hashed_words(chunk.column("text").to_pylist()), order)
-        part, value, counts = _distinct(grams, parts)
-        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-        ends = np.concatenate([edges[1:], [len(part)]])
+        _cut(grams, parts)
+        values, counts = _counted(grams)
+        del grams
+        starts = _starts(parts) >> _dropped(parts)
+        edges = np.concatenate([np.searchsorted(values, starts), [len(values)]])
         number = chunk.column("chunk")[0].as_py()
-        spans = list(zip(edges.tolist(), ends.tolist(), strict=False)) if len(part) else []
+        asked = [k for k in range(parts) if edges[k] < edges[k + 1]]
         return pa.table(
             {
-                "part": pa.array([int(part[a]) for a, _ in spans], pa.int32()),
-                "chunk": pa.array([number] * len(spans), pa.int32()),
-                "grams": pa.array([_pack(value[a:b]) for a, b in spans], pa.binary()),
-                "counts": pa.array([_pack_counts(counts[a:b] - 1) for a, b in spans], pa.binary()),
+                "part": pa.array(asked, pa.int32()),
+                "chunk": pa.array([number] * len(asked), pa.int32()),
+                "grams": pa.array([_pack(values[edges[k] : edges[k + 1]] - starts[k]) for k in asked], pa.binary()),
+                "counts": pa.array([_pack_counts(counts[edges[k] : edges[k + 1]] - 1) for k in asked], pa.binary()),
             }
         )
 
@@ -136,16 +142,26 @@ def _requests(order: int, parts: int):
 
 def _answers(asked: pa.Table) -> pa.Table:
     """Counts in the other chunks, for each chunk in the order in which it asked; mostly 0, which costs a bit."""
-    values = [_unpack(x.as_py()) for x in asked.column("grams")]
-    counts = 1 + np.concatenate([_unpack_counts(x.as_py(), len(v)) for x, v in zip(asked.column("counts"), values, strict=True)])
-    _, place = np.unique(np.concatenate(values), return_inverse=True)
-    others = np.bincount(place, weights=counts).astype(np.int64)[place] - counts
-    cuts = np.cumsum([0, *map(len, values)])
+    sizes = [len(x.as_py()) // HASH_BYTES for x in asked.column("grams")]
+    cuts = np.cumsum([0, *sizes])
+    values, counts = np.empty(cuts[-1], np.uint64), np.empty(cuts[-1], np.int64)
+    for x, c, a, b in zip(asked.column("grams"), asked.column("counts"), cuts[:-1], cuts[1:], strict=True):
+        values[a:b] = _unpack(x.as_py())
+        counts[a:b] = _unpack_counts(c.as_py(), b - a) + 1
+    order = np.argsort(values)
+    values = values[order]
+    fresh = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=fresh[1:])
+    del values
+    totals = np.add.reduceat(counts[order], np.flatnonzero(fresh))
+    group = np.cumsum(fresh, dtype=np.int32)
+    group -= 1
+    counts[order] = totals[group] - counts[order]
     return pa.table(
         {
             "chunk": asked.column("chunk").cast(pa.int32()),
             "part": asked.column("part").cast(pa.int32()),
-            "others": pa.array([_pack_counts(others[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+            "others": pa.array([_pack_counts(counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
         }
     )
 
@@ -166,33 +182,49 @@ def score_positions(counts: list[np.ndarray], words: np.ndarray, backoff: float)
     return score
 
 
+def _own_counts(owner: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
+    """How often each row's n-gram stands in its own text."""
+    key = owner * width + place
+    order = np.argsort(key)
+    key = key[order]
+    fresh = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=fresh[1:])
+    del key
+    sizes = np.diff(np.concatenate([np.flatnonzero(fresh), [len(fresh)]])).astype(np.int32)
+    out = np.empty(len(order), np.int32)
+    out[order] = np.repeat(sizes, sizes)
+    return out
+
+
 def _scores(order: int, parts: int, total: int, backoff: float, exclude_self: bool, id_type: pa.DataType, names: list[str]):
     def look(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = chunk.column("text").to_pylist()
-        hashes, starts = hashed_words(texts)
-        grams = ngrams(hashes, starts, order)
+        hashes, starts = hashed_words(chunk.column("text").to_pylist())
         n = np.diff(starts)
-        sums = np.zeros(len(texts))
+        sums = np.zeros(len(n))
         if len(hashes):
-            part, value, totals = _distinct(grams, parts)
-            sizes = np.bincount(part, minlength=parts)
-            totals = totals.astype(float)
-            ends = np.cumsum(sizes)
+            grams = ngrams(hashes, starts, order)
+            del hashes
+            _cut(grams, parts)
+            values, totals = _counted(grams)
+            edges = np.concatenate([np.searchsorted(values, _starts(parts) >> _dropped(parts)), [len(values)]])
+            totals = totals.astype(np.int64)
             for k, packed in zip(answers.column("part").to_pylist(), answers.column("others"), strict=True):
-                totals[ends[k] - sizes[k] : ends[k]] += _unpack_counts(packed.as_py(), int(sizes[k]))
-            owner, words, counts = np.repeat(np.arange(len(texts)), n), np.full(len(hashes), float(total)), []
+                totals[edges[k] : edges[k + 1]] += _unpack_counts(packed.as_py(), int(edges[k + 1] - edges[k]))
+            owner, words, counts = np.repeat(np.arange(len(n)), n), np.full(int(starts[-1]), float(total)), []
             for k in range(order):
-                place = _places(grams[k], parts, part, value)
+                at = np.flatnonzero(grams[k])
+                place = np.searchsorted(values, grams[k][at])
                 grams[k] = None
-                found = np.where(place >= 0, totals[place], -1.0)
+                found = np.full(len(owner), -1.0, np.float64)
+                found[at] = totals[place]
                 if exclude_self:
-                    _, which, own = np.unique(owner * (len(value) + 1) + place, return_inverse=True, return_counts=True)
-                    found = np.where(place >= 0, found - own[which], -1.0)
+                    found[at] -= _own_counts(owner[at], place, len(values) + 1)
                 counts.append(found)
+            del values, totals
             if exclude_self:
                 words -= np.repeat(n, n)
             score = score_positions(counts, words, backoff)
-            sums = np.bincount(owner, weights=score, minlength=len(texts))
+            sums = np.bincount(owner, weights=score, minlength=len(n))
         return pa.table(
             {
                 names[0]: chunk.column("id").cast(id_type),
@@ -225,9 +257,9 @@ def backoff_scores(
     text = docs[text_column].cast("string")
     chars, total = docs.agg(F.sum(F.length(text)), F.sum(word_count(text))).first()
     chunks = max(1, -(-(chars or 0) // chunk_chars))
-    base = docs.select(
-        F.pmod(F.xxhash64(docs[id_column], text), F.lit(chunks)).cast("int").alias("chunk"), docs[id_column].alias("id"), text.alias("text")
-    ).repartition(chunks, "chunk")
+    # The split a row comes from parts equal rows, which one hash would deal to one chunk.
+    dealt = F.pmod(F.xxhash64(docs[id_column], text, F.spark_partition_id()), F.lit(chunks)).cast("int")
+    base = docs.select(dealt.alias("chunk"), docs[id_column].alias("id"), text.alias("text")).repartition(chunks, "chunk")
     requests = base.groupBy("chunk").applyInArrow(_requests(order, chunks), _REQUEST)
     answers = requests.repartition(chunks, "part").groupBy("part").applyInArrow(_answers, _ANSWER)
     schema = T.StructType(
@@ -243,3 +275,40 @@ def backoff_scores(
     id_type = to_arrow_type(schema[0].dataType)
     score = _scores(order, chunks, total or 0, backoff, exclude_self, id_type, schema.names)
     return base.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
+
+
+def plain_scores(
+    docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, exclude_self: bool = True, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """The rows of ``backoff_scores`` from a count table partitioned by hash, joined to exploded n-grams, summed per row.
+
+    An n-gram is pre-aggregated per row before its hash is shuffled; one that no other row has is answered by 0 without
+    a partner in the join.
+    """
+    words = F.filter(F.split(words_text(docs[text_column]), " "), lambda w: w != "")
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), docs[id_column].alias("id"), words.alias("w")), "words")
+    total = rows.agg(F.sum(F.size("w"))).first()[0] or 0
+
+    def ending_at(i: Column) -> Column:
+        grams = [F.when(i >= k, F.struct(F.lit(k).alias("k"), i.alias("i"), F.xxhash64(F.lit(k), F.slice("w", i - (k - 1), F.lit(k))).alias("h"))) for k in range(1, order + 1)]
+        return F.array_compact(F.array(*grams))
+
+    places = F.when(F.size("w") > 0, F.sequence(F.lit(1), F.size("w")))
+    exploded = rows.select("row", F.explode(places).alias("i"), "w").select("row", F.inline(ending_at(F.col("i"))))
+    own = exploded.groupBy("row", "k", "h").agg(F.count(F.lit(1)).alias("own"))
+    table = own.groupBy("k", "h").agg(F.sum("own").alias("total"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    others = own.join(table, ["k", "h"], "left").select("row", "k", "h", (F.coalesce("total", "own") - (F.col("own") if exclude_self else F.lit(0))).alias("c"))
+    met = exploded.join(others, ["row", "k", "h"])
+    counts = met.groupBy("row", "i").agg(*[F.max(F.when(F.col("k") == k, F.col("c"))).alias(f"c{k}") for k in range(1, order + 1)])
+    before = Window.partitionBy("row").orderBy("i")
+    counts = counts.withColumns({f"b{k}": F.lag(f"c{k}").over(before) for k in range(1, order)})
+    sizes = rows.select("row", "id", F.size("w").cast("long").alias("n_words"))
+    counts = counts.join(sizes.select("row", "n_words"), "row")
+    n = F.lit(float(total)) - (F.col("n_words") if exclude_self else F.lit(0))
+    score = F.log(F.greatest("c1", F.lit(0.5)) / F.greatest(n, F.lit(1.0)))
+    for k in range(2, order + 1):
+        seen = F.log(F.col(f"c{k}") / F.greatest(F.col(f"b{k - 1}"), F.lit(1)))
+        score = F.when(F.col(f"c{k}") > 0, seen).when(F.col(f"c{k}").isNull(), score).otherwise(score + float(np.log(backoff)))
+    summed = counts.select("row", score.alias("s")).groupBy("row").agg(F.sum("s").alias("log_score"))
+    out = sizes.join(summed, "row", "left").withColumn("log_score", F.coalesce("log_score", F.lit(0.0)))
+    return out.select(F.col("id").alias(id_column), "n_words", "log_score", F.try_divide("log_score", "n_words").alias("mean_log_score"))

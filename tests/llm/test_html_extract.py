@@ -28,7 +28,7 @@ def test_what_is_no_article(spark):
     assert H.main_text(page, None) == "T\nS\nA\nB"
     import json
 
-    assert H.main_text(page, json.dumps(H.wrapper_of(H.parse(page)))) == "T\nS\nA\nB"
+    assert H.main_text(page, json.dumps(H.reading_of(H.page_wrapper(H.parse(page))))) == "T\nS\nA\nB"
 
 
 def test_wrapper_is_union_free():
@@ -75,3 +75,60 @@ def test_articles_below_the_limit(spark):
             head = "T\n" if kind == "tag" else ""
             got = {r["page_id"]: r["text"] for r in H.extract_main_text(frame).collect()}
             assert got == {k: f"{head}a long text of {k}\nand its end" for k in range(3)}, (levels, kind)
+
+
+def read(spark, pages):
+    frame = spark.createDataFrame([(k, "http://n.example/x", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in H.extract_main_text(frame).collect()}
+
+
+NEUTRAL = """<body><div class="q0"><div class="r"><a href=a>Home</a></div><div class="r"><a href=b>All of it</a></div><div class="r"><a href=c>More</a></div></div>
+<div class="q2"><div class="k1">Read this journal every day, it is free and it always will be free, say its makers.</div><h2>Title {n}</h2><p>Text {n} one.</p><p>Text {n} <a href=z>two</a>.</p>
+<div class="k2"><ul><li><a href=1>next {m}</a><li><a href=2>other {n}</a><li><a href=3>third {m}</a></ul></div><p class="w">{n} more</p></div>
+<div class="q7"><p>All rights are ours, and nobody else may have any of them without a letter from us, signed and stamped.</p></div></body>"""
+
+
+def test_template_and_menus_by_slots_alone(spark):
+    pages = [NEUTRAL.format(n=f"n{k}", m=f"m{k * 7}") for k in range(6)]
+    got = read(spark, pages)
+    assert got == {k: f"Title n{k}\nText n{k} one.\nText n{k} two.\nn{k} more" for k in range(6)}
+    assert "every day" in H.main_text(pages[0], None)  # without the wrapper nothing tells the line from the article
+
+
+def test_a_line_on_every_page_between_paragraphs(spark):
+    page = "<{tag}><p>Sign up for our letter.</p><p>Own {k}.</p><p>Second of {k}.</p><p>Thanks for reading.</p></{tag}>"
+    whole = {k: f"Sign up for our letter.\nOwn {k}.\nSecond of {k}.\nThanks for reading." for k in range(6)}
+    assert read(spark, [page.format(k=k, tag="article") for k in range(6)]) == whole  # what a tag calls the article is whole
+    pages = [page.format(k=k, tag="div") for k in range(6)]
+    assert read(spark, pages) == {k: f"Own {k}.\nSecond of {k}." for k in range(6)}
+    # Four different pages prove nothing, nor do copies of one page.
+    assert "Sign up" in read(spark, pages[:4])[0] and "Thanks" in read(spark, pages[:1] * 9)[3]
+    assert "Sign up" in read(spark, pages[:1] * 9 + pages[1:2])[0]
+
+
+def test_an_article_after_many_siblings(spark):
+    names = ["".join(chr(97 + int(d)) for d in str(i)) for i in range(200)]
+    divs = "".join(f"<div class='z{n}'>teaser {n} with some words</div>" for n in names)
+    article = "<article><p>" + "the article itself {k} " * 20 + "</p></article>"
+    pages = [f"<body>{divs}{article.replace('{k}', str(k))}{divs}</body>" for k in range(3)]
+    assert read(spark, pages) == {k: (f"the article itself {k} " * 20).strip() for k in range(3)}
+    inner = [f"<body>{divs}<div class='last'>{article.replace('{k}', str(k))}</div></body>" for k in range(3)]
+    assert read(spark, inner) == {k: (f"the article itself {k} " * 20).strip() for k in range(3)}
+
+
+def test_numbers_in_classes_that_differ_by_page(spark):
+    pages = [f"<body><div class='top'><a href=x>a</a></div><div id='post-{k}' class='c{k % 2}'><p>body of {k}</p><p>end {k}</p></div></body>" for k in range(5)]
+    assert read(spark, pages) == {k: f"body of {k}\nend {k}" for k in range(5)}
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    broken = [
+        "<svg " * 50_000, "<a b='" * 50_000, "<a \"" * 50_001 + ">", "<div>" * 50_000 + "</p></span>" * 50_000, "<!-- " * 50_000, "<script>" * 50_000, "<" * 300_000,
+        "<p><b>" * 50_000, "<ul><li>" * 50_000, "<!x " * 50_000, "<td>" * 50_000, "<a x=\"y' z='w\">" * 20_000,
+    ]
+    for page in broken:
+        start = time.perf_counter()
+        H.parse(page)
+        assert time.perf_counter() - start < 3, page[:20]

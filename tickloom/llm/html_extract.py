@@ -4,12 +4,17 @@ A page is a stream of balanced groups.  Aligning two streams of one host level b
 what only one has becomes optional, and neighbours of one kind become one repeated group; texts are slots.  Tasks
 fold their pages into one wrapper per host, then wrappers are aligned with one another in groups of bounded size, so
 all pages of a host count however many it has.  The wrapper's slots carry how much text and how much of it is links
-they hold; they show which group of the template is the article where no tag says so.  Pages are then read through
-the wrapper of their host.
+they hold, and whether it is the same on all pages; they show which group of the template is the article where no tag
+says so, and what in it is template or menu.  Pages are then read through the wrapper of their host.
+
+A text is template if at least DISTINCT different pages, and half of the host's pages, have it in the same group (or
+as the first or last of a repeated group) and no page has another there.  Where all pages of a host are alike, as for a
+host of one page or of copies, nothing is.
 """
 
 from __future__ import annotations
 
+import collections
 import functools
 import html as entities
 import json
@@ -18,6 +23,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,11 +31,10 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import written
 from tickloom.llm.url_filter import host_of
 
-_RAW = "script|style|template|noscript|iframe|svg|math|object|canvas|textarea|select|title"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<({_RAW})\b[^>]*(?:/>|>.*?(?:</\1\s*>|$))|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<",
-    re.S | re.I,
-)
+_RAW = frozenset("script style template noscript iframe svg math object canvas textarea select title".split())
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_SPECIAL = re.compile(r"[>\"']")
+_DIGITS = re.compile(r"[0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,7 +45,12 @@ _INLINE = frozenset(
 _ENDS_P = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
 )
-_ENDS_OWN = {"li": "ul ol", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}
+_ENDS_OWN = {
+    k: frozenset(v.split())
+    for k, v in {"li": "ul ol", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}.items()
+}
+_STOPS_P = frozenset("table td th li div article section body".split())
+_CELLS = ("td", "th")
 _NOT_TEXT = frozenset("nav header footer aside form button dialog menu input figure-ad head".split())
 #: Words of class, id and role that name what is no article.
 _NOISE = frozenset(
@@ -78,7 +88,7 @@ def _opened(name: str, attributes: str) -> tuple[str, bool]:
             hidden = True
         elif key in ("class", "id", "role"):
             words += value.lower().split()
-    kind = ".".join([name, *(w for w in words[:3] if not any(c.isdigit() for c in w))])
+    kind = ".".join([name, *words[:3]])
     found = set()
     for w in words:
         parts = [p for p in re.split(r"[^a-z]+", w) if p]
@@ -94,50 +104,148 @@ def _opened(name: str, attributes: str) -> tuple[str, bool]:
     return kind, noise
 
 
+class _Scanner:
+    """Tags and texts of a page in linear time, however broken it is: what is not found once is not sought again."""
+
+    def __init__(self, page: str):
+        self.page, self.missing, self.special, self.dead = page, {}, (0, -1), set()
+
+    def find(self, needle: str, at: int) -> int:
+        if at >= self.missing.get(needle, len(self.page) + 1):
+            return -1
+        found = self.page.find(needle, at)
+        if found < 0:
+            self.missing[needle] = at
+        return found
+
+    def next_special(self, at: int) -> int:
+        """The next ``>`` or quote, -1 if there is none."""
+        since, found = self.special
+        if not (since <= at <= found or (found == len(self.page) and since <= at)):
+            match = _SPECIAL.search(self.page, at)
+            found = match.start() if match else len(self.page)
+            self.special = (at, found)
+        return found if found < len(self.page) else -1
+
+    def tag_end(self, at: int) -> int:
+        """The ``>`` outside quotes that ends a tag, -1 if there is none."""
+        passed = []
+        while True:
+            at = self.next_special(at)
+            if at < 0 or at in self.dead:
+                break
+            if self.page[at] == ">":
+                return at
+            passed.append(at)
+            close = self.find(self.page[at], at + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.dead.update(passed)
+        return -1
+
+    def tokens(self) -> Iterator[tuple[str, str, str]]:
+        """("text", text, ""), ("open", name, attributes) and ("close", name, "")."""
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            if page[at] != "<":
+                end = self.find("<", at)
+                end = n if end < 0 else end
+                yield "text", page[at:end], ""
+                at = end
+                continue
+            if page.startswith("<!--", at):
+                end = self.find("-->", at + 4)
+                at = n if end < 0 else end + 3
+                continue
+            if page[at + 1 : at + 2] in ("!", "?"):
+                end = self.find(">", at)
+            else:
+                closing = page[at + 1 : at + 2] == "/"
+                name = _NAME.match(page, at + 1 + closing)
+                end = -1
+                if name:
+                    word = name[0].lower()
+                    if word in _RAW and not closing:
+                        end = self.find(">", name.end())
+                        if end >= 0 and page[end - 1] != "/":
+                            close = re.compile(rf"</{word}\s*>", re.I).search(page, end)
+                            end = close.end() - 1 if close else n
+                    else:
+                        end = self.tag_end(name.end())
+                        if end >= 0:
+                            yield ("close" if closing else "open"), word, page[name.end() : end]
+            if end < 0:
+                yield "text", "<", ""
+                end = at
+            at = end + 1
+
+
 def parse(page: str | None) -> Node:
     """The page as balanced groups; unclosed and stray tags are tolerated.  Any nesting depth is fine."""
     root = Node("#root", "#root", False)
-    stack = [root]
-    for match in _TOKEN.finditer(page or ""):
-        name = match[3]
-        if name is None:
-            text = match[0]
-            if match[1] is None and not (text[0] == "<" and len(text) > 1):
-                children = stack[-1].children
-                if children and isinstance(children[-1], str):
-                    children[-1] += text
-                else:
-                    children.append(text)
+    stack, open_ = [root], collections.Counter()
+
+    def cut(k: int) -> None:
+        for node in stack[k:]:
+            open_[node.name] -= 1
+        del stack[k:]
+
+    for what, name, attributes in _Scanner(page or "").tokens():
+        if what == "text":
+            stack[-1].children.append(name)
             continue
-        name = name.lower()
-        if match[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
+        if what == "close":
+            if open_[name] > 0:
+                cut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name))
             continue
         if name in _ENDS_P or name in _ENDS_OWN:
-            closes, stop = ("p", frozenset(["table", "td", "th", "li", "div", "article", "section", "body"])) if name in _ENDS_P else (name, frozenset(_ENDS_OWN[name].split()))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == closes or (closes in ("td", "th") and stack[k].name in ("td", "th")):
-                    del stack[k:]
-                    break
-                if stack[k].name in stop:
-                    break
-        kind, noise = _opened(name, match[4] or "")
+            closes, stop = (("p",), _STOPS_P) if name in _ENDS_P else (_CELLS if name in _CELLS else (name,), _ENDS_OWN[name])
+            if any(open_[c] > 0 for c in closes):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].name in closes:
+                        cut(k)
+                        break
+                    if stack[k].name in stop:
+                        break
+        kind, noise = _opened(name, attributes)
         node = Node(name, kind, noise)
         stack[-1].children.append(node)
-        if name not in _VOID and not (match[4] or "").rstrip().endswith("/"):
+        if name not in _VOID and not attributes.rstrip().endswith("/"):
             stack.append(node)
+            open_[name] += 1
     return root
 
 
-# --- wrappers: [kind, optional, repeated, text characters, link characters, noise, children] --------------------
+# --- wrappers: lists of the fields below; texts are kept as hashes ------------------------------------------------
 
-KIND, OPTIONAL, REPEATED, CHARS, LINKS, NOISE, CHILDREN = range(7)
+#: WHOLE, FIRST, LAST: hash of all text of the group, and of the first and last one of a repeated group; None once two
+#: pages differ.  PAGES: pages that have the group.  SEEN: up to DISTINCT hashes of such pages' whole texts.
+KIND, OPTIONAL, REPEATED, CHARS, LINKS, NOISE, CHILDREN, PAGES, WHOLE, FIRST, LAST, SEEN = range(12)
 #: Levels below which groups are not told apart, save articles and main groups, and children that a group keeps apart.
 #: Bounds a wrapper's size; texts are counted, and pages read, to any depth and length.
 DEEPEST, WIDEST = 24, 64
+#: Text that so many different pages, and at least half of a host's, have in the same place is template.
+DISTINCT = 5
+
+
+def _hash(*parts) -> int:
+    return xxhash.xxh64_intdigest(" ".join(map(str, parts))) >> 11
+
+
+def _group(kind: str, noise: bool) -> list:
+    return [kind, False, False, 0, 0, noise, [], 1, 0, 0, 0, []]
+
+
+def page_wrapper(root: Node) -> list:
+    """The wrapper of one page."""
+    out = wrapper_of(root)
+    stack, seen = [out], [out[WHOLE]]
+    while stack:
+        group = stack.pop()
+        group[SEEN] = seen
+        stack += group[CHILDREN]
+    return out
 
 
 def wrapper_of(node: Node, link: bool = False, depth: int = 0) -> list:
@@ -145,16 +253,21 @@ def wrapper_of(node: Node, link: bool = False, depth: int = 0) -> list:
     if depth == DEEPEST:
         return _wrapper_at_limit(node, link)
     link = link or node.name == "a"
-    out = [node.kind, False, False, 0, 0, node.noise, []]
-    children = []
+    out = _group(node.kind, node.noise)
+    children, texts = [], []
     for child in node.children:
         if isinstance(child, str):
-            n = len(child.strip())
-            out[CHARS] += n
-            out[LINKS] += n if link else 0
+            text = child.strip()
+            if text:
+                out[CHARS] += len(text)
+                out[LINKS] += len(text) if link else 0
+                texts.append(_hash(text))
         else:
             children.append(wrapper_of(child, link, depth + 1))
-    out[CHILDREN] = _folded(children)
+            texts.append(children[-1][WHOLE])
+    texts = [t for t in texts if t]
+    out[WHOLE] = out[FIRST] = out[LAST] = _hash(*texts) if texts else 0
+    out[CHILDREN] = _folded(children, page=True)
     return out
 
 
@@ -165,59 +278,91 @@ def _named(kind: str) -> str | None:
 
 def _wrapper_at_limit(node: Node, link: bool) -> list:
     """All text below counts as the group's own; the first article and main groups on a way down are its children."""
-    out = [node.kind, False, False, 0, 0, node.noise, []]
+    out, texts = _group(node.kind, node.noise), []
     groups, stack = [out], [(node, link, out, frozenset([_named(node.kind)]))]
     while stack:
         n, link, group, within = stack.pop()
         name = _named(n.kind)
         if name and name not in within:
-            group[CHILDREN].append([n.kind, False, False, 0, 0, False, []])
+            group[CHILDREN].append(_group(n.kind, False))
             group, within = group[CHILDREN][-1], within | {name}
+            group[WHOLE] = group[FIRST] = group[LAST] = None
             groups.append(group)
         link = link or n.name == "a"
         for child in n.children:
-            if isinstance(child, str):
-                chars = len(child.strip())
-                group[CHARS] += chars
-                group[LINKS] += chars if link else 0
+            if isinstance(child, str) and child.strip():
+                group[CHARS] += len(child.strip())
+                group[LINKS] += len(child.strip()) if link else 0
+                texts.append(_hash(child.strip()))
         stack += [(c, link, group, within) for c in reversed(n.children) if isinstance(c, Node) and not c.noise]
+    out[WHOLE] = out[FIRST] = out[LAST] = _hash(*texts) if texts else 0
     for group in reversed(groups):
-        group[CHILDREN] = _folded(group[CHILDREN])
+        group[CHILDREN] = _folded(group[CHILDREN], page=True)
     return out
 
 
-def _folded(children: list[list]) -> list[list]:
+def plain(kind: str) -> str:
+    """The kind with numbers as one sign: post-17 and post-18 are of one plain kind."""
+    return _DIGITS.sub("#", kind)
+
+
+def _folded(children: list[list], page: bool = False) -> list[list]:
+    """Neighbours of one kind as one repeated group; beyond WIDEST groups, those of one plain kind, then plain others.
+
+    Groups that are or hold an article or main group always stay apart.
+    """
     out = []
     for c in children:
         if out and out[-1][KIND] == c[KIND]:
-            out[-1] = merged(out[-1], c)
-            out[-1][REPEATED] = True
+            out[-1] = _repeated(out[-1], c, page)
         else:
             out.append(c)
     # a repeated group of two kinds, as <dt> <dd> <dt> <dd>
-    k = 0
-    while k + 3 < len(out):
-        if out[k][KIND] == out[k + 2][KIND] and out[k + 1][KIND] == out[k + 3][KIND]:
-            out[k], out[k + 1] = merged(out[k], out[k + 2]), merged(out[k + 1], out[k + 3])
-            out[k][REPEATED] = out[k + 1][REPEATED] = True
-            del out[k + 2 : k + 4]
-        else:
-            k += 1
-    while len(out) > WIDEST:
-        last = out.pop()
-        out[-1] = merged(out[-1], last)
-        out[-1][REPEATED] = True
+    kept = []
+    for c in out:
+        kept.append(c)
+        if len(kept) >= 4 and kept[-4][KIND] == kept[-2][KIND] and kept[-3][KIND] == kept[-1][KIND]:
+            second, first = kept.pop(), kept.pop()
+            kept[-2], kept[-1] = _repeated(kept[-2], first, page), _repeated(kept[-1], second, page)
+    if len(kept) <= WIDEST:
+        return kept
+    by_kind: dict[str, list] = {}
+    for c in kept:
+        kind = c[KIND] if _holds_named(c) else plain(c[KIND])
+        if kind not in by_kind and len(by_kind) >= WIDEST and not _holds_named(c):
+            kind = "*"
+        by_kind[kind] = _repeated(by_kind[kind], c, page) if kind in by_kind else [kind, *c[OPTIONAL:]]
+        by_kind[kind][KIND] = kind
+    return list(by_kind.values())
+
+
+def _holds_named(group: list) -> bool:
+    return not group[NOISE] and (_named(group[KIND]) is not None or any(map(_holds_named, group[CHILDREN])))
+
+
+def _repeated(a: list, b: list, page: bool) -> list:
+    """Two neighbours as one repeated group of the same pages."""
+    out = merged(a, b)
+    out[REPEATED], out[PAGES], out[SEEN] = True, max(a[PAGES], b[PAGES]), max(a[SEEN], b[SEEN], key=len)
+    out[WHOLE] = _hash(a[WHOLE], b[WHOLE]) if page and None not in (a[WHOLE], b[WHOLE]) else None
+    out[FIRST], out[LAST] = a[FIRST], b[LAST]
     return out
 
 
 def merged(a: list, b: list) -> list:
-    """Two groups aligned: children in common order are merged, the others become optional."""
+    """Groups of two sets of pages aligned: children in common order are merged, the others become optional."""
+    same = lambda f: a[f] if a[f] == b[f] else None
+    seen = a[SEEN] if len(a[SEEN]) >= DISTINCT else sorted({*a[SEEN], *b[SEEN]})[:DISTINCT]
     return [
         a[KIND], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], a[CHARS] + b[CHARS], a[LINKS] + b[LINKS],
-        a[NOISE] or b[NOISE], _aligned(a[CHILDREN], b[CHILDREN]),
+        a[NOISE] or b[NOISE], _aligned(a[CHILDREN], b[CHILDREN]), a[PAGES] + b[PAGES], same(WHOLE), same(FIRST), same(LAST), seen,
     ]
 
 
+def _optional(group: list) -> list:
+    return [group[KIND], True, *group[REPEATED:]]
+
+
 def _aligned(a: list[list], b: list[list]) -> list[list]:
     if [x[KIND] for x in a] == [x[KIND] for x in b]:
         return [merged(x, y) for x, y in zip(a, b, strict=True)]
@@ -227,19 +372,56 @@ def _aligned(a: list[list], b: list[list]) -> list[list]:
         for j in range(m - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if a[i][KIND] == b[j][KIND] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
+    left, right = [], []
+
+    def mismatch() -> None:
+        """What stands between two matches: groups whose kinds differ in numbers alone are one, others are optional."""
+        for x in left:
+            k = next((k for k, y in enumerate(right) if plain(y[KIND]) == plain(x[KIND]) != x[KIND]), None)
+            if k is None:
+                out.append(_optional(x))
+                continue
+            out.extend(map(_optional, right[:k]))
+            both = merged(x, right[k])
+            both[KIND] = plain(x[KIND])
+            out.append(both)
+            del right[: k + 1]
+        out.extend(map(_optional, right))
+        left.clear()
+        right.clear()
+
     while i < n or j < m:
         if i < n and j < m and a[i][KIND] == b[j][KIND]:
+            mismatch()
             out.append(merged(a[i], b[j]))
             i, j = i + 1, j + 1
         elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append([*a[i][:OPTIONAL], True, *a[i][REPEATED:]])
+            left.append(a[i])
             i += 1
         else:
-            out.append([*b[j][:OPTIONAL], True, *b[j][REPEATED:]])
+            right.append(b[j])
             j += 1
+    mismatch()
     return _folded(out)
 
 
+def is_template(group: list, pages: int) -> bool:
+    """The same text on many different pages of the host."""
+    return bool(group[WHOLE]) and len(group[SEEN]) >= DISTINCT and 2 * group[PAGES] >= pages
+
+
+def is_menu(group: list) -> bool:
+    """A block of repeated links and nothing else to speak of."""
+    if group[KIND].split(".")[0] in _INLINE:
+        return False
+    chars, links, repeated, stack = 0, 0, group[REPEATED], [group]
+    while stack:
+        g = stack.pop()
+        chars, links, repeated = chars + g[CHARS], links + g[LINKS], repeated or g[REPEATED]
+        stack += g[CHILDREN]
+    return repeated and chars > 0 and links >= 0.95 * chars
+
+
 def as_pattern(wrapper: list) -> str:
     """The wrapper as a regular expression in words: groups, ``?`` optional, ``+`` repeated, ``#`` a text slot."""
     inner = " ".join(([] if not wrapper[CHARS] else ["#"]) + [as_pattern(c) for c in wrapper[CHILDREN]])
@@ -249,14 +431,18 @@ def as_pattern(wrapper: list) -> str:
 
 def main_group(wrapper: list) -> tuple[str, ...]:
     """Kinds on the way to the group that holds the article: a group named so with most text, else the one whose own
-    paragraphs hold most text outside links."""
-    named, dense = [], []
+    paragraphs hold most text outside links.  Text that is template does not count."""
+    named, dense, pages = [], [], wrapper[PAGES]
+    varies = wrapper[WHOLE] is None
+
+    def skipped(w: list) -> bool:
+        return w[NOISE] or (varies and is_template(w, pages))
 
     def total(w: list) -> int:
-        return 0 if w[NOISE] else w[CHARS] - w[LINKS] + sum(total(c) for c in w[CHILDREN])
+        return 0 if skipped(w) else w[CHARS] - w[LINKS] + sum(total(c) for c in w[CHILDREN])
 
     def visit(w: list, way: tuple[str, ...]) -> None:
-        if w[NOISE]:
+        if skipped(w):
             return
         if (name := _named(w[KIND])) and total(w):
             named.append((name == "article", total(w), way))
@@ -274,13 +460,59 @@ def main_group(wrapper: list) -> tuple[str, ...]:
     return max(dense)[2] if dense else ()
 
 
+#: Marks in the tree of what is left out below the article's group.
+GONE, GONE_FIRST, GONE_LAST = 1, 2, 4
+
+
+def reading_of(wrapper: list) -> dict:
+    """What a page is read by: the way to the article's group, and the template groups and menus inside it.
+
+    Slots tell template from article only where pages of a host differ at all.  Where a tag or class names the group as
+    an article, all of it belongs to it.
+    """
+    way = main_group(wrapper)
+    groups, named = [wrapper], False
+    for kind in way:
+        groups = [c for g in groups for c in g[CHILDREN] if c[KIND] == kind]
+        named = named or _named(kind) is not None or bool(_OF_ARTICLE.intersection(kind.split(".")[1:]))
+    if named:
+        return {"way": list(way), "gone": {}}
+    pages, varies = wrapper[PAGES], wrapper[WHOLE] is None
+
+    def left_out(g: list, inside: bool) -> dict:
+        out = {}
+        if inside:
+            mark = GONE if (varies and is_template(g, pages)) or is_menu(g) else 0
+            if not mark and varies and g[REPEATED] and len(g[SEEN]) >= DISTINCT and 2 * g[PAGES] >= pages:
+                mark = (GONE_FIRST if g[FIRST] else 0) | (GONE_LAST if g[LAST] else 0)
+            if mark:
+                out["-"] = mark
+            if mark == GONE:
+                return out
+        for c in g[CHILDREN]:
+            if c[KIND].split(".")[0] in _INLINE:
+                continue  # part of a sentence
+            if below := left_out(c, True):
+                out.setdefault(c[KIND], {}).update(below)
+        return out
+
+    gone = {}
+    for g in groups:
+        gone.update(left_out(g, False))
+    return {"way": list(way), "gone": gone}
+
+
 # --- extraction -------------------------------------------------------------------------------------------------
 
 
+def _is(node, kind: str) -> bool:
+    return isinstance(node, Node) and (node.kind == kind or ("#" in kind and plain(node.kind) == kind))
+
+
 def _groups_at(node: Node, way: tuple[str, ...]) -> list[Node]:
     level = [node]
     for kind in way[:DEEPEST]:
-        level = [c for n in level for c in n.children if isinstance(c, Node) and c.kind == kind]
+        level = [c for n in level for c in n.children if _is(c, kind)]
     for kind in way[DEEPEST:]:  # below the limit a wrapper names articles and main groups only
         level = [c for n in level for c in _groups_below(n, kind)]
     return level
@@ -291,7 +523,7 @@ def _groups_below(node: Node, kind: str) -> list[Node]:
     stack, found = [node], []
     while stack:
         n = stack.pop()
-        if n is not node and n.kind == kind:
+        if n is not node and _is(n, kind):
             found.append(n)
             continue
         stack += [c for c in reversed(n.children) if isinstance(c, Node) and not c.noise]
@@ -310,8 +542,43 @@ def _own_main(root: Node) -> list[Node]:
     return found or [root]
 
 
-def blocks_of(nodes: list[Node]) -> list[str]:
-    """Texts of the blocks inside, in page order, with references decoded and white space joined."""
+def _left_out(node: Node, gone: dict | None) -> tuple[set[int], dict[int, dict]]:
+    """Places of the children that the reading leaves out, and what it says below the others."""
+    out, below = set(), {}
+    if not gone or gone.keys() <= {"-"}:
+        return out, below
+    before, run = None, []
+
+    def end() -> None:
+        mark = below[run[0]].get("-", 0) if run and run[0] in below else 0
+        if mark & GONE:
+            out.update(run)
+        elif len(run) > 1:  # the only one of its kind is not told from the ones that vary
+            if mark & GONE_FIRST:
+                out.add(run[0])
+            if mark & GONE_LAST:
+                out.add(run[-1])
+        run.clear()
+
+    for k, child in enumerate(node.children):
+        if isinstance(child, str):
+            continue
+        if child.kind != before:
+            end()
+        before = child.kind
+        run.append(k)
+        inner = gone.get(child.kind) or gone.get(plain(child.kind))
+        if inner:
+            below[k] = inner
+    end()
+    return out, below
+
+
+def blocks_of(nodes: list[Node], gone: dict | None = None) -> list[str]:
+    """Texts of the blocks inside, in page order, with references decoded and white space joined.
+
+    ``gone``: what ``reading_of`` leaves out below these groups.
+    """
     out, run = [], []
 
     def end() -> None:
@@ -321,10 +588,10 @@ def blocks_of(nodes: list[Node]) -> list[str]:
             out.append(text)
 
     for top in nodes:
-        # (node, position): an explicit stack, as pages may nest deeper than Python calls
-        stack = [(top, 0, False)]
+        # (node, position, headings only, left out, below): an explicit stack, as pages may nest deeper than calls
+        stack = [(top, 0, False, *_left_out(top, gone))]
         while stack:
-            node, at, headings_only = stack.pop()
+            node, at, headings_only, skip, below = stack.pop()
             if at == 0 and node.name not in _INLINE:
                 end()
             children = node.children
@@ -334,12 +601,14 @@ def blocks_of(nodes: list[Node]) -> list[str]:
                 if isinstance(child, str):
                     if not headings_only or node.name in _HEADINGS:
                         run.append(child)
+                elif at - 1 in skip:
+                    end()
                 elif child.name == "header" and child.kind.split(".")[0] == "header" and not headings_only:
-                    stack += [(node, at, headings_only), (child, 0, True)]
+                    stack += [(node, at, headings_only, skip, below), (child, 0, True, *_left_out(child, below.get(at - 1)))]
                     break
                 elif not child.noise:
                     only = headings_only and child.name not in _HEADINGS
-                    stack += [(node, at, headings_only), (child, 0, only)]
+                    stack += [(node, at, headings_only, skip, below), (child, 0, only, *_left_out(child, below.get(at - 1)))]
                     break
             else:
                 if node.name not in _INLINE:
@@ -348,16 +617,17 @@ def blocks_of(nodes: list[Node]) -> list[str]:
 
 
 @functools.lru_cache(maxsize=4096)
-def _way(wrapper: str) -> tuple[str, ...]:
-    return main_group(json.loads(wrapper))
+def _reading(text: str) -> tuple[tuple[str, ...], dict]:
+    reading = json.loads(text)
+    return tuple(reading["way"]), reading["gone"]
 
 
-def main_text(page: str | None, wrapper: str | None) -> str:
-    """Blocks of the page's article joined by line feeds."""
+def main_text(page: str | None, reading: str | None) -> str:
+    """Blocks of the page's article joined by line feeds; ``reading``: ``reading_of`` its host's wrapper as JSON."""
     root = parse(page)
-    nodes = _groups_at(root, _way(wrapper)) if wrapper else []
-    nodes = nodes or _own_main(root)
-    return "\n".join(blocks_of(nodes))
+    way, gone = _reading(reading) if reading else ((), {})
+    nodes = _groups_at(root, way) if reading else []
+    return "\n".join(blocks_of(nodes, gone) if nodes else blocks_of(_own_main(root)))
 
 
 # --- Spark ------------------------------------------------------------------------------------------------------
@@ -379,7 +649,7 @@ def _folded_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            new = wrapper_of(parse(page.as_py()))
+            new = page_wrapper(parse(page.as_py()))
             held[host] = merged(held[host], new) if host in held else new
             if len(held) >= HELD_HOSTS:
                 yield sent()
@@ -403,12 +673,20 @@ def host_wrappers(pages: DataFrame, host: Column, html: Column) -> DataFrame:
     return out.groupBy("host").applyInPandas(_merged_rows, kinds).select("host", "wrapper")
 
 
-def _extract(page: Column, wrapper: Column) -> Column:
+def _readings(wrapper: Column) -> Column:
+    @F.pandas_udf("string")
+    def look(wrappers: pd.Series) -> pd.Series:
+        return wrappers.map(lambda w: json.dumps(reading_of(json.loads(w))))
+
+    return look(wrapper)
+
+
+def _extract(page: Column, reading: Column) -> Column:
     def look(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for html, wrappers in batches:
-            yield pd.Series([main_text(h, w) for h, w in zip(html, wrappers, strict=True)])
+        for html, readings in batches:
+            yield pd.Series([main_text(h, r) for h, r in zip(html, readings, strict=True)])
 
-    return F.pandas_udf(look, "string")(page, wrapper)
+    return F.pandas_udf(look, "string")(page, reading)
 
 
 def extract_main_text(
@@ -421,7 +699,9 @@ def extract_main_text(
     """
     url, html = pages[url_column].cast("string"), pages[html_column].cast("string")
     # As a table its size is known when the join is planned: a small one is broadcast and a large host stays spread.
-    wrappers = written(host_wrappers(pages, host_of(url), html), "wrappers")
+    # A wrapper is read once per host; pages meet what it says, which is a few words.
+    wrappers = host_wrappers(pages, host_of(url), html)
+    readings = written(wrappers.select("host", _readings(F.col("wrapper")).alias("reading")), "readings")
     base = pages.select(pages[id_column], url.alias(url_column), html.alias("page"), host_of(url).alias("page_host"))
-    joined = base.join(wrappers, base["page_host"] == wrappers["host"], "left")
-    return joined.select(id_column, url_column, _extract(F.col("page"), F.col("wrapper")).alias("text"))
+    joined = base.join(readings, base["page_host"] == readings["host"], "left")
+    return joined.select(id_column, url_column, _extract(F.col("page"), F.col("reading")).alias("text"))

@@ -63,6 +63,36 @@ def test_shards(docs, odd_docs, no_docs, tmp_path):
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 8
 
 
+def test_filters_skip_shards(spark):
+    """A filter on any dimension reads fewer of 32 files, by their least and greatest values, than of rows in any order."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sharding.hilbert_shards(docs, ["lang", "source", "n_chars"], n_shards=32, bits=5).collect()
+    lengths = sorted(r["n_chars"] for r in rows)
+    wanted = {
+        "lang": [(v, v) for v in {r["lang"] for r in rows}],
+        "source": [(v, v) for v in {r["source"] for r in rows}],
+        "n_chars": [(lengths[k * len(rows) // 10], lengths[(k + 1) * len(rows) // 10 - 1]) for k in range(10)],
+    }
+    files = {}
+    for r in rows:
+        files.setdefault(r["shard"], []).append(r)
+    for c, ranges in wanted.items():
+        ends = [(min(r[c] for r in f), max(r[c] for r in f)) for f in files.values()]
+        read = sum(sum(lo <= high and hi >= low for lo, hi in ends) for low, high in ranges) / len(ranges)
+        assert read < 0.75 * len(files), (c, read)
+
+
+def test_steps_follow_rows(spark):
+    rows = [(k, v, float(k % 100) if k % 7 else None) for k, v in enumerate(["en"] * 900 + ["es"] * 30 + ["fr"] * 30 + ["de"] * 40)]
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, x double")
+    (lang, x), n = sharding.quantised(frame, ["lang", "x"], 4)
+    got = frame.select("lang", "x", lang.alias("a"), x.alias("b")).collect()
+    steps = {r["lang"]: r["a"] for r in got}
+    assert n == 1000 and len(set(steps.values())) == 4 and sorted(steps, key=steps.get) == ["de", "en", "es", "fr"]
+    sizes = [sum(r["b"] == k and r["x"] is not None for r in got) for k in range(16)]
+    assert max(sizes) < 1.5 * min(sizes) and all(r["b"] == 0 for r in got if r["x"] is None)
+
+
 def test_shard_query(spark, sf, texts):
     for r in queries.hilbert_shards(spark, sf).collect():
         raw = texts[r["doc_id"]].encode()

@@ -77,7 +77,7 @@ def hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
             "text_crc32": F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")),
         }
     )
-    return sharding.hilbert_shards(docs, ["lang", "source", "n_chars"]).select(
+    return sharding.hilbert_shards(docs, ["lang", "source", "n_chars"], bits=5, salt=("text_crc32",)).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "curve",
     )

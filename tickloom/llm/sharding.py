@@ -5,12 +5,12 @@ Each dimension is quantised to ``bits`` bits, the cell's curve index comes from
 row counts.  Neighbouring cells share a shard, so a filter on any of the dimensions skips whole shards.
 
 Positions need no global sort: a count per (cell, bucket) is summed up along the order, and a row adds its number
-within its own (cell, bucket).  A cell that holds a third of all rows is dealt over ``spread`` buckets.
+within its own (cell, bucket).  A cell that holds a third of all rows is dealt over buckets, whose number grows with
+the table.
 """
 
 from __future__ import annotations
 
-import math
 import os.path
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,46 +20,58 @@ from pyspark.sql import types as T
 from tickloom.llm.common import free_name
 
 MOST_CELL_BITS = 15
+#: A bucket of a cell that held all rows would have about so many.
+BUCKET_ROWS = 50_000
+
+
+#: Bytes of a string, after the prefix that all share, that its order is taken from.
+STRING_BYTES = 7
+#: Quantiles are right to about one row in so many.
+QUANTILE_ACCURACY = 10_000
 
 
 def quantised(df: DataFrame, columns: list[str], bits: int) -> tuple[list[Column], int]:
     """A coordinate of ``bits`` bits per column, and the number of rows.
 
-    Numbers are cut into equal steps of their logarithm between the least and the greatest, strings into equal steps
-    of the three bytes after the prefix that all share; both keep the order of values.  Null counts as the least.
+    Coordinates follow rows, not values: a column of up to 2**bits values has a step for each, any other is cut at
+    quantiles, so that every step holds about as many rows.  Both keep the order of values.  Null counts as the least.
     """
     parts = [F.count(F.lit(1))]
     for c in columns:
         parts += [F.min(df[c]), F.max(df[c])]
     rows, *ends = df.agg(*parts).first()
-    top, out = (1 << bits) - 1, []
+    keys = []
     for k, c in enumerate(columns):
-        low, high = ends[2 * k : 2 * k + 2]
-        if low is None or low == high:
-            out.append(F.lit(0))
-            continue
-        if isinstance(df.schema[c].dataType, T.NumericType):
-            value, least, most = _log(df[c] - F.lit(low)), 0.0, _log_of(high - low)
+        numeric = isinstance(df.schema[c].dataType, T.NumericType)
+        keys.append(df[c].cast("double") if numeric else _string_key(df[c].cast("string"), *map(str, ends[2 * k : 2 * k + 2])))
+    cells, out = 1 << bits, []
+    cuts: list[list | None] = []
+    for key in keys:
+        values = df.select(key.alias("v")).where("v is not null").distinct().limit(cells + 1).collect()
+        cuts.append(sorted(r["v"] for r in values) if len(values) <= cells else None)
+    shares = [k / cells for k in range(1, cells)]
+    wide = {f"q{k}": F.percentile_approx(key, shares, QUANTILE_ACCURACY) for k, key in enumerate(keys) if cuts[k] is None}
+    quantiles = df.agg(*[c.alias(n) for n, c in wide.items()]).first().asDict() if wide else {}
+    for k, key in enumerate(keys):
+        if cuts[k] is None:
+            steps = [(v, 1) for v in quantiles[f"q{k}"]]
         else:
-            value, least, most = _string_steps(df[c].cast("string"), str(low), str(high))
-        share = (value - F.lit(float(least))) / F.lit(float(most - least) or 1.0)
-        out.append(F.coalesce(F.least(F.floor(share * F.lit(1 << bits)), F.lit(top)), F.lit(0)).cast("int"))
+            n = len(cuts[k])
+            places = [i * cells // n for i in range(n)]
+            steps = [(v, b - a) for v, a, b in zip(cuts[k], [0, *places], places, strict=False)]
+        place = F.lit(0)
+        for value, step in steps:
+            if step:
+                place = place + F.when(key >= F.lit(value), step).otherwise(0)
+        out.append(F.coalesce(place, F.lit(0)).cast("int"))
     return out, rows
 
 
-def _log(x: Column) -> Column:
-    return F.log1p(x.cast("double"))
-
-
-def _log_of(x) -> float:
-    return math.log1p(float(x))
-
-
-def _string_steps(value: Column, low: str, high: str) -> tuple[Column, int, int]:
+def _string_key(value: Column, low: str, high: str) -> Column:
+    """The bytes after the prefix that least and greatest share, as a number in the order of strings."""
     shared = len(os.path.commonprefix([low.encode(), high.encode()]))
-    number = lambda b: int.from_bytes(b[shared : shared + 3].ljust(3, b"\0"), "big")
-    digits = F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), shared + 1, 3)), 6, "0")
-    return F.conv(digits, 16, 10).cast("double"), number(low.encode()), number(high.encode())
+    digits = F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), shared + 1, STRING_BYTES)), 2 * STRING_BYTES, "0")
+    return F.conv(digits, 16, 10).cast("long")
 
 
 def curve_index(point: list[int], bits: int) -> int:
@@ -106,21 +118,23 @@ def hilbert_shards(
     dimensions: list[str],
     n_shards: int = 8,
     bits: int = 4,
-    spread: int = 256,
+    spread: int | None = None,
     id_column: str = "doc_id",
+    salt: tuple[str, ...] = (),
 ) -> DataFrame:
     """The rows with ``curve``, ``position`` (0 ...), ``shard`` and ``slot`` (gapless from 0 in each shard).
 
     Row counts of shards differ by one at most.  Null metadata counts as the least value, null ids come first in their
     bucket, equal rows stand beside each other in any order.  Columns of those four names are replaced; others are
-    kept.  An empty table stays empty.
+    kept.  An empty table stays empty.  Rows of one cell are dealt over ``spread`` buckets (by default one for each
+    BUCKET_ROWS rows of the table) by a hash of the id and the columns of ``salt``, which tell rows of one id apart.
     """
     df = df.drop("curve", "position", "shard", "slot")
     coordinates, rows = quantised(df, dimensions, bits)
+    spread = spread or max(256, rows // BUCKET_ROWS)
     bucket = free_name(df, "bucket")
-    placed = df.withColumns(
-        {"curve": curve_of(coordinates, bits), bucket: F.pmod(F.xxhash64(df[id_column]), F.lit(spread)).cast("int")}
-    )
+    dealt = F.pmod(F.xxhash64(df[id_column], *[df[c] for c in salt]), F.lit(spread)).cast("int")
+    placed = df.withColumns({"curve": curve_of(coordinates, bits), bucket: dealt})
     counts = placed.groupBy("curve", bucket).agg(F.count(F.lit(1)).alias("n"))
     per_cell = counts.groupBy("curve").agg(F.sum("n").alias("n_cell"))  # one row per cell at most
     before_cell = per_cell.select(
@@ -133,7 +147,7 @@ def hilbert_shards(
         .join(F.broadcast(before_cell), F.col("curve") == F.col("cell"))
         .select(F.col("curve").alias("g_curve"), F.col(bucket).alias("g_bucket"), (F.col("before") + F.col("before_cell")).alias("g_offset"))
     )
-    others = [df[c] for c in dimensions]
+    others = [df[c] for c in (*dimensions, *salt)]
     number = F.row_number().over(Window.partitionBy("curve", bucket).orderBy(df[id_column], *others)).cast("long")
     within = free_name(df, "within")
     located = placed.withColumn(within, number - 1).join(

@@ -100,3 +100,46 @@ def test_quality_odd_rows(odd_docs, no_docs, labels):
     judged = quality.with_quality(odd_docs, labels).collect()
     assert len(judged) == odd_docs.count() and all(0 <= r["judgement"]["probability"] <= 1 for r in judged)
     assert quality.keep_good(no_docs, labels).count() == 0
+
+
+def brute_quality(rows, model):
+    """Host and path posteriors and the final odds by plain loops over (id, text, host, path)."""
+    import math
+
+    logit = [float(model.logits(np.array([quality.signals(t)], float))[0]) for _, t, _, _ in rows]
+    p = [1 / (1 + math.exp(-x)) for x in logit]
+    paths, hosts = {}, {}
+    for (_, _, h, q), x in zip(rows, p, strict=True):
+        paths.setdefault((h, q), []).append(x)
+        hosts.setdefault(h, []).append(x)
+    n = len(rows)
+    mean = min(max((sum(p) + 1) / (n + 2), 1e-6), 1 - 1e-6)
+    between = sum(sum(v) ** 2 / len(v) for v in hosts.values()) / n - mean**2
+    k_host = quality.strength(between, mean, len(hosts) / n)
+    host = {h: (sum(v) + k_host * mean) / (len(v) + k_host) for h, v in hosts.items()}
+    away = sum(len(v) * (sum(v) / len(v) - sum(hosts[h]) / len(hosts[h])) ** 2 for (h, _), v in paths.items()) / n
+    k_path = quality.strength(away, mean, len(paths) / n)
+    path = {(h, q): (sum(v) + k_path * host[h]) / (len(v) + k_path) for (h, q), v in paths.items()}
+    odds = lambda x: math.log(x / (1 - x))
+    out = []
+    for (i, _, h, q), x in zip(rows, logit, strict=True):
+        final = 1 / (1 + math.exp(-(x + odds(path[h, q]) - odds(mean))))
+        out.append((i, 1 / (1 + math.exp(-x)), host[h], path[h, q], final))
+    return out
+
+
+def test_quality_equals_plain_loops(spark, docs, labels):
+    odd = spark.createDataFrame([(None, None, None, None), (9_000_001, "", "src0", None), (9_000_002, "one word", "lonely", "xx")], "doc_id long, text string, source string, lang string")
+    frame = docs.select("doc_id", "text", "source", "lang").unionByName(odd)
+    frame = frame.unionByName(frame.where("doc_id < 5"))
+    model = quality.fit_quality(frame, labels)
+    rows = [tuple(r) for r in frame.select("doc_id", "text", "source", "lang").collect()]
+    key = lambda r: (r[0] is None, r[0] or 0)
+    want = sorted(brute_quality(rows, model), key=key)
+    got = sorted(((r["doc_id"], *r["judgement"]) for r in quality.with_quality(frame, labels).collect()), key=key)
+    assert [r[0] for r in got] == [r[0] for r in want]
+    for g, w in zip(got, want, strict=True):
+        assert np.allclose(g[1:5], w[1:], atol=1e-9) and g[5] == (g[4] >= 0.5)
+    kept = quality.keep_good(frame, labels).count()
+    assert kept == sum(w[4] >= 0.5 for w in want) and 0 < kept < len(rows)
+    assert len({(g[2], g[3]) for g in got}) > 10

@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import free_name, words_of
+from tickloom.llm.common import free_name, words_of, written
 
 WINDOW = 13
 SHARD_CHARS = 4_000_000
-#: The benchmark travels to the tasks in blocks of at most so many characters; more blocks mean more passes.
-BLOCK_CHARS = 32_000_000
+#: The benchmark travels to the tasks in blocks of about so many characters (some 150 MB as windows), a pass for each.
+BLOCK_CHARS = 8_000_000
 
 
 class Windows:
@@ -33,21 +33,22 @@ class Windows:
         self.window, self.vocabulary = window, {}
         self.ids = sorted({i for i, _ in items if i is not None})
         number = {x: k for k, x in enumerate(self.ids)}
-        prefixes, where = [], []
+        prefixes, lengths, where = [], [], []
         for item, text in items:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
+            words = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.uint32)
             n = min(len(words), window)
-            for at in range(len(words) - n + 1 if n else 0):
-                prefixes.append(words[at : at + n])
-                where.append((number.get(item, -1), at))
-        self.shortest = min(map(len, prefixes), default=window)
-        self.lengths = np.array(list(map(len, prefixes)), np.int64)
-        self.where = np.array(where, np.int64).reshape(-1, 2)
-        low = np.zeros((len(prefixes), window), ">u4")
-        high = np.full((len(prefixes), window), 0xFFFFFFFF, ">u4")
-        for k, p in enumerate(prefixes):
-            low[k, : len(p)] = high[k, : len(p)] = p
-        self.low, self.high = _keys(low), _keys(high)
+            if n:
+                rows = np.zeros((len(words) - n + 1, window), np.uint32)
+                rows[:, :n] = np.lib.stride_tricks.sliding_window_view(words, n)
+                prefixes.append(rows)
+                lengths.append(np.full(len(rows), n))
+                where.append(np.stack([np.full(len(rows), number.get(item, -1)), np.arange(len(rows))], axis=1))
+        low = np.concatenate(prefixes) if prefixes else np.zeros((0, window), np.uint32)
+        self.lengths = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
+        self.where = np.concatenate(where) if where else np.zeros((0, 2), np.int64)
+        self.shortest = int(self.lengths.min()) if len(low) else window
+        high = np.where(np.arange(window) < self.lengths[:, None], low, np.uint32(0xFFFFFFFF))
+        self.low, self.high = _keys(low.astype(">u4")), _keys(high.astype(">u4"))
 
 
 def _keys(rows: np.ndarray) -> np.ndarray:
@@ -125,15 +126,18 @@ def match_shard(texts: list[str | None], before: list[list[tuple[int, int]]], wi
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, id_column: str, text_column: str, block_chars: int) -> list[list[tuple]]:
-    """The benchmark in blocks of bounded size; its size is asked for before any row is fetched."""
+def benchmark_blocks(benchmark: DataFrame, id_column: str, text_column: str, block_chars: int) -> tuple[DataFrame, int]:
+    """The distinct items with the number of their block, and the number of blocks of about ``block_chars`` characters.
+
+    A block is fetched by ``where("part = k")``; an item longer than a block makes a larger one.
+    """
     rows = benchmark.select(
         benchmark[id_column].alias("item"), F.coalesce(benchmark[text_column].cast("string"), F.lit("")).alias("text")
-    )
+    ).distinct()
     chars = rows.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     n = -(-chars // block_chars) or 1
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [[tuple(r) for r in rows.where(part == k).collect()] for k in range(n)]
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    return (written(dealt, "benchmark") if n > 1 else dealt), n
 
 
 def with_matches(
@@ -171,9 +175,13 @@ def with_matches(
     )
     state = free_name(docs, "matches")
     out = docs
-    for k, block in enumerate(benchmark_blocks(benchmark, item_column, item_text_column, block_chars)):
-        found = _column_function(block, window, kind)
-        text = docs[text_column].cast("string")
+    blocks, count = benchmark_blocks(benchmark, item_column, item_text_column, block_chars)
+    for k in range(count):
+        if k:
+            # Done with the block before: neither driver nor tasks hold more than one.
+            out = written(out, "matches")
+        found = _column_function([tuple(r) for r in blocks.where(F.col("part") == k).select("item", "text").collect()], window, kind)
+        text = out[text_column].cast("string")
         if k == 0:
             out = out.withColumn(state, found(text, F.lit(None).cast("array<struct<start:int,end:int>>")))
             continue

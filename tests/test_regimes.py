@@ -1,5 +1,6 @@
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,23 @@ def test_labels_align_forward_then_default(spark, bars_of):
     labels = bars.where("close = 2").withColumn("label", F.lit(1))
     got = [r["label"] for r in regimes.align_labels(bars, labels).orderBy("dt").collect()]
     assert got == [5, 1, 1, 1]
+
+
+def test_pooled_model_is_the_best_of_its_seeds(spark, bars_of, walk):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    from tickloom.operators.indicators import indicator_columns, regime_features
+    from tickloom.operators.regimes import Z_COLS, pooled_kmeans, standard_scale
+
+    points = standard_scale(regime_features(indicator_columns(bars_of({"A": walk(150, 3), "B": walk(90, 5)})), "drop")).select("ticker", "dt", *Z_COLS)
+    labelled = pooled_kmeans(points, seeds=[1, 2, 3, 4], k=4)
+    rows = labelled.collect()
+    assert len(rows) == points.count() and {r["cluster"] for r in rows} == set(range(4))
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["cluster"], []).append([r[z] for z in Z_COLS])
+    cost = sum(((np.array(g) - np.mean(g, axis=0)) ** 2).sum() for g in groups.values())
+    vectors = VectorAssembler(inputCols=Z_COLS, outputCol="features").transform(points)
+    costs = [KMeans(k=4, seed=s).fit(vectors).summary.trainingCost for s in (1, 2, 3, 4)]
+    assert cost <= min(costs) * (1 + 1e-6)

@@ -19,9 +19,14 @@ def uniform(key: Column, part: int = 0) -> Column:
     return (uniform_bits(key, part) + 0.5) / float(2**32)
 
 
+def bits_value(key: str) -> int:
+    """The bits of ``uniform_bits``, for code inside a task."""
+    return int(hashlib.md5(key.encode()).hexdigest()[:8], 16)
+
+
 def uniform_value(key: str) -> float:
-    """The same draw as ``uniform``, for code inside a task."""
-    return (int(hashlib.md5(key.encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+    """The draw of ``uniform``, for code inside a task."""
+    return (bits_value(key) + 0.5) / 2**32
 
 
 def normal(key: Column) -> Column:

@@ -416,34 +416,30 @@ def confidence_by_regime(df: DataFrame) -> DataFrame:
 def feature_importance(df: DataFrame) -> DataFrame:
     """Relative growth of the within-cluster distance when one feature is shuffled.
 
-    The shuffle is a fixed permutation per feature: the row in position p takes
-    the value of the row whose hash ranks p-th, an equi-join on (ticker, position).
+    The shuffle is a fixed permutation per feature: the row in position p takes the value of the row whose hash ranks
+    p-th.  A series is bounded by the calendar, so it is permuted where it is and gives one row per feature.
     """
-    from tickloom.functions.hashing import uniform_bits
-
-    df = with_position(df)
-    orders = {
-        f"_r{f}": F.row_number().over(
-            Window.partitionBy("ticker").orderBy(uniform_bits(F.concat_ws(":", F.lit(f), F.col("seq"))), "seq")
-        ) - 1
-        for f in range(DIMS)
-    }
-    base = df.withColumns(orders)
-    donors = base.select(
-        "ticker",
-        F.inline(
-            F.array(*[
-                F.struct(F.lit(f).alias("f"), F.col(f"_r{f}").cast("bigint").alias("seq"), F.col(Z_COLS[f]).alias("donor"))
-                for f in range(DIMS)
-            ])
-        ),
-    )
-    own = F.least(*[squared_distance(k) for k in range(K)])
-    takers = base.withColumn("_own", own).withColumn("f", F.explode(F.array(*[F.lit(f) for f in range(DIMS)])))
-    joined = takers.join(donors, ["ticker", "f", "seq"])
-    mixed = [F.when(F.col("f") == d, F.col("donor")).otherwise(F.col(Z_COLS[d])) for d in range(DIMS)]
-    joined = joined.withColumn("_new", F.least(*[squared_distance(k, mixed) for k in range(K)]))
-    out = joined.groupBy("ticker", "f").agg(F.sum("_own").alias("_own"), F.sum("_new").alias("_new"))
+    from tickloom.functions.hashing import bits_value
+
+    def shuffled(series: pa.Table) -> pa.Table:
+        days = series["dt"].cast(pa.int32()).to_numpy()
+        z = np.column_stack([series[c].to_numpy() for c in Z_COLS])[np.argsort(days, kind="stable")]
+        centers = np.array(series["centers"][0].as_py(), dtype=float).reshape(-1, DIMS)
+        near = lambda points: ((points[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2).min(axis=1).sum()
+        own, gains = near(z), []
+        for f in range(DIMS):
+            bits = np.array([bits_value(f"{f}:{p}") for p in range(len(z))], np.int64)
+            mixed = z.copy()
+            mixed[:, f] = z[np.lexsort((np.arange(len(z)), bits)), f]
+            gains.append(near(mixed))
+        return pa.table(
+            {
+                "ticker": pa.array([series["ticker"][0].as_py()] * DIMS, pa.string()), "f": pa.array(range(DIMS), pa.int32()),
+                "_own": pa.array([own] * DIMS, pa.float64()), "_new": pa.array(gains, pa.float64()),
+            }
+        )
+
+    out = df.select("ticker", "dt", "centers", *Z_COLS).groupBy("ticker").applyInArrow(shuffled, "ticker string, f int, _own double, _new double")
     name = F.element_at(F.array(*[F.lit(c) for c in REGIME_FEATURES]), F.col("f") + 1)
     gain = F.round((F.col("_new") - F.col("_own")) / (F.col("_own") + 1e-12), 4)
     out = out.select("ticker", name.alias("feature"), gain.alias("importance"))

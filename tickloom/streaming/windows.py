@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.telemetry import histogram_columns
+from tickloom.sources.bars import packed_order
 
 
 def ticks(events: DataFrame) -> DataFrame:
-    """Ticks per user from the event table."""
-    return events.select(
+    """Ticks per user from the event table, with what orders them: time, then event, as one number."""
+    ticks = events.select(
         F.col("user_id").cast("string").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id"), (F.lit(100.0) + F.col("value") / 10.0).alias("px"),
     )
+    return ticks.withColumn("_us", F.unix_micros("ts")).withColumn("ord", packed_order(("_us", 18), ("event_id", 19))).drop("_us")
 
 
 def tick_bars(stream: DataFrame, width: str = "1 day", lateness: str = "1 hour") -> DataFrame:
@@ -21,7 +23,8 @@ def tick_bars(stream: DataFrame, width: str = "1 day", lateness: str = "1 hour")
 
     The state of a window is one mergeable row, however many ticks it takes in.
     """
-    order = F.struct("ts", "event_id")
+    # A decimal keeps the aggregate hash based; a struct would sort the raw ticks.
+    order = F.col("ord")
     bars = (
         stream.withWatermark("ts", lateness)
         .groupBy("ticker", F.window("ts", width).alias("w"))

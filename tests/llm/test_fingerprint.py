@@ -68,3 +68,40 @@ def test_copies_make_no_pairs_of_nodes(spark):
     found = [tuple(r) for r in fingerprint.near_pairs(some, frame).select("query", "id").collect()]
     want = {(q, i) for q in range(0, 601, 50) for i in range(601)} | {(None, None), (None, 602)}
     assert len(found) == len(want) and set(found) == want
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_near_texts_of_families(spark, block):
+    """A family of different near copies and one of copies, against all pairs of whole sets."""
+    from tests.llm.test_ngram_join import grams
+
+    rows = []
+    for k in range(120):
+        words = [f"w{j}" for j in range(100)]
+        for e in range(k % 4):
+            words[(k * 13 + 31 * e) % 100] = f"e{k}x{e}"
+        rows.append((k, " ".join(words)))
+    rows += [(200 + k, "The same, again and again: nothing new!" if k % 2 else "the same again and again nothing new") for k in range(101)]
+    rows += [(400, None), (401, ""), (None, ""), (450, "***"), (451, "***"), (500, "alone with its words here")] * 2
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, key string, bucket string")
+    got = fingerprint.near_texts(frame.where("doc_id % 50 = 0"), frame, block=block).collect()
+    kinds = {}
+    for i, t in rows:
+        kinds.setdefault(tuple(minhash.hashed_words([t])[0].tolist()) or (t or ""), []).append((i, t))
+    want = set()
+    for asked in kinds.values():
+        queries = [i for i, _ in asked if i is not None and i % 50 == 0]
+        for other in kinds.values():
+            x, y = grams(asked[0][1]), grams(other[0][1])
+            jaccard = len(x & y) / len(x | y) if x and y else float(other is asked)
+            if queries and jaccard >= 0.8:
+                want.add((min(queries), len(queries), min(i for i, _ in other if i is not None), len(other), round(jaccard, 9)))
+    assert {(r["query_id"], r["n_queries"], r["match_id"], r["n_matches"], round(r["jaccard"], 9)) for r in got} == want
+    assert len(got) == len(want)
+
+
+def test_near_texts_of_odd_rows(odd_docs, no_docs):
+    assert fingerprint.near_texts(no_docs, odd_docs).count() == fingerprint.near_texts(odd_docs, no_docs).count() == 0
+    rows = {r["query_id"]: r for r in fingerprint.near_texts(odd_docs, odd_docs).collect()}
+    assert rows[0]["n_queries"] == rows[0]["n_matches"] == 3  # ids 0, 1 and null
+    assert rows[8]["match_id"] == 8 and rows[8]["n_matches"] == 2

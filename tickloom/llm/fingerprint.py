@@ -1,8 +1,8 @@
 """Document fingerprints by MinHash, with a banded join of near documents.
 
 A fingerprint is the minimum of many universal hash functions over a text's word shingles, computed in numpy; the
-share of equal entries estimates the Jaccard coefficient.  ``near_pairs`` joins fingerprints of two tables on bands and
-verifies the estimate's candidates on the shingle sets.
+share of equal entries estimates the Jaccard coefficient.  ``near_texts`` joins the signatures' bands of two tables and
+verifies the candidates on the shingle sets, block by block.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ FUNCTIONS, WORDS, THRESHOLD, RECALL = 128, 5, 0.8, 0.995
 #: A bucket of consecutive ids holds about so many characters of text.
 BUCKET_CHARS = 4_000_000
 MOST_BUCKETS = 20_000
+#: Texts of either side that a tile of the search compares.
+BLOCK = 256
 
 
 def printed(signature: np.ndarray) -> list[str]:
@@ -179,58 +181,139 @@ def compare_with_next(
 # --- near documents ---------------------------------------------------------------------------------------------
 
 
-def _sketch(bands: int, rows: int, words: int):
-    kind = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("grams", T.BinaryType())])
-
-    def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _bands_of(bands: int, rows: int, words: int):
+    def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            texts = texts.tolist()
-            keys = band_keys(signatures(texts, bands * rows, words), bands, rows).tolist()
-            grams, starts = shingles(*hashed_words(texts), words)
-            sets = [np.unique(grams[a:b] if b > a else raw_gram(t or "")).tobytes() for t, a, b in zip(texts, starts[:-1], starts[1:], strict=True)]
-            yield pd.DataFrame({"bands": keys, "grams": sets})
+            out = []
+            for at in range(0, len(texts), 512):
+                out += band_keys(signatures(texts.iloc[at : at + 512].tolist(), bands * rows, words), bands, rows).tolist()
+            yield pd.Series(out)
+
+    return F.pandas_udf(look, "array<long>")
 
-    return F.pandas_udf(look, kind)
 
+def _sets(words: int):
+    """Sorted distinct shingle hashes of a text, 8 bytes each."""
 
-def _jaccard(a: Column, b: Column) -> Column:
-    def look(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in batches:
+    def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
             out = []
-            for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(both / (len(x) + len(y) - both))
+            for text in texts:
+                grams, _ = shingles(*hashed_words([text]), words)
+                out.append(np.unique(grams if len(grams) else raw_gram(text or "")).tobytes())
             yield pd.Series(out)
 
-    return F.pandas_udf(look, "double")(a, b)
+    return F.pandas_udf(look, "binary")
+
+
+def tile_pairs(asking: list[dict], asked: list[dict], bucket: int, threshold: float) -> list[tuple[str, str, float]]:
+    """Pairs between two blocks that are alike enough and have this bucket as the least of those they share."""
+    if not asking or not asked:
+        return []
+    left = np.array([m["bands"] for m in asking], np.int64)
+    right = np.array([m["bands"] for m in asked], np.int64)
+    sets = [np.frombuffer(m["grams"], np.uint64) for m in asked]
+    out, none = [], np.iinfo(np.int64).max
+    for m, bands in zip(asking, left, strict=True):
+        own = np.frombuffer(m["grams"], np.uint64)
+        shared = np.where(right == bands[None, :], right, none).min(axis=1)
+        for j in np.flatnonzero(shared == bucket).tolist():
+            both = len(np.intersect1d(own, sets[j], assume_unique=True))
+            jaccard = both / (len(own) + len(sets[j]) - both)
+            if jaccard >= threshold:
+                out.append((m["key"], asked[j]["key"], jaccard))
+    return out
+
+
+_PAIRS = T.StructType(
+    [T.StructField("query_key", T.StringType()), T.StructField("key", T.StringType()), T.StructField("jaccard", T.DoubleType())]
+)
+
+
+def _pairs_of_tiles(threshold: float):
+    """Rows sorted by tile, those that ask first; one tile at a time is held."""
+
+    def result(members: list[dict]) -> pa.RecordBatch:
+        sides = [[m for m in members if m["asks"] == s] for s in (True, False)]
+        columns = list(zip(*tile_pairs(*sides, members[0]["bucket"], threshold), strict=True)) or [(), (), ()]
+        kinds = (pa.string(), pa.string(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_PAIRS.names)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, members = None, []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for row in batch.slice(at, 256).to_pylist():
+                    own = (row["bucket"], row["low"], row["high"])
+                    if own != tile:
+                        if members:
+                            yield result(members)
+                        tile, members = own, []
+                    members.append(row)
+        if members:
+            yield result(members)
+
+    return look
 
 
 def near_nodes(
-    queries: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_column: str = "doc_id", text_column: str = "text"
+    queries: DataFrame,
+    docs: DataFrame,
+    threshold: float = THRESHOLD,
+    words: int = WORDS,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    block: int = BLOCK,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(query_key, key, jaccard) of texts that are alike enough, and the members (query, query_key) and (id, key).
 
     Equal word sequences are one text on either side, so copies make no pairs; a pair of a key with itself stands for
-    all its copies.  Candidates are joined on bands as keys alone and the sets fetched once a pair is known; the Jaccard
-    coefficient is taken on the whole sets.
+    all its copies.  Texts meet in the buckets of their bands, of which those with the members of another are left
+    out.  A bucket is cut into blocks of ``block`` texts of either side; a tile compares two of them, so a set travels
+    once per block of queries it meets, and the Jaccard coefficient is taken on the whole sets.
     """
     bands, rows = bands_for(threshold, RECALL)
-    sketch = _sketch(bands, rows, words)
 
-    def side(df: DataFrame, id_name: str, key_name: str) -> tuple[DataFrame, DataFrame]:
+    def side(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         text = df[text_column].cast("string")
-        base = df.select(df[id_column].alias(id_name), word_key(text).alias(key_name), text.alias("text"))
-        nodes = base.dropDuplicates([key_name]).select(key_name, sketch(F.col("text")).alias("s"))
-        return base.select(id_name, key_name).distinct(), written(nodes.select(key_name, "s.bands", "s.grams"), "near-nodes")
+        base = df.select(df[id_column].alias("id"), word_key(text).alias("key"), text.alias("text"))
+        marked = written(base.select("id", "key", _bands_of(bands, rows, words)("text").alias("bands")), "near-marks")
+        nodes = marked.groupBy("key").agg(F.min("id").alias("first_id"), F.first("bands").alias("bands"))
+        return base, marked.select("id", "key"), written(nodes, "near-nodes")
+
+    sides = [side(queries), side(docs)]
+    met = [nodes.select("key", F.explode("bands").alias("bucket")) for _, _, nodes in sides]
+
+    def members(m: DataFrame, n: str) -> DataFrame:
+        folds = [F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"{n}{k}") for k in range(2)]
+        return m.groupBy("bucket").agg(F.count(F.lit(1)).alias(n), *folds)
+
+    buckets = (
+        members(met[0], "q")
+        .join(members(met[1], "n"), "bucket")
+        .groupBy("q", "q0", "q1", "n", "n0", "n1")
+        .agg(F.min("bucket").alias("bucket"))
+        .select("bucket", F.ceil(F.col("q") / block).alias("lows"), F.ceil(F.col("n") / block).alias("highs"))
+    )
+    buckets = written(buckets, "near-buckets")
+
+    def tiles(k: int) -> DataFrame:
+        base, _, nodes = sides[k]
+        own, other = ("low", "high") if k == 0 else ("high", "low")
+        dealt = met[k].join(buckets, "bucket").select(
+            "key", "bucket", F.pmod(F.xxhash64("key", F.lit(2)), F.col(f"{own}s")).alias(own), F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)).alias(other)
+        )
+        dealt = written(dealt, "near-tiles")
+        wanted = nodes.join(dealt.select("key").distinct(), "key", "left_semi").withColumnRenamed("key", "k")
+        same = (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("first_id"))  # copies lie apart by their ids
+        texts = base.join(wanted, same).select("key", "bands", "text").dropDuplicates(["key"])
+        sets = texts.select("key", "bands", _sets(words)("text").alias("grams"))
+        return dealt.join(sets, "key").select("bucket", "low", "high", F.lit(k == 0).alias("asks"), "key", "bands", "grams")
 
-    asking, left = side(queries, "query", "query_key")
-    asked, right = side(docs, "id", "key")
-    met = left.select("query_key", F.explode("bands").alias("band")).join(right.select("key", F.explode("bands").alias("band")), "band")
-    pairs = met.select("query_key", "key").distinct()
-    pairs = pairs.join(left.select("query_key", F.col("grams").alias("q_grams")), "query_key").join(right.select("key", "grams"), "key")
-    pairs = pairs.select("query_key", "key", _jaccard(F.col("q_grams"), F.col("grams")).alias("jaccard"))
-    return pairs.where(F.col("jaccard") >= threshold), asking, asked
+    rows_of_tiles = tiles(0).unionByName(tiles(1)).repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    pairs = written(rows_of_tiles.mapInArrow(_pairs_of_tiles(threshold), _PAIRS), "near-pairs")
+    asking, asked = sides[0][1].toDF("query", "query_key"), sides[1][1]
+    return pairs, asking, asked
 
 
 def near_pairs(
@@ -239,7 +322,23 @@ def near_pairs(
     """(query, id, jaccard) of every query row and every document whose shingle sets are alike enough.
 
     ``queries`` is a stated set of rows; pairs are made between it and ``docs`` only.  Equal texts are pairs, too; rows
-    without words match equal texts.  A row for each pair of copies is written out: ``near_nodes`` has each text once.
+    without words match equal texts.  A row for each pair of copies is written out: ``near_texts`` has each text once.
     """
     pairs, asking, asked = near_nodes(queries, docs, threshold, words, id_column, text_column)
     return pairs.join(asking, "query_key").join(asked, "key").select("query", "id", "jaccard")
+
+
+def near_texts(queries: DataFrame, docs: DataFrame, **options) -> DataFrame:
+    """(query_key, query_id, n_queries, key, match_id, n_matches, jaccard): a row for each pair of texts alike enough.
+
+    The ids are the least of the rows that share a text's words, the counts their number; a text of ``queries`` matches
+    itself in ``docs``.  Null ids count, and stand for a text only if it has no other.  Null texts count as empty, and
+    texts without words match equal texts alone.  Repeated rows count as copies; an empty table on either side gives
+    an empty result; other columns are not read.
+    """
+    pairs, asking, asked = near_nodes(queries, docs, **options)
+    left = asking.groupBy("query_key").agg(F.min("query").alias("query_id"), F.count(F.lit(1)).alias("n_queries"))
+    right = asked.groupBy("key").agg(F.min("id").alias("match_id"), F.count(F.lit(1)).alias("n_matches"))
+    return pairs.join(left, "query_key").join(right, "key").select(
+        "query_key", "query_id", "n_queries", "key", "match_id", "n_matches", "jaccard"
+    )

@@ -147,6 +147,12 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def fingerprint_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts that are near those of the documents whose id is divisible by 50."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprint.near_texts(docs.where("doc_id % 50 = 0"), docs)
+
+
 def backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stupid-backoff scores of every document under the trigram counts of all others."""
     return lm_score.backoff_scores(table(spark, sf_dir, "documents"))
@@ -268,6 +274,7 @@ QUERIES = {
     "op5_main_texts": main_texts,
     "op6_quality_judgements": quality_judgements,
     "op7_fingerprints": fingerprints,
+    "fingerprint_neighbours": fingerprint_neighbours,
     "op8_backoff_scores": backoff_scores,
     "op9_ngram_jaccard": ngram_jaccard,
     "op10_toxicity_scores": toxicity_scores,

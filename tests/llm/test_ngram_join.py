@@ -75,3 +75,12 @@ def test_one_of_each_stays(odd_docs, no_docs, families):
     assert set(ids) == {0, 2, 3, 4, 5, 6, 8, 10, 11, None}  # 1 and the null row are as empty as 0, 7 as 6, 9 as 8
     assert max(ids.values()) == 1
     assert ngram_join.keep_one_of_each(no_docs).count() == 0
+
+
+def test_repeated_rows_of_one_id(spark):
+    """Copies under one id, or none, beside a near copy of theirs."""
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(7, base)] * 300 + [(None, base)] * 300 + [(9, base + " more")]
+    got = ngram_join.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 601 and {r["class_id"] for r in got} == {7}
+    assert {(r["doc_id"], r["n_links"]) for r in got} == {(7, 600), (None, 600), (9, 600)}

@@ -249,6 +249,7 @@ def near_classes(
     )
     wanted = tiles.select("key").distinct().join(nodes.select("key", "first_id"), "key").withColumnRenamed("key", "k")
     texts = base.join(wanted.hint("merge"), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("first_id"))).select("key", "text")
+    texts = texts.dropDuplicates(["key"])  # rows may repeat an id, too
     sets = texts.select("key", _grams(words)("text").alias("grams"))
     rows_of_tiles = tiles.join(sets.hint("merge"), "key").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     found = written(rows_of_tiles.mapInArrow(_links_of_tiles(threshold), _LINKS), "links")

@@ -1,6 +1,7 @@
 import collections
 import math
 
+import numpy as np
 import pytest
 
 from tickloom.llm import lm_score
@@ -66,3 +67,16 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(rows) == odd_docs.count()
     assert all(r["mean_log_score"] is None and r["log_score"] == 0 for r in rows if r["n_words"] == 0)
     assert lm_score.backoff_scores(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("bits", [9, 20, 34, 47, 48])
+@pytest.mark.parametrize("n", [1, 2, 3000])
+def test_packed_hashes_come_back(bits, n):
+    values = np.unique(np.random.default_rng(bits).integers(0, 1 << bits, n).astype(np.uint64))
+    values[-1] = (1 << bits) - 1  # the longest step there is, where there is one value
+    raw = lm_score._pack(values)
+    assert (lm_score._unpack(raw) == values).all() and lm_score._packed_size(raw) == len(values)
+    edge = np.array([0, 0xFFFE, 0xFFFE + 0xFFFF, (1 << 48) - 1], np.uint64)
+    assert (lm_score._unpack(lm_score._pack(edge)) == edge).all()
+    spread = np.arange(1, 100_001, dtype=np.uint64) << np.uint64(31)
+    assert len(lm_score._pack(spread)) == 5 + 4 * len(spread)

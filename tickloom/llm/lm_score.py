@@ -24,7 +24,7 @@ from tickloom.llm.common import hashed_words, mix, word_count, words_text, writt
 ORDER, BACKOFF = 3, 0.4
 #: Characters of text in a chunk, and of the corpus per hash partition.
 CHUNK_CHARS = 16_000_000
-#: Bytes of a hash that travel; the partition adds its own bits.
+#: Bytes of a hash that count, beside those of its partition.
 HASH_BYTES = 6
 
 
@@ -55,13 +55,29 @@ def _dropped(parts: int) -> np.uint64:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes()
+    """Ascending numbers as steps: how many, bytes a step, the steps, then eight bytes for each that needs more.
+
+    The width is that of the fewest bytes.  Hashes are spread evenly, so steps are shorter than hashes.
+    """
+    steps = np.diff(values, prepend=np.uint64(0))
+    wide = {w: steps >= np.uint64((1 << 8 * w) - 1) for w in range(2, HASH_BYTES + 1)}
+    width = min(wide, key=lambda w: len(steps) * w + 8 * int(np.count_nonzero(wide[w])))
+    short = np.where(wide[width], np.uint64((1 << 8 * width) - 1), steps)
+    body = np.ascontiguousarray(short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return len(steps).to_bytes(4, "little") + bytes([width]) + body + steps[wide[width]].astype("<u8").tobytes()
+
+
+def _packed_size(raw: bytes) -> int:
+    return int.from_bytes(raw[:4], "little")
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // HASH_BYTES, 8), np.uint8)
-    out[:, :HASH_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, HASH_BYTES)
-    return out.view("<u8").ravel()
+    n, width = _packed_size(raw), raw[4]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, n * width, offset=5).reshape(n, width)
+    steps = out.view("<u8").ravel()
+    steps[steps == np.uint64((1 << 8 * width) - 1)] = np.frombuffer(raw[5 + n * width :], "<u8")
+    return np.cumsum(steps, dtype=np.uint64)
 
 
 def _pack_counts(counts: np.ndarray) -> bytes:
@@ -142,7 +158,7 @@ def _requests(order: int, parts: int):
 
 def _answers(asked: pa.Table) -> pa.Table:
     """Counts in the other chunks, for each chunk in the order in which it asked; mostly 0, which costs a bit."""
-    sizes = [len(x.as_py()) // HASH_BYTES for x in asked.column("grams")]
+    sizes = [_packed_size(x.as_py()) for x in asked.column("grams")]
     cuts = np.cumsum([0, *sizes])
     values, counts = np.empty(cuts[-1], np.uint64), np.empty(cuts[-1], np.int64)
     for x, c, a, b in zip(asked.column("grams"), asked.column("counts"), cuts[:-1], cuts[1:], strict=True):

@@ -198,6 +198,14 @@ def score_positions(counts: list[np.ndarray], words: np.ndarray, backoff: float)
     return score
 
 
+def _places(values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Place of each asked value among the sorted ones; asked in order, as neighbours are then found in the cache."""
+    order = np.argsort(asked)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.searchsorted(values, asked[order])
+    return out
+
+
 def _own_counts(owner: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
     """How often each row's n-gram stands in its own text."""
     key = owner * width + place
@@ -229,8 +237,10 @@ def _scores(order: int, parts: int, total: int, backoff: float, exclude_self: bo
             owner, words, counts = np.repeat(np.arange(len(n)), n), np.full(int(starts[-1]), float(total)), []
             for k in range(order):
                 at = np.flatnonzero(grams[k])
-                place = np.searchsorted(values, grams[k][at])
+                asked = grams[k][at]
                 grams[k] = None
+                place = _places(values, asked)
+                del asked
                 found = np.full(len(owner), -1.0, np.float64)
                 found[at] = totals[place]
                 if exclude_self:

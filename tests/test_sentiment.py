@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.constants import BOOSTERS, DAMPENERS, NEGATIONS
 from tickloom.operators import sentiment
@@ -96,3 +97,17 @@ def test_no_shuffle_for_a_small_lexicon(spark):
     assert "Exchange" not in plan and "Join" not in plan
     empty = sentiment.score_texts(df, lexicon(spark).where("false"), ["text_id"]).first()
     assert (empty["compound"], empty["neutral"]) == (0.0, 1.0)
+
+
+def test_every_text_is_scored_once(spark):
+    scored = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        scored.add(1)
+        return text
+
+    df = spark.createDataFrame([(i, "g", t) for i, t in enumerate(texts())], "text_id long, grp string, text string")
+    df = df.repartition(spark.sparkContext.defaultParallelism).withColumn("text", F.udf(count, "string")("text"))
+    scores = sentiment.score_texts(df, lexicon(spark), ["text_id", "grp"])
+    assert sentiment.recency_sentiment(scores, "grp", "text_id").count() == 1
+    assert scored.value == len(texts())

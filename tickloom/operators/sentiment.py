@@ -168,9 +168,11 @@ def recency_sentiment(scores: DataFrame, group: str, order: str, weights: str |
     """Weighted mean of the scores of a group; by default e^(-0.3 i), newest first.
 
     Positions come from ``with_ordinal``, so a group of any size is summed by
-    mergeable aggregates.
+    mergeable aggregates.  Cutting its ranges reads the rows more than once, so
+    the scores are computed once and written before.
     """
     if weights is None:
+        scores = materialise(scores.select(group, order, *SHARES), "scores")
         scores = with_ordinal(scores, group, F.col(order).cast("bigint"), order, "_i", newest_first=True)
         scores = scores.withColumn("_w", F.exp(-DECAY * F.col("_i")))
     else:

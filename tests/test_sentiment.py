@@ -111,3 +111,9 @@ def test_every_text_is_scored_once(spark):
     scores = sentiment.score_texts(df, lexicon(spark), ["text_id", "grp"])
     assert sentiment.recency_sentiment(scores, "grp", "text_id").count() == 1
     assert scored.value == len(texts())
+
+
+def test_every_token_is_lowered_once(spark):
+    df = spark.createDataFrame([(1, "a rally")], "text_id long, text string")
+    plan = sentiment.score_texts(df, lexicon(spark), ["text_id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lower(") == 1

@@ -22,7 +22,7 @@ SHARES = ["compound", "positive", "negative", "neutral"]
 
 def tokens(text: Column) -> Column:
     """Runs of letters of any script, apostrophes inside included."""
-    return F.regexp_extract_all(text, F.lit(r"(\p{L}+(?:'\p{L}+)*)"), 1)
+    return F.regexp_extract_all(text, F.lit(r"\p{L}++(?:'\p{L}++)*+"), 0)
 
 
 def finance_lexicon(spark: SparkSession) -> DataFrame:
@@ -80,15 +80,32 @@ def with_valences(texts: DataFrame, lexicon: DataFrame, name: str = "_v") -> Dat
     return numbered.join(back, "_row", "left").withColumn(name, F.coalesce(name, F.array().cast("array<double>"))).drop("_row")
 
 
+#: Words that change the valence of what follows them; so does any word with "n't" in it.
+ALTERING = [*BOOSTERS, *DAMPENERS, *NEGATIONS, "least"]
+
+
+def _raises(word: Column) -> Column:
+    return F.when(word.isin(BOOSTERS), BOOST).when(word.isin(DAMPENERS), -BOOST).otherwise(0.0)
+
+
+def _negates(word: Column) -> Column:
+    return word.isin(NEGATIONS) | F.contains(word, F.lit("n't"))
+
+
 def _contribution(v: Column, i: Column) -> Column:
-    """What token ``i`` adds: its valence after capitals and the three tokens before it."""
+    """What token ``i`` adds: its valence after capitals and the three tokens before it.
+
+    Few tokens follow an altering word, and only these go through the rules for what stands before them.
+    """
     before = lambda array, d: F.get(array, i.cast("int") - d)
     sign = lambda x: F.when(x < 0, -1.0).otherwise(1.0)
-    loud = F.when(F.get("_caps", i.cast("int")) & F.col("_diff"), CAPITALS * sign(v)).otherwise(0.0)
+    loud = F.when(F.col("_diff") & F.get("_caps", i.cast("int")), CAPITALS * sign(v)).otherwise(0.0)
+    altered = lambda d: F.coalesce(before("_alters", d), F.lit(False))
 
     def nearer(value: Column, d: Column) -> Column:
-        word, boost = before("_low", d), before("_boost", d)
-        counts = word.isNotNull() & before("_v", d).isNull()
+        word = before("_low", d)
+        boost = _raises(word)
+        counts = altered(d) & before("_v", d).isNull()
         step = boost * sign(value) + F.when((boost != 0) & before("_caps", d) & F.col("_diff"), CAPITALS * sign(value)).otherwise(0.0)
         raised = value + step * F.element_at(F.array(F.lit(1.0), F.lit(0.95), F.lit(0.9)), d)
         close = (before("_low", 1), before("_low", 2))
@@ -97,16 +114,18 @@ def _contribution(v: Column, i: Column) -> Column:
         factor = (
             F.when((word == "never") & so, 1.25)
             .when((word == "without") & doubt, 1.0)
-            .when(before("_negates", d), NEGATED)
+            .when(_negates(word), NEGATED)
             .otherwise(1.0)
         )
         return F.when(counts, raised * factor).otherwise(value)
 
-    value = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), v + loud, nearer)
+    plain = v + loud
+    value = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), plain, nearer)
     least = (before("_low", 1) == "least") & before("_v", 1).isNull() & ~F.coalesce(before("_low", 2).isin("at", "very"), F.lit(False))
     value = F.when(F.coalesce(least, F.lit(False)), value * NEGATED).otherwise(value)
+    value = F.when(altered(1) | altered(2) | altered(3), value).otherwise(plain)
     # A word that raises or lowers others, or is in no lexicon, is neutral itself.
-    return F.when(v.isNull() | (F.get("_boost", i.cast("int")) != 0), F.lit(0.0)).otherwise(value * _side(i))
+    return F.when(v.isNull() | (altered(0) & (_raises(before("_low", 0)) != 0)), F.lit(0.0)).otherwise(value * _side(i))
 
 
 def _side(i: Column) -> Column:
@@ -127,24 +146,22 @@ def score_texts(texts: DataFrame, lexicon: DataFrame, keys: list[str]) -> DataFr
     df = texts.select(*keys, tokens(text).alias("_tok"), marks("!").alias("_bangs"), marks("?").alias("_asks"))
     df = df.withColumn("_low", F.transform("_tok", F.lower))
     df = with_valences(df, lexicon)
-    raises = lambda t: F.when(t.isin(BOOSTERS), BOOST).when(t.isin(DAMPENERS), -BOOST).otherwise(0.0)
     df = df.withColumns(
         {
-            "_boost": F.transform("_low", raises),
-            "_negates": F.transform("_low", lambda t: t.isin(NEGATIONS) | F.contains(t, F.lit("n't"))),
-            "_caps": F.transform("_tok", lambda t: (t == F.upper(t)) & (t != F.lower(t))),
+            "_alters": F.transform("_low", lambda t: t.isin(ALTERING) | F.contains(t, F.lit("n't"))),
+            "_caps": F.transform("_tok", lambda t, i: (t != F.get("_low", i)) & (t == F.upper(t))),
             "_but": F.array_position("_low", "but") - 1,
         }
     )
     df = df.withColumn("_diff", F.exists("_caps", lambda c: c) & F.exists("_caps", lambda c: ~c))
-    df = df.withColumn("_c", F.transform("_v", _contribution))
+    df = df.withColumn("_all", F.transform("_v", _contribution)).withColumn("_c", F.filter("_all", lambda c: c != 0))
     total = lambda pick: F.aggregate("_c", F.lit(0.0), lambda acc, c: acc + pick(c))
     bangs = F.least(F.col("_bangs"), F.lit(MOST_EXCLAMATIONS)) * EXCLAMATION
     asks = F.when(F.col("_asks") > 3, MANY_QUESTIONS).when(F.col("_asks") > 1, F.col("_asks") * QUESTION).otherwise(0.0)
     sums = df.select(
         *keys, (bangs + asks).alias("_loud"), total(lambda c: c).alias("_s"),
         total(lambda c: F.when(c > 0, c + 1).otherwise(0.0)).alias("_p"), total(lambda c: F.when(c < 0, 1 - c).otherwise(0.0)).alias("_n"),
-        F.size(F.filter("_c", lambda c: c == 0)).alias("_z"),
+        (F.size("_all") - F.size("_c")).alias("_z"),
     )
     loud, zero = F.col("_loud"), F.lit(0.0)
     sums = sums.withColumns(
